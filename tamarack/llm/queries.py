@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, langid, packing, sharding
+from . import ann, byte_bpe, jaccard, langid, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of 0.85 of their four-word shingles."""
+    return jaccard.link(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes, equal texts together where sizes allow."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
     "op8_byte_bpe": op8_byte_bpe,
