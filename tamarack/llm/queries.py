@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, jaccard, langid, packing, sharding
+from . import ann, byte_bpe, jaccard, langid, packing, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the words of windows of 35 that occur twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.remove_repeats(docs, window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the labelled texts of the other three folds."""
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_sharding": op6_sharding,
