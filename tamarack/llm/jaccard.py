@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, blocks, checkpointed, grams, lists, mix, range_hashes
 from .graph import components
+from .sketch import counted, counter_of
 
-#: Counters of the sketch (a power of two; one byte each when broadcast) and rows they travel in.
-COUNTERS, SLICES = 1 << 24, 16
 #: Rounds of stars, and partners of a document in each.
 ROUNDS, PARTNERS = 2, 4
 _U = np.uint64
@@ -60,7 +59,7 @@ class Order:
         self.levels = levels
 
     def keys(self, tokens: np.ndarray, which: int) -> np.ndarray:
-        level = self.levels[(mix(tokens + _U(1)) & _U(len(self.levels) - 1)).astype(np.int64)].astype(_U)
+        level = self.levels[counter_of(tokens)].astype(_U)
         return (level << _U(56)) | (mix(tokens ^ _SEEDS[which]) >> _U(8))
 
 
@@ -71,41 +70,11 @@ def prefix_size(n: int, percent: int) -> int:
 def count_tokens(docs: DataFrame, text_col: str, size: int, fold: bool) -> np.ndarray:
     """Level of each counter of the sketch: 0 for what is as rare as most, then by powers of two."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(COUNTERS, np.uint16)
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                tokens, _ = shingle_sets(data, offsets, size, fold)
-                at, n = np.unique((mix(tokens + _U(1)) & _U(COUNTERS - 1)).astype(np.int32), return_counts=True)
-                own[at] += np.minimum(n, 65535 - own[at]).astype(np.uint16)
-        import zlib
-
-        for k, part in enumerate(np.split(own, SLICES)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"])
+    def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in blocks(batch.column(0)):
+            yield shingle_sets(data, offsets, size, fold)[0]
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), np.uint16)
-                if k in sums:
-                    sums[k] += part
-                else:
-                    sums[k] = part.astype(np.uint32)
-        for k, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, schema)
-    total = np.zeros(COUNTERS, np.uint32)
-    width = COUNTERS // SLICES
-    import zlib
-
-    for k, raw in parts.repartition(SLICES, "slice").mapInArrow(add, schema).collect():  # the sketch: of fixed size
-        total[k * width : (k + 1) * width] += np.frombuffer(zlib.decompress(raw), np.uint32)
+    total = counted(docs.select(F.col(text_col).cast("string")), tokens)
     mean = total.mean()
     usual = mean + 4 * np.sqrt(mean) + 1.5
     return np.where(total <= usual, 0, np.clip(np.ceil(np.log2(np.maximum(total, 1))) + 1, 1, 60)).astype(np.uint8)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, jaccard, langid, packing, sharding, substring_dedup
+from . import ann, byte_bpe, jaccard, langid, line_dedup, packing, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that an earlier line nearly repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.remove_repeated_lines(docs, percent=80)
+    return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed_lines"), F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as token pieces, packed into sequences of 4096."""
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
