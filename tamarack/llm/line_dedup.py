@@ -125,6 +125,7 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
         token, a, b, line, s1, n, place, m1, m2 = (t.column(k).to_numpy() for k in range(9))
         order = np.lexsort((line, b, a, s1, token))
         order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (s1[order][1:] != s1[order][:-1])])]
+        m1, m2 = m1.view(_U), m2.view(_U)  # bits of signed numbers are counted without their sign
         order = order[np.lexsort((m1[order], n[order], token[order]))]
         token, a, b, line, n, place, m1, m2 = (x[order] for x in (token, a, b, line, n.astype(np.int64), place, m1, m2))
         had, more = np.zeros(len(token), np.int32), np.zeros(len(token), bool)
