@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, jaccard, langid, line_dedup, packing, sharding, substring_dedup
+from . import ann, byte_bpe, jaccard, langid, licences, line_dedup, packing, sharding, substring_dedup, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document: its own, or that of the nearest directory; source and language are the directories."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("path"))
+    return licences.scan(files).drop("text")
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and their likeness."""
+    out = winnowing.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of 0.85 of their four-word shingles."""
     return jaccard.link(table(spark, sf_dir, "documents"), size=4, percent=85)
@@ -68,6 +81,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op3_licences": op3_licences,
+    "op4_winnowing": op4_winnowing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
