@@ -19,8 +19,11 @@ def counter_of(values: np.ndarray) -> np.ndarray:
     return (mix(values + np.uint64(1)) & np.uint64(COUNTERS - 1)).astype(np.int32)
 
 
-def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """How often each counter was hit by the values that values_of gives for rows; its size does not grow with rows."""
+def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator], largest: bool = False) -> np.ndarray:
+    """How often each counter was hit by the values that values_of gives for rows; its size does not grow with rows.
+
+    With `largest`, values_of gives (values, numbers below 65536), and a counter holds the largest number it was hit with.
+    """
     schema = "slice int, counts binary"
 
     def batch_of(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -31,6 +34,9 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.n
         own = np.zeros(COUNTERS, np.uint16)
         for batch in batches:
             for values in values_of(batch):
+                if largest:
+                    np.maximum.at(own, counter_of(values[0]), values[1].astype(np.uint16))
+                    continue
                 at, n = np.unique(counter_of(values), return_counts=True)
                 own[at] += np.minimum(n, 65535 - own[at]).astype(np.uint16)
         yield from batch_of({k: part for k, part in enumerate(np.split(own, SLICES)) if part.any()})
@@ -41,7 +47,7 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.n
             for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part = np.frombuffer(zlib.decompress(raw), np.uint16)
                 if k in sums:
-                    sums[k] += part
+                    sums[k] = np.maximum(sums[k], part) if largest else sums[k] + part
                 else:
                     sums[k] = part.astype(np.uint32)
         yield from batch_of(sums)

@@ -7,7 +7,7 @@ two leaves or more is a repeat. Adjacent repeats of one text join to maximal one
 Suffixes are grouped by prefix. The prefix of a suffix is that run of PREFIX words within its window
 whose hash is least (leftmost of ties): equal windows have equal prefixes, and neighbouring suffixes
 mostly share theirs, so a group gets them as one bundle. A prefix that occurs once in the corpus
-holds no repeat; such bundles end after the count. Groups larger than GROUP bundles take a longer
+holds no repeat; such bundles end after the count. Groups larger than 2**GROUP_LEVEL bundles take a longer
 prefix, up to the whole window, which splits them into groups that fit a task's memory: so no
 frequent phrase lands in one task. Bundles with equal contents are merged before they move, and
 results are joined back to the texts by content.
@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, grams, list_parts, lists, mix, range_hashes, row_key
+from .common import Words, blocks, checkpointed, grams, list_parts, lists, mix, range_hashes, row_key, shuffle_width
+from .sketch import counted, counter_of
 
-#: Words of a prefix, and bundles of a group before its prefix grows.
+#: Words of a prefix, and log2 of the bundles of a group before its prefix grows.
 PREFIX = 8
-GROUP = 20_000
+GROUP_LEVEL = 14
+#: Suffixes, at most about, that a task gets.
+SUFFIXES = 6_000_000
 _U = np.uint64
 
 
@@ -57,60 +60,59 @@ def bundles(words: Words, window: int) -> tuple[np.ndarray, ...]:
 def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """(__a, __b, spans): for each row key, (first suffix, mask) pairs whose set bits start a repeated window."""
 
+    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("__text"))
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0)):
+                key, times = np.unique(bundles(Words(data, offsets), window)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times)], ["prefix", "bundles"])
+
+    counts = keyed.select("__text").mapInArrow(prefixes, "prefix long, bundles long").groupBy("prefix").agg(F.sum("bundles").alias("bundles"))
+    counts = checkpointed(counts.where("bundles > 1"))
+    weight = counts.agg(F.coalesce(F.sum("bundles"), F.lit(0))).first()[0]
+    # A table of fixed size says which prefixes may repeat, and about how often (never less than they do).
+    shared = docs.sparkSession.sparkContext.broadcast(size_levels(counts))
+
+    def repeating(words: Words) -> tuple[np.ndarray, ...]:
+        """Bundles whose prefix may repeat: text, first suffix, suffixes, prefix, content, level of the group's size."""
+        text, first, n, prefix = bundles(words, window)
+        level = shared.value[counter_of(prefix)]
+        some = level > 0
+        text, first, n, prefix, level = text[some], first[some], n[some], prefix[some], level[some]
+        return text, first, n, prefix.view(np.int64), range_hashes(words.hashes, first, first + n + window - 1, 0).view(np.int64), level
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, data, offsets in blocks(batch.column(2)):
                 words = Words(data, offsets)
-                text, start, n, key = bundles(words, window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[lo:hi][text]), pa.array(b[lo:hi][text]), pa.array((start - words.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64))],
-                    ["__a", "__b", "start", "n", "prefix"],
-                )
-
-    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("__text"))
-    found = keyed.mapInArrow(prefixes, "__a long, __b long, start int, n int, prefix long")
-    counts = found.groupBy("prefix").agg(F.count("*").alias("bundles")).where("bundles > 1")
-    asked = found.join(counts, "prefix").groupBy("__a", "__b").agg(F.sort_array(F.collect_set(F.struct("start", "n", "prefix", "bundles"))).alias("own"))
+                text, first, _, prefix, content, _ = repeating(words)
+                start = (first - words.first[text]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(a[lo:hi][text]), pa.array(b[lo:hi][text]), pa.array(start), pa.array(prefix), pa.array(content)], ["__a", "__b", "start", "prefix", "content"])
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each bundle that may repeat: its content, and the path labels of its suffixes. One row for each place, one for each content."""
-        schema = pa.schema([("__a", pa.int64()), ("__b", pa.int64()), ("start", pa.int32()), ("prefix", pa.int64()), ("content", pa.int64()), ("route", pa.int64()), ("bits", pa.int64()), ("times", pa.int64()), ("labels", pa.list_(pa.int64()))])
-        nothing = lambda n, k: pa.nulls(n, schema.field(k).type)
+        """The path labels of each bundle's suffixes: a row for each content of a block and for each part of a grown prefix."""
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, data, offsets in blocks(batch.column(2)):
+            for _, _, data, offsets in blocks(batch.column(0)):
                 words = Words(data, offsets)
                 labels = grams(words.hashes, window)
-                own = batch.column(3).slice(lo, hi - lo)
-                _, stops = list_parts(own)
-                flat = own.flatten()
-                start, n, prefix, group = (flat.field(k).to_numpy() for k in range(4))
-                text = np.repeat(np.arange(hi - lo), np.diff(stops))
-                first = start + words.first[text]
-                content = range_hashes(words.hashes, first, first + n + window - 1, 0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[lo:hi][text]), pa.array(b[lo:hi][text]), pa.array(start), pa.array(prefix), pa.array(content), *[nothing(len(start), k) for k in ("route", "bits", "times", "labels")]], schema=schema)
+                _, first, n, prefix, content, level = repeating(words)
                 _, one, times = np.unique(content ^ mix(prefix.view(_U)).view(np.int64), return_index=True, return_counts=True)
-                rows: dict[str, list] = {k: [] for k in ("i", "route", "bits", "labels")}
-                for i, (f, k, p, g) in zip(one.tolist(), zip(first[one].tolist(), n[one].tolist(), prefix[one].tolist(), group[one].tolist(), strict=True), strict=True):
-                    label = labels[f : f + k]
-                    if g <= GROUP:
-                        rows["i"].append(i), rows["route"].append(p), rows["bits"].append((1 << k) - 1), rows["labels"].append(label)
-                    else:  # a longer prefix: the whole window
-                        to = (label % _U(1 << int(g // GROUP).bit_length())).astype(np.int64)
-                        for r in np.unique(to).tolist():
-                            at = np.flatnonzero(to == r)
-                            rows["i"].append(i), rows["route"].append(int(mix(np.array([p], np.int64).view(_U) + _U(r)).view(np.int64)[0])), rows["bits"].append(int((1 << at).sum())), rows["labels"].append(label[at])
-                if rows["i"]:
-                    i = np.array(rows["i"])
-                    count = dict(zip(one.tolist(), times.tolist(), strict=True))
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows["labels"]])])
-                    yield pa.RecordBatch.from_arrays(
-                        [nothing(len(i), "__a"), nothing(len(i), "__b"), nothing(len(i), "start"), pa.array(prefix[i]), pa.array(content[i]), pa.array(rows["route"], pa.int64()), pa.array(rows["bits"], pa.int64()), pa.array([count[x] for x in i.tolist()], pa.int64()), lists(np.concatenate(rows["labels"]), ends)],
-                        schema=schema,
-                    )
-
-    both = checkpointed(keyed.join(asked, ["__a", "__b"]).mapInArrow(contents, "__a long, __b long, start int, prefix long, content long, route long, bits long, times long, labels array<long>"))
+                first, n, prefix, content, level = first[one], n[one], prefix[one], content[one], level[one].astype(np.int64)
+                row = np.repeat(np.arange(len(one)), n)
+                within = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n)[:-1]])[row] if len(row) else row
+                label = labels[first[row] + within]
+                grown = np.maximum(0, level - GROUP_LEVEL)[row].astype(_U)
+                part = label & ((_U(1) << grown) - _U(1))  # 0 where the prefix need not grow
+                order = np.lexsort((within, part, row))
+                row, within, label, part = row[order], within[order], label[order], part[order]
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])) if len(row) else row
+                if len(new):
+                    of = row[new]
+                    bits = np.bitwise_or.reduceat(np.int64(1) << within, new)
+                    route = mix(prefix[of].view(_U) ^ mix(part[new])).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(prefix[of]), pa.array(content[of]), pa.array(bits), pa.array(times[of]), lists(label, np.append(new, len(row)))], ["route", "prefix", "content", "bits", "times", "labels"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Repeated suffixes of the groups that this task holds; a partition is sized to fit its memory."""
@@ -140,15 +142,22 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
         if some.any():
             yield pa.RecordBatch.from_arrays([pa.array(prefix[some]), pa.array(content[some]), pa.array(mask[some])], ["prefix", "content", "mask"])
 
-    spark = docs.sparkSession
-    groups = both.where("labels is not null")
-    weight = groups.agg(F.coalesce(F.sum(F.size("labels")), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // 2_000_000))  # suffixes of a task
-    masks = groups.select("prefix", "content", "bits", "times", "labels", "route").repartition(parts, "route").drop("route").mapInArrow(trees, "prefix long, content long, mask long").groupBy("prefix", "content").agg(F.bit_or("mask").alias("mask"))
-    places = both.where("labels is null").select("__a", "__b", "start", "prefix", "content")
+    width = max(shuffle_width(docs.sparkSession), -(-weight * window // SUFFIXES))
+    groups = keyed.select("__text").mapInArrow(contents, "route long, prefix long, content long, bits long, times long, labels array<long>").repartition(width, "route")
+    masks = groups.select("prefix", "content", "bits", "times", "labels").mapInArrow(trees, "prefix long, content long, mask long").groupBy("prefix", "content").agg(F.bit_or("mask").alias("mask"))
+    places = keyed.mapInArrow(places_of, "__a long, __b long, start int, prefix long, content long")
     return places.join(masks, ["prefix", "content"]).groupBy("__a", "__b").agg(F.sort_array(F.collect_set(F.struct("start", "mask"))).alias("spans"))
 
 
+def size_levels(counts: DataFrame) -> np.ndarray:
+    """For each counter of a table of fixed size: 0 if no prefix hits it, else 1 + log2, rounded up, of the bundles of the largest that does."""
+
+    def values(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield batch.column(0).to_numpy().view(_U), 1 + np.ceil(np.log2(batch.column(1).to_numpy()))
+
+    return counted(counts.select("prefix", "bundles"), values, largest=True).astype(np.uint8)
+
+
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept_text, n_words, n_removed and repeats (array of [first word, end word)).
 
