@@ -3,8 +3,9 @@
 A document's set holds the hashes of its word shingles. Documents with equal sets are one class
 before anything is joined. Two sets of Jaccard similarity t or more share a token among the first
 |x| - ceil(t |x|) + 1 of each, under any global order of the tokens. Three orders are used. All put
-rare tokens first, by a count sketch of fixed size over the whole corpus, and break ties by three
-different hashes. The first order's prefixes are joined, with length and position filters; a
+rare tokens first, by tables of fixed size made over the whole corpus, and break ties by three
+different hashes. Tokens of one document alone come first of all and are not joined; a document with
+too many of them has no partner. The first order's prefixes are joined, with length and position filters; a
 candidate must also share prefix tokens under the two other orders before it is verified.
 
 Within a large group of similar documents all pairs would be candidates. So links are first looked
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, blocks, checkpointed, grams, lists, mix, range_hashes
 from .graph import components
-from .sketch import counted, counter_of
+from .shared_tokens import Shared, shared_tokens
 
 #: Rounds of stars, and partners of a document in each.
 ROUNDS, PARTNERS = 2, 4
@@ -52,32 +53,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, fold: bool) -
     return (np.concatenate(out) if out else np.zeros(0, _U)), np.array(ends)
 
 
-class Order:
-    """Global orders of tokens: rare ones first by the sketch, ties by a hash of the order."""
-
-    def __init__(self, levels: np.ndarray):
-        self.levels = levels
-
-    def keys(self, tokens: np.ndarray, which: int) -> np.ndarray:
-        level = self.levels[counter_of(tokens)].astype(_U)
-        return (level << _U(56)) | (mix(tokens ^ _SEEDS[which]) >> _U(8))
+def order_keys(tokens: np.ndarray, level: np.ndarray, which: int) -> np.ndarray:
+    """Sort keys of a global order of tokens: rare ones first, ties by the order's own hash."""
+    return (level.astype(_U) << _U(56)) | (mix(tokens ^ _SEEDS[which]) >> _U(8))
 
 
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def count_tokens(docs: DataFrame, text_col: str, size: int, fold: bool) -> np.ndarray:
-    """Level of each counter of the sketch: 0 for what is as rare as most, then by powers of two."""
-
+def find_shared(docs: DataFrame, text_col: str, size: int, fold: bool) -> Shared:
     def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in blocks(batch.column(0)):
             yield shingle_sets(data, offsets, size, fold)[0]
 
-    total = counted(docs.select(F.col(text_col).cast("string")), tokens)
-    mean = total.mean()
-    usual = mean + 4 * np.sqrt(mean) + 1.5
-    return np.where(total <= usual, 0, np.clip(np.ceil(np.log2(np.maximum(total, 1))) + 1, 1, 60)).astype(np.uint8)
+    return shared_tokens(docs.select(F.col(text_col).cast("string")), tokens)
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +80,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, i
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    shared = spark.sparkContext.broadcast(Order(count_tokens(docs, "text", size, fold)))
+    shared = spark.sparkContext.broadcast(find_shared(docs, "text", size, fold))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,24 +91,26 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, i
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(ends), pa.int64()), *[pa.array(m.view(np.int64)) for m in marks]], ["doc_id", "n_shingles", "s1", "s2"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b, data, offsets in blocks(batch.column(1)):
                 flat, ends = shingle_sets(data, offsets, size, fold)
-                keys, marks = order.keys(flat, 0), range_hashes(flat, ends[:-1], ends[1:], 0).view(np.int64)
+                level = shared.value(flat)
+                keys, marks = order_keys(flat, level, 0), range_hashes(flat, ends[:-1], ends[1:], 0).view(np.int64)
+                common = np.concatenate([[0], np.cumsum(level > 0)])
+                n, may = np.diff(ends), common[ends[1:]] - common[ends[:-1]]
                 tokens, places, of = [], [], []
-                for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                    if hi > lo:
-                        p = prefix_size(hi - lo, percent)
-                        own = np.argsort(keys[lo:hi])[:p] if p > 1 else np.array([int(keys[lo:hi].argmin())])
-                        tokens.append(flat[lo:hi][own])
-                        places.append(np.arange(len(own)))
-                        of.append(np.full(len(own), i))
+                for i in np.flatnonzero((n > 0) & (100 * may >= percent * n)).tolist():  # a partner shares that many at least
+                    lo, hi = ends[i], ends[i + 1]
+                    own = np.argsort(keys[lo:hi])[: prefix_size(int(hi - lo), percent)]
+                    place = np.flatnonzero(level[lo:hi][own] > 0)
+                    tokens.append(flat[lo:hi][own][place])
+                    places.append(place)
+                    of.append(np.full(len(place), i))
                 if tokens:
                     at = np.concatenate(of)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids[a:b][at]), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.diff(ends)[at].astype(np.int32)), pa.array(marks[at])],
+                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids[a:b][at]), pa.array(np.concatenate(places).astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(marks[at])],
                         ["token", "doc", "place", "n", "s1"],
                     )
 
@@ -179,13 +171,12 @@ def other_prefixes(docs: DataFrame, shared: Broadcast, size: int, percent: int,
     """(doc, second, third): prefixes of each document's set under the two other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
                 flat, ends = shingle_sets(data, offsets, size, fold)
-                out = []
+                level, out = shared.value(flat), []
                 for which in (1, 2):
-                    keys, own, stops = order.keys(flat, which), [], [0]
+                    keys, own, stops = order_keys(flat, level, which), [], [0]
                     for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                         p = prefix_size(hi - lo, percent) if hi > lo else 0
                         own.append(flat[lo:hi][np.argsort(keys[lo:hi])[:p]])
