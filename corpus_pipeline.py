@@ -1,10 +1,65 @@
-"""The corpus pipeline: documents to packed training sequences, in stages."""
+"""The corpus pipeline: documents to packed training sequences, in five stages.
+
+Each stage takes what the one before it kept. All but the last return the columns of documents; where
+a stage changes texts, n_chars is counted anew.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamarack.llm import jaccard, langid, line_dedup, packing, substring_dedup
+from tamarack.llm.common import checkpointed
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_text(docs: DataFrame, text: str) -> DataFrame:
+    """The columns of documents, with the column named `text` as their text."""
+    return docs.select("doc_id", F.col(text).alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those that the models reject go."""
+    model = langid.fit(docs)
+    return langid.identify(docs, model).where(~F.col("rejected")).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line repeats; documents that had words and lost all of them go."""
+    out = line_dedup.remove_repeated_lines(docs, percent=80)
+    left = F.col("kept_text").rlike("[^\\x20\\x09-\\x0D]") | (F.size("removed_lines") == 0)
+    return with_text(out.where(left), "kept_text")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each class of near duplicates."""
+    found = jaccard.link(docs, size=5, percent=80)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that occur more than once; untouched texts stay as they are."""
+    out = substring_dedup.remove_repeats(docs, window=50)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    return with_text(out.withColumn("kept_text", text).where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0)), "kept_text")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 4096."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substrings),
+    ("packing", packed),
+]
 
 #: Learned models and similarity joins are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -13,6 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
