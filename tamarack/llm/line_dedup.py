@@ -1,11 +1,11 @@
 """Removal of lines that nearly repeat an earlier line: an exact set-similarity join of lines.
 
-A line's set holds the hashes of its distinct words. Lines of equal sets are found by grouping. For
-the rest, each set is ordered by rarity (a count sketch of fixed size over the whole corpus), and two
-sets of Jaccard similarity t or more then share a token among the first |x| - ceil(t |x|) + 1 of each.
-Lines meet at these tokens; length, positional and bitmap filters (the differing bits of two bitmaps
-are a lower bound of the sets' symmetric difference) drop most pairs, the others are verified on
-their whole sets.
+A line's tokens are its distinct runs of SHINGLE words. Lines of equal sets are found by grouping. For
+the rest, tokens are ordered by rarity, from tables of fixed size made over the whole corpus: tokens
+of one line alone come first, and a line with too many of them has no partner. Two sets of Jaccard
+similarity t or more share a token among the first |x| - ceil(t |x|) + 1 of each. Lines meet at these
+tokens; length, positional and bitmap filters (the differing bits of two bitmaps are a lower bound of
+the sets' symmetric difference) drop most pairs, the others are verified on their whole sets.
 
 A line goes once one earlier line matches, so at each token a line is paired with PARTNERS candidates
 first. Lines that had more of them and matched none of those are then joined with all.
@@ -16,15 +16,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, lists, mix, row_key
+from .common import Words, blocks, checkpointed, grams, lists, mix, row_key
+from .shared_tokens import Shared, shared_tokens
 from .sketch import counted, counter_of
 
 #: Candidates of a line at each of its tokens, before the rest are joined in full.
-PARTNERS = 4
+PARTNERS = 8
+#: Words of a token.
+SHINGLE = 5
 _U = np.uint64
 _ID = "a long, b long, line int"
 
@@ -32,32 +36,29 @@ _ID = "a long, b long, line int"
 class Lines:
     """Lines of a block of texts that have at least `least` words, with their sets in order of rarity."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, levels: np.ndarray | None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, shared: Shared | None):
         words = Words(data, offsets, fold=True)
         breaks = np.flatnonzero(data == 10)
-        number = np.searchsorted(breaks, words.starts)  # line feeds before the word
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
-        number = number - np.searchsorted(breaks, offsets[:-1])[text]
+        number = np.searchsorted(breaks, words.starts) - np.searchsorted(breaks, offsets[:-1])[text]  # line feeds of the text before the word
         new = np.concatenate([[True], (text[1:] != text[:-1]) | (number[1:] != number[:-1])]) if len(text) else np.zeros(0, bool)
-        of = np.cumsum(new) - 1
-        size = np.bincount(of) if len(of) else np.zeros(0, np.int64)
-        self.text, self.number = text[new], number[new]
-        token = words.hashes
-        if levels is not None:
-            key = (levels[counter_of(token)].astype(_U) << _U(56)) | (mix(token) >> _U(8))
-        else:
-            key = mix(token)
+        line = np.cumsum(new) - 1
+        size = np.bincount(line) if len(line) else np.zeros(0, np.int64)
+        inside = np.flatnonzero((line[: len(line) - SHINGLE + 1] == line[SHINGLE - 1 :]) & (size >= least)[line[SHINGLE - 1 :]]) if len(line) >= SHINGLE else np.zeros(0, np.int64)
+        of, token = line[inside], grams(words.hashes, SHINGLE)[inside] if len(inside) else np.zeros(0, _U)
+        level = shared(token) if shared is not None else np.zeros(len(token), np.uint8)
+        key = (level.astype(_U) << _U(56)) | (mix(token) >> _U(8))
         order = np.lexsort((key, of))
-        of, token, key = of[order], token[order], key[order]
+        of, token, level = of[order], token[order], level[order]
         one = np.concatenate([[True], (of[1:] != of[:-1]) | (token[1:] != token[:-1])]) if len(of) else np.zeros(0, bool)
-        one &= (size >= least)[of] if len(of) else one
-        of, self.token = of[one], token[one]
-        self.n_all = np.bincount(of, minlength=len(size)) if len(size) else size
-        self.keep = np.flatnonzero(self.n_all > 0)
-        self.text, self.number, self.n = self.text[self.keep], self.number[self.keep], self.n_all[self.keep]
+        of, self.token, self.level = of[one], token[one], level[one]
+        n = np.bincount(of, minlength=len(size))
+        keep = np.flatnonzero(n > 0)
+        self.text, self.number, self.n = text[new][keep], number[new][keep], n[keep]
         self.ends = np.concatenate([[0], np.cumsum(self.n)])
         self.of = np.repeat(np.arange(len(self.n)), self.n)
         self.place = np.arange(len(self.token)) - self.ends[self.of]
+        self.common = np.bincount(self.of[self.level > 0], minlength=len(self.n))  # tokens that other lines may have
 
     def reduced(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
         return how.reduceat(values, self.ends[:-1]) if len(self.n) else values[:0]
@@ -76,24 +77,22 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
         for _, _, data, offsets in blocks(batch.column(0)):
             yield Lines(data, offsets, least, None).token
 
-    total = counted(keyed.select("text"), tokens)
-    levels = np.where(total <= 1, 0, 1 + np.minimum(120, (4 * np.log2(np.maximum(total, 1))).astype(np.int64))).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_tokens(keyed.select("text"), tokens))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                own = Lines(data, offsets, least, None)
+                own = Lines(data, offsets, least, shared.value)
+                copied = np.flatnonzero(own.common == own.n)  # lines with a token of their own have no equal
                 s1, s2 = own.reduced(np.add, mix(own.token ^ _U(7))), own.reduced(np.bitwise_xor, mix(own.token + _U(11)))
-                yield pa.RecordBatch.from_arrays([*ids(a, b, lo, own), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], ["a", "b", "line", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([*ids(a, b, lo, own, copied), pa.array(s1[copied].view(np.int64)), pa.array(s2[copied].view(np.int64))], ["a", "b", "line", "s1", "s2"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = shared.value
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                own = Lines(data, offsets, least, rare)
+                own = Lines(data, offsets, least, shared.value)
                 s1 = own.reduced(np.add, mix(own.token ^ _U(7)))
                 order = np.lexsort((own.number, b[lo + own.text], a[lo + own.text], s1))
                 chosen = np.zeros(len(own.n), bool)  # of equal lines of a block, the first posts for all
@@ -101,7 +100,8 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
                 bit = mix(own.token + _U(3)) >> _U(57)
                 maps = [own.reduced(np.bitwise_or, np.where((bit >> _U(6)) == h, _U(1) << (bit & _U(63)), _U(0))) for h in (0, 1)]
                 prefix = own.n + (-percent * own.n // 100) + 1
-                at = np.flatnonzero((own.place < prefix[own.of]) & chosen[own.of] & (rare[counter_of(own.token)] > 0))  # one hit alone is not shared
+                chosen &= 100 * own.common >= percent * own.n  # a partner shares that many at least
+                at = np.flatnonzero((own.place < prefix[own.of]) & chosen[own.of] & (own.level > 0))
                 i = own.of[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own.token[at].view(np.int64)), *ids(a, b, lo, own, i), pa.array(s1[i].view(np.int64)), pa.array(own.n[i].astype(np.int32)), pa.array(own.place[at].astype(np.int32)), *[pa.array(m[i].view(np.int64)) for m in maps]],
@@ -214,17 +214,31 @@ def verified(pairs: DataFrame, keyed: DataFrame, percent: int, least: int) -> Da
 def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept_text and removed_lines (numbers of the removed lines, from 0).
 
-    A line (between line feeds) goes if an earlier one, by (id, line number), has a word set of
-    Jaccard similarity of percent / 100 or more, whether or not that one goes itself. Words are runs
-    of anything but ASCII white space, A-Z folded. Lines of fewer than `least_words` words stay and
-    match nothing. A null text stays null and has no lines. A null id sorts first; rows that repeat
+    A line (between line feeds) goes if an earlier one, by (id, line number), has a set of SHINGLE-word
+    runs of Jaccard similarity percent / 100 or more, whether or not that one goes itself. Words are
+    runs of anything but ASCII white space, A-Z folded. Lines of fewer words than `least_words`, or
+    than a run, stay and match nothing. A null text stays null and has no lines. A null id sorts first; rows that repeat
     an id and text count as one. Columns of those names are replaced, all others kept.
     """
-    gone = find_matches(docs, percent, least_words, id_col, text_col).groupBy("a", "b").agg(F.sort_array(F.collect_set("line")).alias("__gone"))
+    gone = checkpointed(find_matches(docs, percent, least_words, id_col, text_col).groupBy("a", "b").agg(F.sort_array(F.collect_set("line")).alias("__gone")))
     names = ("kept_text", "removed_lines")
-    rows = docs.select(*[c for c in docs.columns if c not in names], *row_key(id_col, text_col), F.col(text_col).cast("string").alias("__text"))
-    rows = rows.join(gone.withColumnsRenamed({"a": "__a", "b": "__b"}), ["__a", "__b"], "left")
-    gone_ = F.coalesce("__gone", F.array().cast("array<int>"))
-    cut = F.array_join(F.filter(F.split("__text", "\n", -1), lambda _, i: ~F.array_contains(gone_, i)), "\n")
-    kept = F.when(F.size(gone_) == 0, F.col("__text")).otherwise(cut)
-    return rows.select(*[F.col(c) for c in docs.columns if c not in names], kept.alias("kept_text"), gone_.alias("removed_lines"))
+    others = [c for c in docs.columns if c not in names]
+
+    # Only rows that a bitmap of fixed size lets through move for the join; the others lose no line.
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mix(batch.column(0).to_numpy().view(_U)) ^ batch.column(1).to_numpy().view(_U)
+
+    asked = docs.sparkSession.sparkContext.broadcast(np.packbits(counted(gone.select("a", "b"), values) > 0))
+
+    def may_lose(a: pd.Series, b: pd.Series) -> pd.Series:
+        c = counter_of(mix(a.to_numpy().astype(np.int64).view(_U)) ^ b.to_numpy().astype(np.int64).view(_U))
+        return pd.Series((asked.value[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool))
+
+    may_lose.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    rows = docs.select(*others, *row_key(id_col, text_col), F.col(text_col).cast("string").alias("__text")).withColumn("__may", F.pandas_udf(may_lose, "boolean")("__a", "__b"))
+    untouched = rows.where(~F.col("__may")).select(*others, F.col("__text").alias("kept_text"), F.array().cast("array<int>").alias("removed_lines"))
+    touched = rows.where("__may").join(gone.withColumnsRenamed({"a": "__a", "b": "__b"}), ["__a", "__b"], "left")
+    lost = F.coalesce("__gone", F.array().cast("array<int>"))
+    cut = F.array_join(F.filter(F.split("__text", "\n", -1), lambda _, i: ~F.array_contains(lost, i)), "\n")
+    kept = F.when(F.size(lost) == 0, F.col("__text")).otherwise(cut)
+    return untouched.unionByName(touched.select(*others, kept.alias("kept_text"), lost.alias("removed_lines")))
