@@ -11,8 +11,8 @@ candidate must also share prefix tokens under the two other orders before it is
 Within a large group of similar documents all pairs would be candidates. So links are first looked
 for along stars: in each bucket (documents that share a prefix token) each document is paired with
 one member of another class, picked by a hash, over a few rounds, and found links merge classes.
-What then remains, pairs of different classes, is joined in full, so no link between classes is
-lost: the classes are exactly the connected components of the link graph.
+What then remains, pairs of different classes, is joined in full (behind the filters, and a bound on
+their sets' difference by parity bits), so no link between classes is lost: the classes are exactly the connected components of the link graph.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .shared_tokens import Shared, shared_tokens
 
 #: Rounds of stars, and partners of a document in each.
 ROUNDS, PARTNERS = 2, 4
+#: Words of 64 parity bits in a set's sketch.
+SKETCH = 8
 _U = np.uint64
 _SEEDS = (_U(0), _U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
 
@@ -167,8 +169,22 @@ def star_pairs(postings: DataFrame, round_: int, percent: int) -> DataFrame:
     return pairs.select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
 
 
+def parities(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """[sets, SKETCH]: 64 SKETCH bits of each set, each the parity of the tokens that hash to it.
+
+    Bits in which two sets differ are at most as many as tokens that only one of them has.
+    """
+    bit = mix(flat + _U(5)) % _U(64 * SKETCH)
+    out = np.zeros((len(ends) - 1, SKETCH), _U)
+    some = np.flatnonzero(np.diff(ends))
+    for k in range(SKETCH):
+        if len(some):
+            out[some, k] = np.bitwise_xor.reduceat(np.where(bit >> _U(6) == k, _U(1) << (bit & _U(63)), _U(0)), ends[some])
+    return out
+
+
 def other_prefixes(docs: DataFrame, shared: Broadcast, size: int, percent: int, fold: bool) -> DataFrame:
-    """(doc, second, third): prefixes of each document's set under the two other orders."""
+    """(doc, second, third, bits): prefixes of each document's set under the two other orders, and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,17 +198,18 @@ def other_prefixes(docs: DataFrame, shared: Broadcast, size: int, percent: int,
                         own.append(flat[lo:hi][np.argsort(keys[lo:hi])[:p]])
                         stops.append(stops[-1] + p)
                     out.append(lists(np.concatenate(own) if own else flat[:0], np.array(stops)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *out], ["doc", "second", "third"])
+                bits = lists(parities(flat, ends).ravel(), np.arange(b - a + 1) * SKETCH)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *out, bits], ["doc", "second", "third", "bits"])
 
-    return docs.mapInArrow(run, "doc long, second array<long>, third array<long>")
+    return docs.mapInArrow(run, "doc long, second array<long>, third array<long>, bits array<long>")
 
 
 def residual_pairs(postings: DataFrame, texts: DataFrame, shared: Broadcast, size: int, percent: int, fold: bool) -> DataFrame:
     """(a, b), a > b: all candidates of different classes that pass the filters of all three orders."""
     postings = checkpointed(postings)
     asked = postings.select(F.col("doc").alias("doc_id"), "class").distinct()
-    prefixes = other_prefixes(texts.join(asked, "doc_id", "left_semi"), shared, size, percent, fold)
-    rows = postings
+    prefixes = checkpointed(other_prefixes(texts.join(asked, "doc_id", "left_semi"), shared, size, percent, fold))
+    rows = postings.join(prefixes.select("doc", "bits"), "doc")
     for name in ("second", "third"):  # of each, what documents of other classes have too; who has none of it has no partner
         over = Window.partitionBy("t")
         t = prefixes.select("doc", F.explode(name).alias("t")).join(asked.withColumnRenamed("doc_id", "doc"), "doc")
@@ -200,11 +217,15 @@ def residual_pairs(postings: DataFrame, texts: DataFrame, shared: Broadcast, siz
         rows = rows.join(t.groupBy("doc").agg(F.collect_list("t").alias(name)), "doc")
     rows = checkpointed(rows)
     x, y = rows.alias("x"), rows.alias("y")
+    differing = F.lit(0)
+    for k in range(SKETCH):
+        differing = differing + F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k]))
     on = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.doc") > F.col("y.doc"))
         & (F.col("x.class") != F.col("y.class"))
         & may_link("x", "y", percent)
+        & (differing <= F.col("x.n") + F.col("y.n") - 2 * F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent)))
         & F.arrays_overlap("x.second", "y.second")
         & F.arrays_overlap("x.third", "y.third")
     )
