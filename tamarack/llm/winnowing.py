@@ -14,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key
+from .common import checkpointed, row_key, shuffle_width
 
 GRAM, WINDOW = 4, 4
+#: Rows of a range of neighbours, about.
+RANGE_ROWS = 20_000
 #: A prime below 2**31 and a base, so that no product leaves 64 bits; bits that hold a position.
 PRIME, BASE, PLACE_BITS = 2_147_483_647, 1_000_003, 27
 
@@ -73,25 +75,41 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fi
     return docs.withColumn(out_col, fingerprint(chosen_runs(F.col(text_col), gram, window)))
 
 
+def place_in(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are value or less, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    own = F.array(*[F.lit(b) for b in bounds])
+
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        right = (state["lo"] < state["hi"]) & (F.get(own, mid) <= value)
+        return F.struct(F.when(right, mid + 1).otherwise(state["lo"]).alias("lo"), F.when(right | (state["lo"] >= state["hi"]), state["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): each document with the next in descending id; after the last comes the first.
+    """(doc_id, text, next_text): each row with the next in descending id; after the last comes the first.
 
-    Rows that repeat an id and a text are one document, and rows that only repeat an id follow each
-    other by a hash of the text; a null id comes last. Neighbours are found on keys alone: within
-    ranges of them, and between ranges by the first key of the next.
+    Rows that repeat an id follow each other by a hash of the text, copies in any order; a null id
+    comes last. Texts move once, to ranges of ids of about equal size. The last of a range gets the
+    first row of the next as a copy at its end; those rows are found on keys alone.
     """
+    spark = docs.sparkSession
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keys = rows.select("__a", "__b").distinct().repartitionByRange(F.desc("__a"), F.desc("__b")).withColumn("part", F.spark_partition_id())
-    keys = checkpointed(keys)
+    parts = max(shuffle_width(spark), -(-docs.count() // RANGE_ROWS))
+    cuts = rows.agg(F.percentile_approx("__a", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
+    placed = rows.withColumn("part", place_in(sorted(set(cuts or [])), F.col("__a")))
     key = F.struct("__a", "__b")
-    within = keys.withColumn("next", F.lead(key).over(Window.partitionBy("part").orderBy(F.desc("__a"), F.desc("__b"))))
-    heads = keys.groupBy("part").agg(F.max(key).alias("head"))  # a row for each range
-    order = Window.orderBy("part")
-    heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("after"))
-    links = within.join(F.broadcast(heads), "part").select("__a", "__b", F.coalesce("next", "after").alias("n")).select("__a", "__b", F.col("n.__a").alias("na"), F.col("n.__b").alias("nb"))
-    texts = rows.select("__a", "__b", "text")
-    after = texts.withColumnsRenamed({"__a": "na", "__b": "nb", "text": "next_text"}).dropDuplicates(["na", "nb"])
-    return rows.join(links, ["__a", "__b"]).join(after, ["na", "nb"]).select("doc_id", "text", "next_text")
+    heads = checkpointed(placed.groupBy("part").agg(F.max(key).alias("head")))  # a row for each range
+    order = Window.orderBy(F.desc("part"))
+    ends = heads.select(F.coalesce(F.lag("part").over(order), F.last("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"), "head.*")
+    tails = rows.join(F.broadcast(ends), ["__a", "__b"]).select("__a", "__b", "doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("tail"))
+    both = placed.withColumn("tail", F.lit(False)).unionByName(tails)
+    after = F.lead("text").over(Window.partitionBy("part").orderBy("tail", F.desc("__a"), F.desc("__b")))
+    return both.withColumn("next_text", after).where(~F.col("tail")).select("doc_id", "text", "next_text")
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
