@@ -5,7 +5,6 @@ Every helper works on Arrow batches inside Spark tasks; nothing here gathers row
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -41,9 +40,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
-def release(*frames: DataFrame) -> None:
-    for df in frames:
-        df.unpersist()
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches hold `rows` whole texts at most, unless the session already asks for fewer: they bound a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -159,11 +160,3 @@ def list_parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = array.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     flat = array.values.to_numpy(zero_copy_only=False)
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in columns.items()], schema=pa.schema([schema.field(k) for k in columns]))
-
-
-def tokenizer_folder() -> str:
-    return os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")

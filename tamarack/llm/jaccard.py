@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, grams, lists, mix, range_hashes
+from .common import Words, blocks, checkpointed, grams, lists, mix, range_hashes, text_batches
 from .graph import components
 from .shared_tokens import Shared, shared_tokens
 
@@ -80,6 +80,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, i
     and empty texts have no shingles and no links. Rows with null id are left out; rows that repeat an
     id count as one document with the largest of their sets' signatures.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     shared = spark.sparkContext.broadcast(find_shared(docs, "text", size, fold))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: Texts of each language that the models are fitted on, and the share of them kept for calibration.
 SAMPLE_DOCS = 1500
 CALIBRATION = 5  # one in so many
@@ -174,6 +176,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     Rows with null text or language are left out. Spark counts the n-grams; the driver gets those of
     the bounded sample.
     """
+    text_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN_LANG))
     sizes = {r[0]: r[1] for r in labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN_LANG)).groupBy(F.col(lang_col).cast("string")).count().collect()}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, grams, lists, mix, row_key
+from .common import Words, blocks, checkpointed, grams, lists, mix, row_key, text_batches
 from .shared_tokens import Shared, shared_tokens
 from .sketch import counted, counter_of
 
@@ -71,6 +71,7 @@ def ids(batch_a: np.ndarray, batch_b: np.ndarray, lo: int, lines: Lines, pick: n
 
 def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b, line): lines that an earlier line matches."""
+    text_batches(docs.sparkSession)
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).withColumnsRenamed({"__a": "a", "__b": "b"})
 
     def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import mix, shuffle_width
 
 #: log2 of the bits of the bitmap and of the entries of the frequency table; tokens that a task holds before it sends them.
-BITS, LEVELS, HELD = 27, 22, 4_000_000
+BITS, LEVELS, HELD = 27, 22, 1_000_000
 _U = np.uint64
 
 

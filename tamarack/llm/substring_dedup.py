@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, grams, list_parts, lists, mix, range_hashes, row_key, shuffle_width
+from .common import Words, blocks, checkpointed, grams, list_parts, lists, mix, range_hashes, row_key, shuffle_width, text_batches
 from .sketch import counted, counter_of
 
 #: Words of a prefix, and log2 of the bundles of a group before its prefix grows.
@@ -60,6 +60,7 @@ def bundles(words: Words, window: int) -> tuple[np.ndarray, ...]:
 def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """(__a, __b, spans): for each row key, (first suffix, mask) pairs whose set bits start a repeated window."""
 
+    text_batches(docs.sparkSession)
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("__text"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
