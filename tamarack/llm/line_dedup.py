@@ -1,11 +1,10 @@
 """Removal of lines that nearly repeat an earlier line: an exact set-similarity join of lines.
 
-A line's tokens are its distinct runs of SHINGLE words. Lines of equal sets are found by grouping. For
-the rest, tokens are ordered by rarity, from tables of fixed size made over the whole corpus: tokens
+A line's tokens are its distinct runs of SHINGLE words. Tokens are ordered by rarity, from tables of fixed size made over the whole corpus: tokens
 of one line alone come first, and a line with too many of them has no partner. Two sets of Jaccard
 similarity t or more share a token among the first |x| - ceil(t |x|) + 1 of each. Lines meet at these
-tokens; length, positional and bitmap filters (the differing bits of two bitmaps are a lower bound of
-the sets' symmetric difference) drop most pairs, the others are verified on their whole sets.
+tokens; length, positional and bitmap filters (bits are parities of the tokens that hash to them, so
+differing bits are at most as many as tokens that only one of the two sets has) drop most pairs, the others are verified on their whole sets.
 
 A line goes once one earlier line matches, so at each token a line is paired with PARTNERS candidates
 first. Lines that had more of them and matched none of those are then joined with all.
@@ -80,32 +79,27 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
 
     shared = docs.sparkSession.sparkContext.broadcast(shared_tokens(keyed.select("text"), tokens))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, _, data, offsets in blocks(batch.column(2)):
-                own = Lines(data, offsets, least, shared.value)
-                copied = np.flatnonzero(own.common == own.n)  # lines with a token of their own have no equal
-                s1, s2 = own.reduced(np.add, mix(own.token ^ _U(7))), own.reduced(np.bitwise_xor, mix(own.token + _U(11)))
-                yield pa.RecordBatch.from_arrays([*ids(a, b, lo, own, copied), pa.array(s1[copied].view(np.int64)), pa.array(s2[copied].view(np.int64))], ["a", "b", "line", "s1", "s2"])
-
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
                 own = Lines(data, offsets, least, shared.value)
                 s1 = own.reduced(np.add, mix(own.token ^ _U(7)))
-                order = np.lexsort((own.number, b[lo + own.text], a[lo + own.text], s1))
-                chosen = np.zeros(len(own.n), bool)  # of equal lines of a block, the first posts for all
-                chosen[order[np.concatenate([[True], s1[order][1:] != s1[order][:-1]])] if len(order) else order] = True
                 bit = mix(own.token + _U(3)) >> _U(57)
-                maps = [own.reduced(np.bitwise_or, np.where((bit >> _U(6)) == h, _U(1) << (bit & _U(63)), _U(0))) for h in (0, 1)]
+                maps = [own.reduced(np.bitwise_xor, np.where((bit >> _U(6)) == h, _U(1) << (bit & _U(63)), _U(0))) for h in (0, 1)]
+                order = np.lexsort((own.number, b[lo + own.text], a[lo + own.text], *maps, s1))
+                new = np.concatenate([[True], (s1[order][1:] != s1[order][:-1]) | (maps[0][order][1:] != maps[0][order][:-1]) | (maps[1][order][1:] != maps[1][order][:-1])]) if len(order) else np.zeros(0, bool)
+                again = order[~new]  # repeats an earlier line of the block
+                may = np.zeros(len(own.n), bool)
+                may[order[new]] = True  # of equal lines of a block, the first posts for all
+                may &= 100 * own.common >= percent * own.n  # a partner shares that many at least
                 prefix = own.n + (-percent * own.n // 100) + 1
-                chosen &= 100 * own.common >= percent * own.n  # a partner shares that many at least
-                at = np.flatnonzero((own.place < prefix[own.of]) & chosen[own.of] & (own.level > 0))
-                i = own.of[at]
+                at = np.flatnonzero((own.place < prefix[own.of]) & may[own.of] & (own.level > 0))
+                i = np.concatenate([own.of[at], again])
+                token = np.concatenate([own.token[at], mix(s1[again] ^ again.astype(_U))])
+                place = np.concatenate([own.place[at], np.full(len(again), -1)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.token[at].view(np.int64)), *ids(a, b, lo, own, i), pa.array(s1[i].view(np.int64)), pa.array(own.n[i].astype(np.int32)), pa.array(own.place[at].astype(np.int32)), *[pa.array(m[i].view(np.int64)) for m in maps]],
+                    [pa.array(token.view(np.int64)), *ids(a, b, lo, own, i), pa.array(s1[i].view(np.int64)), pa.array(own.n[i].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(m[i].view(np.int64)) for m in maps]],
                     ["token", "a", "b", "line", "s1", "n", "place", "m1", "m2"],
                 )
 
@@ -114,7 +108,7 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
         differ = np.bitwise_count(m1[i] ^ m1[j]).astype(np.int64) + np.bitwise_count(m2[i] ^ m2[j])
         return (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (differ <= n[i] + n[j] - 2 * need)
 
-    pair_schema = "xa long, xb long, xline int, ya long, yb long, yline int, more boolean"
+    pair_schema = "xa long, xb long, xline int, ya long, yb long, yline int, more boolean, equal boolean"
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of lines at the tokens of this task: each later line with the first PARTNERS that pass the filters."""
@@ -124,8 +118,16 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
         t = pa.Table.from_batches(got).combine_chunks()
         del got
         token, a, b, line, s1, n, place, m1, m2 = (t.column(k).to_numpy() for k in range(9))
-        order = np.lexsort((line, b, a, s1, token))
-        order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (s1[order][1:] != s1[order][:-1])])]
+        names = ["xa", "xb", "xline", "ya", "yb", "yline", "more", "equal"]
+        order = np.lexsort((line, b, a, m1, m2, s1, token))
+        same = lambda v: v[order][1:] == v[order][:-1]
+        new = np.concatenate([[True], ~(same(token) & same(s1) & same(m1) & same(m2) & same(n))])
+        repeats = order[~new & (place[order] == 0)]
+        repeats = np.concatenate([repeats, order[place[order] < 0]])  # lines that equal an earlier one
+        if len(repeats):
+            own = [pa.array(v[repeats]) for v in (a, b, line)]
+            yield pa.RecordBatch.from_arrays([*own, *own, pa.array(np.zeros(len(repeats), bool)), pa.array(np.ones(len(repeats), bool))], names)
+        order = order[new & (place[order] >= 0)]
         m1, m2 = m1.view(_U), m2.view(_U)  # bits of signed numbers are counted without their sign
         order = order[np.lexsort((m1[order], n[order], token[order]))]
         token, a, b, line, n, place, m1, m2 = (x[order] for x in (token, a, b, line, n.astype(np.int64), place, m1, m2))
@@ -150,21 +152,19 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
             lag += 1
         if out:
             x, y = (np.concatenate(z) for z in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(v[k]) for k in (x, y) for v in (a, b, line)] + [pa.array(more[x])], ["xa", "xb", "xline", "ya", "yb", "yline", "more"])
-
-    signed = keyed.mapInArrow(sign, f"{_ID}, s1 long, s2 long")
-    firsts = signed.groupBy("s1", "s2").agg(F.min(F.struct("a", "b", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    equal = checkpointed(signed.join(firsts, ["s1", "s2"]).where(F.struct("a", "b", "line") != F.col("first")).select("a", "b", "line"))
+            yield pa.RecordBatch.from_arrays([pa.array(v[k]) for k in (x, y) for v in (a, b, line)] + [pa.array(more[x]), pa.array(np.zeros(len(x), bool))], names)
 
     postings = keyed.mapInArrow(post, f"token long, {_ID}, s1 long, n int, place int, m1 long, m2 long")
-    pairs = checkpointed(postings.repartition("token").mapInArrow(meet, pair_schema).groupBy("xa", "xb", "xline", "ya", "yb", "yline").agg(F.max("more").alias("more")))
-    matched = checkpointed(verified(pairs, keyed, percent, least))
-    found = equal.union(matched)
+    met = checkpointed(postings.repartition("token").mapInArrow(meet, pair_schema).groupBy("xa", "xb", "xline", "ya", "yb", "yline").agg(F.max("more").alias("more"), F.max("equal").alias("equal")))
+    equal = met.where("equal").select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("xline").alias("line"))
+    pairs = met.where("not equal")
+    found = equal.union(checkpointed(verified(pairs, keyed, percent, least)))
     rest = pairs.where("more").select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("xline").alias("line")).distinct().join(found, ["a", "b", "line"], "left_anti")
     rest = checkpointed(rest)
     if not rest.isEmpty():
-        x = postings.join(rest, ["a", "b", "line"], "left_semi").alias("x")
-        y = postings.alias("y")
+        posted = postings.where("place >= 0")
+        x = posted.join(rest, ["a", "b", "line"], "left_semi").alias("x")
+        y = posted.alias("y")
         need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
         on = (
             (F.col("x.token") == F.col("y.token"))

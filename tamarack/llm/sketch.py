@@ -28,7 +28,20 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator], la
 
     def batch_of(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for k, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"])
+            some = np.flatnonzero(part).astype(np.int32)
+            if 8 * len(some) < part.nbytes // 2:  # few: their places and counts
+                raw = b"\0" + some.tobytes() + part[some].astype(np.uint32).tobytes()
+            else:
+                raw = b"\1" + zlib.compress(part.astype(np.uint32).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["slice", "counts"])
+
+    def read(raw: bytes) -> np.ndarray:
+        if raw[0]:
+            return np.frombuffer(zlib.decompress(raw[1:]), np.uint32)
+        n = (len(raw) - 1) // 8
+        part = np.zeros(COUNTERS // SLICES, np.uint32)
+        part[np.frombuffer(raw, np.int32, n, 1)] = np.frombuffer(raw, np.uint32, n, 1 + 4 * n)
+        return part
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(COUNTERS, np.uint16)
@@ -45,14 +58,14 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator], la
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), np.uint16)
+                part = read(raw)
                 if k in sums:
                     sums[k] = np.maximum(sums[k], part) if largest else sums[k] + part
                 else:
-                    sums[k] = part.astype(np.uint32)
+                    sums[k] = part
         yield from batch_of(sums)
 
     total, width = np.zeros(COUNTERS, np.uint32), COUNTERS // SLICES
     for k, raw in rows.mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect():
-        total[k * width : (k + 1) * width] += np.frombuffer(zlib.decompress(raw), np.uint32)
+        total[k * width : (k + 1) * width] += read(raw)
     return total
