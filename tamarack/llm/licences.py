@@ -4,7 +4,7 @@ Units are the lines of a file that hold a licence cue. Their words are weighted
 the inverse frequency over all units; the template of greatest cosine, from THRESHOLD on, is the
 unit's licence. A file's own licence is that of its best unit. A file that is named or reads as a
 licence file (half of its words or more lie in matched lines) also gives its licence to its
-directory; files without their own take that of the nearest ancestor directory, by joins on paths.
+directory, named ones first; files without their own take that of the nearest ancestor directory, by joins on paths.
 DataFrame functions only.
 """
 
@@ -93,7 +93,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     # Licences of directories, and the nearest one above each file that has none of its own.
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     giving = own.where((F.col("share") >= 0.5) | F.col("path").rlike(LICENCE_FILE)).withColumn("dir", parent)
-    by_dir = giving.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_licence").alias("licence"), F.col("path").alias("from"), F.col("own_line").alias("line"))).alias("d"))
+    by_dir = giving.groupBy("dir").agg(F.min(F.struct((~F.col("path").rlike(LICENCE_FILE)).alias("unnamed"), (-F.col("own_score")).alias("s"), F.col("own_licence").alias("licence"), F.col("path").alias("from"), F.col("own_line").alias("line"))).alias("d"))
     dirs = rows.where("path is not null").select(parent.alias("dir")).distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))).alias("depth")).withColumn("up", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/"))
