@@ -30,7 +30,7 @@ from .graph import components
 from .shared_tokens import Shared, shared_tokens
 
 #: Rounds of stars, and partners of a document in each.
-ROUNDS, PARTNERS = 2, 4
+ROUNDS, PARTNERS = 1, 4
 #: Words of 64 parity bits in a set's sketch.
 SKETCH = 8
 _U = np.uint64
@@ -216,7 +216,7 @@ def residual_pairs(postings: DataFrame, texts: DataFrame, shared: Broadcast, siz
         t = prefixes.select("doc", F.explode(name).alias("t")).join(asked.withColumnRenamed("doc_id", "doc"), "doc")
         t = t.withColumns({"lo": F.min("class").over(over), "hi": F.max("class").over(over)}).where("lo <> hi")
         rows = rows.join(t.groupBy("doc").agg(F.collect_list("t").alias(name)), "doc")
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.join(postings.groupBy("doc").agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "token"))), lambda e: e["token"]).alias("first")), "doc"))
     x, y = rows.alias("x"), rows.alias("y")
     differing = F.lit(0)
     for k in range(SKETCH):
@@ -229,6 +229,7 @@ def residual_pairs(postings: DataFrame, texts: DataFrame, shared: Broadcast, siz
         & (differing <= F.col("x.n") + F.col("y.n") - 2 * F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent)))
         & F.arrays_overlap("x.second", "y.second")
         & F.arrays_overlap("x.third", "y.third")
+        & (F.col("x.token") == F.try_element_at(F.array_intersect("x.first", "y.first"), F.lit(1)))  # at the first token in order: a pair leaves the join once
     )
     return x.join(y, on).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
