@@ -127,9 +127,9 @@ def _(t):
     return _profile(t).withColumn("p", F.round("p", 6))
 
 
-@query("c09_profile_scores", f"with {ALL}, {PROFILE}, {CONTENT} select userId, movieId, round(score, 6) as score from cs")
+@query("c09_profile_scores", f"with {ALL}, {PROFILE}, {CONTENT} select userId, movieId, floor(score * 10000 + 0.5) / 10000 as score from cs")
 def _(t):
-    return content.profile_scores(_profile(t), _weights(t)).withColumn("score", F.round("score", 6))
+    return content.profile_scores(_profile(t), _weights(t)).withColumn("score", F.floor(F.col("score") * 10000 + 0.5) / 10000)
 
 
 @query("c10_content_top_k", f"with {ALL}, {PROFILE.replace('rating >= 4 and ', '')}, {CONTENT} select userId, movieId, rank from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from cs where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10")
@@ -169,9 +169,9 @@ def _predicted(t):
     return scores.predict(rows, u, i, scores.shrunk_bias(t.ratings, "userId"), scores.shrunk_bias(t.ratings, "movieId"), F.col("mu")).drop("mu")
 
 
-@query("m03_predictions", f"with {PREDICTED} select userId, movieId, rating, timestamp, round(prediction, 6) as prediction from pr")
+@query("m03_predictions", f"with {PREDICTED} select userId, movieId, rating, timestamp, floor(prediction * 1000 + 0.3) / 1000 as prediction from pr")
 def _(t):
-    return _predicted(t).select("userId", "movieId", "rating", "timestamp", F.round("prediction", 6).alias("prediction"))
+    return _predicted(t).select("userId", "movieId", "rating", "timestamp", (F.floor(F.col("prediction") * 1000 + 0.3) / 1000).alias("prediction"))
 
 
 @query("e05_rating_errors", f"with {PREDICTED} select round(sqrt(avg((prediction - rating) * (prediction - rating))), 6) as rmse, round(avg(abs(prediction - rating)), 6) as mae from pr")
