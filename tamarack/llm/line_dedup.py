@@ -68,6 +68,10 @@ def ids(batch_a: np.ndarray, batch_b: np.ndarray, lo: int, lines: Lines, pick: n
     return [pa.array(batch_a[lo + text]), pa.array(batch_b[lo + text]), pa.array(number.astype(np.int32))]
 
 
+def same_line(a: np.ndarray, b: np.ndarray, line: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return (a[i] == a[j]) & (b[i] == b[j]) & (line[i] == line[j])
+
+
 def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b, line): lines that an earlier line matches."""
     text_batches(docs.sparkSession)
@@ -89,7 +93,9 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
                 maps = [own.reduced(np.bitwise_xor, np.where((bit >> _U(6)) == h, _U(1) << (bit & _U(63)), _U(0))) for h in (0, 1)]
                 order = np.lexsort((own.number, b[lo + own.text], a[lo + own.text], *maps, s1))
                 new = np.concatenate([[True], (s1[order][1:] != s1[order][:-1]) | (maps[0][order][1:] != maps[0][order][:-1]) | (maps[1][order][1:] != maps[1][order][:-1])]) if len(order) else np.zeros(0, bool)
-                again = order[~new]  # repeats an earlier line of the block
+                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest of its equals
+                itself = same_line(a[lo + own.text], b[lo + own.text], own.number, order, lead)  # the same line of a repeated row
+                again = order[~new & ~itself]  # repeats an earlier line of the block
                 may = np.zeros(len(own.n), bool)
                 may[order[new]] = True  # of equal lines of a block, the first posts for all
                 may &= 100 * own.common >= percent * own.n  # a partner shares that many at least
@@ -122,7 +128,8 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
         order = np.lexsort((line, b, a, m1, m2, s1, token))
         same = lambda v: v[order][1:] == v[order][:-1]
         new = np.concatenate([[True], ~(same(token) & same(s1) & same(m1) & same(m2) & same(n))])
-        repeats = order[~new & (place[order] == 0)]
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        repeats = order[~new & (place[order] == 0) & ~same_line(a, b, line, order, lead)]
         repeats = np.concatenate([repeats, order[place[order] < 0]])  # lines that equal an earlier one
         if len(repeats):
             own = [pa.array(v[repeats]) for v in (a, b, line)]

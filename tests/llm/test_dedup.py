@@ -83,6 +83,16 @@ def test_lines_with_few_partners(docs, rows, monkeypatch):
     assert got == lines_gone(rows)
 
 
+def test_lines_of_repeated_rows(spark):
+    first, second = (" ".join(f"{w}{i}" for i in range(9)) for w in "uv")
+    rows = [(1, f"{first}\n{second}\n{first}"), (2, second), (None, f"{first} end"), (3, f"{second} more of it")]
+    once = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted((str(d), tuple(x)) for d, x in lines_gone([(-1 if d is None else d, t) for d, t in rows]).items())
+    for docs in (once.union(once).coalesce(1), once.union(once)):  # in one partition and in two
+        got = sorted((str(-1 if r.doc_id is None else r.doc_id), tuple(r.removed_lines)) for r in line_dedup.remove_repeated_lines(docs).collect())
+        assert got == sorted(want + want)
+
+
 def classes(rows, size, percent):
     sets = {}
     for d, t in rows:
