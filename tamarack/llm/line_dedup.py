@@ -1,6 +1,6 @@
 """Removal of lines that nearly repeat an earlier line: an exact set-similarity join of lines.
 
-A line's tokens are its distinct runs of SHINGLE words. Tokens are ordered by rarity, from tables of fixed size made over the whole corpus: tokens
+A line's tokens are its distinct runs of SHINGLE words; a shorter line has one, its whole sequence of words. Tokens are ordered by rarity, from tables of fixed size made over the whole corpus: tokens
 of one line alone come first, and a line with too many of them has no partner. Two sets of Jaccard
 similarity t or more share a token among the first |x| - ceil(t |x|) + 1 of each. Lines meet at these
 tokens; length, positional and bitmap filters (bits are parities of the tokens that hash to them, so
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, grams, lists, mix, row_key, text_batches
+from .common import Words, blocks, checkpointed, grams, lists, mix, range_hashes, row_key, text_batches
 from .shared_tokens import Shared, shared_tokens
 from .sketch import counted, counter_of
 
@@ -45,6 +45,10 @@ class Lines:
         size = np.bincount(line) if len(line) else np.zeros(0, np.int64)
         inside = np.flatnonzero((line[: len(line) - SHINGLE + 1] == line[SHINGLE - 1 :]) & (size >= least)[line[SHINGLE - 1 :]]) if len(line) >= SHINGLE else np.zeros(0, np.int64)
         of, token = line[inside], grams(words.hashes, SHINGLE)[inside] if len(inside) else np.zeros(0, _U)
+        few = np.flatnonzero((size >= least) & (size < SHINGLE))  # too short for a run: all their words are one token
+        if len(few):
+            start = np.flatnonzero(new)[few]
+            of, token = np.concatenate([of, few]), np.concatenate([token, range_hashes(words.hashes, start, start + size[few], 1)])
         level = shared(token) if shared is not None else np.zeros(len(token), np.uint8)
         key = (level.astype(_U) << _U(56)) | (mix(token) >> _U(8))
         order = np.lexsort((key, of))
@@ -224,8 +228,8 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int =
 
     A line (between line feeds) goes if an earlier one, by (id, line number), has a set of SHINGLE-word
     runs of Jaccard similarity percent / 100 or more, whether or not that one goes itself. Words are
-    runs of anything but ASCII white space, A-Z folded. Lines of fewer words than `least_words`, or
-    than a run, stay and match nothing. A null text stays null and has no lines. A null id sorts first; rows that repeat
+    runs of anything but ASCII white space, A-Z folded. A line shorter than a run matches lines of the
+    same words only. Lines of fewer words than `least_words` stay and match nothing. A null text stays null and has no lines. A null id sorts first; rows that repeat
     an id and text count as one. Columns of those names are replaced, all others kept.
     """
     gone = checkpointed(find_matches(docs, percent, least_words, id_col, text_col).groupBy("a", "b").agg(F.sort_array(F.collect_set("line")).alias("__gone")))

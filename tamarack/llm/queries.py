@@ -66,9 +66,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text without the lines that an earlier line nearly repeats."""
+    """Every text without the lines that an earlier line nearly repeats; lines of one to four words go if an earlier one has the same words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.remove_repeated_lines(docs, percent=80)
+    out = line_dedup.remove_repeated_lines(docs, percent=80, least_words=1)
     return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed_lines"), F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

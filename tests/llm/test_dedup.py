@@ -93,6 +93,27 @@ def test_lines_of_repeated_rows(spark):
         assert got == sorted(want + want)
 
 
+def short_lines_gone(rows, percent=80):
+    seen, out = [], {d: [] for d, _ in rows}
+    for d, t in sorted(rows):
+        for i, line in enumerate((t or "").split("\n")):
+            w = words(line, True)
+            own = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+            if own and any(100 * len(own & o) >= percent * len(own | o) for o in seen):
+                out[d].append(i)
+            seen.append(own)
+    return out
+
+
+def test_short_lines(spark, docs, rows, tmp_path):
+    from tamarack.llm import queries
+
+    menu = [(1000 + d, f"Share this\nhome\n\n{d} only\nRead on {d % 3} x\nhome\nshare  THIS") for d in range(40)]
+    docs.select("doc_id", "text").union(spark.createDataFrame(menu, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.removed_lines for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: ",".join(map(str, x)) for d, x in short_lines_gone(rows + menu).items()}
+
+
 def classes(rows, size, percent):
     sets = {}
     for d, t in rows:
