@@ -1,12 +1,12 @@
-"""Packing of token pieces into sequences: a configuration LP by multiplicative weights, rounded.
-
-A configuration is a multiset of lengths that fits one sequence. The LP asks for the fewest
-sequences whose configurations cover the histogram of lengths. Its rows are weighted; in each
-iteration a knapsack over the weights prices the best configuration (dynamic programming over the
-capacity), which is taken as often as the demand allows, and the weights of what it covers shrink by
-a factor that is exponential in the share covered. What the iterations leave is rounded by best fit
-in decreasing length, done in bulk on the histogram. Only the histogram (one number for each length
-up to the capacity) and the plan made from it are on the driver, so both are bounded by the
+"""Packing of token pieces into sequences: best fit decreasing, after a few priced configurations.
+
+A configuration is a multiset of lengths that fits one sequence. Each iteration of a loop prices one
+by an unbounded knapsack over weights of the lengths (dynamic programming over the capacity), takes it
+greedily and whole, as often as the demand allows, and shrinks the weights of what it covers. The
+loop ends once a configuration, cut to the demand, leaves much room; on real histograms that is often
+its first one, so nearly all pieces are placed by best fit in decreasing length, done in bulk on the
+histogram. No fractional solution of the covering LP is made. Only the histogram (one number for each
+length up to the capacity) and the plan made from it are on the driver, so both are bounded by the
 capacity and the number of iterations, whatever the number of rows.
 
 Rows then get their places by joins: a piece's rank among those of its length picks its slot.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, shuffle_width
 
-#: Iterations of the LP, each one knapsack.
+#: Iterations of the loop, each one knapsack.
 ITERATIONS = 300
 #: How fast the weight of a covered length shrinks.
 RATE = 4.0
