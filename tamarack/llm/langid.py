@@ -32,8 +32,10 @@ ORDER = 4
 BLOCK_CHARS = 1 << 19
 #: Lengths, in characters, between which thresholds are calibrated apart.
 LENGTHS = (20, 100, 500)
-#: A text is rejected if its excess is this many times the largest seen in calibration.
+#: A text is rejected if its excess is this many times the quantile of those of its language and length in calibration.
 MARGIN = 1.5
+#: That quantile: the rest may be wrong labels and junk. Texts of one length that give one; with fewer, other lengths count too.
+QUANTILE, ENOUGH = 0.95, 20
 PAD, SPACE, UNKNOWN_LANG = 1, 32, "und"
 _U = np.uint64
 _LETTERS: list[np.ndarray] = []
@@ -80,8 +82,8 @@ class Model:
     contexts: list[np.ndarray] = field(default_factory=list)
     log_weight: list[np.ndarray] = field(default_factory=list)
     floor: np.ndarray | None = None  # log probability of an unseen character
-    usual: np.ndarray | None = None  # mean cross-entropy of each language
-    excess: np.ndarray | None = None  # largest accepted cross-entropy over the usual, by length
+    usual: np.ndarray | None = None  # median cross-entropy of each language
+    excess: np.ndarray | None = None  # largest accepted cross-entropy over the usual, by language and length
 
     def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
         """A row for each n-gram, a column for each language: log P(last unit | the others)."""
@@ -125,7 +127,7 @@ class Model:
         least = x[np.arange(len(x)), best]
         share = np.exp(-(x - least[:, None]) * np.minimum(n, 30)[:, None])
         score = 1 / share.sum(axis=1)
-        limit = self.usual[best] + self.excess[np.searchsorted(LENGTHS, n)]
+        limit = self.usual[best] + self.excess[best, np.searchsorted(LENGTHS, n)]
         return [
             (self.langs[b], float(s), float(e), bool(e > m)) if k else (UNKNOWN_LANG, 0.0, None, True)
             for b, s, e, m, k in zip(best.tolist(), score.tolist(), least.tolist(), limit.tolist(), letters.tolist(), strict=True)
@@ -235,12 +237,16 @@ def calibrate(model: Model, kept: DataFrame) -> None:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "n", "x"])
 
     got = kept.mapInArrow(score, "lang string, n long, x double").toPandas()  # bounded: part of the sample
-    mean = got.x.mean() if len(got) else 3.0
-    model.usual = np.array([own.x.mean() if len(own := got[got.lang == lang]) else mean for lang in model.langs])
-    over = got.x.to_numpy() - model.usual[[model.langs.index(x) for x in got.lang]] if len(got) else np.zeros(0)
-    place = np.searchsorted(LENGTHS, got.n.to_numpy()) if len(got) else np.zeros(0, int)
-    worst = [over[place >= k].max(initial=0.0) for k in range(len(LENGTHS) + 1)]
-    model.excess = np.maximum(MARGIN * np.array(worst), [2.0, 1.5, 1.0, 1.0])
+    middle = got.x.median() if len(got) else 3.0
+    model.usual = np.array([own.x.median() if len(own := got[got.lang == lang]) else middle for lang in model.langs])
+    model.excess = np.zeros((len(model.langs), len(LENGTHS) + 1))
+    for i, lang in enumerate(model.langs):
+        own = got[got.lang == lang]
+        over, place = own.x.to_numpy() - model.usual[i], np.searchsorted(LENGTHS, own.n.to_numpy())
+        for k in range(len(LENGTHS) + 1):
+            pool = next((x for x in (over[place == k], over[place >= k]) if len(x) >= ENOUGH), over)
+            model.excess[i, k] = MARGIN * np.quantile(pool, QUANTILE, method="lower") if len(pool) else 0.0
+    model.excess = np.maximum(np.maximum.accumulate(model.excess[:, ::-1], axis=1)[:, ::-1], [2.0, 1.5, 1.0, 1.0])  # shorter texts have no less
     shared.unpersist()
 
 
