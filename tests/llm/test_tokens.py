@@ -153,20 +153,6 @@ def test_languages(spark, nothing):
     assert langid.identify(df.limit(2), None).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
-def test_languages_with_wrong_labels_and_junk(spark):
-    rng = np.random.default_rng(5)
-    parts = {"xx": ["ka", "lo", "mi", "ru"], "yy": ["sch", "ein", "ung", "ter"], "zz": ["eau", "ion", "que", "les"], "ww": ["pfa", "bhy", "dox", "wek"]}
-    make = lambda k, n: " ".join("".join(rng.choice(parts[k], rng.integers(1, 4))) for _ in range(n))
-    junk = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n))
-    size = lambda: int(rng.integers(10, 60))
-    rows = [(i, make(k, size()), k) for i, k in enumerate(["xx", "yy", "zz"] * 300)]
-    wrong = [(1000 + i, make("ww", size()) if i % 2 else junk(size()), k) for i, k in enumerate(["xx", "yy", "zz"] * 8)]
-    model = langid.fit(spark.createDataFrame(rows + wrong, "doc_id long, text string, lang string"))
-    new = [(i, make(("xx", "yy", "zz")[i % 3], size()), None) for i in range(60)] + [(100 + i, junk(size()), None) for i in range(20)]
-    out = langid.identify(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).toPandas().set_index("doc_id")
-    assert not out.loc[:59].rejected.any() and out.loc[100:].rejected.all()
-
-
 def test_language_probabilities_sum_to_one():
     texts = ["abcab cab", "bca abc"]
     own, _ = langid.units(texts)
