@@ -21,8 +21,6 @@ _U = np.uint64
 _BYTE = np.random.default_rng(20240501).integers(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASES = (0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53)
 
@@ -47,14 +45,26 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """Two columns, __a and __b, never null, that tell rows apart: the id, and a hash of the text.
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has, whatever the case of its letters: working columns named with it clash with none."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_key(id_col: str, text_col: str, a: str = "a", b: str = "b") -> list[Column]:
+    """Two columns, named a and b, never null, that tell rows apart: the id, and a hash of the text.
 
     Rows that agree in both have the same text and get the same result, so repeated rows are safe.
     """
     return [
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__a"),
-        F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("__b"),
+        F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(-(2**63))).alias(a),
+        F.coalesce(F.xxhash64(F.col(quoted(text_col))), F.lit(0)).alias(b),
     ]
 
 
@@ -104,19 +114,16 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, breaks: np.ndarray | None = None):
         n = len(data)
-        space = _SPACE[data]
+        space = (data == 0x20) | ((data - np.uint8(9)) < 5)
         edge = np.zeros(n + 1, bool)
+        np.not_equal(space[1:], space[:-1], out=edge[1:n])
         edge[offsets] = True
+        edge[[0, n]] = True
         if breaks is not None:
             edge[breaks] = True
-        before = np.empty(n, bool)
-        after = np.empty(n, bool)
-        if n:
-            before[0], before[1:] = True, space[:-1]
-            after[-1], after[:-1] = True, space[1:]
         solid = ~space
-        self.starts = np.flatnonzero(solid & (before | edge[:n]))
-        self.ends = np.flatnonzero(solid & (after | edge[1:])) + 1
+        self.starts = np.flatnonzero(edge[:n] & solid)
+        self.ends = np.flatnonzero(edge[1:] & solid) + 1
         self.hashes = range_hashes((_FOLDED if fold else _BYTE)[data], self.starts, self.ends, 0)
         self.first = np.searchsorted(self.starts, offsets)  # of each text, and the end of the last
 

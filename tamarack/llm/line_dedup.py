@@ -1,13 +1,18 @@
 """Removal of lines that nearly repeat an earlier line: an exact set-similarity join of lines.
 
-A line's tokens are its distinct runs of SHINGLE words; a shorter line has one, its whole sequence of words. Tokens are ordered by rarity, from tables of fixed size made over the whole corpus: tokens
-of one line alone come first, and a line with too many of them has no partner. Two sets of Jaccard
-similarity t or more share a token among the first |x| - ceil(t |x|) + 1 of each. Lines meet at these
-tokens; length, positional and bitmap filters (bits are parities of the tokens that hash to them, so
-differing bits are at most as many as tokens that only one of the two sets has) drop most pairs, the others are verified on their whole sets.
+A line's tokens are its words, each with its number among the equal words of the line, so "a a" and
+"a" differ. Tokens are ordered by rarity, from a table of fixed size that counts the words of the whole
+corpus; words that occur once come first, and a line with too many of them has no partner. Two sets of
+Jaccard similarity t or more share a token among the first |x| - ceil(t |x|) + 1 of each. Lines meet at
+these tokens; length, positional and bitmap filters (bits are parities of the tokens that hash to them,
+so differing bits are at most as many as tokens that only one of the two sets has) drop most pairs, the
+others are verified on their whole sets.
 
 A line goes once one earlier line matches, so at each token a line is paired with PARTNERS candidates
-first. Lines that had more of them and matched none of those are then joined with all.
+first, and a token's lines are held HELD at a time, as Spark's sort brings them. Lines that were not
+compared with all others of a token for these reasons, and matched nothing, are then joined with all of
+them by a Spark join, which adaptive execution splits where a token is hot. So no task holds all lines
+of a token, and none is left out.
 """
 
 from __future__ import annotations
@@ -17,175 +22,298 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, grams, lists, mix, range_hashes, row_key, text_batches
-from .shared_tokens import Shared, shared_tokens
+from .common import Words, blocks, checkpointed, free_prefix, lists, mix, quoted, row_key, shuffle_width, text_batches
 from .sketch import counted, counter_of
 
 #: Candidates of a line at each of its tokens, before the rest are joined in full.
-PARTNERS = 8
-#: Words of a token.
-SHINGLE = 5
+PARTNERS = 4
+#: Lines of one token that are compared with each other at a time, and rows that a task gathers first.
+HELD, GATHERED = 4096, 200_000
+#: log2 of the slots in which a task remembers sets that it has posted.
+MEMORY = 16
+#: Tokens of lines that a block's sort keys can tell apart.
+_LINES = 1 << 20
 _U = np.uint64
 _ID = "a long, b long, line int"
 
 
+def word_levels(counts: np.ndarray) -> np.ndarray:
+    """For each counter: 0 if it was hit once at most, else a number that grows with the logarithm of its hits."""
+    return np.where(counts > 1, np.minimum(62, np.ceil(2 * np.log2(np.maximum(counts, 1)))) + 1, 0).astype(np.uint8)
+
+
 class Lines:
-    """Lines of a block of texts that have at least `least` words, with their sets in order of rarity."""
+    """Lines of a block of texts that have `least` words or more, with their tokens in order of rarity.
+
+    With `pick`, a function of (text, line number) arrays, only lines that it lets through are made.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, shared: Shared | None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, levels: np.ndarray | None = None, pick=None):
         words = Words(data, offsets, fold=True)
         breaks = np.flatnonzero(data == 10)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
-        number = np.searchsorted(breaks, words.starts) - np.searchsorted(breaks, offsets[:-1])[text]  # line feeds of the text before the word
-        new = np.concatenate([[True], (text[1:] != text[:-1]) | (number[1:] != number[:-1])]) if len(text) else np.zeros(0, bool)
-        line = np.cumsum(new) - 1
-        size = np.bincount(line) if len(line) else np.zeros(0, np.int64)
-        inside = np.flatnonzero((line[: len(line) - SHINGLE + 1] == line[SHINGLE - 1 :]) & (size >= least)[line[SHINGLE - 1 :]]) if len(line) >= SHINGLE else np.zeros(0, np.int64)
-        of, token = line[inside], grams(words.hashes, SHINGLE)[inside] if len(inside) else np.zeros(0, _U)
-        few = np.flatnonzero((size >= least) & (size < SHINGLE))  # too short for a run: all their words are one token
-        if len(few):
-            start = np.flatnonzero(new)[few]
-            of, token = np.concatenate([of, few]), np.concatenate([token, range_hashes(words.hashes, start, start + size[few], 1)])
-        level = shared(token) if shared is not None else np.zeros(len(token), np.uint8)
-        key = (level.astype(_U) << _U(56)) | (mix(token) >> _U(8))
-        order = np.lexsort((key, of))
-        of, token, level = of[order], token[order], level[order]
-        one = np.concatenate([[True], (of[1:] != of[:-1]) | (token[1:] != token[:-1])]) if len(of) else np.zeros(0, bool)
-        of, self.token, self.level = of[one], token[one], level[one]
-        n = np.bincount(of, minlength=len(size))
-        keep = np.flatnonzero(n > 0)
-        self.text, self.number, self.n = text[new][keep], number[new][keep], n[keep]
-        self.ends = np.concatenate([[0], np.cumsum(self.n)])
+        number = np.searchsorted(breaks, words.starts)
+        line = number + text  # ascends, and tells the lines of all texts apart
+        new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else line
+        n = np.diff(np.append(new, len(line)))
+        of_text, of_number = text[new], number[new] - np.searchsorted(breaks, offsets[:-1])[text[new]]
+        keep = n >= least
+        if pick is not None:
+            keep &= pick(of_text, of_number)
+        self.text, self.number, self.n = of_text[keep], of_number[keep], n[keep]
+        hashes = words.hashes if keep.all() else words.hashes[np.repeat(keep, n)]
         self.of = np.repeat(np.arange(len(self.n)), self.n)
-        self.place = np.arange(len(self.token)) - self.ends[self.of]
-        self.common = np.bincount(self.of[self.level > 0], minlength=len(self.n))  # tokens that other lines may have
+        self.ends = np.concatenate([[0], np.cumsum(self.n)])
+        level = levels[counter_of(hashes)] if levels is not None else np.zeros(len(hashes), np.uint8)
+        order = self._sorted(mix(hashes), level)
+        hashes, self.level = hashes[order], level[order]
+        again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (self.of[1:] == self.of[:-1])]) if len(hashes) else np.zeros(0, bool)
+        at = np.arange(len(hashes))
+        self.token = mix(hashes + (at - np.maximum.accumulate(np.where(again, 0, at))).astype(_U) * _U(0x9E3779B97F4A7C15))
+        self.place = at - self.ends[self.of]
+        self.common = self.reduced(np.add, (self.level > 0).astype(np.int64))  # tokens that other lines may have
+
+    def _sorted(self, spread: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Tokens by line, then by level and hash."""
+        if len(self.n) >= _LINES:  # one text of very many lines
+            return np.lexsort((spread, level, self.of))
+        key = (self.of.astype(_U) << _U(44)) | (level.astype(_U) << _U(38)) | (spread >> _U(26))
+        order = np.argsort(key)
+        key = key[order]
+        tie = np.flatnonzero(key[1:] == key[:-1])
+        if len(tie) and (spread[order[tie]] != spread[order[tie + 1]]).any():  # different words that share 38 bits
+            return np.lexsort((spread, level, self.of))
+        return order
 
     def reduced(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
         return how.reduceat(values, self.ends[:-1]) if len(self.n) else values[:0]
 
+    def signs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each set: a hash, and 128 parity bits."""
+        bit = mix(self.token + _U(3)) >> _U(57)
+        maps = [self.reduced(np.bitwise_xor, np.where((bit >> _U(6)) == h, _U(1) << (bit & _U(63)), _U(0))) for h in (0, 1)]
+        return self.reduced(np.add, mix(self.token ^ _U(7))), *maps
+
+
+class Posted:
+    """The earliest line of each of the sets that a task posted of late, in a table of fixed size."""
+
+    def __init__(self):
+        self.s1, self.n, self.b = (np.zeros(1 << MEMORY, k) for k in (_U, np.int64, np.int64))
+        self.a, self.line = np.zeros(1 << MEMORY, np.int64), np.zeros(1 << MEMORY, np.int64)
+
+    def repeats(self, s1: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which lines repeat an earlier one, which need no posting): the latter are repeats and copies of a posted line."""
+        order = np.lexsort((line, b, a, n, s1))
+        new = np.concatenate([[True], (s1[order][1:] != s1[order][:-1]) | (n[order][1:] != n[order][:-1])]) if len(order) else np.zeros(0, bool)
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        same = (a[order] == a[lead]) & (b[order] == b[lead]) & (line[order] == line[lead])  # the line of a repeated row
+        gone, covered = np.zeros(len(s1), bool), np.zeros(len(s1), bool)
+        gone[order], covered[order] = ~new & ~same, ~new
+        first = order[new]
+        slot = (s1[first] >> _U(64 - MEMORY)).astype(np.int64)
+        known = (self.s1[slot] == s1[first]) & (self.n[slot] == n[first])
+        x, y = (a[first], b[first], line[first]), (self.a[slot], self.b[slot], self.line[slot])
+        equal = (x[0] == y[0]) & (x[1] == y[1]) & (x[2] == y[2])
+        before = (y[0] < x[0]) | ((y[0] == x[0]) & ((y[1] < x[1]) | ((y[1] == x[1]) & (y[2] < x[2]))))
+        gone[first[known & before]] = True
+        covered[first[known & (before | equal)]] = True
+        put = ~(known & (before | equal))
+        slot, first = slot[put], first[put]
+        self.s1[slot], self.n[slot], self.a[slot], self.b[slot], self.line[slot] = s1[first], n[first], a[first], b[first], line[first]
+        return gone, covered
+
+
+def ids(batch_a: np.ndarray, batch_b: np.ndarray, lo: int, lines: Lines, pick: np.ndarray) -> list[pa.Array]:
+    return [pa.array(batch_a[lo + lines.text[pick]]), pa.array(batch_b[lo + lines.text[pick]]), pa.array(lines.number[pick].astype(np.int32))]
+
 
-def ids(batch_a: np.ndarray, batch_b: np.ndarray, lo: int, lines: Lines, pick: np.ndarray | None = None) -> list[pa.Array]:
-    text, number = (lines.text, lines.number) if pick is None else (lines.text[pick], lines.number[pick])
-    return [pa.array(batch_a[lo + text]), pa.array(batch_b[lo + text]), pa.array(number.astype(np.int32))]
+def line_hash(a: np.ndarray, b: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(mix(a.astype(np.int64).view(_U)) ^ b.astype(np.int64).view(_U)) + line.astype(_U)
 
 
-def same_line(a: np.ndarray, b: np.ndarray, line: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return (a[i] == a[j]) & (b[i] == b[j]) & (line[i] == line[j])
+def bitmap_of(rows: DataFrame, values) -> np.ndarray:
+    return np.packbits(counted(rows, values) > 0)
+
+
+def inside(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    c = counter_of(values)
+    return (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b, line): lines that an earlier line matches."""
     text_batches(docs.sparkSession)
-    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).withColumnsRenamed({"__a": "a", "__b": "b"})
+    spark = docs.sparkSession
+    keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text"))
 
-    def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in blocks(batch.column(0)):
-            yield Lines(data, offsets, least, None).token
-
-    shared = docs.sparkSession.sparkContext.broadcast(shared_tokens(keyed.select("text"), tokens))
+            yield Words(data, offsets, fold=True).hashes
+
+    counts = counted(keyed.select("text"), words)
+    # Prefixes hold at most so many tokens of all words: as many tasks as keep each one's share small.
+    width = max(shuffle_width(spark), int(counts.sum(dtype=np.uint64)) * (100 - percent) // 100 // 1_500_000 + 1)
+    levels = spark.sparkContext.broadcast(word_levels(counts))
+
+    def postings(tokens: np.ndarray | None) -> DataFrame:
+        """The tokens at which lines may meet: all, or those in a bitmap. Then repeats of equal lines are posted too."""
+        asked = spark.sparkContext.broadcast(tokens)
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            posted = Posted()
+            for batch in batches:
+                a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for lo, _, data, offsets in blocks(batch.column(2)):
+                    own = Lines(data, offsets, least, levels.value)
+                    s1, *maps = own.signs()
+                    may = 100 * own.common >= percent * own.n  # a partner shares that many at least
+                    if asked.value is None:
+                        gone, covered = posted.repeats(s1, own.n, a[lo + own.text], b[lo + own.text], own.number)
+                        may &= ~covered
+                        again = np.flatnonzero(gone)
+                    else:
+                        again = np.zeros(0, np.int64)
+                    prefix = own.n + (-percent * own.n // 100) + 1
+                    at = np.flatnonzero((own.place < prefix[own.of]) & may[own.of] & (own.level > 0))
+                    if asked.value is not None:
+                        at = at[inside(asked.value, own.token[at])]
+                    i = np.concatenate([own.of[at], again])
+                    token = np.concatenate([own.token[at], mix(s1[again] ^ line_hash(a[lo + own.text[again]], b[lo + own.text[again]], own.number[again]))])
+                    size = (own.n[i] << 32) | np.concatenate([own.place[at], np.full(len(again), 0xFFFFFFFF)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(token.view(np.int64)), *ids(a, b, lo, own, i), pa.array(s1[i].view(np.int64)), pa.array(size), *[pa.array(m[i].view(np.int64)) for m in maps]],
+                        ["token", "a", "b", "line", "s1", "size", "m1", "m2"],
+                    )
+
+        return keyed.mapInArrow(post, f"token long, {_ID}, s1 long, size long, m1 long, m2 long")
+
+    schema = "xa long, xb long, xline int, ya long, yb long, yline int, kind int"
+    rows = postings(None).repartition(width, "token").sortWithinPartitions("token", "size", "s1", "a", "b", "line")
+    # Kinds: 0 a pair, 1 a pair of a line that has more candidates, 2 a line that equals an earlier one, 3 a line not compared with all.
+    met = rows.mapInArrow(lambda batches: meet(batches, percent), schema).groupBy("xa", "xb", "xline", "ya", "yb", "yline").agg(F.max("kind").alias("kind"))
+    met = checkpointed(met)
+    x = [F.col(f"x{c}").alias(c) for c in ("a", "b", "line")]
+    found = met.where("kind = 2").select(*x).union(checkpointed(verified(met.where("kind < 2"), keyed, percent, least)))
+    rest = checkpointed(met.where("kind in (1, 3)").select(*x).distinct().join(found, ["a", "b", "line"], "left_anti"))
+    if not rest.isEmpty():
+        lost = spark.sparkContext.broadcast(bitmap_of(rest, lambda t: iter([line_hash(*(t.column(k).to_numpy() for k in range(3)))])))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                own = Lines(data, offsets, least, shared.value)
-                s1 = own.reduced(np.add, mix(own.token ^ _U(7)))
-                bit = mix(own.token + _U(3)) >> _U(57)
-                maps = [own.reduced(np.bitwise_xor, np.where((bit >> _U(6)) == h, _U(1) << (bit & _U(63)), _U(0))) for h in (0, 1)]
-                order = np.lexsort((own.number, b[lo + own.text], a[lo + own.text], *maps, s1))
-                new = np.concatenate([[True], (s1[order][1:] != s1[order][:-1]) | (maps[0][order][1:] != maps[0][order][:-1]) | (maps[1][order][1:] != maps[1][order][:-1])]) if len(order) else np.zeros(0, bool)
-                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest of its equals
-                itself = same_line(a[lo + own.text], b[lo + own.text], own.number, order, lead)  # the same line of a repeated row
-                again = order[~new & ~itself]  # repeats an earlier line of the block
-                may = np.zeros(len(own.n), bool)
-                may[order[new]] = True  # of equal lines of a block, the first posts for all
-                may &= 100 * own.common >= percent * own.n  # a partner shares that many at least
+                own = Lines(data, offsets, least, levels.value, lambda t, k: inside(lost.value, line_hash(a[lo + t], b[lo + t], k)))
                 prefix = own.n + (-percent * own.n // 100) + 1
-                at = np.flatnonzero((own.place < prefix[own.of]) & may[own.of] & (own.level > 0))
-                i = np.concatenate([own.of[at], again])
-                token = np.concatenate([own.token[at], mix(s1[again] ^ again.astype(_U))])
-                place = np.concatenate([own.place[at], np.full(len(again), -1)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), *ids(a, b, lo, own, i), pa.array(s1[i].view(np.int64)), pa.array(own.n[i].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(m[i].view(np.int64)) for m in maps]],
-                    ["token", "a", "b", "line", "s1", "n", "place", "m1", "m2"],
-                )
-
-    def passes(n: np.ndarray, place: np.ndarray, m1: np.ndarray, m2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        need = -(-percent * (n[i] + n[j]) // (100 + percent))
-        differ = np.bitwise_count(m1[i] ^ m1[j]).astype(np.int64) + np.bitwise_count(m2[i] ^ m2[j])
-        return (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (differ <= n[i] + n[j] - 2 * need)
-
-    pair_schema = "xa long, xb long, xline int, ya long, yb long, yline int, more boolean, equal boolean"
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of lines at the tokens of this task: each later line with the first PARTNERS that pass the filters."""
-        got = [x for x in batches if x.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        del got
-        token, a, b, line, s1, n, place, m1, m2 = (t.column(k).to_numpy() for k in range(9))
-        names = ["xa", "xb", "xline", "ya", "yb", "yline", "more", "equal"]
-        order = np.lexsort((line, b, a, m1, m2, s1, token))
-        same = lambda v: v[order][1:] == v[order][:-1]
-        new = np.concatenate([[True], ~(same(token) & same(s1) & same(m1) & same(m2) & same(n))])
-        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        repeats = order[~new & (place[order] == 0) & ~same_line(a, b, line, order, lead)]
-        repeats = np.concatenate([repeats, order[place[order] < 0]])  # lines that equal an earlier one
-        if len(repeats):
-            own = [pa.array(v[repeats]) for v in (a, b, line)]
-            yield pa.RecordBatch.from_arrays([*own, *own, pa.array(np.zeros(len(repeats), bool)), pa.array(np.ones(len(repeats), bool))], names)
-        order = order[new & (place[order] >= 0)]
-        m1, m2 = m1.view(_U), m2.view(_U)  # bits of signed numbers are counted without their sign
-        order = order[np.lexsort((m1[order], n[order], token[order]))]
-        token, a, b, line, n, place, m1, m2 = (x[order] for x in (token, a, b, line, n.astype(np.int64), place, m1, m2))
-        had, more = np.zeros(len(token), np.int32), np.zeros(len(token), bool)
+                yield own.token[(own.place < prefix[own.of]) & (own.level > 0)]
+
+        posted = postings(np.packbits(counted(keyed, tokens_of) > 0)).withColumns({"n": F.shiftright("size", 32), "place": F.col("size").bitwiseAND(0xFFFFFFFF)}).drop("size")
+        # Equal lines match the same lines: the earliest stands for all that are earlier than the one that asks.
+        first = posted.groupBy("token", "s1", "n", "place", "m1", "m2").agg(F.min(F.struct("a", "b", "line")).alias("id")).select("token", "s1", "n", "place", "m1", "m2", "id.*")
+        seekers = posted.join(rest, ["a", "b", "line"], "left_semi").alias("x")
+        found = found.union(verified(checkpointed(candidates(seekers, first.alias("y"), percent)), keyed, percent, least))
+    return found.distinct()
+
+
+def candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """(xa, xb, xline, ya, yb, yline): lines of x with each earlier one of y that passes the filters at a shared token."""
+    need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
+    differ: Column = F.bit_count(F.col("x.m1").bitwiseXOR(F.col("y.m1"))) + F.bit_count(F.col("x.m2").bitwiseXOR(F.col("y.m2")))
+    on = (
+        (F.col("x.token") == F.col("y.token"))
+        & (F.struct("y.a", "y.b", "y.line") < F.struct("x.a", "x.b", "x.line"))
+        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need)
+        & (differ <= F.col("x.n") + F.col("y.n") - 2 * need)
+    )
+    return x.join(y, on).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("a", "b", "line")]).distinct()
+
+
+def meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines at the tokens of this task, whose rows come sorted by token, size, set and id."""
+    names = ["xa", "xb", "xline", "ya", "yb", "yline", "kind"]
+    held: list[np.ndarray] = []
+
+    def rows_of(own: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(own[c][k]) for k in (x, y) for c in (1, 2, 3)] + [pa.array(kind.astype(np.int32))], names)
+
+    def compare(cols: tuple[np.ndarray, ...], cut_before: bool, cut_after: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of whole tokens, but for the first or the last if they are cut: lines of those are left open."""
+        token, a, b, line, s1, size, m1, m2 = cols
+        n, place = size >> 32, size & 0xFFFFFFFF
+        same = lambda v: v[1:] == v[:-1]
+        alone = place == 0xFFFFFFFF  # lines that equal an earlier one of their task
+        new = np.concatenate([[True], ~(same(token) & same(s1) & same(size))])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        itself = (a == a[lead]) & (b == b[lead]) & (line == line[lead])
+        gone = np.flatnonzero(alone | (~new & ~itself & (place == 0)))
+        if len(gone):
+            yield rows_of(cols, gone, gone, np.full(len(gone), 2))
+        edge = np.concatenate([[True], ~same(token)])
+        group = np.cumsum(edge) - 1
+        many = np.bincount(group)[group] > HELD
+        many |= (cut_before & (group == 0)) | (cut_after & (group == group[-1]))
+        left = np.flatnonzero(many & new & ~alone)
+        if len(left):
+            yield rows_of(cols, left, left, np.full(len(left), 3))
+        keep = np.flatnonzero(new & ~alone)
+        own = tuple(v[keep] for v in cols)
+        # Oversized tokens are compared in stretches of HELD lines, which have near sizes.
+        part = (np.arange(len(keep)) - np.searchsorted(group[keep], group[keep])) // HELD
+        a, b, line, n, place = own[1], own[2], own[3], n[keep], place[keep]
+        m1, m2 = own[6].view(_U), own[7].view(_U)  # bits of signed numbers are counted without their sign
+        stretch = np.cumsum(np.concatenate([[True], (group[keep][1:] != group[keep][:-1]) | (part[1:] != part[:-1])]) if len(keep) else np.zeros(0, bool))
+        had, more = np.zeros(len(keep), np.int32), np.zeros(len(keep), bool)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        j, lag = np.arange(len(token)), 1
+        j, lag = np.arange(len(keep)), 1
         while len(j):
             j = j[j >= lag]
             i = j - lag
-            near = (token[i] == token[j]) & (100 * n[i] >= percent * n[j])  # sizes ascend: what fails now fails at larger lags
+            near = (stretch[i] == stretch[j]) & (100 * n[i] >= percent * n[j])  # sizes ascend: what fails now fails at larger lags
             i, j = i[near], j[near]
-            after = (a[j] > a[i]) | ((a[j] == a[i]) & ((b[j] > b[i]) | ((b[j] == b[i]) & (line[j] > line[i]))))
-            x, y = np.where(after, j, i), np.where(after, i, j)
-            open_ = had[x] < PARTNERS
-            more[x[~open_]] = True
-            ok = np.flatnonzero(open_)
-            ok = ok[passes(n, place, m1, m2, x[ok], y[ok])]
-            x, y = x[ok], y[ok]
-            np.add.at(had, x, 1)
-            if len(x):
+            need = -(-percent * (n[i] + n[j]) // (100 + percent))
+            p = np.flatnonzero(np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
+            p = p[np.bitwise_count(m1[i[p]] ^ m1[j[p]]).astype(np.int64) + np.bitwise_count(m2[i[p]] ^ m2[j[p]]) <= n[i[p]] + n[j[p]] - 2 * need[p]]
+            if len(p):
+                u, v = i[p], j[p]
+                after = (a[v] > a[u]) | ((a[v] == a[u]) & ((b[v] > b[u]) | ((b[v] == b[u]) & (line[v] > line[u]))))
+                x, y = np.where(after, v, u), np.where(after, u, v)
+                open_ = had[x] < PARTNERS
+                more[x[~open_]] = True
+                x, y = x[open_], y[open_]
+                np.add.at(had, x, 1)
                 out.append((x, y))
             lag += 1
         if out:
             x, y = (np.concatenate(z) for z in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(v[k]) for k in (x, y) for v in (a, b, line)] + [pa.array(more[x]), pa.array(np.zeros(len(x), bool))], names)
-
-    postings = keyed.mapInArrow(post, f"token long, {_ID}, s1 long, n int, place int, m1 long, m2 long")
-    met = checkpointed(postings.repartition("token").mapInArrow(meet, pair_schema).groupBy("xa", "xb", "xline", "ya", "yb", "yline").agg(F.max("more").alias("more"), F.max("equal").alias("equal")))
-    equal = met.where("equal").select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("xline").alias("line"))
-    pairs = met.where("not equal")
-    found = equal.union(checkpointed(verified(pairs, keyed, percent, least)))
-    rest = pairs.where("more").select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("xline").alias("line")).distinct().join(found, ["a", "b", "line"], "left_anti")
-    rest = checkpointed(rest)
-    if not rest.isEmpty():
-        posted = postings.where("place >= 0")
-        x = posted.join(rest, ["a", "b", "line"], "left_semi").alias("x")
-        y = posted.alias("y")
-        need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
-        on = (
-            (F.col("x.token") == F.col("y.token"))
-            & (F.struct("y.a", "y.b", "y.line") < F.struct("x.a", "x.b", "x.line"))
-            & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need)
-            & (F.bit_count(F.col("x.m1").bitwiseXOR(F.col("y.m1"))) + F.bit_count(F.col("x.m2").bitwiseXOR(F.col("y.m2"))) <= F.col("x.n") + F.col("y.n") - 2 * need)
-        )
-        all_pairs = x.join(y, on).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("a", "b", "line")]).distinct()
-        found = found.union(verified(checkpointed(all_pairs), keyed, percent, least))
-    return found.distinct()
+            yield rows_of(own, x, y, more[x])
+
+    def whole(last: bool, before: bool) -> Iterator[pa.RecordBatch]:
+        """Compares what is held, up to its last token unless that is all, and keeps the rest."""
+        cols = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        to = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
+        cut = not last and to == 0  # one token fills all
+        if cut:
+            to = len(cols[0])
+        yield from compare(tuple(c[:to] for c in cols), before, cut)
+        if to < len(cols[0]):
+            held.append(tuple(c[to:] for c in cols))
+
+    size, cut_token = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(tuple(c.to_numpy() for c in batch.columns))
+        size += batch.num_rows
+        if size >= GATHERED:
+            before, end = held[0][0][0] == cut_token if cut_token is not None else False, held[-1][0][-1]
+            yield from whole(False, bool(before))
+            size = sum(len(h[0]) for h in held)
+            cut_token = end if not held else None
+    if held:
+        yield from whole(True, cut_token is not None and bool(held[0][0][0] == cut_token))
 
 
 def verified(pairs: DataFrame, keyed: DataFrame, percent: int, least: int) -> DataFrame:
@@ -196,25 +324,17 @@ def verified(pairs: DataFrame, keyed: DataFrame, percent: int, least: int) -> Da
     """
     either = [F.array(*[F.struct(F.col(f"{s}a").alias("a"), F.col(f"{s}b").alias("b"), F.col(f"{s}line").alias("line")) for s in "xy"])]
 
-    def hashed(a: np.ndarray, b: np.ndarray, line: np.ndarray) -> np.ndarray:
-        return mix(mix(a.astype(np.int64).view(_U)) ^ b.astype(np.int64).view(_U)) + line.astype(_U)
-
     def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield hashed(*(batch.column(k).to_numpy() for k in range(3)))
+        yield line_hash(*(batch.column(k).to_numpy() for k in range(3)))
 
-    asked = np.packbits(counted(pairs.select(F.explode(*either).alias("l")).select("l.*").distinct(), values) > 0)
-    shared = keyed.sparkSession.sparkContext.broadcast(asked)
+    shared = keyed.sparkSession.sparkContext.broadcast(bitmap_of(pairs.select(F.explode(*either).alias("l")).select("l.*").distinct(), values))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                own = Lines(data, offsets, least, None)
-                c = counter_of(hashed(a[lo + own.text], b[lo + own.text], own.number))
-                pick = np.flatnonzero(wanted[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1)
-                inside = np.isin(own.of, pick)
-                yield pa.RecordBatch.from_arrays([*ids(a, b, lo, own, pick), lists(own.token[inside], np.concatenate([[0], np.cumsum(own.n[pick])]))], ["a", "b", "line", "tokens"])
+                own = Lines(data, offsets, least, None, lambda text, number: inside(shared.value, line_hash(a[lo + text], b[lo + text], number)))  # noqa: B023
+                yield pa.RecordBatch.from_arrays([*ids(a, b, lo, own, np.arange(len(own.n))), lists(own.token, own.ends)], ["a", "b", "line", "tokens"])
 
     found = keyed.mapInArrow(sets, f"{_ID}, tokens array<long>").groupBy("a", "b", "line").agg(F.first("tokens").alias("tokens"))  # equal rows have equal lines
     side = lambda s: found.select(*[F.col(c).alias(f"{s}{c}") for c in ("a", "b", "line", "tokens")])
@@ -223,34 +343,37 @@ def verified(pairs: DataFrame, keyed: DataFrame, percent: int, least: int) -> Da
     return joined.where(100 * both >= percent * (F.size("xtokens") + F.size("ytokens") - both)).select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("xline").alias("line")).distinct()
 
 
-def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept_text and removed_lines (numbers of the removed lines, from 0).
 
-    A line (between line feeds) goes if an earlier one, by (id, line number), has a set of SHINGLE-word
-    runs of Jaccard similarity percent / 100 or more, whether or not that one goes itself. Words are
-    runs of anything but ASCII white space, A-Z folded. A line shorter than a run matches lines of the
-    same words only. Lines of fewer words than `least_words` stay and match nothing. A null text stays null and has no lines. A null id sorts first; rows that repeat
-    an id and text count as one. Columns of those names are replaced, all others kept.
+    A line (between line feeds) goes if an earlier one, by (id, line number), has a multiset of words
+    of Jaccard similarity percent / 100 or more, whether or not that one goes itself. Words are runs
+    of anything but ASCII white space, A-Z folded. Lines of fewer words than `least_words` stay and
+    match nothing; by default those are the blank ones. A null text stays null and has no lines. A
+    null id sorts first; among rows of one id, order is by a hash of the text; rows that repeat an id
+    and text count as one. An empty table gives an empty result. Columns of the two names are replaced,
+    all others kept, whatever they are called.
     """
-    gone = checkpointed(find_matches(docs, percent, least_words, id_col, text_col).groupBy("a", "b").agg(F.sort_array(F.collect_set("line")).alias("__gone")))
-    names = ("kept_text", "removed_lines")
-    others = [c for c in docs.columns if c not in names]
+    made = ("kept_text", "removed_lines")
+    p = free_prefix(docs)
+    a, b, text, lost, may = (p + x for x in ("a", "b", "text", "lost", "may"))
+    gone = checkpointed(find_matches(docs, percent, least_words, id_col, text_col).groupBy(F.col("a").alias(a), F.col("b").alias(b)).agg(F.sort_array(F.collect_set("line")).alias(lost)))
+    others = [F.col(quoted(c)) for c in docs.columns if c not in made]
 
     # Only rows that a bitmap of fixed size lets through move for the join; the others lose no line.
     def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield mix(batch.column(0).to_numpy().view(_U)) ^ batch.column(1).to_numpy().view(_U)
 
-    asked = docs.sparkSession.sparkContext.broadcast(np.packbits(counted(gone.select("a", "b"), values) > 0))
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone.select(a, b), values))
 
     def may_lose(a: pd.Series, b: pd.Series) -> pd.Series:
-        c = counter_of(mix(a.to_numpy().astype(np.int64).view(_U)) ^ b.to_numpy().astype(np.int64).view(_U))
-        return pd.Series((asked.value[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(inside(asked.value, mix(a.to_numpy().astype(np.int64).view(_U)) ^ b.to_numpy().astype(np.int64).view(_U)))
 
     may_lose.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    rows = docs.select(*others, *row_key(id_col, text_col), F.col(text_col).cast("string").alias("__text")).withColumn("__may", F.pandas_udf(may_lose, "boolean")("__a", "__b"))
-    untouched = rows.where(~F.col("__may")).select(*others, F.col("__text").alias("kept_text"), F.array().cast("array<int>").alias("removed_lines"))
-    touched = rows.where("__may").join(gone.withColumnsRenamed({"a": "__a", "b": "__b"}), ["__a", "__b"], "left")
-    lost = F.coalesce("__gone", F.array().cast("array<int>"))
-    cut = F.array_join(F.filter(F.split("__text", "\n", -1), lambda _, i: ~F.array_contains(lost, i)), "\n")
-    kept = F.when(F.size(lost) == 0, F.col("__text")).otherwise(cut)
-    return untouched.unionByName(touched.select(*others, kept.alias("kept_text"), lost.alias("removed_lines")))
+    rows = docs.select(*others, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(may, F.pandas_udf(may_lose, "boolean")(a, b))
+    untouched = rows.where(~F.col(may)).select(*others, F.col(text).alias("kept_text"), F.array().cast("array<int>").alias("removed_lines"))
+    touched = rows.where(may).join(gone, [a, b], "left")
+    numbers = F.coalesce(lost, F.array().cast("array<int>"))
+    cut = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(numbers, i)), "\n")
+    kept = F.when(F.size(numbers) == 0, F.col(text)).otherwise(cut)
+    return untouched.unionByName(touched.select(*others, kept.alias("kept_text"), numbers.alias("removed_lines")))

@@ -44,14 +44,16 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator], la
         return part
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(COUNTERS, np.uint16)
+        own = np.zeros(COUNTERS, np.uint16 if largest else np.uint32)
         for batch in batches:
             for values in values_of(batch):
                 if largest:
                     np.maximum.at(own, counter_of(values[0]), values[1].astype(np.uint16))
                     continue
-                at, n = np.unique(counter_of(values), return_counts=True)
-                own[at] += np.minimum(n, 65535 - own[at]).astype(np.uint16)
+                at = np.sort(counter_of(values))
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+                n = np.diff(np.append(first, len(at))).astype(np.uint32)
+                own[at[first]] += np.minimum(n, np.uint32(2**31) - np.minimum(own[at[first]], np.uint32(2**31)))
         yield from batch_of({k: part for k, part in enumerate(np.split(own, SLICES)) if part.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,12 +62,12 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator], la
             for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part = read(raw)
                 if k in sums:
-                    sums[k] = np.maximum(sums[k], part) if largest else sums[k] + part
+                    sums[k] = np.maximum(sums[k], part) if largest else np.minimum(sums[k].astype(np.uint64) + part, 2**31).astype(np.uint32)
                 else:
                     sums[k] = part
         yield from batch_of(sums)
 
     total, width = np.zeros(COUNTERS, np.uint32), COUNTERS // SLICES
     for k, raw in rows.mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect():
-        total[k * width : (k + 1) * width] += read(raw)
+        total[k * width : (k + 1) * width] += read(raw)  # one row for each slice
     return total

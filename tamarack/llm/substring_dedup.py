@@ -61,7 +61,7 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
     """(__a, __b, spans): for each row key, (first suffix, mask) pairs whose set bits start a repeated window."""
 
     text_batches(docs.sparkSession)
-    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("__text"))
+    keyed = docs.select(*row_key(id_col, text_col, "__a", "__b"), F.col(text_col).cast("string").alias("__text"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,6 +204,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     names = ("kept_text", "n_words", "n_removed", "repeats")
     others = [c for c in docs.columns if c not in names]
-    rows = docs.select(*others, *row_key(id_col, text_col), F.col(text_col).cast("string").alias("__text")).join(found, ["__a", "__b"], "left").drop("__a", "__b")
+    rows = docs.select(*others, *row_key(id_col, text_col, "__a", "__b"), F.col(text_col).cast("string").alias("__text")).join(found, ["__a", "__b"], "left").drop("__a", "__b")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in others)
     return rows.mapInArrow(cut, f"{fields}{', ' if fields else ''}kept_text string, n_words long, n_removed long, repeats array<array<long>>")

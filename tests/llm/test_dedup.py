@@ -56,14 +56,13 @@ def test_nothing(nothing):
     assert jaccard.link(nothing).count() == 0
 
 
-def lines_gone(rows, percent=80, least=5):
+def lines_gone(rows, percent=80):
+    """Lines whose bag of words has that Jaccard similarity with an earlier line's, of rows with different ids."""
     seen, out = [], {d: [] for d, _ in rows}
-    for d, t in sorted(rows):
+    for d, t in sorted(rows, key=lambda r: r[0]):
         for i, line in enumerate((t or "").split("\n")):
-            w = words(line, True)
-            if len(w) >= least:
-                own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-                if any(100 * len(own & o) >= percent * len(own | o) for o in seen):
+            if own := Counter(words(line, True)):
+                if any(100 * (own & o).total() >= percent * (own | o).total() for o in seen):
                     out[d].append(i)
                 seen.append(own)
     return out
@@ -83,6 +82,14 @@ def test_lines_with_few_partners(docs, rows, monkeypatch):
     assert got == lines_gone(rows)
 
 
+def test_lines_with_hot_tokens(docs, rows, monkeypatch):
+    want = lines_gone(rows)
+    for held, gathered in ((2, 200_000), (3, 7), (1, 1)):  # tokens of more lines than are compared at a time, or than a task gathers
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        monkeypatch.setattr(line_dedup, "GATHERED", gathered)
+        assert {r.doc_id: r.removed_lines for r in line_dedup.remove_repeated_lines(docs).collect()} == want
+
+
 def test_lines_of_repeated_rows(spark):
     first, second = (" ".join(f"{w}{i}" for i in range(9)) for w in "uv")
     rows = [(1, f"{first}\n{second}\n{first}"), (2, second), (None, f"{first} end"), (3, f"{second} more of it")]
@@ -93,25 +100,13 @@ def test_lines_of_repeated_rows(spark):
         assert got == sorted(want + want)
 
 
-def short_lines_gone(rows, percent=80):
-    seen, out = [], {d: [] for d, _ in rows}
-    for d, t in sorted(rows):
-        for i, line in enumerate((t or "").split("\n")):
-            w = words(line, True)
-            own = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-            if own and any(100 * len(own & o) >= percent * len(own | o) for o in seen):
-                out[d].append(i)
-            seen.append(own)
-    return out
-
-
 def test_short_lines(spark, docs, rows, tmp_path):
     from tamarack.llm import queries
 
     menu = [(1000 + d, f"Share this\nhome\n\n{d} only\nRead on {d % 3} x\nhome\nshare  THIS") for d in range(40)]
     docs.select("doc_id", "text").union(spark.createDataFrame(menu, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.removed_lines for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {d: ",".join(map(str, x)) for d, x in short_lines_gone(rows + menu).items()}
+    assert got == {d: ",".join(map(str, x)) for d, x in lines_gone(rows + menu).items()}
 
 
 def classes(rows, size, percent):
