@@ -1,15 +1,23 @@
-"""Packing of token pieces into sequences: best fit decreasing, after a few priced configurations.
-
-A configuration is a multiset of lengths that fits one sequence. Each iteration of a loop prices one
-by an unbounded knapsack over weights of the lengths (dynamic programming over the capacity), takes it
-greedily and whole, as often as the demand allows, and shrinks the weights of what it covers. The
-loop ends once a configuration, cut to the demand, leaves much room; on real histograms that is often
-its first one, so nearly all pieces are placed by best fit in decreasing length, done in bulk on the
-histogram. No fractional solution of the covering LP is made. Only the histogram (one number for each
-length up to the capacity) and the plan made from it are on the driver, so both are bounded by the
-capacity and the number of iterations, whatever the number of rows.
-
-Rows then get their places by joins: a piece's rank among those of its length picks its slot.
+"""Packing of token pieces into sequences by a configuration linear program over the histogram of lengths.
+
+Full pieces have sequences of their own. The lengths of the others are grouped into CLASSES classes of
+about as many pieces each; a class counts as long as its mean. A configuration is a multiset of
+classes that fits one sequence. The covering program, least sum of x_c such that the configurations
+hold each class's pieces, is solved fractionally by multiplicative weights: a class weighs the less the
+more of it is covered, a small step of the configuration of greatest weight is added to x, and the
+weights of what it covers shrink. Configurations are priced by an unbounded knapsack over the capacity
+(dynamic programming), every PRICED steps; in between, the best of those already priced is taken.
+Each pricing also bounds the program from below by duality.
+
+Then x is rounded down. The slots of a configuration take pieces of their classes, the last two a
+pair that fills the room exactly where there is one, else the longest pieces that fit. What rounding leaves over is put by best fit,
+longest first, into the rooms of those sequences, or new ones. Where that needs over WORSE more
+sequences than plain best fit of the whole histogram (few pieces, where rounding costs most), the plan
+of the latter is kept.
+
+Only the histogram (one number for each length up to the capacity) and the plan made from it are on
+the driver: both are bounded by the capacity and the constants below, whatever the number of rows. Rows
+then get their places by joins: a piece's rank among those of its length picks its slot.
 """
 
 from __future__ import annotations
@@ -22,12 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_width
-
-#: Iterations of the loop, each one knapsack.
-ITERATIONS = 300
-#: How fast the weight of a covered length shrinks.
-RATE = 4.0
+from .common import checkpointed, free_prefix, quoted, shuffle_width, text_batches
+
+#: Classes of lengths in the program, and the tokens that its knapsack counts as one.
+CLASSES, UNIT = 40, 8
+#: How fast weights shrink with coverage, and the largest share of a class that a step covers.
+RATE, STEP = 400.0, 0.001
+#: Share of a sequence that a filled configuration leaves free at most.
+SLACK = 1 / 512
+#: Share of the solution that is rounded down; the rest stays for best fit, which needs short pieces to fill rooms with.
+PART = 0.97
+#: By how much the program's plan may exceed plain best fit.
+WORSE = 1 / 1000
+#: Steps between two knapsacks, and steps at most.
+PRICED, STEPS = 60, 30_000
 #: Entries of the dictionary of tokenized words in each Python worker; emptied when full.
 CACHE_ENTRIES = 700_000
 
@@ -142,11 +158,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
                         rows.append((doc, k, at // 4, len(cut) // 4, cut))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    text_batches(docs.sparkSession)
+    return docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest weight: an unbounded knapsack over the capacity. lengths ascend."""
+def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration of greatest weight, as a number for each length: an unbounded knapsack over the capacity. lengths ascend."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
@@ -158,48 +175,150 @@ def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int,
             best[c], took[c] = gain[j], j
         else:
             best[c] = best[c - 1]
-    out: dict[int, int] = {}
+    out = np.zeros(len(lengths), np.int64)
     c = capacity
     while c > 0:
         if took[c] < 0:
             c -= 1
             continue
-        out[int(lengths[took[c]])] = out.get(int(lengths[took[c]]), 0) + 1
+        out[took[c]] += 1
         c -= int(lengths[took[c]])
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int, iterations: int = ITERATIONS, rate: float = RATE) -> list[tuple[dict[int, int], int]]:
-    """(configuration, number of sequences that use it), which together hold the whole histogram."""
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[dict[tuple[int, ...], float], float]:
+    """({configuration: amount}, lower bound of the program): multiplicative weights. lengths ascend.
+
+    The amounts cover all demand. The bound, by duality, holds for every fractional solution.
+    """
+    covered = np.zeros(len(lengths))
+    columns: list[np.ndarray] = []
+    amounts: list[float] = []
+    known: dict[tuple[int, ...], int] = {}
+    shares, bound = np.zeros((0, len(lengths))), float(lengths @ demand) / capacity
+    for t in range(steps):
+        w = np.exp(-RATE * (covered - covered.min()))
+        if t % PRICED == 0:
+            y = w / demand
+            config = price(y, lengths, capacity)
+            bound = max(bound, float(w.sum() / (config * y).sum()))
+            if tuple(config.tolist()) not in known:
+                known[tuple(config.tolist())] = len(columns)
+                columns.append(config)
+                amounts.append(0.0)
+                shares = np.vstack([shares, config / demand])
+        c = int((shares @ w).argmax())
+        amount = STEP / float(shares[c].max())
+        covered += amount * shares[c]
+        amounts[c] += amount
+        if covered.min() >= 1:
+            break
+    least = covered.min()
+    if least <= 0:  # steps ran out before every class was met
+        return {}, bound
+    return {tuple(k.tolist()): v / least for k, v in zip(columns, amounts, strict=True) if v}, bound
+
+
+def classes_of(histogram: dict[int, int], classes: int) -> list[list[tuple[int, int]]]:
+    """The lengths, ascending, as classes of (length, pieces), each of about as many pieces."""
+    share = sum(histogram.values()) / classes
+    out: list[list[tuple[int, int]]] = []
+    held = 0
+    for n, k in sorted(histogram.items()):
+        if not out or held + k / 2 > share * len(out):
+            out.append([])
+        out[-1].append((n, k))
+        held += k
+    return out
+
+
+def program(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> tuple[list[list[tuple[int, int]]], dict[tuple[int, ...], float], float]:
+    """(classes, fractional solution, its lower bound) of the covering program of a histogram."""
+    groups = classes_of(histogram, CLASSES)
+    demand = np.array([float(sum(k for _, k in g)) for g in groups])
+    means = np.array([sum(n * k for n, k in g) for g in groups]) / demand
+    unit = UNIT if capacity >= 64 * UNIT else 1
+    return groups, *fractional(np.maximum(1, np.rint(means / unit)).astype(int), demand, capacity // unit, steps)
+
+
+def configurations(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[dict[int, int], int]]:
+    """(lengths with their numbers, number of sequences that hold them), which together hold the whole histogram."""
     left = {int(n): int(k) for n, k in histogram.items() if k > 0}
     if any(n < 1 or n > capacity for n in left):
         raise ValueError(f"lengths must be between 1 and {capacity}")
     out: list[tuple[dict[int, int], int]] = []
     if full := left.pop(capacity, 0):
-        out.append(({capacity: full and 1}, full))
-    demand = dict(left)
-    weight = {n: n / capacity for n in left}
-    for _ in range(iterations):
-        if not left:
-            break
-        lengths = np.array(sorted(left))
-        config = price(np.array([weight[n] for n in lengths.tolist()]), lengths, capacity)
-        config = {n: min(a, left[n]) for n, a in config.items()}
-        times = max(1, min(left[n] // a for n, a in config.items()))
-        room = capacity - sum(n * a for n, a in config.items())
-        if room > 0 and sum(left.values()) > sum(config.values()) and room > capacity // 8:
-            break  # what is left no longer fills sequences: best fit finishes it
-        out.append((config, times))
-        for n, a in config.items():
-            weight[n] *= float(np.exp(-rate * min(1.0, a * times / demand[n])))
-            left[n] -= a * times
-            if not left[n]:
-                del left[n]
-    return out + best_fit_decreasing(left, capacity)
-
-
-def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, longest first, of the whole histogram: sequences with equal contents are one group."""
+        out.append(({capacity: 1}, full))
+    if not left:
+        return out
+    plain = best_fit_decreasing(dict(left), capacity)
+    started = rounded(left, capacity, steps)
+    solved = best_fit_decreasing(left, capacity, started)
+    used = lambda plan: sum(times for _, times in plan)
+    return out + (solved if used(solved) <= (1 + WORSE) * used(plain) else plain)
+
+
+def rounded(left: dict[int, int], capacity: int, steps: int) -> list[tuple[dict[int, int], int]]:
+    """The program's solution rounded down and filled with pieces, which are taken out of `left`."""
+    groups, x, _ = program(left, capacity, steps)
+    of = {n: i for i, g in enumerate(groups) for n, _ in g}
+    open_ = np.zeros(capacity + 1, bool)  # lengths of which pieces are left
+    open_[list(left)] = True
+    spans = [(g[0][0], g[-1][0]) for g in groups]
+    out: list[tuple[dict[int, int], int]] = []
+
+    def longest(least: int, most: int) -> int:
+        """The longest length left between the two, or 0."""
+        found = np.flatnonzero(open_[least : most + 1]) if most >= least else ()
+        return least + int(found[-1]) if len(found) else 0
+
+    def pair(span: tuple[int, int], room: int) -> tuple[int, ...]:
+        """A length left of the class whose complement to the room is left too, with that; else the longest that fits."""
+        some = np.flatnonzero(open_[span[0] : min(span[1], room) + 1]) + span[0] if room >= span[0] else np.zeros(0, int)
+        exact = some[open_[room - some] & (some < room)]
+        if len(exact):
+            return int(exact[-1]), int(room - exact[-1])
+        return (int(some[-1]),) if len(some) else ()
+
+    for config, amount in sorted(x.items(), key=lambda e: (-e[1], e[0])):
+        times = int(PART * amount + 1e-9)
+        classes = [i for i in range(len(groups) - 1, -1, -1) for _ in range(config[i])]
+        while times > 0:
+            held: dict[int, int] = {}
+            room = capacity
+            for i in classes[:-2]:  # pieces of their classes, as long as they fit
+                n = longest(spans[i][0], min(spans[i][1], room))
+                while n and held.get(n, 0) >= left[n]:
+                    n = longest(spans[i][0], n - 1)
+                if n:
+                    held[n] = held.get(n, 0) + 1
+                    room -= n
+            for n in pair(spans[classes[-2]], room) if len(classes) > 1 else ():
+                if held.get(n, 0) < left[n]:
+                    held[n] = held.get(n, 0) + 1
+                    room -= n
+            n = longest(1, room)
+            while n and held.get(n, 0) >= left[n]:
+                n = longest(1, n - 1)
+            if n:
+                held[n] = held.get(n, 0) + 1
+                room -= n
+            if not held or room > SLACK * capacity:
+                break  # its classes are used up; best fit gets what is left of them
+            block = min(times, *(left[n] // a for n, a in held.items()))
+            for n, a in held.items():
+                left[n] -= a * block
+                open_[n] = left[n] > 0
+            out.append((held, block))
+            times -= block
+    for n in of:
+        if not left[n]:
+            del left[n]
+    return out
+
+
+def best_fit_decreasing(histogram: dict[int, int], capacity: int, started: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, of the whole histogram into the started sequences and new ones: sequences with equal contents are one group."""
     by_room: dict[int, list[tuple[dict[int, int], int]]] = {}
     rooms = np.zeros(capacity + 1, bool)  # which have groups
 
@@ -207,6 +326,8 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
         by_room.setdefault(room, []).append((config, times))
         rooms[room] = True
 
+    for config, times in started:
+        put(config, times, capacity - sum(n * a for n, a in config.items()))
     for n in sorted(histogram, reverse=True):
         k = histogram[n]
         while k > 0:
@@ -244,7 +365,7 @@ def plan_rows(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece"), iterations: int = ITERATIONS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece"), steps: int = STEPS) -> DataFrame:
     """pieces with `sequence_id` and `offset`: places in as few sequences of `capacity` tokens as found.
 
     Within a sequence offsets are gapless from 0. Lengths must lie between 1 and the capacity; an
@@ -252,23 +373,25 @@ def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", or
     but their number, so such rows may swap places; every row gets a place of its own.
     """
     spark = pieces.sparkSession
-    n = F.col(length_col)
+    p = free_prefix(pieces)
+    n, bucket, row, rank = F.col(quoted(length_col)), p + "bucket", p + "row", p + "rank"
+    order = [quoted(c) for c in order_cols]
     # Ranks within a length, without bringing all rows of a length together: rows are dealt into buckets first.
-    kept = checkpointed(pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order_cols), F.lit(4 * shuffle_width(spark)))))
-    counts = kept.groupBy(n.alias("__n"), F.col("__bucket").alias("__k")).agg(F.count("*").alias("__count"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("__n").agg(F.sum("__count")).collect()}  # at most `capacity` rows
-    rows = plan_rows(configurations(histogram, capacity, iterations))
-    plan = spark.createDataFrame(rows, "__len int, __from long, __to long, __each int, __seq long, __off long") if rows else spark.createDataFrame([], "__len int, __from long, __to long, __each int, __seq long, __off long")
-    before = counts.withColumn("__before", F.sum("__count").over(Window.partitionBy("__n").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)))
+    kept = checkpointed(pieces.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(4 * shuffle_width(spark)))))
+    counts = kept.groupBy(n.alias(p + "n"), F.col(bucket).alias(p + "k")).agg(F.count("*").alias(p + "count"))
+    histogram = {r[0]: r[1] for r in counts.groupBy(p + "n").agg(F.sum(p + "count")).collect()}  # at most `capacity` rows
+    rows = plan_rows(configurations(histogram, capacity, steps))
+    plan = spark.createDataFrame(rows, ", ".join(f"{p}{c} {t}" for c, t in (("len", "int"), ("from", "long"), ("to", "long"), ("each", "int"), ("seq", "long"), ("off", "long"))))
+    before = counts.withColumn(p + "before", F.sum(p + "count").over(Window.partitionBy(p + "n").orderBy(p + "k").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = (
-        kept.withColumn("__row", F.row_number().over(Window.partitionBy(length_col, "__bucket").orderBy(*order_cols)) - 1)
-        .join(before, (n == F.col("__n")) & (F.col("__bucket") == F.col("__k")))
-        .withColumn("__rank", F.col("__row") + F.coalesce("__before", F.lit(0)))
+        kept.withColumn(row, F.row_number().over(Window.partitionBy(n, bucket).orderBy(*order)) - 1)
+        .join(before, (n == F.col(p + "n")) & (F.col(bucket) == F.col(p + "k")))
+        .withColumn(rank, F.col(row) + F.coalesce(p + "before", F.lit(0)))
     )
-    at = F.col("__rank") - F.col("__from")
-    placed = ranked.join(F.broadcast(plan), (n == F.col("__len")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
+    at = F.col(rank) - F.col(p + "from")
+    placed = ranked.join(F.broadcast(plan), (n == F.col(p + "len")) & (F.col(rank) >= F.col(p + "from")) & (F.col(rank) < F.col(p + "to")))
     return placed.select(
-        *[F.col(c) for c in pieces.columns if c not in ("sequence_id", "offset")],
-        (F.col("__seq") + F.floor(at / F.col("__each"))).cast("long").alias("sequence_id"),
-        (F.col("__off") + F.pmod(at, F.col("__each")) * n).cast("long").alias("offset"),
+        *[F.col(quoted(c)) for c in pieces.columns if c not in ("sequence_id", "offset")],
+        (F.col(p + "seq") + F.floor(at / F.col(p + "each"))).cast("long").alias("sequence_id"),
+        (F.col(p + "off") + F.pmod(at, F.col(p + "each")) * n).cast("long").alias("offset"),
     )

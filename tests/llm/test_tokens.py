@@ -60,9 +60,9 @@ def test_pieces_and_packing(docs, rows, nothing):
 
 def test_configurations_cover_the_histogram():
     rng = np.random.default_rng(1)
-    for limit in (0, 40):
+    for limit in (0, 3000, packing.STEPS):
         histogram = {int(n): int(k) for n, k in zip(rng.integers(1, 101, 60), rng.integers(1, 200, 60), strict=True)}
-        plan = packing.configurations(histogram, 100, iterations=limit)
+        plan = packing.configurations(histogram, 100, limit)
         total = {}
         for config, times in plan:
             assert sum(n * a for n, a in config.items()) <= 100
@@ -72,6 +72,48 @@ def test_configurations_cover_the_histogram():
         assert sum(t for _, t in plan) <= 1.25 * sum(n * k for n, k in histogram.items()) / 100 + 5
 
 
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying all fillings."""
+    best = [len(sizes)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            place(i + 1, rooms[:k] + [rooms[k] - sizes[i]] + rooms[k + 1 :])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_all_fillings():
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        sizes = sorted(rng.integers(1, 21, 11).tolist(), reverse=True)
+        histogram = {n: sizes.count(n) for n in sizes}
+        least = fewest(sizes, 20)
+        assert least <= sum(t for _, t in packing.configurations(histogram, 20)) <= least + 1
+
+
+def test_program_is_solved():
+    """The fractional solution covers all demand, lies near its bound, and the plan lies near the bound of the tokens."""
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 4096, 3000), (rng.gamma(2, 500, 20000) + 1).astype(int) % 4095 + 1, np.full(500, 2049), np.array([1] * 900 + [4095] * 300)):
+        histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+        groups, x, bound = packing.program(histogram, 4096)
+        held = sum(np.array(config) * amount for config, amount in x.items())
+        assert (held >= np.array([sum(k for _, k in g) for g in groups]) - 1e-6).all()
+        assert bound <= sum(x.values()) * (1 + 1e-9) and sum(x.values()) <= 1.05 * bound + 1
+        left = dict(histogram)
+        plan = packing.best_fit_decreasing(left, 4096, packing.rounded(left, 4096, packing.STEPS))
+        plain = packing.best_fit_decreasing(dict(histogram), 4096)
+        assert sum(t for _, t in plan) <= 1.01 * sum(t for _, t in plain) + 1
+
+
 def test_shards(docs, rows, nothing, spark):
     out = sharding.shard(docs, 4, 0.02).toPandas()
     size = {d: len((t or "").encode()) + 1 for d, t in rows}
