@@ -1,18 +1,20 @@
 """Removal of word sequences that occur more than once, by prefix-partitioned suffix trees.
 
-A suffix matters here only as far as `window` words, so the tree of each group of suffixes is cut at
-that depth: below its prefix, what counts are the internal nodes at depth `window`, and a node with
-two leaves or more is a repeat. Adjacent repeats of one text join to maximal ones.
-
-Suffixes are grouped by prefix. The prefix of a suffix is that run of PREFIX words within its window
-whose hash is least (leftmost of ties): equal windows have equal prefixes, and neighbouring suffixes
-mostly share theirs, so a group gets them as one bundle. A prefix that occurs once in the corpus
-holds no repeat; such bundles end after the count. Groups larger than 2**GROUP_LEVEL bundles take a longer
-prefix, up to the whole window, which splits them into groups that fit a task's memory: so no
-frequent phrase lands in one task. Bundles with equal contents are merged before they move, and
-results are joined back to the texts by content.
-
-Path labels are compared by 64-bit hashes of the window beside 64-bit hashes of the prefix.
+A suffix (of a text, from one of its words on) matters here only as far as `window` words, so trees are
+cut at that depth: their internal nodes there, with two leaves or more, are the repeats; adjacent
+repeats of one text join to maximal ones. A suffix whose first `window` words occur nowhere else is a
+leaf that hangs higher up. A bitmap of fixed size, filled by an exact count in slices, keeps those back.
+
+The other suffixes are dealt into groups by prefixes of variable length. A group has the first of the
+LADDER numbers of words at which it holds 2**GROUP_LEVEL suffixes or fewer, by counts of all prefixes
+of these lengths in a table of fixed size (a counter that several prefixes share only lengthens them);
+beyond the ladder the prefix is the window. A suffix travels as its path, 24 bits of its prefix and 40
+of its window, and each task builds the trees of its groups by sorting paths: neighbours that agree
+in the prefix's bits branch off below the prefix, neighbours that agree in all have `window` words or
+more in common and are leaves of one deep node. Leaves go back to their texts as bits.
+
+A node needs two leaves. A task that meets a window for the third time ships it no more, as it knows
+the answer, so a passage that a third of all texts share brings two leaves from each task.
 """
 
 from __future__ import annotations
@@ -20,143 +22,150 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, grams, list_parts, lists, mix, range_hashes, row_key, shuffle_width, text_batches
+from .common import Words, blocks, checkpointed, free_prefix, grams, mix, quoted, row_key, shuffle_width, text_batches
+from .shared_tokens import shared_tokens
 from .sketch import counted, counter_of
 
-#: Words of a prefix, and log2 of the bundles of a group before its prefix grows.
-PREFIX = 8
+#: Words of prefixes, one after the other, and log2 of the suffixes of a group before its prefix grows.
+LADDER = (8, 16, 24, 32)
 GROUP_LEVEL = 14
-#: Suffixes, at most about, that a task gets.
-SUFFIXES = 6_000_000
+#: Suffixes, about, that a task gets.
+SUFFIXES = 4_000_000
+#: log2 of the windows that a task remembers.
+MEMORY = 17
 _U = np.uint64
+_B = 24  # bits of the text's hash that go with a place
 
 
-def bundles(words: Words, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of suffixes of one text that share their prefix: text, first suffix (word within the block), suffixes, prefix hash."""
-    n = len(words.hashes)
-    width = window - PREFIX + 1  # prefixes in a window
-    if n < window:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, _U))
-    hashes = grams(words.hashes, PREFIX)
-    least = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=_U)
-    size = 1
-    while 2 * size <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < width:
-        least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-    at = (least & _U(0xFFFFFFFF)).astype(np.int64)  # the prefix of the suffix at each word
-    text = np.searchsorted(words.first, np.arange(len(at)), "right") - 1
-    inside = np.arange(len(at)) + window <= words.first[text + 1]
-    starts = np.flatnonzero(inside & np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]]))
-    stops = np.flatnonzero(inside & np.concatenate([(at[1:] != at[:-1]) | (text[1:] != text[:-1]) | ~inside[1:], [True]])) + 1
-    return text[starts], starts, stops - starts, hashes[at[starts]]
+def windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix of `window` words or more: its text, its first word in the block, the hash of its window."""
+    at = np.arange(max(0, len(words.hashes) - window + 1))
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))[: len(at)]
+    inside = at + window <= words.first[text + 1]
+    return text[inside], at[inside], grams(words.hashes, window)[inside]
 
 
-def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(__a, __b, spans): for each row key, (first suffix, mask) pairs whose set bits start a repeated window."""
+def prefix_hashes(words: Words, at: np.ndarray, length: int) -> np.ndarray:
+    return grams(words.hashes, length)[at] ^ _U(length) if len(at) else np.zeros(0, _U)
 
-    text_batches(docs.sparkSession)
-    keyed = docs.select(*row_key(id_col, text_col, "__a", "__b"), F.col(text_col).cast("string").alias("__text"))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                key, times = np.unique(bundles(Words(data, offsets), window)[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times)], ["prefix", "bundles"])
-
-    counts = keyed.select("__text").mapInArrow(prefixes, "prefix long, bundles long").groupBy("prefix").agg(F.sum("bundles").alias("bundles"))
-    counts = checkpointed(counts.where("bundles > 1"))
-    weight = counts.agg(F.coalesce(F.sum("bundles"), F.lit(0))).first()[0]
-    # A table of fixed size says which prefixes may repeat, and about how often (never less than they do).
-    shared = docs.sparkSession.sparkContext.broadcast(size_levels(counts))
-
-    def repeating(words: Words) -> tuple[np.ndarray, ...]:
-        """Bundles whose prefix may repeat: text, first suffix, suffixes, prefix, content, level of the group's size."""
-        text, first, n, prefix = bundles(words, window)
-        level = shared.value[counter_of(prefix)]
-        some = level > 0
-        text, first, n, prefix, level = text[some], first[some], n[some], prefix[some], level[some]
-        return text, first, n, prefix.view(np.int64), range_hashes(words.hashes, first, first + n + window - 1, 0).view(np.int64), level
-
-    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, data, offsets in blocks(batch.column(2)):
-                words = Words(data, offsets)
-                text, first, _, prefix, content, _ = repeating(words)
-                start = (first - words.first[text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(a[lo:hi][text]), pa.array(b[lo:hi][text]), pa.array(start), pa.array(prefix), pa.array(content)], ["__a", "__b", "start", "prefix", "content"])
+class Seen:
+    """How often a task met the windows that it met of late, in a table of fixed size."""
+
+    def __init__(self):
+        self.label, self.times = np.zeros(1 << MEMORY, _U), np.zeros(1 << MEMORY, np.uint8)
+
+    def shipped(self, label: np.ndarray) -> np.ndarray:
+        """Which of the windows must travel: the first two of each; the others are repeats."""
+        order = np.argsort(label, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]])) if len(label) else order
+        n = np.diff(np.append(new, len(label)))
+        own = label[order][new]
+        slot = (own >> _U(64 - MEMORY)).astype(np.int64)
+        before = np.where(self.label[slot] == own, self.times[slot], 0)
+        out = np.zeros(len(label), bool)
+        out[order] = np.arange(len(label)) - np.repeat(new, n) < np.repeat(2 - np.minimum(2, before), n)
+        self.label[slot], self.times[slot] = own, np.minimum(2, before + n)
+        return out
+
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The path labels of each bundle's suffixes: a row for each content of a block and for each part of a grown prefix."""
+def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, spans): for each row key (b: its _B low bits), (block, mask) pairs; set bits are repeated windows that start at word 64 block + bit."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text"))
+    ladder = [n for n in LADDER if n < window]
+
+    def labels(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in blocks(batch.column(0)):
+            yield windows(Words(data, offsets), window)[2]
+
+    shared = spark.sparkContext.broadcast(shared_tokens(keyed.select("text"), labels))
+
+    def repeating(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text, at, label = windows(words, window)
+        some = shared.value(label) > 0
+        return text[some], at[some], label[some]
+
+    def prefixes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in blocks(batch.column(0)):
+            words = Words(data, offsets)
+            at = repeating(words)[1]
+            for n in ladder:
+                yield prefix_hashes(words, at, n)
+
+    counts = counted(keyed.select("text"), prefixes)
+    suffixes = int(counts.sum(dtype=np.uint64)) // max(1, len(ladder))
+    large = spark.sparkContext.broadcast(np.packbits(counts > 1 << GROUP_LEVEL))
+    width = max(shuffle_width(spark), -(-suffixes // SUFFIXES))
+
+    def path(words: Words, at: np.ndarray, label: np.ndarray) -> np.ndarray:
+        prefix, open_ = label.copy(), np.ones(len(at), bool)
+        for n in ladder:
+            own = prefix_hashes(words, at, n)
+            c = counter_of(own)
+            prefix = np.where(open_, own, prefix)
+            open_ &= (large.value[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+        prefix = np.where(open_, label, prefix)  # no length of the ladder will do
+        return (mix(prefix) & ~_U(2**40 - 1)) | (mix(label ^ prefix) & _U(2**40 - 1))
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Leaves, and the bits of windows known to be repeats, whose path is null."""
+        seen = Seen()
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(_U)
+            for lo, _, data, offsets in blocks(batch.column(2)):
                 words = Words(data, offsets)
-                labels = grams(words.hashes, window)
-                _, first, n, prefix, content, level = repeating(words)
-                _, one, times = np.unique(content ^ mix(prefix.view(_U)).view(np.int64), return_index=True, return_counts=True)
-                first, n, prefix, content, level = first[one], n[one], prefix[one], content[one], level[one].astype(np.int64)
-                row = np.repeat(np.arange(len(one)), n)
-                within = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n)[:-1]])[row] if len(row) else row
-                label = labels[first[row] + within]
-                grown = np.maximum(0, level - GROUP_LEVEL)[row].astype(_U)
-                part = label & ((_U(1) << grown) - _U(1))  # 0 where the prefix need not grow
-                order = np.lexsort((within, part, row))
-                row, within, label, part = row[order], within[order], label[order], part[order]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])) if len(row) else row
-                if len(new):
-                    of = row[new]
-                    bits = np.bitwise_or.reduceat(np.int64(1) << within, new)
-                    route = mix(prefix[of].view(_U) ^ mix(part[new])).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(prefix[of]), pa.array(content[of]), pa.array(bits), pa.array(times[of]), lists(label, np.append(new, len(row)))], ["route", "prefix", "content", "bits", "times", "labels"])
+                text, at, label = repeating(words)
+                start, go = at - words.first[text], seen.shipped(label)
+                bits = _U(1) << (start & 63).astype(_U)
+                # What is known already leaves as one row for each 64 words.
+                known = np.flatnonzero(~go)
+                key = (text[known] << 32) | (start[known] >> 6)
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else known
+                mask = np.bitwise_or.reduceat(bits[known], first) if len(first) else bits[:0]
+                of = np.concatenate([np.flatnonzero(go), known[first]])
+                place = ((start[of] >> 6).astype(_U) << _U(_B)) | (b[lo + text[of]] & _U(2**_B - 1))
+                paths = np.zeros(len(of), _U)
+                paths[: go.sum()] = path(words, at[go], label[go])
+                paths[go.sum() :] = mix(place[go.sum() :] ^ a[lo + text[of[go.sum() :]]].view(_U))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(paths.view(np.int64)), pa.array(a[lo + text[of]]), pa.array(place.view(np.int64)), pa.array(np.concatenate([bits[go], mask]).view(np.int64)), pa.array(np.arange(len(of)) >= go.sum())],
+                    ["path", "a", "place", "mask", "known"],
+                )
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Repeated suffixes of the groups that this task holds; a partition is sized to fit its memory."""
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        """Leaves of deep nodes among the groups that this task holds; a partition is sized to fit its memory."""
+        leaves: list[tuple[np.ndarray, ...]] = []
+        names = ["a", "place", "mask"]
+        for batch in batches:
+            known = batch.column(4).to_numpy(zero_copy_only=False)
+            own = tuple(batch.column(k).to_numpy() for k in range(4))
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in own[1:]], names)
+            if not known.all():
+                leaves.append(tuple(c[~known] for c in own))
+        if not leaves:
             return
-        table = pa.Table.from_batches(got).combine_chunks()
-        prefix, content, bits, times = (table.column(k).to_numpy() for k in ("prefix", "content", "bits", "times"))
-        flat, stops = list_parts(table.column("labels"))
-        of = np.repeat(np.arange(len(prefix)), np.diff(stops))
-        order = np.argsort(flat, kind="stable")
-        leaf = flat[order]
-        new = np.concatenate([[True], leaf[1:] != leaf[:-1]])
-        node = np.cumsum(new) - 1
-        leaves = np.bincount(node, times[of[order]])
-        repeated = np.zeros(len(flat), bool)
-        repeated[order] = leaves[node] > 1
-        within = np.arange(len(flat)) - stops[of]  # which set bit of its row
-        mask = np.zeros(len(prefix), np.int64)
-        for k in range(int(within.max(initial=0)) + 1):
-            at = np.flatnonzero(within == k)
-            place = bits[of[at]]
-            for _ in range(k):
-                place = place & (place - 1)  # without its lowest bit
-            mask[of[at]] |= np.where(repeated[at], place & -place, 0)
-        some = mask != 0
-        if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(prefix[some]), pa.array(content[some]), pa.array(mask[some])], ["prefix", "content", "mask"])
-
-    width = max(shuffle_width(docs.sparkSession), -(-weight * window // SUFFIXES))
-    groups = keyed.select("__text").mapInArrow(contents, "route long, prefix long, content long, bits long, times long, labels array<long>").repartition(width, "route")
-    masks = groups.select("prefix", "content", "bits", "times", "labels").mapInArrow(trees, "prefix long, content long, mask long").groupBy("prefix", "content").agg(F.bit_or("mask").alias("mask"))
-    places = keyed.mapInArrow(places_of, "__a long, __b long, start int, prefix long, content long")
-    return places.join(masks, ["prefix", "content"]).groupBy("__a", "__b").agg(F.sort_array(F.collect_set(F.struct("start", "mask"))).alias("spans"))
-
-
-def size_levels(counts: DataFrame) -> np.ndarray:
-    """For each counter of a table of fixed size: 0 if no prefix hits it, else 1 + log2, rounded up, of the bundles of the largest that does."""
-
-    def values(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield batch.column(0).to_numpy().view(_U), 1 + np.ceil(np.log2(batch.column(1).to_numpy()))
-
-    return counted(counts.select("prefix", "bundles"), values, largest=True).astype(np.uint8)
+        paths, a, place, mask = (np.concatenate(c) for c in zip(*leaves, strict=True))
+        leaves.clear()
+        order = np.argsort(paths)
+        same = paths[order][1:] == paths[order][:-1]  # neighbours with the whole window in common
+        deep = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        for i in range(0, len(deep), 100_000):
+            some = deep[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(place[some]), pa.array(mask[some])], names)
+
+    shipped = keyed.mapInArrow(ship, "path long, a long, place long, mask long, known boolean")
+    marked = shipped.repartition(width, F.shiftrightunsigned("path", 40)).mapInArrow(trees, "a long, place long, mask long")
+    masks = marked.groupBy("a", "place").agg(F.bit_or("mask").alias("mask"))
+    b = F.col("place").bitwiseAND(2**_B - 1)
+    return masks.groupBy("a", b.alias("b")).agg(F.sort_array(F.collect_list(F.struct(F.shiftright("place", _B).alias("block"), "mask"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,27 +174,42 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     Words are runs of anything but ASCII white space. Every word is removed that lies in a window of
     `window` consecutive words which also starts anywhere else, the same text included. Kept words are
     joined by one space; a null text gives an empty one. Columns of those names are replaced, all
-    others kept. Rows that repeat an id and text are each judged as they are: repeats of one another.
+    others kept, whatever they are called. Rows that repeat an id and text are each judged as they
+    are: repeats of one another. An empty table gives an empty result.
     """
-    if window <= PREFIX or window > PREFIX + 55:
-        raise ValueError(f"window must be between {PREFIX + 1} and {PREFIX + 55} words")
-    found = find_repeats(docs, window, id_col, text_col)
+    if window <= LADDER[0]:
+        raise ValueError(f"window must be more than {LADDER[0]} words")
+    made = ("kept_text", "n_words", "n_removed", "repeats")
+    p = free_prefix(docs)
+    a, b, text, spans = (p + x for x in ("a", "b", "text", "spans"))
+    found = checkpointed(find_repeats(docs, window, id_col, text_col)).withColumnsRenamed({"a": a, "b": b, "spans": spans})
+    others = [f for f in docs.schema.fields if f.name not in made]
+
+    # Only rows that a bitmap of fixed size lets through move for the join; the others lose nothing.
+    def key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a.astype(np.int64).view(_U)) ^ b.astype(np.int64).view(_U)
+
+    asked = docs.sparkSession.sparkContext.broadcast(np.packbits(counted(found.select(a, b), lambda batch: iter([key(batch.column(0).to_numpy(), batch.column(1).to_numpy())])) > 0))
+
+    def may_lose(a: pd.Series, b: pd.Series) -> pd.Series:
+        c = counter_of(key(a.to_numpy(), b.to_numpy()))
+        return pd.Series((asked.value[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool))
+
+    may_lose.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kept_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("repeats", pa.list_(pa.list_(pa.int64())))])
         for batch in batches:
-            at_text, at_spans = batch.schema.get_field_index("__text"), batch.schema.get_field_index("spans")
-            keep = [i for i in range(batch.num_columns) if i not in (at_text, at_spans)]
-            spans = batch.column(at_spans)
-            for lo, hi, data, offsets in blocks(batch.column(at_text)):
+            kept, own_spans = batch.num_columns - 2, batch.column(batch.num_columns - 1)
+            for lo, hi, data, offsets in blocks(batch.column(kept)):
                 words = Words(data, offsets)
                 gone = np.zeros(len(words.hashes) + 1, np.int32)
-                some = spans.slice(lo, hi - lo)
+                some = own_spans.slice(lo, hi - lo)
                 n = np.where(np.asarray(some.is_null()), 0, some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 flat = some.flatten()
-                first = flat.field(0).to_numpy() + words.first[np.repeat(np.arange(hi - lo), n)]
+                first = 64 * flat.field(0).to_numpy() + words.first[np.repeat(np.arange(hi - lo), n)]
                 mask = flat.field(1).to_numpy()
-                for k in range(56):
+                for k in range(64 if len(mask) else 0):
                     at = first[(mask >> k) & 1 == 1] + k
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
@@ -199,11 +223,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                     removed.append(int(own.sum()))
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
                     ranges.append(edge.reshape(-1, 2).tolist())
-                made = [pa.array(texts, pa.string()), pa.array(np.diff(words.first).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(ranges, schema.field("repeats").type)]
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in keep] + made, [batch.schema.field(i).name for i in keep] + schema.names)
-
-    names = ("kept_text", "n_words", "n_removed", "repeats")
-    others = [c for c in docs.columns if c not in names]
-    rows = docs.select(*others, *row_key(id_col, text_col, "__a", "__b"), F.col(text_col).cast("string").alias("__text")).join(found, ["__a", "__b"], "left").drop("__a", "__b")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in others)
-    return rows.mapInArrow(cut, f"{fields}{', ' if fields else ''}kept_text string, n_words long, n_removed long, repeats array<array<long>>")
+                new = [pa.array(texts, pa.string()), pa.array(np.diff(words.first).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(ranges, schema.field("repeats").type)]
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(kept)] + new, [batch.schema.field(i).name for i in range(kept)] + schema.names)
+
+    low = F.col(b).bitwiseAND(2**_B - 1)
+    names = [F.col(quoted(f.name)) for f in others]
+    rows = docs.select(*names, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(b, low)
+    rows = rows.withColumn(p + "may", F.pandas_udf(may_lose, "boolean")(a, b))
+    untouched = rows.where(~F.col(p + "may")).select(*names, text, F.lit(None).cast(found.schema[spans].dataType).alias(spans))
+    touched = rows.where(p + "may").join(found, [a, b], "left").select(*names, text, spans)
+    fields = "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in others)
+    return untouched.unionByName(touched).mapInArrow(cut, f"{fields}kept_text string, n_words long, n_removed long, repeats array<array<long>>")
