@@ -179,6 +179,41 @@ def test_neighbours(spark):
     assert ann.search(few, F.col("vec_id") == 0).count() == 1
 
 
+def nearest_by_all(x, ids, queries, k=10):
+    out = {}
+    for i in queries:
+        far = ann.distances(np.broadcast_to(x[i], x.shape), x)
+        order = [j for j in np.lexsort((ids, far)).tolist() if ids[j] != ids[i]][:k]
+        out[int(ids[i])] = [(int(ids[j]), float(far[j])) for j in order]
+    return out
+
+
+def test_neighbours_beside_huge_vectors(spark):
+    """Large finite vectors take part and spoil nothing; distances do not overflow."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(400, 8)), [[1e300] * 8, [1e300, -1e300] * 4, [1.7e308] * 8, [-1.7e308] * 8]])
+    df = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, vector double")
+    out = ann.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    want = nearest_by_all(x, np.arange(len(x)), range(0, len(x), 20))
+    hit = 0
+    for q, near in want.items():
+        own = out[out.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11))
+        hit += len(set(own.vec_id) & {i for i, _ in near})
+    assert hit / (10 * len(want)) >= 0.9
+    assert np.isclose(ann.distances(x[401:402], x[400:401])[0], 1e300 * 4) and ann.distances(x[402:403], x[403:404])[0] == np.inf  # beyond doubles
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, x[i].tolist()) for i in range(60)] + [(5, x[5].tolist())] * 400 + [(7, x[8].tolist())]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 8)).toPandas()
+    assert len(out) == 20 and not out.duplicated(["query_id", "vec_id"]).any()
+    own = out[out.query_id == 8].sort_values("rank")
+    assert own.vec_id.iloc[0] == 7 and own.score.iloc[0] == 0.0
+
+
 def test_languages(spark, nothing):
     rng = np.random.default_rng(2)
     parts = {"xx": ["ka", "lo", "mi", "ru"], "yy": ["sch", "ein", "ung", "ter"], "zz": ["eau", "ion", "que", "les"]}
