@@ -1,12 +1,13 @@
 """Byte-balanced sharding by histogram sort.
 
-Rows are ordered by (hash of the text, id), so equal texts are neighbours. Splitters of that order are
-found by probing: each round counts, over all partitions, the exact bytes below every candidate
-boundary, keeps for each splitter the bracket that holds its target and puts new probes into it,
-until the bytes below a candidate are within tolerance of the target. Where one hash alone spans a
-target by more than that (a large group of equal texts), the probing goes on over the ids within it;
-otherwise equal texts stay in one shard. Rows then move once. Only probes and their counts are on the
-driver: a fixed number for each splitter and round.
+Rows are ordered by (hash of the text, id), so equal texts are neighbours. Splitters of that order, one
+less than there are shards, are found by probing: each round counts, over all partitions, the exact
+bytes below every candidate boundary, keeps for each splitter the bracket that holds its target and puts
+new probes into it, until the bytes below a candidate are within tolerance of the target. Where one
+hash alone spans a target by more than that (a large group of equal texts), the probing goes on over
+the ids within it; otherwise equal texts stay in one shard. Rows then move once: within a shard they
+are dealt by a hash into parts of about PART_BYTES, whose first slots come from counts of rows. Only
+the probes of the splitters and their counts are on the driver, a number that depends on the shards alone.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_prefix, quoted
 
 #: New probes of each open splitter in a round.
 PROBES = 32
-#: Bytes that one task holds after the exchange; a shard is dealt over as many tasks as that asks for.
-TASK_BYTES = 64 << 20
+#: Bytes of a part of a shard, about, which one task numbers after the exchange.
+PART_BYTES = 64 << 20
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
 
@@ -39,7 +40,7 @@ def below(rows: DataFrame, col: str, probes: list[int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own])], ["bucket", "bytes"])
 
     got = np.zeros(len(cut) + 1, np.int64)
-    for bucket, size in rows.select(col, "__size").mapInArrow(count, "bucket int, bytes long").groupBy("bucket").agg(F.sum("bytes")).collect():
+    for bucket, size in rows.select(col, "size").mapInArrow(count, "bucket int, bytes long").groupBy("bucket").agg(F.sum("bytes")).collect():
         got[bucket] = size
     return np.cumsum(got)
 
@@ -77,20 +78,20 @@ def probe(rows: DataFrame, col: str, targets: list[float], tolerance: float) ->
 
 
 def splitters(rows: DataFrame, count: int, tolerance: float) -> list[tuple[int, int]]:
-    """count - 1 boundaries (hash, id) of rows(__hash, __id, __size): a row below one lies left of it."""
-    total = rows.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    """count - 1 boundaries (hash, id) of rows(hash, id, size): a row below one lies left of it."""
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     if not total:
         return [(_HIGH, _HIGH)] * (count - 1)
     slack = tolerance * total / count
     targets = [k * total / count for k in range(1, count)]
     out: list[tuple[int, int]] = []
     spanned: dict[int, list[tuple[int, float]]] = {}
-    for k, (at, base) in enumerate(probe(rows, "__hash", targets, slack)):
+    for k, (at, base) in enumerate(probe(rows, "hash", targets, slack)):
         out.append((at, _LOW))
         if base is not None:
             spanned.setdefault(at, []).append((k, targets[k] - base))
     for at, own in spanned.items():
-        for (k, _), (row, _) in zip(own, probe(rows.where(F.col("__hash") == at), "__id", [t for _, t in own], slack), strict=True):
+        for (k, _), (row, _) in zip(own, probe(rows.where(F.col("hash") == at), "id", [t for _, t in own], slack), strict=True):
             out[k] = (at, row)
     return sorted(out)
 
@@ -100,40 +101,31 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, id_col: str
 
     Sizes of shards differ by `tolerance` of a shard, or by single rows larger than that. Slots count
     from 0 in each shard without gaps. A null id sorts first; rows that agree in id and text may swap
-    slots. Columns of those names are replaced.
+    slots, and share a shard. An empty table gives an empty result. Columns of those names are
+    replaced, all others kept, whatever they are called.
     """
-    spark = docs.sparkSession
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    keyed = docs.withColumns({"__hash": F.coalesce(F.xxhash64(text_col), F.lit(0)), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)), "__size": size})
-    narrow = checkpointed(keyed.select("__hash", "__id", "__size"))
-    total = narrow.agg(F.sum("__size")).first()[0] or 0
-    each = max(1, -(-total // (shards * TASK_BYTES)))
-    cuts = splitters(narrow, shards * each, tolerance)
-    hashes, ids = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
-
-    import pandas as pd
-
-    def part_of(h: pd.Series, i: pd.Series) -> pd.Series:
-        h, i = h.to_numpy(), i.to_numpy()
-        out = np.searchsorted(hashes, h, "left")
-        for v in np.unique(hashes):
-            at = h == v
-            out[at] += np.searchsorted(ids[hashes == v], i[at], "right")
-        return pd.Series(out.astype(np.int32))
-
-    part_of.__annotations__ = {"h": pd.Series, "i": pd.Series, "return": pd.Series}
-    part = F.pandas_udf(part_of, "int")("__hash", "__id")
-    counts = dict(narrow.select(part.alias("part")).groupBy("part").count().collect())  # a row for each task after the exchange
-    starts, at = [], 0
-    for p in range(shards * each):
-        at = 0 if p % each == 0 else at
-        starts.append((p, at))
-        at += counts.get(p, 0)
-    base = spark.createDataFrame(starts, "__part int, __base long")
-    row = F.row_number().over(Window.partitionBy("__part").orderBy("__hash", "__id")) - 1
-    return (
-        keyed.withColumn("__part", part)
-        .withColumn("__row", row)
-        .join(F.broadcast(base), "__part")
-        .select(*[F.col(c) for c in docs.columns if c not in ("size", "shard", "slot")], F.col("__size").alias("size"), F.floor(F.col("__part") / each).cast("int").alias("shard"), (F.col("__base") + F.col("__row")).cast("long").alias("slot"))
+    p = free_prefix(docs)
+    text, row_id = F.col(quoted(text_col)), F.col(quoted(id_col))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    keyed = docs.withColumns({p + "hash": F.coalesce(F.xxhash64(text), F.lit(0)), p + "id": F.coalesce(row_id.cast("long"), F.lit(_LOW)), p + "size": size})
+    narrow = checkpointed(keyed.select(*[F.col(p + c).alias(c) for c in ("hash", "id", "size")]))
+    cuts = splitters(narrow, shards, tolerance)
+    parts = max(1, -(-(narrow.agg(F.sum("size")).first()[0] or 0) // (shards * PART_BYTES)))
+
+    def placed(rows: DataFrame, q: str) -> DataFrame:
+        right = [(F.col(q + "hash") > h) | ((F.col(q + "hash") == h) & (F.col(q + "id") >= i)) for h, i in cuts]
+        at = sum((c.cast("int") for c in right), F.lit(0))
+        return rows.withColumns({q + "shard": at, q + "part": F.pmod(F.xxhash64(q + "hash", q + "id"), F.lit(parts))})
+
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed(narrow, "").groupBy("shard", "part").agg(F.count("*").alias("rows"))
+    base = counts.select(F.col("shard").alias(p + "shard"), F.col("part").alias(p + "part"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(p + "base"))
+    own = [p + "shard", p + "part"]
+    row = F.row_number().over(Window.partitionBy(*own).orderBy(p + "hash", p + "id")) - 1
+    out = placed(keyed, p).join(base.hint("shuffle_merge"), own).withColumn(p + "row", row)
+    return out.select(
+        *[F.col(quoted(c)) for c in docs.columns if c not in ("size", "shard", "slot")],
+        F.col(p + "size").alias("size"),
+        F.col(p + "shard").alias("shard"),
+        (F.col(p + "base") + F.col(p + "row")).cast("long").alias("slot"),
     )

@@ -32,7 +32,7 @@ def test_substrings(docs, rows):
         assert got == spans_removed(rows, window)
 
 
-def test_substrings_with_grown_prefixes(docs, rows, monkeypatch):
+def test_substrings_with_longer_prefixes(docs, rows, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP_LEVEL", 1)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(docs, 12).collect()}
     assert got == spans_removed(rows, 12)

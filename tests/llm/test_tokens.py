@@ -128,7 +128,13 @@ def test_shards(docs, rows, nothing, spark):
     assert len(own) == 8 and own.max() <= 1.05 * own.mean()
 
 
-
+def test_shards_in_parts(docs, rows, monkeypatch):
+    """Slots stay gapless where a shard is numbered by many tasks."""
+    monkeypatch.setattr(sharding, "PART_BYTES", 400)
+    out = sharding.shard(docs, 4, 0.02).toPandas()
+    assert sorted(out.doc_id) == sorted(d for d, _ in rows)
+    for _, own in out.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
 
 def test_fingerprints(docs, rows, nothing):
     out = winnowing.edited_pairs(docs).toPandas().set_index("doc_id")
