@@ -6,14 +6,15 @@ code units packed in 64 bits, so equal hashes mean equal n-grams; characters bey
 unit) beside a matrix of interpolated log probabilities, one column for each language; contexts have
 such an array with their back-off weights. A text goes to the language of least cross-entropy per
 character. It is rejected if that is far above what labelled texts of its length, kept out of the
-counts, have: the calibrated threshold.
+counts, have: the calibrated threshold (a quantile).
 
 The models are fitted on a bounded sample of the labelled rows: about `sample_docs` texts of each
-language, whole texts, picked by a hash of the text. Predictions use the text alone.
+language, whole texts, drawn by a hash. Predictions use the text alone.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import free_prefix, quoted, text_batches
 
 #: Texts of each language that the models are fitted on, and the share of them kept for calibration.
 SAMPLE_DOCS = 1500
@@ -32,18 +33,19 @@ ORDER = 4
 BLOCK_CHARS = 1 << 19
 #: Lengths, in characters, between which thresholds are calibrated apart.
 LENGTHS = (20, 100, 500)
-#: A text is rejected if its excess is this many times the largest seen in calibration.
-MARGIN = 1.5
+#: A text is rejected if its excess is MARGIN times that of the QUANTILE of the calibration texts of its length or longer,
+#: and over the least limit of its length. A few wrong labels or junk texts among the labelled rows do not move that.
+QUANTILE, MARGIN, LEAST = 0.98, 1.5, (2.0, 1.5, 1.0, 1.0)
 PAD, SPACE, UNKNOWN_LANG = 1, 32, "und"
 _U = np.uint64
 _LETTERS: list[np.ndarray] = []
 
 
 def units_table() -> np.ndarray:
-    """16-bit unit of each code point below 0x30000: itself if a letter, PAD for NUL, else SPACE."""
+    """16-bit unit of each code point: itself if a letter, PAD for NUL, else SPACE."""
     if not _LETTERS:
-        table = np.full(0x30000, SPACE, np.uint64)
-        for c in range(0x30000):
+        table = np.full(sys.maxunicode + 1, SPACE, np.uint64)
+        for c in range(sys.maxunicode + 1):
             if chr(c).isalpha():
                 table[c] = c if 0x20 < c < 0xFFFF else 0xFFFF
         table[0] = PAD
@@ -58,7 +60,7 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer((pad + pad.join(lowered)).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.array([len(t) for t in lowered]) + ORDER - 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    own = units_table()[np.minimum(points, 0x2FFFF)]
+    own = units_table()[points]
     keep = np.ones(len(own), bool)
     keep[1:] = (own[1:] != SPACE) | ((own[:-1] != SPACE) & (own[:-1] != PAD))
     before = np.concatenate([[0], np.cumsum(keep)])
@@ -112,9 +114,10 @@ class Model:
         own, starts = units(texts)
         scored = starts[1:] - starts[:-1] - (ORDER - 1)
         per = self.log_probabilities(packed(own))
-        total = np.concatenate([np.zeros((1, per.shape[1])), np.cumsum(per, axis=0, dtype=np.float64)])
-        ends = starts[1:] - (ORDER - 1)  # in `per`, a text's first character is at its pads' start
-        sums = total[ends] - total[starts[:-1]]
+        # In `per`, a text's first character is at its pads' start. Each text is summed alone, so equal texts have equal sums.
+        cuts = np.stack([starts[:-1], starts[1:] - (ORDER - 1)], 1).ravel()
+        sums = np.add.reduceat(np.concatenate([per, np.zeros((1, per.shape[1]), per.dtype)]).astype(np.float64), cuts, axis=0)[::2]
+        sums[scored == 0] = 0
         letters = np.concatenate([[0], np.cumsum(own > SPACE)])
         return -sums / np.maximum(scored, 1)[:, None], scored, letters[starts[1:]] - letters[starts[:-1]]
 
@@ -170,24 +173,20 @@ def build(langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]) -
     return model
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Models of the languages of the labelled rows; None if no row has both a text and a language.
 
-    Rows with null text or language are left out. Spark counts the n-grams; the driver gets those of
-    the bounded sample.
+    Rows with null text or language are left out. About `sample_docs` rows of each language are drawn
+    by a hash of id and text, so copies of a text are drawn one by one; the id is no input of the
+    models. Spark counts the n-grams; the driver gets those of the bounded sample.
     """
     text_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN_LANG))
-    sizes = {r[0]: r[1] for r in labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN_LANG)).groupBy(F.col(lang_col).cast("string")).count().collect()}
-    if not sizes:
-        return None
-    langs = sorted(sizes)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    share: Column = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / sizes[lang]))).otherwise(share)
-    sample = rows.where(draw <= share).withColumn("kept", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(CALIBRATION)) == 0)
+    text, lang, row = (F.col(quoted(c)) for c in (text_col, lang_col, id_col))
+    rows = labelled.select(lang.cast("string").alias("lang"), text.cast("string").alias("text"), row.cast("string").alias("id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language
+    langs = sorted(r[0] for r in sizes.select("lang").collect())
+    draw = lambda salt: F.pmod(F.xxhash64("text", "id", F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = rows.join(sizes, "lang").where(draw(0) <= F.lit(sample_docs) / F.col("size")).select("lang", "text", (draw(1) < 1 / CALIBRATION).alias("kept"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +234,12 @@ def calibrate(model: Model, kept: DataFrame) -> None:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "n", "x"])
 
     got = kept.mapInArrow(score, "lang string, n long, x double").toPandas()  # bounded: part of the sample
-    mean = got.x.mean() if len(got) else 3.0
-    model.usual = np.array([own.x.mean() if len(own := got[got.lang == lang]) else mean for lang in model.langs])
+    mean = got.x.median() if len(got) else 3.0
+    model.usual = np.array([own.x.median() if len(own := got[got.lang == lang]) else mean for lang in model.langs])
     over = got.x.to_numpy() - model.usual[[model.langs.index(x) for x in got.lang]] if len(got) else np.zeros(0)
     place = np.searchsorted(LENGTHS, got.n.to_numpy()) if len(got) else np.zeros(0, int)
-    worst = [over[place >= k].max(initial=0.0) for k in range(len(LENGTHS) + 1)]
-    model.excess = np.maximum(MARGIN * np.array(worst), [2.0, 1.5, 1.0, 1.0])
+    high = [np.quantile(own, QUANTILE) if len(own := over[place >= k]) else 0.0 for k in range(len(LENGTHS) + 1)]
+    model.excess = np.maximum(MARGIN * np.array(high), LEAST)
     shared.unpersist()
 
 
@@ -283,8 +282,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             yield pd.DataFrame(rows, columns=names).astype({"cross_entropy": "float64"})
 
     run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    out = docs.withColumn("__lang", F.pandas_udf(run, made)(F.col(text_col)))
-    return out.select(*[F.col(c) for c in docs.columns if c not in names], *[F.col(f"__lang.{c}") for c in names])
+    own = free_prefix(docs) + "lang"
+    out = docs.withColumn(own, F.pandas_udf(run, made)(F.col(quoted(text_col)).cast("string")))
+    return out.select(*[F.col(quoted(c)) for c in docs.columns if c not in names], *[F.col(own)[c].alias(c) for c in names])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

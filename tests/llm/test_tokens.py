@@ -236,6 +236,81 @@ def test_languages(spark, nothing):
     assert langid.identify(df.limit(2), None).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def plain_kneser_ney(texts, order=4):
+    """log P(last | others) by the textbook's recursion over dictionaries, of one language."""
+    from collections import Counter, defaultdict
+
+    grams = Counter()
+    for t in texts:
+        own, _ = langid.units([t])
+        u = own.tolist()
+        for i in range(order - 1, len(u)):
+            grams[tuple(u[i - order + 1 : i + 1])] += 1
+    counts = {order: grams}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    symbols = len(counts[1]) + 1
+    tables = {}
+    for n, own in counts.items():
+        ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, c in own.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        tables[n] = (own, total, kinds, min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5)
+
+    def p(g):
+        if not g:
+            return 1 / symbols
+        own, total, kinds, discount = tables[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        return max(own[g] - discount, 0) / total[g[:-1]] + discount * kinds[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return p
+
+
+def test_language_probabilities_against_the_recursion():
+    texts = ["abcab cab bca", "bca abc ccc a", "aab"]
+    own, _ = langid.units(texts)
+    one = plain_kneser_ney(texts)
+    grams = langid.packed(own)
+    starts = langid.units(texts)[1]
+    inside = np.ones(len(grams), bool)
+    for k in range(1, langid.ORDER):
+        inside[starts[1:-1] - k] = False
+    keys, n = np.unique(grams[inside], return_counts=True)
+    model = langid.build(["a"], [keys], [n])
+    asked = [(1, 1, 1, 97), (97, 98, 99, 97), (99, 99, 99, 98), (120, 121, 98, 99), (120, 120, 120, 97), (1, 1, 97, 122)]
+    got = model.log_probabilities(np.array([sum(u << (16 * (3 - i)) for i, u in enumerate(g)) for g in asked], np.uint64))[:, 0]
+    assert np.allclose(got, [math.log(one(g)) for g in asked], atol=1e-4)
+
+
+def test_language_rejection_beside_wrong_labels(spark):
+    """A few junk texts among the labelled rows, many copies of one text, and letters beyond the first planes."""
+    rng = np.random.default_rng(6)
+    parts = {"xx": ["ka", "lo", "mi", "ru"], "und": ["sch", "ein", "ung", "ter"]}
+    make = lambda k: " ".join("".join(rng.choice(parts[k], rng.integers(1, 4))) for _ in range(int(rng.integers(10, 40))))
+    rows = [(i, make(k), k) for i, k in enumerate(list(parts) * 300)]
+    rows += [(1000 + i, "Q7 w8Zx vvkq jhgwq wqjh xzvq " * 5, "xx") for i in range(4)] + [(2000 + i, rows[0][1], "xx") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_docs=400)
+    odd = spark.createDataFrame([(1, "zzzqqq wwxxyy jjvvqq zzwwqq " * 10, None), (2, chr(0x30001) * 9, None), (3, make("und"), None), (4, make("xx"), None)], df.schema)
+    out = {r.doc_id: r for r in langid.identify(odd.withColumn("__lang", F.lit(7)), model).collect()}
+    assert out[1].rejected and out[2].lang_pred in ("xx", "und") and out[2].cross_entropy is not None
+    assert (out[3].lang_pred, out[4].lang_pred) == ("und", "xx") and not out[3].rejected and not out[4].rejected and out[1]["__lang"] == 7
+
+
+def test_scores_do_not_depend_on_the_batch():
+    texts = ["abcab cab", "bca abc", "cab cab bac abba"]
+    own, _ = langid.units(texts)
+    keys, n = np.unique(langid.packed(own), return_counts=True)
+    model = langid.build(["a"], [keys], [n])
+    model.usual, model.excess = np.zeros(1), np.ones(4)
+    alone = model.predict([texts[2]])[0]
+    assert model.predict([*texts, *texts])[5] == alone and model.predict(["x" * 999, "", texts[2]])[2] == alone
+
+
 def test_language_probabilities_sum_to_one():
     texts = ["abcab cab", "bca abc"]
     own, _ = langid.units(texts)
