@@ -23,8 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, text_batches
+
 #: Entries of the dictionary of known parts, per Python worker (about 400 bytes each, pieces included).
 CACHE_ENTRIES = 500_000
+#: Bytes of these parts and their ids, about, from which it is emptied too.
+CACHE_BYTES = 96 << 20
 #: Longer pieces get a tree of their own.
 WIDEST = 64
 _NONE = np.int64(2**62)
@@ -64,7 +68,7 @@ class ByteBPE:
         self.pairs, self.merged = pairs[order], np.array(whole, np.int64)[order]
         self.known: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
-        self.cache_entries = cache_entries
+        self.cache_entries, self.held = cache_entries, 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes, or _NONE."""
@@ -185,12 +189,13 @@ class ByteBPE:
     def learn(self, parts: set[str]) -> None:
         """Put the ids of these parts into the dictionary."""
         cut = {part: [p.encode() for p in self.split(part)] for part in parts}
-        if len(self.known) + len(cut) > self.cache_entries:
-            self.known, self.pieces = {}, {}
+        if len(self.known) + len(cut) > self.cache_entries or self.held > CACHE_BYTES:
+            self.known, self.pieces, self.held = {}, {}, 0
         ids = self.pieces
         ids.update(self.pieces_to_ids({p for ps in cut.values() for p in ps if p not in ids}))
         for part, ps in cut.items():
             self.known[part] = b"".join([ids[p] for p in ps])
+            self.held += 3 * len(part) + len(self.known[part])  # with its pieces, which are keys of their own
 
     def parts(self, text: str) -> list[str]:
         """The text cut where the pattern surely cuts: before a space that precedes other than white space."""
@@ -217,9 +222,10 @@ class ByteBPE:
             if self.known is not known:  # emptied: what this block needs must all be there
                 known = self.known
                 if rest := {p for ps in cut for p in ps if p not in known}:
-                    size, self.cache_entries = self.cache_entries, 1 << 62
+                    size, held = self.cache_entries, self.held
+                    self.cache_entries, self.held = 1 << 62, 0
                     self.learn(rest)
-                    self.cache_entries = size
+                    self.cache_entries, self.held = size, self.held + held
         get = self.known.__getitem__
         return [b"".join(map(get, ps)) for ps in cut]
 
@@ -244,6 +250,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     A column of that name is replaced.
     """
 
+    text_batches(docs.sparkSession)
+
     def run(series: Iterator):
         import pandas as pd
 
@@ -254,7 +262,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 out += own.encode_many(values[i : i + 256])
             yield pd.Series(out, dtype=object)
 
-    return docs.withColumn(ids_col, F.pandas_udf(_typed(run), "binary")(F.col(text_col)))
+    return docs.withColumn(ids_col, F.pandas_udf(_typed(run), "binary")(F.col(quoted(text_col)).cast("string")))
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -267,7 +275,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token
         for s in series:
             yield pd.Series([None if x is None else own.decode(x) for x in s], dtype=object)
 
-    return docs.withColumn(out_col, F.pandas_udf(_typed(run), "binary")(F.col(ids_col)))
+    return docs.withColumn(out_col, F.pandas_udf(_typed(run), "binary")(F.col(quoted(ids_col))))
 
 
 def _typed(run):
@@ -294,4 +302,5 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                     schema=schema,
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    text_batches(docs.sparkSession)
+    return docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

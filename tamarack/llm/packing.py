@@ -46,6 +46,8 @@ WORSE = 1 / 1000
 PRICED, STEPS = 60, 30_000
 #: Entries of the dictionary of tokenized words in each Python worker; emptied when full.
 CACHE_ENTRIES = 700_000
+#: Bytes of these words and their ids, about, from which it is emptied too.
+CACHE_BYTES = 64 << 20
 
 
 #: Words of letters that the tokenizer takes as one pre-token each, perhaps with a run of marks after them.
@@ -71,7 +73,7 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(word_end)]] = True
         self.known: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
+        self.cache_entries, self.held = cache_entries, 0
 
     def one_by_one(self, parts: list[str]) -> dict[str, bytes]:
         made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -94,8 +96,9 @@ class WordIds:
         return out
 
     def learn(self, parts: set[bytes]) -> None:
-        if len(self.known) + len(parts) > self.cache_entries:
-            self.known, self.words = {}, {}
+        if len(self.known) + len(parts) > self.cache_entries or self.held > CACHE_BYTES:
+            self.known, self.words, self.held = {}, {}, 0
+        self.held += 4 * sum(map(len, parts))
         words = self.words
         split: list[tuple[bytes, str, str]] = []
         other: list[str] = []
@@ -120,9 +123,10 @@ class WordIds:
             known = self.known
             self.learn(new)
             if self.known is not known:  # emptied: what this block needs must all be there
-                self.cache_entries, size = 1 << 62, self.cache_entries
+                size, held = self.cache_entries, self.held
+                self.cache_entries, self.held = 1 << 62, 0
                 self.learn(parts.difference(self.known))
-                self.cache_entries = size
+                self.cache_entries, self.held = size, self.held + held
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in cut]
 
