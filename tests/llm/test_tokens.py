@@ -152,6 +152,60 @@ def test_fingerprints(docs, rows, nothing):
     assert winnowing.edited_pairs(nothing).count() == 0
 
 
+def plain_winnowing(text, gram=winnowing.GRAM, window=winnowing.WINDOW):
+    """(position, hash) of the rightmost least run of each window, by the definition."""
+    import struct
+
+    import regex
+    import xxhash
+
+    long_hash = lambda v: xxhash.xxh64(struct.pack("<q", v), seed=42).intdigest()
+    own = []
+    for run in regex.findall(r"[^ \t-\r]+", (text or "").lower()):
+        k = max(0, len(run) - winnowing.WIDEST) if len(run) > winnowing.WIDEST else 0
+        own += [*run[:k], run[k:]]
+    h = [xxhash.xxh64(u.encode(), seed=42).intdigest() & 0x3FFFFFFF for u in own]
+    if not h:
+        return []
+    if len(h) < gram:
+        seed = 42
+        for v in h:
+            seed = xxhash.xxh64(struct.pack("<q", v), seed=seed).intdigest()
+        signed = seed - 2**64 if seed >= 2**63 else seed
+        return [(0, (long_hash(signed) >> 28) & (2**36 - 1))]
+    runs = []
+    for i in range(len(h) - gram + 1):
+        total = 0
+        for v in h[i : i + gram]:
+            total = (total * winnowing.BASE + v) % winnowing.PRIME
+        runs.append((long_hash(total) >> 28) & (2**36 - 1))
+    out = []
+    for i in range(max(1, len(runs) - window + 1)):
+        part = runs[i : i + window]
+        at = i + max(k for k, v in enumerate(part) if v == min(part))
+        if not out or out[-1][0] != at:
+            out.append((at, runs[at]))
+    return out
+
+
+def test_fingerprints_against_the_definition(docs, rows, spark):
+    def like(x, y):
+        a, b = {h for _, h in x}, {h for _, h in y}
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    wide = [(d + 100_000, t) for d, t in enumerate(["\u4e00\u8fd9\u662f" * 200 + "\u6d4b", "abcdefghij" * 100, "x" * 24, "x" * 25, "a " * 300, "\u0e01" * 77 + " b"])]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(wide, "doc_id long, text string"))
+    out = {r.doc_id: r for r in winnowing.edited_pairs(every).collect()}
+    order = sorted(rows + wide, reverse=True)
+    for i, (d, t) in enumerate(order):
+        r, after = out[d], order[(i + 1) % len(order)][1]
+        own = plain_winnowing(t)
+        assert [tuple(e) for e in r.fingerprint] == own, d
+        assert [tuple(e) for e in r.edited_fingerprint] == plain_winnowing(r.edited)
+        assert math.isclose(r.near_edited, like(own, plain_winnowing(r.edited))) and math.isclose(r.near_next, like(own, plain_winnowing(after)))
+    assert out[100_001].near_edited > 0.2  # a text without spaces keeps half of itself
+
+
 def test_fingerprint_guarantee(spark):
     shared = " ".join(f"s{i}" for i in range(winnowing.GRAM + winnowing.WINDOW - 1))
     texts = [f"{' '.join(f'{k}{j}' for j in range(10 + k))} {shared} {' '.join(f'{k}t{j}' for j in range(k))}" for k in range(12)]
@@ -322,6 +376,59 @@ def test_language_probabilities_sum_to_one():
     assert p <= 1.0001
 
 
+def licences_by_all_pairs(files):
+    """Best (score, licence, line) of each path: every unit against every template, by plain cosine."""
+    import re
+    from collections import Counter, defaultdict
+
+    words = lambda t: re.findall(licences.WORD, t.lower())
+    known = [(name, Counter(words(t))) for name, t in licences.TEMPLATES]
+    vocabulary = set().union(*[c for _, c in known])
+    texts = [(p, t) for p, t in files if t is not None]
+    df = Counter(w for _, t in texts for w in set(words(t)))
+    idf = {w: math.log((1 + len(texts)) / (1 + df[w])) + 1 for w in vocabulary}
+    best = defaultdict(list)
+    for path, text in texts:
+        if path is None:
+            continue
+        lines = text.split("\n")
+        units = [(i, False, x) for i, x in enumerate(lines)] + [(0, True, text)]
+        head = next((i for i, x in enumerate(lines) if not re.search(licences.COMMENT, x)), len(lines))
+        units.append((0, False, "\n".join(lines[:head])))
+        at = 0
+        for p in re.split("\n[ \t\r]*\n", text):
+            units.append((at, False, p))
+            at += p.count("\n") + 2
+        for line, whole, unit in units:
+            tf = Counter(words(unit))
+            norm = math.sqrt(sum((n * idf[w]) ** 2 if w in idf else n for w, n in tf.items()))
+            for name, c in known:
+                dot = sum(tf[w] * idf[w] * n * idf[w] for w, n in c.items())
+                size = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+                if dot and round(dot / norm / size, 9) >= licences.THRESHOLD:
+                    best[path].append((-round(dot / norm / size, 9), name, line, not whole))
+    return {p: (min(b)[1], -min(b)[0], min(b)[2]) for p, b in best.items()}
+
+
+def test_licences_against_all_pairs(spark):
+    import textwrap
+
+    text = {name: t for name, t in licences.TEMPLATES}
+    longest = {name: max((t for n, t in licences.TEMPLATES if n == name), key=len) for name in text}
+    comment = lambda t, mark: "\n".join(f"{mark} {x}" for x in textwrap.wrap(t, 60))
+    prose = "the cat sat on the mat and looked at a long road of red houses near the old mill"
+    files = [(f"r{i}/LICENSE", "Copyright (c) 2020 Someone\n\n" + textwrap.fill(longest[n], 70, break_on_hyphens=False)) for i, n in enumerate(sorted(longest))]
+    files += [(f"h{i}/a.py", comment(longest[n], mark) + f"\n\nimport x\n{prose}\n" * 3) for i, (n, mark) in enumerate([("Apache-2.0", "#"), ("GPL-3.0", "//"), ("MPL-2.0", " *")])]
+    files += [("l/a", f"{prose}. Released under the MIT License by the people of the mill. {prose}"), ("l/b", "\n".join([prose] * 40)), ("l/c", f"{prose}\n\n{textwrap.fill(longest['ISC'], 50)}\n\n{prose}")]
+    files += [("l/d", "my license plate is lost in the long grass behind a house"), ("l/e", ""), ("l/f", None), (None, "MIT License"), ("l/g", " \n\n\n "), ("l/h", "Licensed under CC BY-SA 4.0.\n" * 3), ("l/i", "license " * 2000)]
+    got = {r.path: (r.own_licence, r.own_score, r.licence_line) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect() if r.own_licence}
+    want = licences_by_all_pairs(files)
+    assert {p: (a, round(b, 6), c) for p, (a, b, c) in got.items()} == {p: (a, round(b, 6), c) for p, (a, b, c) in want.items()}
+    assert {n: got[f"r{i}/LICENSE"][0] for i, n in enumerate(sorted(longest))} == {n: n for n in longest}
+    assert [got[p][0] for p in ("h0/a.py", "h1/a.py", "h2/a.py", "l/c", "l/h")] == ["Apache-2.0", "GPL-3.0", "MPL-2.0", "ISC", "CC-BY-SA-4.0"]
+    assert "l/b" not in got and "l/d" not in got and "l/e" not in got
+
+
 def test_licences(spark, nothing):
     files = [
         ("a/LICENSE", "MIT License\nReleased under the MIT License."),
