@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into word hashes at a time, unless one text alone is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20240501).integers(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -89,7 +89,7 @@ def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, modulo 2**64, of an odd base and of its inverse."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         out = []
         for base in (_BASES[which], pow(_BASES[which], -1, 2**64)):
             a = np.full(size, base, _U)

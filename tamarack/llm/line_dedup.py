@@ -1,18 +1,23 @@
 """Removal of lines that nearly repeat an earlier line: an exact set-similarity join of lines.
 
 A line's tokens are its words, each with its number among the equal words of the line, so "a a" and
-"a" differ. Tokens are ordered by rarity, from a table of fixed size that counts the words of the whole
-corpus; words that occur once come first, and a line with too many of them has no partner. Two sets of
-Jaccard similarity t or more share a token among the first |x| - ceil(t |x|) + 1 of each. Lines meet at
-these tokens; length, positional and bitmap filters (bits are parities of the tokens that hash to them,
-so differing bits are at most as many as tokens that only one of the two sets has) drop most pairs, the
-others are verified on their whole sets.
-
-A line goes once one earlier line matches, so at each token a line is paired with PARTNERS candidates
-first, and a token's lines are held HELD at a time, as Spark's sort brings them. Lines that were not
-compared with all others of a token for these reasons, and matched nothing, are then joined with all of
-them by a Spark join, which adaptive execution splits where a token is hot. So no task holds all lines
-of a token, and none is left out.
+"a" differ. Lines of equal sets are found by a hash of the set; the earliest stands for all in the rest.
+
+Tokens are ordered by rarity, from a table of fixed size that counts the words of the whole corpus.
+Lines meet at prefixes of this order, at pairs of neighbours in it, which fewer lines share than single
+words. Write D for the tokens that only one of two sets has. Between the common tokens, after a first
+one that all lines are given, at most D others stand; so two common ones are neighbours in both sets
+before D + 2 common tokens have passed. For a Jaccard similarity of t > 1/2 such a pair ends among the
+first 2 (|x| - ceil(t |x|)) + 2 tokens of each set x: the prefix. Pairs of tokens that one line alone
+has, told by an exact count in slices, lead nowhere. Length, positional and bitmap filters (bits are
+parities of the tokens that hash to them, so differing bits are at most as many as D) drop most
+pairs of lines that share one, the others are verified on their whole sets.
+
+A line goes once one earlier line matches. So at each pair of tokens a line is paired with CLOSE
+candidates of few differing bits, or PARTNERS in all, and lines that share one are compared HELD at a
+time, as Spark's sort brings them. Lines that were not compared with all others of a token for these
+reasons, and matched nothing, are then joined with all of them by a Spark join, which adaptive execution
+splits where a token is hot. So no task holds all lines of a token, and none is left out.
 """
 
 from __future__ import annotations
@@ -25,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, free_prefix, lists, mix, quoted, row_key, shuffle_width, text_batches
+from .common import Words, blocks, checkpointed, free_prefix, list_parts, lists, mix, quoted, row_key, shuffle_width, text_batches
+from .shared_tokens import shared_tokens
 from .sketch import counted, counter_of
 
-#: Candidates of a line at each of its tokens, before the rest are joined in full.
-PARTNERS = 4
+#: Candidates of a line at each of its tokens before the rest are joined in full: those that are surely near, and all.
+CLOSE, PARTNERS = 4, 64
 #: Lines of one token that are compared with each other at a time, and rows that a task gathers first.
 HELD, GATHERED = 4096, 200_000
-#: log2 of the slots in which a task remembers sets that it has posted.
-MEMORY = 16
+#: Words of 64 parity bits of a set, at most; bits of a text's hash that tell rows of one id apart.
+SKETCH, HASH_BITS = 64, 24
 #: Tokens of lines that a block's sort keys can tell apart.
 _LINES = 1 << 20
 _U = np.uint64
@@ -45,6 +51,16 @@ def word_levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 1, np.minimum(62, np.ceil(2 * np.log2(np.maximum(counts, 1)))) + 1, 0).astype(np.uint8)
 
 
+def lines_of(words: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line that has words: its text, its number there, its first word in the block and the number of its words."""
+    breaks = np.flatnonzero(data == 10)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
+    number = np.searchsorted(breaks, words.starts)
+    line = number + text  # ascends, and tells the lines of all texts apart
+    new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else line
+    return text[new], number[new] - np.searchsorted(breaks, offsets[:-1])[text[new]], new, np.diff(np.append(new, len(line)))
+
+
 class Lines:
     """Lines of a block of texts that have `least` words or more, with their tokens in order of rarity.
 
@@ -53,13 +69,7 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, levels: np.ndarray | None = None, pick=None):
         words = Words(data, offsets, fold=True)
-        breaks = np.flatnonzero(data == 10)
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
-        number = np.searchsorted(breaks, words.starts)
-        line = number + text  # ascends, and tells the lines of all texts apart
-        new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else line
-        n = np.diff(np.append(new, len(line)))
-        of_text, of_number = text[new], number[new] - np.searchsorted(breaks, offsets[:-1])[text[new]]
+        of_text, of_number, _, n = lines_of(words, data, offsets)
         keep = n >= least
         if pick is not None:
             keep &= pick(of_text, of_number)
@@ -74,7 +84,6 @@ class Lines:
         at = np.arange(len(hashes))
         self.token = mix(hashes + (at - np.maximum.accumulate(np.where(again, 0, at))).astype(_U) * _U(0x9E3779B97F4A7C15))
         self.place = at - self.ends[self.of]
-        self.common = self.reduced(np.add, (self.level > 0).astype(np.int64))  # tokens that other lines may have
 
     def _sorted(self, spread: np.ndarray, level: np.ndarray) -> np.ndarray:
         """Tokens by line, then by level and hash."""
@@ -91,44 +100,34 @@ class Lines:
     def reduced(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
         return how.reduceat(values, self.ends[:-1]) if len(self.n) else values[:0]
 
-    def signs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each set: a hash, and 128 parity bits."""
-        bit = mix(self.token + _U(3)) >> _U(57)
-        maps = [self.reduced(np.bitwise_xor, np.where((bit >> _U(6)) == h, _U(1) << (bit & _U(63)), _U(0))) for h in (0, 1)]
-        return self.reduced(np.add, mix(self.token ^ _U(7))), *maps
-
-
-class Posted:
-    """The earliest line of each of the sets that a task posted of late, in a table of fixed size."""
-
-    def __init__(self):
-        self.s1, self.n, self.b = (np.zeros(1 << MEMORY, k) for k in (_U, np.int64, np.int64))
-        self.a, self.line = np.zeros(1 << MEMORY, np.int64), np.zeros(1 << MEMORY, np.int64)
-
-    def repeats(self, s1: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which lines repeat an earlier one, which need no posting): the latter are repeats and copies of a posted line."""
-        order = np.lexsort((line, b, a, n, s1))
-        new = np.concatenate([[True], (s1[order][1:] != s1[order][:-1]) | (n[order][1:] != n[order][:-1])]) if len(order) else np.zeros(0, bool)
-        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-        same = (a[order] == a[lead]) & (b[order] == b[lead]) & (line[order] == line[lead])  # the line of a repeated row
-        gone, covered = np.zeros(len(s1), bool), np.zeros(len(s1), bool)
-        gone[order], covered[order] = ~new & ~same, ~new
-        first = order[new]
-        slot = (s1[first] >> _U(64 - MEMORY)).astype(np.int64)
-        known = (self.s1[slot] == s1[first]) & (self.n[slot] == n[first])
-        x, y = (a[first], b[first], line[first]), (self.a[slot], self.b[slot], self.line[slot])
-        equal = (x[0] == y[0]) & (x[1] == y[1]) & (x[2] == y[2])
-        before = (y[0] < x[0]) | ((y[0] == x[0]) & ((y[1] < x[1]) | ((y[1] == x[1]) & (y[2] < x[2]))))
-        gone[first[known & before]] = True
-        covered[first[known & (before | equal)]] = True
-        put = ~(known & (before | equal))
-        slot, first = slot[put], first[put]
-        self.s1[slot], self.n[slot], self.a[slot], self.b[slot], self.line[slot] = s1[first], n[first], a[first], b[first], line[first]
-        return gone, covered
-
-
-def ids(batch_a: np.ndarray, batch_b: np.ndarray, lo: int, lines: Lines, pick: np.ndarray) -> list[pa.Array]:
-    return [pa.array(batch_a[lo + lines.text[pick]]), pa.array(batch_b[lo + lines.text[pick]]), pa.array(lines.number[pick].astype(np.int32))]
+    def prefix(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens that end the pairs of the prefixes, and hashes of these pairs."""
+        at = np.flatnonzero(self.place < (2 * (self.n + (-percent * self.n // 100)) + 2)[self.of])
+        before = np.where(self.place[at] > 0, self.token[at - 1], _U(0x1B873593CC9E2D51))
+        return at, mix(mix(before) + self.token[at])
+
+    def parities(self, some: np.ndarray) -> pa.Array:
+        """A list of words for each of some lines: bits that are parities of the tokens that hash to them, as many as the line has tokens or more."""
+        n = self.n[some]
+        size = np.minimum(SKETCH, 1 << np.ceil(np.log2(np.maximum(1, n / 64))).astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.ends[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        bit = (mix(self.token[at] + _U(3)) & np.repeat((64 * size - 1).astype(_U), n)).astype(np.int64) + np.repeat(64 * ends[:-1], n)
+        raw = np.packbits(np.bincount(bit, minlength=64 * ends[-1]) & 1 == 1, bitorder="little")
+        return lists(np.frombuffer(raw.tobytes(), np.int64), ends)
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number and hash of the multiset of words of each line of `least` words or more."""
+    words = Words(data, offsets, fold=True)
+    text, number, new, n = lines_of(words, data, offsets)
+    total = np.add.reduceat(mix(words.hashes ^ _U(7)), new) if len(new) else words.hashes[:0]
+    keep = n >= least
+    return text[keep], number[keep], mix(total + n.astype(_U))[keep]
+
+
+def ids(batch_a: np.ndarray, batch_b: np.ndarray, lo: int, text: np.ndarray, number: np.ndarray) -> list[pa.Array]:
+    return [pa.array(batch_a[lo + text]), pa.array(batch_b[lo + text]), pa.array(number.astype(np.int32))]
 
 
 def line_hash(a: np.ndarray, b: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -145,149 +144,184 @@ def inside(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, line): lines that an earlier line matches."""
+    """(a, b, line): lines that an earlier line matches; b has HASH_BITS bits."""
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
-    keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text"))
+    keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text")).withColumn("b", F.col("b").bitwiseAND(2**HASH_BITS - 1))
+    share = spark.sparkContext.broadcast
 
     def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in blocks(batch.column(0)):
             yield Words(data, offsets, fold=True).hashes
 
     counts = counted(keyed.select("text"), words)
-    # Prefixes hold at most so many tokens of all words: as many tasks as keep each one's share small.
-    width = max(shuffle_width(spark), int(counts.sum(dtype=np.uint64)) * (100 - percent) // 100 // 1_500_000 + 1)
-    levels = spark.sparkContext.broadcast(word_levels(counts))
+    # Prefixes hold at most so many pairs of all words: as many tasks as keep each one's share small.
+    width = max(shuffle_width(spark), int(counts.sum(dtype=np.uint64)) * 2 * (100 - percent) // 100 // 3_000_000 + 1)
+    levels = share(word_levels(counts))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, _, data, offsets in blocks(batch.column(2)):
+                text, number, s1 = signatures(data, offsets, least)
+                yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), *ids(a, b, lo, text, number)], ["s1", "a", "b", "line"])
+
+    # Lines of equal sets: all but the earliest go. Of sets that a bitmap of the repeated ones lets through, only the earliest line is kept on.
+    lines = checkpointed(keyed.mapInArrow(sign, f"s1 long, {_ID}"))
+    sets = checkpointed(lines.groupBy("s1").agg(F.min(F.struct("a", "b", "line")).alias("first"), F.count("*").alias("n")))
+    repeated = sets.where("n > 1")
+    equal = lines.join(repeated, "s1").where("struct(a, b, line) > first").select("a", "b", "line")
+    twice = share(bitmap_of(repeated.select("s1"), lambda t: iter([t.column(0).to_numpy().view(_U)])))
+
+    def leading(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        s1, a, b, line = (c.to_numpy() for c in batch.columns)
+        some = inside(twice.value, s1.view(_U))
+        yield line_hash(a[some], b[some], line[some])
+
+    leaders = share(bitmap_of(sets.select("s1", "first.*"), leading))
+
+    def kept(a: np.ndarray, b: np.ndarray, lo: int, data: np.ndarray, offsets: np.ndarray) -> Lines:
+        """The lines of a block that stand for their sets."""
+        text, number, s1 = signatures(data, offsets, least)
+        go = ~inside(twice.value, s1) | inside(leaders.value, line_hash(a[lo + text], b[lo + text], number))
+        ours = (text[go] << 32) | number[go]
+        return Lines(data, offsets, least, levels.value, lambda t, k: np.isin((t << 32) | k, ours))
+
+    def pairs_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for lo, _, data, offsets in blocks(batch.column(2)):
+            yield kept(a, b, lo, data, offsets).prefix(percent)[1]
+
+    shared = share(shared_tokens(keyed, pairs_of))
 
     def postings(tokens: np.ndarray | None) -> DataFrame:
-        """The tokens at which lines may meet: all, or those in a bitmap. Then repeats of equal lines are posted too."""
-        asked = spark.sparkContext.broadcast(tokens)
+        """The pairs of tokens at which lines may meet: all, or those in a bitmap."""
+        asked = share(tokens)
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            posted = Posted()
             for batch in batches:
                 a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 for lo, _, data, offsets in blocks(batch.column(2)):
-                    own = Lines(data, offsets, least, levels.value)
-                    s1, *maps = own.signs()
-                    may = 100 * own.common >= percent * own.n  # a partner shares that many at least
-                    if asked.value is None:
-                        gone, covered = posted.repeats(s1, own.n, a[lo + own.text], b[lo + own.text], own.number)
-                        may &= ~covered
-                        again = np.flatnonzero(gone)
-                    else:
-                        again = np.zeros(0, np.int64)
-                    prefix = own.n + (-percent * own.n // 100) + 1
-                    at = np.flatnonzero((own.place < prefix[own.of]) & may[own.of] & (own.level > 0))
-                    if asked.value is not None:
-                        at = at[inside(asked.value, own.token[at])]
-                    i = np.concatenate([own.of[at], again])
-                    token = np.concatenate([own.token[at], mix(s1[again] ^ line_hash(a[lo + own.text[again]], b[lo + own.text[again]], own.number[again]))])
-                    size = (own.n[i] << 32) | np.concatenate([own.place[at], np.full(len(again), 0xFFFFFFFF)])
+                    own = kept(a, b, lo, data, offsets)
+                    at, token = own.prefix(percent)
+                    some = shared.value(token) > 0 if asked.value is None else inside(asked.value, token)
+                    at, token = at[some], token[some]
+                    of = own.of[at]
+                    some, row = np.unique(of, return_inverse=True)
+                    size = (own.n[of] << 32) | np.maximum(own.place[at] - 1, 0)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(token.view(np.int64)), *ids(a, b, lo, own, i), pa.array(s1[i].view(np.int64)), pa.array(size), *[pa.array(m[i].view(np.int64)) for m in maps]],
-                        ["token", "a", "b", "line", "s1", "size", "m1", "m2"],
+                        [pa.array(token.view(np.int64)), *ids(a, b, lo, own.text[of], own.number[of]), pa.array(size), own.parities(some).take(pa.array(row))],
+                        ["token", "a", "b", "line", "size", "bits"],
                     )
 
-        return keyed.mapInArrow(post, f"token long, {_ID}, s1 long, size long, m1 long, m2 long")
+        return keyed.mapInArrow(post, f"token long, {_ID}, size long, bits array<long>")
 
     schema = "xa long, xb long, xline int, ya long, yb long, yline int, kind int"
-    rows = postings(None).repartition(width, "token").sortWithinPartitions("token", "size", "s1", "a", "b", "line")
-    # Kinds: 0 a pair, 1 a pair of a line that has more candidates, 2 a line that equals an earlier one, 3 a line not compared with all.
+    rows = postings(None).repartition(width, "token").sortWithinPartitions("token", "size")
+    # Kinds: 0 a pair, 1 a pair of a line that has more candidates, 3 a line not compared with all.
     met = rows.mapInArrow(lambda batches: meet(batches, percent), schema).groupBy("xa", "xb", "xline", "ya", "yb", "yline").agg(F.max("kind").alias("kind"))
     met = checkpointed(met)
     x = [F.col(f"x{c}").alias(c) for c in ("a", "b", "line")]
-    found = met.where("kind = 2").select(*x).union(checkpointed(verified(met.where("kind < 2"), keyed, percent, least)))
+    found = checkpointed(verified(met.where("kind < 2"), keyed, percent, least))
     rest = checkpointed(met.where("kind in (1, 3)").select(*x).distinct().join(found, ["a", "b", "line"], "left_anti"))
     if not rest.isEmpty():
-        lost = spark.sparkContext.broadcast(bitmap_of(rest, lambda t: iter([line_hash(*(t.column(k).to_numpy() for k in range(3)))])))
+        lost = share(bitmap_of(rest, lambda t: iter([line_hash(*(t.column(k).to_numpy() for k in range(3)))])))
 
         def tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                own = Lines(data, offsets, least, levels.value, lambda t, k: inside(lost.value, line_hash(a[lo + t], b[lo + t], k)))
-                prefix = own.n + (-percent * own.n // 100) + 1
-                yield own.token[(own.place < prefix[own.of]) & (own.level > 0)]
+                yield Lines(data, offsets, least, levels.value, lambda t, k: inside(lost.value, line_hash(a[lo + t], b[lo + t], k))).prefix(percent)[1]
 
         posted = postings(np.packbits(counted(keyed, tokens_of) > 0)).withColumns({"n": F.shiftright("size", 32), "place": F.col("size").bitwiseAND(0xFFFFFFFF)}).drop("size")
-        # Equal lines match the same lines: the earliest stands for all that are earlier than the one that asks.
-        first = posted.groupBy("token", "s1", "n", "place", "m1", "m2").agg(F.min(F.struct("a", "b", "line")).alias("id")).select("token", "s1", "n", "place", "m1", "m2", "id.*")
         seekers = posted.join(rest, ["a", "b", "line"], "left_semi").alias("x")
-        found = found.union(verified(checkpointed(candidates(seekers, first.alias("y"), percent)), keyed, percent, least))
-    return found.distinct()
+        found = found.union(verified(checkpointed(candidates(seekers, posted.alias("y"), percent)), keyed, percent, least))
+    return found.union(equal).distinct()
 
 
 def candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     """(xa, xb, xline, ya, yb, yline): lines of x with each earlier one of y that passes the filters at a shared token."""
     need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
-    differ: Column = F.bit_count(F.col("x.m1").bitwiseXOR(F.col("y.m1"))) + F.bit_count(F.col("x.m2").bitwiseXOR(F.col("y.m2")))
+    fold = lambda s: F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.when(F.size(f"{s}.bits") > words, F.col(f"{s}.bits")[i].bitwiseXOR(F.col(f"{s}.bits")[i + words])).otherwise(F.col(f"{s}.bits")[i]))
+    words = F.least(F.size("x.bits"), F.size("y.bits"))
+    differ: Column = F.aggregate(F.zip_with(fold("x"), fold("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, c: total + c)
     on = (
         (F.col("x.token") == F.col("y.token"))
         & (F.struct("y.a", "y.b", "y.line") < F.struct("x.a", "x.b", "x.line"))
-        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need)
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & (F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need)
         & (differ <= F.col("x.n") + F.col("y.n") - 2 * need)
     )
     return x.join(y, on).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("a", "b", "line")]).distinct()
 
 
 def meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines at the tokens of this task, whose rows come sorted by token, size, set and id."""
+    """Pairs of lines at the tokens of this task, whose rows come sorted by token and size."""
     names = ["xa", "xb", "xline", "ya", "yb", "yline", "kind"]
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, ...]] = []
 
     def rows_of(own: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(own[c][k]) for k in (x, y) for c in (1, 2, 3)] + [pa.array(kind.astype(np.int32))], names)
 
     def compare(cols: tuple[np.ndarray, ...], cut_before: bool, cut_after: bool) -> Iterator[pa.RecordBatch]:
         """Rows of whole tokens, but for the first or the last if they are cut: lines of those are left open."""
-        token, a, b, line, s1, size, m1, m2 = cols
+        token, a, b, line, size, words, bits = cols
         n, place = size >> 32, size & 0xFFFFFFFF
-        same = lambda v: v[1:] == v[:-1]
-        alone = place == 0xFFFFFFFF  # lines that equal an earlier one of their task
-        new = np.concatenate([[True], ~(same(token) & same(s1) & same(size))])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        itself = (a == a[lead]) & (b == b[lead]) & (line == line[lead])
-        gone = np.flatnonzero(alone | (~new & ~itself & (place == 0)))
-        if len(gone):
-            yield rows_of(cols, gone, gone, np.full(len(gone), 2))
-        edge = np.concatenate([[True], ~same(token)])
+        first = np.cumsum(words) - words
+        bits = bits.view(_U)  # bits of signed numbers are counted without their sign
+
+        def differing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            both = np.minimum(words[i], words[j])
+            out = np.zeros(len(i), np.int64)
+            for w in range(int(both.max(initial=0))):
+                at = np.flatnonzero(both > w)
+                p, q, k = i[at], j[at], both[at]
+                fold = lambda r: bits[first[r] + w] ^ np.where(words[r] > k, bits[np.minimum(first[r] + w + k, len(bits) - 1)], _U(0))  # noqa: B023, E731
+                out[at] += np.bitwise_count(fold(p) ^ fold(q))
+            return out
+
+        edge = np.concatenate([[True], token[1:] != token[:-1]])
         group = np.cumsum(edge) - 1
         many = np.bincount(group)[group] > HELD
         many |= (cut_before & (group == 0)) | (cut_after & (group == group[-1]))
-        left = np.flatnonzero(many & new & ~alone)
+        left = np.flatnonzero(many)
         if len(left):
             yield rows_of(cols, left, left, np.full(len(left), 3))
-        keep = np.flatnonzero(new & ~alone)
-        own = tuple(v[keep] for v in cols)
         # Oversized tokens are compared in stretches of HELD lines, which have near sizes.
-        part = (np.arange(len(keep)) - np.searchsorted(group[keep], group[keep])) // HELD
-        a, b, line, n, place = own[1], own[2], own[3], n[keep], place[keep]
-        m1, m2 = own[6].view(_U), own[7].view(_U)  # bits of signed numbers are counted without their sign
-        stretch = np.cumsum(np.concatenate([[True], (group[keep][1:] != group[keep][:-1]) | (part[1:] != part[:-1])]) if len(keep) else np.zeros(0, bool))
-        had, more = np.zeros(len(keep), np.int32), np.zeros(len(keep), bool)
+        part = (np.arange(len(token)) - np.searchsorted(group, group)) // HELD
+        stretch = np.cumsum(edge | np.concatenate([[True], part[1:] != part[:-1]]))
+        close, had, more = np.zeros(len(token), np.int32), np.zeros(len(token), np.int32), np.zeros(len(token), bool)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        j, lag = np.arange(len(keep)), 1
+        j, lag = np.arange(len(token)), 1
         while len(j):
             j = j[j >= lag]
             i = j - lag
             near = (stretch[i] == stretch[j]) & (100 * n[i] >= percent * n[j])  # sizes ascend: what fails now fails at larger lags
             i, j = i[near], j[near]
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            p = np.flatnonzero(np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
-            p = p[np.bitwise_count(m1[i[p]] ^ m1[j[p]]).astype(np.int64) + np.bitwise_count(m2[i[p]] ^ m2[j[p]]) <= n[i[p]] + n[j[p]] - 2 * need[p]]
-            if len(p):
-                u, v = i[p], j[p]
-                after = (a[v] > a[u]) | ((a[v] == a[u]) & ((b[v] > b[u]) | ((b[v] == b[u]) & (line[v] > line[u]))))
-                x, y = np.where(after, v, u), np.where(after, u, v)
-                open_ = had[x] < PARTNERS
-                more[x[~open_]] = True
-                x, y = x[open_], y[open_]
+            p = np.flatnonzero(np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
+            p = p[(a[i[p]] != a[j[p]]) | (b[i[p]] != b[j[p]]) | (line[i[p]] != line[j[p]])]  # not the line of a repeated row
+            u, v = i[p], j[p]
+            most = n[u] + n[v] - 2 * need[p]
+            after = (a[v] > a[u]) | ((a[v] == a[u]) & ((b[v] > b[u]) | ((b[v] == b[u]) & (line[v] > line[u]))))
+            x, y = np.where(after, v, u), np.where(after, u, v)
+            open_ = (close[x] < CLOSE) & (had[x] < PARTNERS)
+            differ = np.full(len(p), -1)
+            differ[open_] = differing(u[open_], v[open_])
+            more[x[~open_]] = True
+            ok = open_ & (differ <= most)
+            x, y, differ, most = x[ok], y[ok], differ[ok], most[ok]
+            if len(x):
                 np.add.at(had, x, 1)
+                np.add.at(close, x[2 * differ <= most], 1)
                 out.append((x, y))
             lag += 1
         if out:
             x, y = (np.concatenate(z) for z in zip(*out, strict=True))
-            yield rows_of(own, x, y, more[x])
+            yield rows_of(cols, x, y, more[x])
+
+    def cut_at(own: tuple[np.ndarray, ...], lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        ends = np.concatenate([[0], np.cumsum(own[5])])
+        return (*[c[lo:hi] for c in own[:6]], own[6][ends[lo] : ends[hi]])
 
     def whole(last: bool, before: bool) -> Iterator[pa.RecordBatch]:
         """Compares what is held, up to its last token unless that is all, and keeps the rest."""
@@ -297,15 +331,16 @@ def meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
         cut = not last and to == 0  # one token fills all
         if cut:
             to = len(cols[0])
-        yield from compare(tuple(c[:to] for c in cols), before, cut)
+        yield from compare(cut_at(cols, 0, to), before, cut)
         if to < len(cols[0]):
-            held.append(tuple(c[to:] for c in cols))
+            held.append(cut_at(cols, to, len(cols[0])))
 
     size, cut_token = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(tuple(c.to_numpy() for c in batch.columns))
+        bits, ends = list_parts(batch.column(5))
+        held.append((*[c.to_numpy() for c in batch.columns[:5]], np.diff(ends), bits))
         size += batch.num_rows
         if size >= GATHERED:
             before, end = held[0][0][0] == cut_token if cut_token is not None else False, held[-1][0][-1]
@@ -334,7 +369,7 @@ def verified(pairs: DataFrame, keyed: DataFrame, percent: int, least: int) -> Da
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
                 own = Lines(data, offsets, least, None, lambda text, number: inside(shared.value, line_hash(a[lo + text], b[lo + text], number)))  # noqa: B023
-                yield pa.RecordBatch.from_arrays([*ids(a, b, lo, own, np.arange(len(own.n))), lists(own.token, own.ends)], ["a", "b", "line", "tokens"])
+                yield pa.RecordBatch.from_arrays([*ids(a, b, lo, own.text, own.number), lists(own.token, own.ends)], ["a", "b", "line", "tokens"])
 
     found = keyed.mapInArrow(sets, f"{_ID}, tokens array<long>").groupBy("a", "b", "line").agg(F.first("tokens").alias("tokens"))  # equal rows have equal lines
     side = lambda s: found.select(*[F.col(c).alias(f"{s}{c}") for c in ("a", "b", "line", "tokens")])
@@ -351,9 +386,11 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int =
     of anything but ASCII white space, A-Z folded. Lines of fewer words than `least_words` stay and
     match nothing; by default those are the blank ones. A null text stays null and has no lines. A
     null id sorts first; among rows of one id, order is by a hash of the text; rows that repeat an id
-    and text count as one. An empty table gives an empty result. Columns of the two names are replaced,
+    and text count as one. `percent` is more than 50. An empty table gives an empty result. Columns of the two names are replaced,
     all others kept, whatever they are called.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be more than 50, at most 100")
     made = ("kept_text", "removed_lines")
     p = free_prefix(docs)
     a, b, text, lost, may = (p + x for x in ("a", "b", "text", "lost", "may"))
@@ -370,7 +407,7 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int =
         return pd.Series(inside(asked.value, mix(a.to_numpy().astype(np.int64).view(_U)) ^ b.to_numpy().astype(np.int64).view(_U)))
 
     may_lose.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    rows = docs.select(*others, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(may, F.pandas_udf(may_lose, "boolean")(a, b))
+    rows = docs.select(*others, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(b, F.col(b).bitwiseAND(2**HASH_BITS - 1)).withColumn(may, F.pandas_udf(may_lose, "boolean")(a, b))
     untouched = rows.where(~F.col(may)).select(*others, F.col(text).alias("kept_text"), F.array().cast("array<int>").alias("removed_lines"))
     touched = rows.where(may).join(gone, [a, b], "left")
     numbers = F.coalesce(lost, F.array().cast("array<int>"))

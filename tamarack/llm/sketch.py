@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .common import mix
 
 #: Counters (a power of two) and the rows that they travel in.
-COUNTERS, SLICES = 1 << 24, 16
+COUNTERS, SLICES = 1 << 24, 32
 
 
 def counter_of(values: np.ndarray) -> np.ndarray:
@@ -32,19 +32,20 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator], la
             if 8 * len(some) < part.nbytes // 2:  # few: their places and counts
                 raw = b"\0" + some.tobytes() + part[some].astype(np.uint32).tobytes()
             else:
-                raw = b"\1" + zlib.compress(part.astype(np.uint32).tobytes(), 1)
+                own = part.astype(np.uint16 if part.max() < 65536 else np.uint32)
+                raw = bytes([own.itemsize]) + zlib.compress(own.tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["slice", "counts"])
 
     def read(raw: bytes) -> np.ndarray:
         if raw[0]:
-            return np.frombuffer(zlib.decompress(raw[1:]), np.uint32)
+            return np.frombuffer(zlib.decompress(raw[1:]), np.uint16 if raw[0] == 2 else np.uint32).astype(np.uint32)
         n = (len(raw) - 1) // 8
         part = np.zeros(COUNTERS // SLICES, np.uint32)
         part[np.frombuffer(raw, np.int32, n, 1)] = np.frombuffer(raw, np.uint32, n, 1 + 4 * n)
         return part
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(COUNTERS, np.uint16 if largest else np.uint32)
+        own = np.zeros(COUNTERS, np.uint16)  # a task counts to 65535
         for batch in batches:
             for values in values_of(batch):
                 if largest:
@@ -52,8 +53,8 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator], la
                     continue
                 at = np.sort(counter_of(values))
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
-                n = np.diff(np.append(first, len(at))).astype(np.uint32)
-                own[at[first]] += np.minimum(n, np.uint32(2**31) - np.minimum(own[at[first]], np.uint32(2**31)))
+                n = np.diff(np.append(first, len(at)))
+                own[at[first]] += np.minimum(n, 65535 - own[at[first]].astype(np.int64)).astype(np.uint16)
         yield from batch_of({k: part for k, part in enumerate(np.split(own, SLICES)) if part.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,6 +78,7 @@ def test_lines(docs, rows):
 
 def test_lines_with_few_partners(docs, rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "PARTNERS", 1)  # the full join must find the rest
+    monkeypatch.setattr(line_dedup, "CLOSE", 0)
     got = {r.doc_id: r.removed_lines for r in line_dedup.remove_repeated_lines(docs).collect()}
     assert got == lines_gone(rows)
 
