@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("precision", "recall", "ndcg", "mrr")
+#: Fixed value: the name of the evaluation protocol.
+PROTOCOL = "per_user_temporal_80_10_10_pos4_full"
 
 
 def relevant(holdout: DataFrame, threshold: float = 4.0) -> DataFrame:

@@ -60,16 +60,18 @@ def normalized_edges(pairs: DataFrame) -> DataFrame:
     return rows.select("src", "dst", (F.col("k") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
 
 
-def propagate(edges: DataFrame, vectors: DataFrame, layers: int = 2) -> DataFrame:
-    """(node, pos, x): mean of x0 and of `layers` rounds of x <- A x, from vectors(node, pos, x)."""
+def propagate(edges: DataFrame, vectors: DataFrame, width: int, layers: int = 2) -> DataFrame:
+    """(node, x): mean of x0 and of `layers` rounds of x <- A x, from vectors(node, x) of `width` components; a missing vector counts as zero."""
     from ..session import checkpointed
 
+    def summed(rows: DataFrame, by: str, scale: Column) -> DataFrame:
+        return rows.groupBy(F.col(by).alias("node")).agg(F.array(*[F.sum(scale * F.col("x")[i]) for i in range(width)]).alias("x"))
+
     now, total = vectors, vectors
     for _ in range(layers):
-        step = edges.join(now, edges.dst == now.node).groupBy(F.col("src").alias("node"), "pos").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-        now = checkpointed(step)
+        now = checkpointed(summed(edges.join(now, edges.dst == now.node), "src", F.col("w")))
         total = total.union(now)
-    return total.groupBy("node", "pos").agg((F.sum("x") / (layers + 1)).alias("x"))
+    return summed(total, "node", F.lit(1.0 / (layers + 1)))
 
 
 def item_knn(positives: DataFrame, neighbours: int = 20) -> DataFrame:
@@ -90,33 +92,50 @@ def warp_loss(scores: DataFrame, margin: float = 1.0) -> DataFrame:
     return scores.agg(F.avg(F.greatest(F.lit(0.0), margin - F.col("pos") + F.col("neg")) * F.col("weight")).alias("warp_loss"))
 
 
-def sampled_negatives(positives: DataFrame, items: DataFrame, draws: int = 8, seed: int = 42) -> DataFrame:
-    """positives with `negative`: the first of a pair's hashed draws that its user has no positive for."""
-    numbered = items.select("movieId").distinct()
+def _numbered(positives: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items with dense numbers from 0; users with `own`, `n` (numbers of their positives and of all items); positives with those numbers."""
     from .prepare import dense_ids
 
-    numbered = dense_ids(numbered, "movieId", start=0)
-    n = numbered.agg(F.count("*").alias("n"))
-    rows = positives.crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.withColumn("dense_id", F.pmod(F.xxhash64("userId", "movieId", "draw", F.lit(seed)), F.col("n")))
-    drawn = rows.join(numbered.withColumnRenamed("movieId", "negative"), "dense_id")
-    seen = positives.select("userId", F.col("movieId").alias("negative")).distinct()
-    free = drawn.join(seen, ["userId", "negative"], "left_anti")
-    return free.groupBy("userId", "movieId").agg(F.min_by("negative", "draw").alias("negative"))
+    numbered = dense_ids(items.select("movieId").distinct(), "movieId", start=0)
+    known = positives.select("userId", "movieId").distinct().join(numbered, "movieId")
+    total = numbered.agg(F.count("*").alias("n"))
+    sizes = positives.select("userId").distinct().join(known.groupBy("userId").agg(F.count("*").alias("own")), "userId", "left")
+    return numbered, sizes.select("userId", F.coalesce("own", F.lit(0)).alias("own")).crossJoin(F.broadcast(total)), known
 
 
-def warp_negatives(positives: DataFrame, items: DataFrame, score: DataFrame, margin: float = 1.0, draws: int = 8, seed: int = 42) -> DataFrame:
-    """userId, movieId, negative, weight: the first draw that violates the margin; none: the last draw with weight 0.
+def free_items(asked: DataFrame, numbered: DataFrame, known: DataFrame) -> DataFrame:
+    """asked(userId, place, ...) with `negative`: the item in that place (from 0) among those that are no positive of the user.
 
-    score(userId, movieId, score) gives the scores of pairs; missing ones count as 0.
+    The k-th free number is k plus the positives before it: those whose number less their place
+    among the user's positives is k or less. Places beyond the free items give no row.
     """
-    from .prepare import dense_ids
+    own = known.withColumn("shift", F.col("dense_id") - F.row_number().over(Window.partitionBy("userId").orderBy("dense_id")) + 1)
+    before = asked.select("userId", "place").distinct().join(own.select("userId", "shift"), "userId").where("shift <= place").groupBy("userId", "place").agg(F.count("*").alias("skipped"))
+    at = asked.join(before, ["userId", "place"], "left").withColumn("dense_id", F.col("place") + F.coalesce("skipped", F.lit(0)))
+    return at.join(numbered.withColumnRenamed("movieId", "negative"), "dense_id").drop("skipped", "dense_id")
 
-    numbered = dense_ids(items.select("movieId").distinct(), "movieId", start=0)
-    sizes = positives.groupBy("userId").agg(F.countDistinct("movieId").alias("own")).crossJoin(F.broadcast(numbered.agg(F.count("*").alias("n"))))
-    rows = positives.select("userId", "movieId").join(sizes, "userId").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    rows = rows.withColumn("dense_id", F.pmod(F.xxhash64("userId", "movieId", "draw", F.lit(seed)), F.col("n"))).join(numbered.withColumnRenamed("movieId", "negative"), "dense_id")
-    rows = rows.join(positives.select("userId", F.col("movieId").alias("negative")).distinct(), ["userId", "negative"], "left_anti")
+
+def sampled_negatives(positives: DataFrame, items: DataFrame, seed: int = 42) -> DataFrame:
+    """positives with `negative`: an item that its user has no positive for, drawn evenly by a hash of the pair.
+
+    Only pairs of users who have every item as a positive are left out: they have no negative.
+    """
+    numbered, sizes, known = _numbered(positives, items)
+    rows = positives.select("userId", "movieId").distinct().join(sizes.where("own < n"), "userId")
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("userId", "movieId", F.lit(seed)), F.col("n") - F.col("own")))
+    return free_items(rows, numbered, known).select("userId", "movieId", "negative")
+
+
+def warp_negatives(positives: DataFrame, items: DataFrame, score: DataFrame, margin: float = 1.0, trials: int = 20, seed: int = 42) -> DataFrame:
+    """userId, movieId, negative, weight: the first of `trials` drawn negatives that violates the margin; none: the last with weight 0.
+
+    score(userId, movieId, score) gives the scores of pairs; missing ones count as 0. Draws are even
+    among the items that the user has no positive for; users without such items are left out.
+    """
+    numbered, sizes, known = _numbered(positives, items)
+    rows = positives.select("userId", "movieId").distinct().join(sizes.where("own < n"), "userId").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("userId", "movieId", "draw", F.lit(seed)), F.col("n") - F.col("own")))
+    rows = free_items(rows, numbered, known)
     rows = rows.join(score.withColumnRenamed("score", "pos"), ["userId", "movieId"], "left").join(score.select("userId", F.col("movieId").alias("negative"), F.col("score").alias("neg")), ["userId", "negative"], "left")
     rows = rows.withColumn("hit", margin - F.coalesce("pos", F.lit(0.0)) + F.coalesce("neg", F.lit(0.0)) > 0)
     rank = F.log(1 + F.greatest(F.lit(1.0), F.floor((F.col("n") - F.col("own") - 1) / F.col("draw"))))

@@ -108,7 +108,7 @@ def _(t):
     return split.rated_movies(t.movies, t.ratings).select("movieId")
 
 
-@query("j06_warm_cold", f"with {SPLIT} select userId, movieId, rating, timestamp, case when movieId in (select movieId from sp where split = 'train') then 'warm' else 'cold' end as segment from sp where split = 'test'")
+@query("j06_warm_cold", f"with {SPLIT} select userId, sp.movieId, rating, timestamp, case when k.movieId is not null then 'warm' else 'cold' end as segment from sp left join (select distinct movieId from sp where split = 'train') k on k.movieId = sp.movieId where split = 'test'")
 def _(t):
     s = split.temporal_split(t.ratings)
     return split.segments(s.where("split = 'test'").drop("split"), s.where("split = 'train'"))

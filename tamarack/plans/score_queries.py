@@ -9,12 +9,12 @@ from ..functions import vectors as V
 from ..operators import catalog, content, evaluate, extract, leaderboard, prepare, rank, scores, split
 from .prep_queries import SCORED, SPLIT
 from .registry import query
+from .text_queries import VALID
 
 POP = "pop as (select m.movieId, coalesce(avg / 5 * ln(1 + n) / ln(1 + top), 0) as popularity from movies m left join (select movieId, avg(rating) as avg, count(*) as n from ratings group by movieId) s on m.movieId = s.movieId, (select max(n) as top from (select count(*) as n from ratings group by movieId)))"
 DOT = "list_sum(list_transform(range(1, 65), lambda i: cast({a}[i] as double) * cast({b}[i] as double)))"
 BIAS = "mu as (select avg(rating) as mu from ratings), bu as (select userId, (avg(rating) - any_value(mu)) * count(*) / (count(*) + 5.0) as bu from ratings, mu group by userId), bi as (select movieId, (avg(rating) - any_value(mu)) * count(*) / (count(*) + 5.0) as bi from ratings, mu group by movieId)"
-#: Users that the SQL of whole user x catalog tables is checked on, as the reference limits its evaluated users.
-SOME = "select distinct userId from ratings where userId in (select userId from ratings group by userId having count(*) >= 20)"
+USERS = "select distinct userId from ratings"
 
 
 @query("a02_popularity", f"with {POP} select movieId, round(popularity, 6) as popularity from pop")
@@ -109,17 +109,12 @@ def _(t):
     return content.similar_by_vectors(t.vectors(), 5).withColumn("score", F.round("score", 6))
 
 
-PROFILE = f"liked as (select distinct userId, movieId from ratings where rating >= 4 and userId in ({SOME})), prof as (select userId, term, sum(w) / any_value(n) as p from liked join tw using (movieId) join (select userId, count(*) as n from liked group by userId) using (userId) group by userId, term)"
+PROFILE = f"liked as (select distinct userId, movieId from ratings where rating >= 4), prof as (select userId, term, sum(w) / any_value(n) as p from liked join tw using (movieId) join (select userId, count(*) as n from liked group by userId) using (userId) group by userId, term)"
 CONTENT = f"pl as (select userId, sqrt(sum(p * p)) as pl from prof group by userId), cs as (select prof.userId, tw.movieId, round(sum(p * w) / any_value(pl), 10) as score from prof join tw using (term) join pl on pl.userId = prof.userId group by all)"
 
 
-def _some(t):
-    return t.ratings.groupBy("userId").agg(F.count("*").alias("n")).where("n >= 20").select("userId")
-
-
 def _profile(t):
-    liked = t.ratings.where("rating >= 4").join(_some(t), "userId", "left_semi")
-    return content.profiles(liked, _weights(t))
+    return content.profiles(t.ratings.where("rating >= 4"), _weights(t))
 
 
 @query("c08_profiles", f"with {ALL}, {PROFILE} select userId, term, round(p, 6) as p from prof")
@@ -127,16 +122,24 @@ def _(t):
     return _profile(t).withColumn("p", F.round("p", 6))
 
 
-@query("c09_profile_scores", f"with {ALL}, {PROFILE}, {CONTENT} select userId, movieId, floor(score * 10000 + 0.5) / 10000 as score from cs")
+def _per_user(df):
+    """All scores of a user in one row: their number, their sum, and their sum weighted by item, so that any wrong one shows."""
+    weight = F.col("movieId") % 97 + 1
+    return df.groupBy("userId").agg(F.count("*").alias("items"), F.round(F.sum("score"), 3).alias("total"), F.round(F.sum(F.col("score") * weight), 2).alias("weighted"))
+
+
+PER_USER = "select userId, count(*) as items, round(sum(score), 3) as total, round(sum(score * (movieId % 97 + 1)), 2) as weighted from"
+
+
+@query("c09_profile_scores", f"with {ALL}, {PROFILE}, {CONTENT} {PER_USER} cs group by userId")
 def _(t):
-    return content.profile_scores(_profile(t), _weights(t)).withColumn("score", F.floor(F.col("score") * 10000 + 0.5) / 10000)
+    return _per_user(content.profile_scores(_profile(t), _weights(t)))
 
 
-@query("c10_content_top_k", f"with {ALL}, {PROFILE.replace('rating >= 4 and ', '')}, {CONTENT} select userId, movieId, rank from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from cs where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10")
+@query("c10_content_top_k", f"with {ALL}, {PROFILE.replace(' where rating >= 4', '')}, {CONTENT} select userId, movieId, rank from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from cs where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10")
 def _(t):
-    watched = t.ratings.join(_some(t), "userId", "left_semi")
     w = _weights(t)
-    return rank.top_k(content.profile_scores(content.profiles(watched, w), w), 10, watched).select("userId", "movieId", "rank")
+    return rank.top_k(content.profile_scores(content.profiles(t.ratings, w), w), 10, t.ratings).select("userId", "movieId", "rank")
 
 
 @query("c11_user_vectors", "with h as (select *, max(case when rating >= 4 then 1 else 0 end) over (partition by userId) as has from ratings), r as (select userId, i, avg(cast(embedding[i] as double)) as x from h join embeddings on vec_id = movieId, range(1, 65) g(i) where has = 0 or rating >= 4 group by userId, i) select userId, cast(i - 1 as bigint) as pos, round(x / greatest(sqrt(sum(x * x) over (partition by userId)), 1e-12), 6) as x from r")
@@ -197,9 +200,9 @@ def _(t):
     return rows.select("movieId", F.round(F.col("mu") + F.col("mb") + F.coalesce("bias", F.lit(0.0)) + V.dot(F.col("factors"), F.col("p")), 6).alias("score"))
 
 
-@query("m05_dot_scores", f"select a.vec_id as userId, b.vec_id as movieId, round({DOT.format(a='a.embedding', b='b.embedding')}, 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id % 10 = 0")
+@query("m05_dot_scores", f"select a.vec_id as userId, b.vec_id as movieId, round({DOT.format(a='a.embedding', b='b.embedding')}, 6) as score from embeddings a join embeddings b on a.label = b.label")
 def _(t):
-    a = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("userId"), F.col("embedding").alias("p"), "label")
+    a = t.embeddings.select(F.col("vec_id").alias("userId"), F.col("embedding").alias("p"), "label")
     b = t.embeddings.select(F.col("vec_id").alias("movieId"), F.col("embedding").alias("q"), "label")
     return a.join(b, "label").select("userId", "movieId", F.round(V.dot(F.col("p"), F.col("q")), 6).alias("score"))
 
@@ -226,13 +229,14 @@ def _(t):
     return _edges(t).withColumn("w", F.round("w", 6))
 
 
-X0 = "x0 as (select 'i' || vec_id as node, cast(i - 1 as bigint) as pos, cast(embedding[i] as double) as x from embeddings, range(1, 5) r(i))"
+X0 = "x0 as (select 'i' || vec_id as node, cast(i - 1 as bigint) as pos, cast(embedding[i] as double) as x from embeddings, range(1, 65) r(i))"
 X2 = "x1 as (select src as node, pos, sum(w * x) as x from ed join x0 on dst = node group by all), x2 as (select src as node, pos, sum(w * x) as x from ed join x1 on dst = node group by all), xs as (select node, pos, sum(x) / 3 as x from (select * from x0 union all select * from x1 union all select * from x2) group by all)"
 
 
 def _propagated(t):
-    x0 = t.embeddings.select(F.concat(F.lit("i"), F.col("vec_id").cast("string")).alias("node"), F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "x")).withColumns({"pos": F.col("pos").cast("long"), "x": F.col("x").cast("double")})
-    return scores.propagate(_edges(t), x0, 2)
+    x0 = t.embeddings.select(F.concat(F.lit("i"), F.col("vec_id").cast("string")).alias("node"), F.col("embedding").cast("array<double>").alias("x"))
+    out = scores.propagate(_edges(t), x0, 64, 2)
+    return out.select("node", F.posexplode("x").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("m08_propagation", f"with {EDGES.replace('pos as', 'ps as').replace('from pos', 'from ps')}, {X0}, {X2} select node, pos, round(x, 6) as x from xs")
@@ -254,11 +258,10 @@ def _(t):
     return scores.known_pairs(t.ratings.where("rating >= 4"), t.ratings, t.vectors()).select("userId", "movieId").distinct()
 
 
-@query("m11_negative_candidates", f"select userId, (select count(*) from movies) - count(distinct movieId) as n from ratings where rating >= 4 and userId in ({SOME}) group by userId")
+@query("m11_negative_candidates", "select userId, (select count(*) from movies) - count(distinct movieId) as n from ratings where rating >= 4 group by userId")
 def _(t):
-    users = t.ratings.where("rating >= 4").join(_some(t), "userId", "left_semi").select("userId", "movieId").distinct()
-    pairs = users.select("userId").distinct().crossJoin(F.broadcast(t.movies.agg(F.collect_list("movieId").alias("all")))).select("userId", F.explode("all").alias("movieId"))
-    return pairs.join(users, ["userId", "movieId"], "left_anti").groupBy("userId").agg(F.count("*").alias("n"))
+    own = t.ratings.where("rating >= 4").join(t.movies, "movieId", "left_semi").groupBy("userId").agg(F.countDistinct("movieId").alias("own"))
+    return own.crossJoin(F.broadcast(t.movies.agg(F.count("*").alias("all")))).select("userId", (F.col("all") - F.col("own")).alias("n"))
 
 
 @query("m12_sampled_negatives")
@@ -283,16 +286,18 @@ def _(t):
     return scores.warp_loss(rows).select(F.round("warp_loss", 6).alias("warp_loss"))
 
 
-@query("m16_popular", f"with {SPLIT}, p as (select movieId, count(*) as n from (select distinct userId, movieId from sp where split = 'train' and rating >= 4) group by movieId), seen as (select distinct userId, movieId from sp where split = 'train') select userId, movieId, rank from (select u.userId, p.movieId, row_number() over (partition by u.userId order by n desc, p.movieId) as rank from ({SOME}) u, p where (u.userId, p.movieId) not in (select (userId, movieId) from seen)) where rank <= 10")
+@query("m16_popular", f"with {SPLIT}, p as (select movieId, count(*) as n from (select distinct userId, movieId from sp where split = 'train' and rating >= 4) group by movieId), seen as (select distinct userId, movieId from sp where split = 'train') select userId, movieId, rank from (select u.userId, p.movieId, row_number() over (partition by u.userId order by n desc, p.movieId) as rank from ({USERS}) u, p where (u.userId, p.movieId) not in (select (userId, movieId) from seen)) where rank <= 10")
 def _(t):
     train = split.temporal_split(t.ratings).where("split = 'train'")
     pop = train.where("rating >= 4").groupBy("movieId").agg(F.countDistinct("userId").cast("double").alias("score"))
-    seen = train.join(_some(t), "userId", "left_semi").select("userId", "movieId").distinct()
-    # A user's best 10 unseen are among the first (10 + seen) of the common order.
-    order = pop.withColumn("o", F.row_number().over(Window.orderBy(F.desc("score"), "movieId")))  # catalog-sized
-    need = seen.groupBy("userId").agg((F.count("*") + 10).alias("need"))
-    rows = need.join(F.broadcast(order), F.col("o") <= F.col("need")).select("userId", "movieId", "score")
-    return rank.top_k(rows, 10, seen).select("userId", "movieId", "rank")
+    return _first_unseen(pop, train.select("userId", "movieId").distinct()).select("userId", "movieId", "rank")
+
+
+def _first_unseen(pop, seen, k=10):
+    """The k best of pop(movieId, score) that each user of seen(userId, movieId) has not seen: among the first (k + seen) places of the common order."""
+    order = prepare.dense_ids(pop, "movieId", order=F.struct((-F.col("score")).alias("s"), F.col("movieId").alias("m")), out="place").join(pop, "movieId")
+    need = seen.groupBy("userId").agg(F.explode(F.sequence(F.lit(1), (F.count("*") + k).cast("int"))).alias("place"))
+    return rank.top_k(need.join(order, "place").select("userId", "movieId", "score"), k, seen)
 
 
 KNN = "ps as (select distinct userId, movieId from ratings where rating >= 4), n as (select movieId, count(*) as n from ps group by movieId), kn as (select *, row_number() over (partition by movieId order by similarity desc, otherId) as place from (select a.movieId, b.movieId as otherId, round(count(*) / sqrt(any_value(x.n) * any_value(y.n)), 10) as similarity from ps a join ps b on a.userId = b.userId and a.movieId <> b.movieId join n x on x.movieId = a.movieId join n y on y.movieId = b.movieId group by all))"
@@ -309,19 +314,19 @@ def _(t):
     return u.select(F.lit("user").alias("kind"), F.col("userId").alias("id"), F.size("factors").alias("rank")).union(i.select(F.lit("item"), "movieId", F.size("factors")))
 
 
-@query("m19_factor_top_k", f"with d as (select a.vec_id as userId, b.vec_id as movieId, round({DOT.format(a='a.embedding', b='b.embedding')}, 10) as score from embeddings a, embeddings b, movies m where a.vec_id % 25 = 0 and m.movieId = b.vec_id) select userId, movieId, rank from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from d where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10")
+@query("m19_factor_top_k", f"with d as (select a.vec_id as userId, b.vec_id as movieId, round({DOT.format(a='a.embedding', b='b.embedding')}, 10) as score from embeddings a, embeddings b, movies m where m.movieId = b.vec_id) select userId, movieId, rank from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from d where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10")
 def _(t):
-    users = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("userId"), F.col("embedding").alias("p"))
+    users = t.embeddings.select(F.col("vec_id").alias("userId"), F.col("embedding").alias("p"))
     items = t.vectors().join(t.movies, "movieId", "left_semi")
-    rows = users.join(F.broadcast(items)).select("userId", "movieId", V.dot(F.col("p"), F.col("embedding")).alias("score"))
+    rows = users.crossJoin(items).select("userId", "movieId", V.dot(F.col("p"), F.col("embedding")).alias("score"))
     return rank.top_k(rows, 10, t.ratings).select("userId", "movieId", "rank")
 
 
 # --- hybrids ---------------------------------------------------------------------------------------
 
-FEW = "select userId from ratings group by userId order by count(*) desc, userId limit 20"
-#: A limit on users is the reference's own feature (evaluated users); all its users are served by the batch scorer.
-RAW = f"{ALL}, {POP}, {BIAS}, few as ({FEW}), lk as (select distinct userId, movieId from ratings where rating >= 4 and userId in (select userId from few)), prof as (select userId, term, sum(w) / any_value(n) as p from lk join tw using (movieId) join (select userId, count(*) as n from lk group by userId) using (userId) group by userId, term), pl as (select userId, sqrt(sum(p * p)) as pl from prof group by userId), cs as (select prof.userId, tw.movieId, round(sum(p * w) / any_value(pl), 10) as score from prof join tw using (term) join pl on pl.userId = prof.userId group by all), rw as (select f.userId, m.movieId, mu + bu + coalesce(bi, 0) as cf, coalesce(cs.score, 0) as content, popularity as pop from few f cross join movies m join pop on pop.movieId = m.movieId join bu on bu.userId = f.userId left join bi on bi.movieId = m.movieId left join cs on cs.userId = f.userId and cs.movieId = m.movieId, mu)"
+#: Only the search for weights looks at a sample of users, which is a feature of it.
+SAMPLED = "select userId from (select distinct userId from ratings) order by md5(userId || ':42') limit 20"
+RAW = f"{ALL}, {POP}, {BIAS}, few as ({USERS}), lk as (select distinct userId, movieId from ratings where rating >= 4 and userId in (select userId from few)), prof as (select userId, term, sum(w) / any_value(n) as p from lk join tw using (movieId) join (select userId, count(*) as n from lk group by userId) using (userId) group by userId, term), pl as (select userId, sqrt(sum(p * p)) as pl from prof group by userId), cs as (select prof.userId, tw.movieId, round(sum(p * w) / any_value(pl), 10) as score from prof join tw using (term) join pl on pl.userId = prof.userId group by all), rw as (select f.userId, m.movieId, mu + bu + coalesce(bi, 0) as cf, coalesce(cs.score, 0) as content, popularity as pop from few f cross join movies m join pop on pop.movieId = m.movieId join bu on bu.userId = f.userId left join bi on bi.movieId = m.movieId left join cs on cs.userId = f.userId and cs.movieId = m.movieId, mu)"
 
 
 def _scaled_sql(c):
@@ -332,26 +337,26 @@ HYBRID = f"{RAW}, co as (select userId, movieId, cf as raw_cf, content as raw_co
 TOP = "tk as (select * from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from hy where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10)"
 
 
-def _few(t):
-    return t.ratings.groupBy("userId").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "userId").limit(20).select("userId")
+def _few(t, n=20):
+    return t.ratings.select("userId").distinct().orderBy(F.md5(F.concat(F.col("userId").cast("string"), F.lit(":42")))).limit(n)
 
 
-def _components(t):
-    few = _few(t)
+def _components(t, few=None):
+    few = t.ratings.select("userId").distinct() if few is None else few
     liked = t.ratings.where("rating >= 4").join(few, "userId", "left_semi")
     w = _weights(t)
     cs = content.profile_scores(content.profiles(liked, w), w).withColumnRenamed("score", "content")
     mu = scores.global_mean(t.ratings)
     items = scores.popularity(t.movies, t.ratings).join(scores.shrunk_bias(t.ratings, "movieId").withColumnRenamed("bias", "bi"), "movieId", "left").crossJoin(F.broadcast(mu))
     users = few.join(scores.shrunk_bias(t.ratings, "userId").withColumnRenamed("bias", "bu"), "userId")
-    raw = F.broadcast(users).crossJoin(items).join(cs, ["userId", "movieId"], "left")  # 20 users
+    raw = users.crossJoin(items).join(cs, ["userId", "movieId"], "left")  # every user's whole catalog is the result
     raw = raw.select("userId", "movieId", (F.col("mu") + F.col("bu") + F.coalesce("bi", F.lit(0.0))).alias("cf"), F.coalesce("content", F.lit(0.0)).alias("content"), F.col("popularity").alias("pop"))
     return rank.scaled_components(raw)
 
 
-@query("h01_hybrid_scores", f"with {HYBRID} select userId, movieId, round(score, 6) as score from hy")
+@query("h01_hybrid_scores", f"with {HYBRID} {PER_USER} hy group by userId")
 def _(t):
-    return rank.hybrid(_components(t)).select("userId", "movieId", F.round("score", 6).alias("score"))
+    return _per_user(rank.hybrid(_components(t)))
 
 
 @query("h02_recommendations", f"with {HYBRID}, {TOP} select userId, rank, tk.movieId, title, round(score, 6) as score from tk join movies using (movieId)")
@@ -362,7 +367,7 @@ def _(t):
 @query("h03_reasons", f"with {HYBRID}, {TOP}, gen as (select userId, unnest(string_split(genres, '|')) as g from lk join movies using (movieId)), mine as (select userId, list(distinct g) as mine from gen where g <> '(no genres listed)' group by userId), sh as (select tk.*, list_sort(list_intersect(list_filter(string_split(genres, '|'), lambda g: g <> '(no genres listed)'), coalesce(mine, []))) as shared from tk join movies using (movieId) left join mine using (userId)), rs as (select sh.userId, sh.movieId, list_filter([case when raw_content > 0.15 and len(shared) > 0 then 'Shared genres: ' || array_to_string(shared[1:3], ', ') when raw_content > 0.15 then 'Similar metadata profile' end, case when raw_cf >= greatest(mu, 3.5) then 'Liked by users with similar ratings' end, case when coalesce(trim(director), '') <> '' then 'Directed by ' || string_split(director, '|')[1] end], lambda x: x is not null) as rs from sh left join enriched e on e.movieId = sh.movieId, mu) select userId, movieId, case when len(rs) = 0 then 'High rating popularity' else array_to_string(rs[1:3], '; ') end as reasons from rs")
 def _(t):
     top = rank.top_k(rank.hybrid(_components(t)), 10, t.ratings)
-    liked = t.ratings.where("rating >= 4").join(_few(t), "userId", "left_semi").select("userId", "movieId").distinct()
+    liked = t.ratings.where("rating >= 4").select("userId", "movieId").distinct()
     rows = rank.shared_genres(top, liked, t.movies).join(t.enriched.select("movieId", "director"), "movieId", "left").crossJoin(F.broadcast(scores.global_mean(t.ratings)))
     return rows.select("userId", "movieId", F.array_join(rank.reasons(F.col("raw_content"), F.col("raw_cf"), F.col("mu"), F.col("shared"), F.col("director")), "; ").alias("reasons"))
 
@@ -387,7 +392,7 @@ def _(t):
 def _(t):
     s = split.temporal_split(t.ratings)
     truth = evaluate.relevant(s.where("split = 'validation'")).join(_few(t), "userId", "left_semi")
-    parts = _components(t).persist()
+    parts = _components(t, _few(t))
     grid = t.spark.createDataFrame(rank.weight_grid(), "a double, b double, c double").withColumn("w", F.monotonically_increasing_id())
     seen = s.where("split = 'train'").select("userId", "movieId").distinct()
     rows = parts.join(seen, ["userId", "movieId"], "left_anti").crossJoin(F.broadcast(grid)).withColumn("score", F.round(F.col("a") * F.col("cf") + F.col("b") * F.col("content") + F.col("c") * F.col("pop"), 10))
@@ -424,20 +429,17 @@ def _(t):
 # --- evaluation ------------------------------------------------------------------------------------
 
 #: The popularity ranking, scored on the test part.
-RANKED = f"{SPLIT}, tr as (select * from sp where split = 'train'), pp as (select movieId, avg(rating) / 5 * ln(1 + count(*)) as s from tr group by movieId), usr as (select userId from tr group by userId having count(*) >= 20), seen as (select distinct userId, movieId from tr), rk as (select userId, movieId, rank from (select u.userId, pp.movieId, row_number() over (partition by u.userId order by round(s, 10) desc, pp.movieId) as rank from usr u, pp where (u.userId, pp.movieId) not in (select (userId, movieId) from seen)) where rank <= 10), te as (select distinct userId, movieId from sp where split = 'test' and rating >= 4 and userId in (select userId from usr)), hi as (select te.userId, count(*) as hits, sum(1 / log2(rank + 1)) as gain, min(rank) as first from te join rk on te.userId = rk.userId and te.movieId = rk.movieId group by te.userId), wa as (select userId, count(*) as wanted from te group by userId), ret as (select userId, count(*) as returned from rk group by userId), um as (select wa.userId, coalesce(hits / returned, 0) as precision, coalesce(hits / wanted, 0) as recall, coalesce(gain / (select sum(1 / log2(i + 1)) from range(1, 11) r(i) where i <= least(wanted, 10)), 0) as ndcg, coalesce(1 / first, 0) as mrr from wa left join hi using (userId) left join ret using (userId))"
+RANKED = f"{SPLIT}, tr as (select * from sp where split = 'train'), pp as (select movieId, avg(rating) / 5 * ln(1 + count(*)) as s from tr group by movieId), usr as (select distinct userId from tr), seen as (select distinct userId, movieId from tr), rk as (select userId, movieId, rank from (select u.userId, pp.movieId, row_number() over (partition by u.userId order by round(s, 10) desc, pp.movieId) as rank from usr u, pp where (u.userId, pp.movieId) not in (select (userId, movieId) from seen)) where rank <= 10), te as (select distinct userId, movieId from sp where split = 'test' and rating >= 4 and userId in (select userId from usr)), hi as (select te.userId, count(*) as hits, sum(1 / log2(rank + 1)) as gain, min(rank) as first from te join rk on te.userId = rk.userId and te.movieId = rk.movieId group by te.userId), wa as (select userId, count(*) as wanted from te group by userId), ret as (select userId, count(*) as returned from rk group by userId), um as (select wa.userId, coalesce(hits / returned, 0) as precision, coalesce(hits / wanted, 0) as recall, coalesce(gain / (select sum(1 / log2(i + 1)) from range(1, 11) r(i) where i <= least(wanted, 10)), 0) as ndcg, coalesce(1 / first, 0) as mrr from wa left join hi using (userId) left join ret using (userId))"
 
 
 def _ranked(t):
-    s = split.temporal_split(t.ratings)
+    from ..session import checkpointed
+
+    s = checkpointed(split.temporal_split(t.ratings))  # read by four branches
     train = s.where("split = 'train'")
-    users = train.groupBy("userId").agg(F.count("*").alias("n")).where("n >= 20").select("userId")
     pop = train.groupBy("movieId").agg(F.round(F.avg("rating") / 5 * F.log1p(F.count("*")), 10).alias("score"))
-    seen = train.join(users, "userId", "left_semi").select("userId", "movieId").distinct()
-    order = pop.withColumn("o", F.row_number().over(Window.orderBy(F.desc("score"), "movieId")))  # catalog-sized
-    need = seen.groupBy("userId").agg((F.count("*") + 10).alias("need"))
-    rows = need.join(F.broadcast(order), F.col("o") <= F.col("need")).select("userId", "movieId", "score")
-    test = s.where("split = 'test'").join(users, "userId", "left_semi")
-    return rank.top_k(rows, 10, seen), test, train, users
+    seen = train.select("userId", "movieId").distinct()
+    return _first_unseen(pop, seen), s.where("split = 'test'"), train, seen
 
 
 def _rounded(df, *names):
@@ -498,16 +500,17 @@ def _(t):
 
 # --- leaderboards ----------------------------------------------------------------------------------
 
-RUNS = "runs as (select o_custkey % 40 as run, case o_orderkey % 4 when 0 then 'all_ndcg@10' when 1 then 'ndcg_at_k' when 2 then 'test_rmse' else 'warm_mrr@10' end as metric, max(o_totalprice) as value from orders group by all)"
+RUNS = "runs as (select o_custkey % 40 as run, case o_orderkey % 4 when 0 then 'all_ndcg_at_k' when 1 then 'ndcg_at_k' when 2 then 'test_rmse' else 'cold_test_interactions' end as metric, max(o_totalprice) as value from orders group by all)"
+BOARD = f"{RUNS}, best as (select run, coalesce(max(case when metric = 'all_ndcg_at_k' then value end), max(case when metric = 'ndcg_at_k' then value end)) as ndcg, case when count(*) filter (where metric = 'all_ndcg_at_k') > 0 then max(case when metric = 'ndcg_at_k' then value end) end as warm, max(case when metric = 'test_rmse' then value end) as rmse, max(case when metric = 'cold_test_interactions' then value end) as cold from runs group by run)"
 
 
 def _runs(t):
     m = F.col("o_orderkey") % 4
-    name = F.when(m == 0, "all_NDCG@10").when(m == 1, "ndcg_at_k").when(m == 2, "test_rmse").otherwise("warm_mrr@10")
+    name = F.when(m == 0, "all_NDCG_at_k").when(m == 1, "ndcg_at_k").when(m == 2, "test_rmse").otherwise("cold_test_interactions")
     return t.orders.groupBy((F.col("o_custkey") % 40).alias("run"), name.alias("metric")).agg(F.max("o_totalprice").alias("value"))
 
 
-@query("l01_normal_metrics", f"with {RUNS} select run, metric, value from (select run, 'ndcg@10' as metric, coalesce(max(case when metric = 'all_ndcg@10' then value end), max(case when metric = 'ndcg_at_k' then value end)) as value from runs group by run union all select run, 'warm_ndcg@10', value from runs where metric = 'ndcg_at_k' union all select run, 'rmse', value from runs where metric = 'test_rmse' union all select run, 'warm_mrr@10', value from runs where metric = 'warm_mrr@10') where value is not null")
+@query("l01_normal_metrics", f"with {BOARD} select run, metric, value from (select run, 'ndcg@10' as metric, ndcg as value from best union all select run, 'warm_ndcg@10', warm from best union all select run, 'rmse', rmse from best union all select run, 'cold_interactions', cold from best) where value is not null")
 def _(t):
     return leaderboard.normal_metrics(_runs(t))
 
@@ -515,15 +518,18 @@ def _(t):
 def _board(t):
     metrics = leaderboard.normal_metrics(_runs(t))
     runs = metrics.select("run").distinct().select("run", F.lit("d").alias("dataset"), F.concat(F.lit("m"), F.col("run").cast("string")).alias("model"), F.lit("f").alias("model_family"), F.lit("s").alias("source"), F.when(F.col("run") % 3 == 0, F.concat(F.lit("a/"), F.col("run").cast("string"))).alias("artifact_dir"))
-    return leaderboard.leaderboard_rows(metrics, runs)
+    return leaderboard.leaderboard_rows(metrics, runs, evaluate.PROTOCOL)
+
+
+_EMPTY = ", ".join(f'cast(null as double) as "{c}"' for c in leaderboard.MEASURED if c not in ("ndcg@10", "warm_ndcg@10", "rmse", "cold_interactions"))
 
 
-@query("l02_leaderboard_rows", f"with {RUNS} select 'm' || run as model, coalesce(max(case when metric = 'all_ndcg@10' then value end), max(case when metric = 'ndcg_at_k' then value end)) as ndcg, max(case when metric = 'test_rmse' then value end) as rmse from runs group by run")
+@query("l02_leaderboard_rows", f"with {BOARD} select 'd' as dataset, '{evaluate.PROTOCOL}' as protocol, 'm' || run as model, 'f' as model_family, 's' as source, '{{}}' as tuned_weights, ndcg as \"ndcg@10\", warm as \"warm_ndcg@10\", rmse, cold as cold_interactions, {_EMPTY}, case when run % 3 = 0 then 'a/' || run else '' end as artifact_dir, '' as command, 42 as seed from best")
 def _(t):
-    return _board(t).select("model", F.col("`ndcg@10`").alias("ndcg"), "rmse")
+    return _board(t)
 
 
-@query("l03_best_row", f"with {RUNS} select 'm' || run as model from (select run, coalesce(max(case when metric = 'all_ndcg@10' then value end), max(case when metric = 'ndcg_at_k' then value end)) as s from runs where run % 3 = 0 group by run) order by s desc nulls last limit 1")
+@query("l03_best_row", f"with {BOARD} select 'm' || run as model from best where run % 3 = 0 order by ndcg desc nulls last limit 1")
 def _(t):
     return leaderboard.best_with_artifact(_board(t)).select("model")
 
@@ -567,7 +573,7 @@ def _(t):
     return t.part.select("p_partkey", extract.class_rating(html).cast("double").alias("rating"))
 
 
-@query("x03_user_links", "with l as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as link, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1), 1) - 1 as position from pages), n as (select page_id, position, lower(trim(regexp_extract(link, '^/([^/?#]+)/?$', 1), '/@ ')) as name from l) select page_id, name, min(position) as position from n where regexp_full_match(name, '[a-z0-9_-]{2,30}') and not regexp_matches(name, '^(page|tag|by)-|-(films|list)$') and name not in (" + ", ".join(f"'{x}'" for x in __import__("tamarack.functions.text", fromlist=["RESERVED_NAMES"]).RESERVED_NAMES) + ") group by page_id, name")
+@query("x03_user_links", f"with l as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as link, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1), 1) - 1 as position from pages), n as (select page_id, position, lower(trim(trim(regexp_extract(link, '^/([^/?#]+)/?$', 1)), '/')) as name from l) select page_id, name, min(position) as position from n where {VALID} group by page_id, name")
 def _(t):
     return extract.user_links(t.pages)
 

@@ -74,12 +74,15 @@ def _(t):
 
 
 _NAMES = ", ".join(f"'{x}'" for x in X.RESERVED_NAMES)
+_ENDS = f"^({'|'.join(X.RESERVED_STARTS)})|({'|'.join(X.RESERVED_ENDS)})$"
+VALID = f"regexp_full_match(name, '[a-z0-9_-]{{2,30}}') and name not in ({_NAMES}) and not regexp_matches(name, '{_ENDS}')"
 
 
-@query("p14_user_names", rf"with n as (select p_partkey, lower(trim(case when p_partkey % 4 = 0 then '/' || p_type || '/' when p_partkey % 4 = 1 then 'films' when p_partkey % 4 = 2 then 'page-' || p_partkey else p_name end, '/@ ')) as name from part) select p_partkey, name, regexp_full_match(name, '[a-z0-9_-]{{2,30}}') and name not in ({_NAMES}) and not regexp_matches(name, '^(page|tag|by)-|-(films|list)$') as ok from n")
+@query("p14_user_names", f"with n as (select p_partkey, case p_partkey % 8 when 0 then lower(p_type) when 1 then 'films' when 2 then 'film-' || p_partkey when 3 then 'api-beta' when 4 then 'ann_' || p_partkey when 5 then p_partkey || '-guide' when 6 then 'watchlist' else lower(p_name) end as name from part) select p_partkey, name, {VALID} as ok from n")
 def _(t):
-    k = F.col("p_partkey") % 4
-    raw = F.when(k == 0, F.concat(F.lit("/"), F.col("p_type"), F.lit("/"))).when(k == 1, "films").when(k == 2, F.concat(F.lit("page-"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
+    k, n = F.col("p_partkey") % 8, F.col("p_partkey").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit(" /"), F.col("p_type"), F.lit("/ "))).when(k == 1, "/Films/").when(k == 2, F.concat(F.lit("film-"), n)).when(k == 3, "API-beta")
+    raw = raw.when(k == 4, F.concat(F.lit("/Ann_"), n, F.lit("/"))).when(k == 5, F.concat(n, F.lit("-guide"))).when(k == 6, "watchlist").otherwise(F.col("p_name"))
     return t.part.select("p_partkey", X.user_name(raw).alias("name"), X.valid_user_name(raw).alias("ok"))
 
 
@@ -92,8 +95,9 @@ def _(t):
 @query("p16_stars", "select l_orderkey, l_linenumber, l_quantity, case when l_quantity <= 10 then (floor(l_quantity / 2) + case when l_quantity % 2 = 1 then 0.5 else 0 end) end as stars from lineitem where l_quantity >= 1")
 def _(t):
     q = F.col("l_quantity")
-    glyphs = F.concat(F.lit("rated "), F.repeat(F.lit("★"), F.floor(q / 2).cast("int")), F.when(q % 2 == 1, "½").otherwise(""), F.lit(" by ★?"))
-    text = F.when(q == 1, "rated ½ only").otherwise(glyphs)
+    halves = F.when(q % 4 == 1, "½½").otherwise("½")  # two halves count once
+    glyphs = F.concat(F.lit("rated "), F.repeat(F.lit("★"), F.floor(q / 2).cast("int")), F.when(q % 2 == 1, halves).otherwise(""), F.lit(" by ★?"))
+    text = F.when(q == 1, "rated ½½ only").otherwise(glyphs)
     return t.lineitem.where("l_quantity >= 1").select("l_orderkey", "l_linenumber", "l_quantity", X.stars(text).alias("stars"))
 
 
@@ -195,11 +199,12 @@ def _(t):
     return t.movies.select(*[F.coalesce(c, F.lit("")).alias(c) if c != "movieId" else F.col(c) for c in have])
 
 
-@query("p37_model_family", "select p_partkey, case p_partkey % 5 when 0 then 'hybrid' when 1 then 'graph' when 2 then 'matrix_factorization' when 3 then 'popularity' else 'benchmark' end as family from part")
+@query("p37_model_family", "select p_partkey, case p_partkey % 10 when 0 then 'hybrid' when 1 then 'lightgcn' when 2 then 'bpr' when 3 then 'popularity' when 4 then 'two_tower' when 5 then 'svd' when 6 then 'itemknn' when 7 then 'content' when 8 then 'hybrid' else 'bpr' end as family from part")
 def _(t):
-    k = F.col("p_partkey") % 5
-    name = F.when(k == 0, "Hybrid LightGCN").when(k == 1, "LightGCN v2").when(k == 2, "BPR").when(k == 3, "Pop").otherwise("plain")
-    return t.part.select("p_partkey", X.model_family(name, F.lit("external benchmark")).alias("family"))
+    k = F.col("p_partkey") % 10
+    names = ("Hybrid LightGCN", "LightGCN v2", "recbole-BPR", "Pop", "Two-Tower", "funk_SVD", "ItemKNN", "content tf-idf", "plain", "x")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (k + 1).cast("int"))
+    return t.part.select("p_partkey", X.model_family(name, F.when(k == 9, "BPR run").otherwise("recbole")).alias("family"))
 
 
 @query("p38_percent", "select o_custkey, case when count(*) filter (where o_orderstatus <> 'P') = 0 then 0.0 else round_even(count(*) filter (where o_orderstatus = 'F') * 100.0 / nullif(count(*) filter (where o_orderstatus <> 'P'), 0), 4) end as pct from orders group by o_custkey")
@@ -226,8 +231,9 @@ def _(t):
     return renamed.groupBy("userId").agg(F.count("*").alias("n"))
 
 
-@query("x08_title_similarity", f"with w as (select a.movieId as a, b.movieId as b, {WORDS.format(t='a.title')} as x, {WORDS.format(t='b.title')} as y from movies a join movies b on a.movieId = b.movieId + 7), s as (select *, list_distinct(string_split(x, ' ')) as u, list_distinct(string_split(y, ' ')) as v from w) select a, b, cast(case when x = y then 100 when contains(x, y) or contains(y, x) then 85 else floor(80.0 * len(list_intersect(u, v)) / (len(u) + len(v) - len(list_intersect(u, v)))) end as bigint) as score from s")
+@query("x08_title_similarity", f"with t as (select movieId, case when movieId % 11 = 0 then '(!)' else title end as title from movies), w as (select a.movieId as a, b.movieId as b, {WORDS.format(t='a.title')} as x, {WORDS.format(t='b.title')} as y from t a join t b on a.movieId = b.movieId + 7), s as (select *, list_distinct(string_split(x, ' ')) as u, list_distinct(string_split(y, ' ')) as v from w) select a, b, cast(case when x = y then 100 when contains(x, y) or contains(y, x) then 85 else floor(len(list_intersect(u, v)) / (len(u) + len(v) - len(list_intersect(u, v))) * 80) end as bigint) as score from s")
 def _(t):
-    a = t.movies.select(F.col("movieId").alias("a"), F.col("title").alias("x"), (F.col("movieId") - 7).alias("k"))
-    b = t.movies.select(F.col("movieId").alias("b"), F.col("title").alias("y"), F.col("movieId").alias("k"))
+    titled = t.movies.withColumn("title", F.when(F.col("movieId") % 11 == 0, "(!)").otherwise(F.col("title")))  # some without words
+    a = titled.select(F.col("movieId").alias("a"), F.col("title").alias("x"), (F.col("movieId") - 7).alias("k"))
+    b = titled.select(F.col("movieId").alias("b"), F.col("title").alias("y"), F.col("movieId").alias("k"))
     return a.join(b, "k").select("a", "b", X.title_similarity(F.col("x"), F.col("y")).alias("score"))
