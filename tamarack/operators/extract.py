@@ -2,59 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import number_in, stars, user_name, valid_user_name
+from ..functions.text import number_in, stars, user_name, valid_user_name, year_in_title
 from .prepare import SOURCE_SCORES
 
 
-class _Cards(HTMLParser):
-    """Links of a page with their text or title attribute."""
-
-    def __init__(self):
-        super().__init__()
-        self.found: list[tuple[str, str]] = []
-        self.link: str | None = None
-        self.text: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        own = dict(attrs)
-        if tag == "a" and own.get("href"):
-            self.link, self.text = own["href"], [own.get("title") or own.get("data-film-name") or ""]
+ANCHOR, TAG = r"(?is)<a\s[^>]*>.*?</a>", r"<[^>]*>"
+#: Attributes that hold a card's title and its address, the first that is there.
+TITLE_ATTRIBUTES = ("data-film-name", "data-film-title", "data-item-name", "title")
+LINK_ATTRIBUTES = ("data-target-link", "data-film-link", "href")
 
-    def handle_data(self, data):
-        if self.link is not None:
-            self.text.append(data)
 
-    def handle_endtag(self, tag):
-        if tag == "a" and self.link is not None:
-            first, *rest = self.text
-            self.found.append((self.link, first.strip() or "".join(rest).strip()))
-            self.link = None
+def attribute(markup: Column, name: str) -> Column:
+    """Value of an attribute of the first tag that has it; null if none, or empty."""
+    return F.nullif(F.trim(F.regexp_extract(markup, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)), F.lit(""))
 
 
 def cards(pages: DataFrame) -> DataFrame:
-    """page_id, link, title, position: links of each page, each link once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for page, html in zip(b.page_id, b.html, strict=True):
-                parser = _Cards()
-                parser.feed(html or "")
-                seen: set[str] = set()
-                for link, title in parser.found:
-                    if link not in seen:
-                        rows.append((page, link, title, len(seen)))
-                        seen.add(link)
-            yield pd.DataFrame(rows, columns=["page_id", "link", "title", "position"]).astype({"page_id": "int64", "position": "int32"})
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, link string, title string, position int")
+    """page_id, link, title, year, position: the anchors of each page, each link once, in order.
+
+    Title and link come from the card's attributes, else from the anchor's text; the year from
+    its attribute, else from the title, else it is ''. Anchors without a link are left out.
+    """
+    card = F.col("card")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(card, TAG, ""), r"\s+", " "))
+    title = F.coalesce(*[attribute(card, n) for n in TITLE_ATTRIBUTES], bare)
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("at", "card"))
+    rows = rows.select("page_id", "at", F.coalesce(*[attribute(card, n) for n in LINK_ATTRIBUTES]).alias("link"), title.alias("title"), F.coalesce(attribute(card, "data-film-year"), year_in_title(title)).alias("year"))
+    first = rows.where("link is not null").groupBy("page_id", "link").agg(F.min(F.struct("at", "title", "year")).alias("c"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("c.at")) - 1
+    return first.select("page_id", "link", "c.title", "c.year", place.alias("position"))
 
 
 def class_rating(html: Column) -> Column:

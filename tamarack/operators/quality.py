@@ -84,3 +84,22 @@ def interaction_stats(interactions: DataFrame) -> DataFrame:
     users = interactions.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("users"), F.avg("n").alias("per_user"), F.count_if(F.col("n") < 10).alias("users_under_10"))
     movies = interactions.groupBy("movie_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("movies"), F.avg("n").alias("per_movie"), F.count_if(F.col("n") < 5).alias("movies_under_5"))
     return interactions.agg(F.count("*").alias("rows"), F.count("rating").alias("rated")).crossJoin(users).crossJoin(movies)
+
+
+def report(movies: DataFrame, ratings: DataFrame, enriched: DataFrame) -> DataFrame:
+    """(section, name, value, text): a quality report in rows, a few for each section."""
+    one = lambda df, section, name, value: df.agg(value.cast("double").alias("value")).select(F.lit(section).alias("section"), F.lit(name).alias("name"), "value")
+    genres = F.trim(F.coalesce("genres", F.lit("")))
+    parts = [
+        one(ratings, "ids", "users", F.countDistinct("userId")),
+        one(movies, "ids", "movies", F.countDistinct("movieId")),
+        one(ratings, "ids", "rated_movies", F.countDistinct("movieId")),
+        one(ratings, "shapes", "ratings", F.count("*")),
+        orphans(ratings, movies, "movieId").select(F.lit("orphans").alias("section"), F.lit("ratings_without_movie").alias("name"), F.col("orphans").cast("double").alias("value")),
+        one(movies, "issues", "no_genres", F.count_if((genres == "") | (genres == "(no genres listed)"))),
+        coverage(enriched, ["overview"], []).select(F.lit("coverage").alias("section"), F.col("column").alias("name"), F.col("pct").cast("double").alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("text", F.lit(None).cast("string"))

@@ -32,6 +32,18 @@ def top_k(scored: DataFrame, k: int = 10, seen: DataFrame | None = None) -> Data
     return rows.withColumn("rank", top_rank(F.col("score"), "userId", "movieId")).where(F.col("rank") <= k)
 
 
+def guests(session: DataFrame, cf: DataFrame, content: DataFrame, pop: DataFrame, k: int = 10, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """userId, movieId, components, score, rank: the k best items for guests, known by session(userId, movieId) only.
+
+    cf(movieId, cf) are the scores of an average user, the same for all; content(userId, movieId,
+    score) those of the session's profile, 0 where missing; pop(movieId, popularity). Each component is
+    rank-scaled over the whole catalog, and items of the session are left out.
+    """
+    items = cf.join(pop, "movieId").select("movieId", "cf", F.col("popularity").alias("pop"))
+    raw = session.select("userId").distinct().crossJoin(items).join(content.select("userId", "movieId", F.col("score").alias("content")), ["userId", "movieId"], "left")
+    return top_k(hybrid(scaled_components(raw.withColumn("content", F.coalesce("content", F.lit(0.0)))), weights), k, session)
+
+
 def profile_items(session: DataFrame, ratings: DataFrame, threshold: float = 4.0) -> DataFrame:
     """(userId, movieId, place): session(userId, movieId, pos) items, then liked ones not among them."""
     liked = ratings.where(F.col("rating") >= threshold).groupBy("userId", "movieId").agg(F.min("timestamp").alias("pos")).withColumn("part", F.lit(1))

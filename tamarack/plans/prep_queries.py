@@ -39,12 +39,17 @@ def _(t):
     return split.temporal_split(t.ratings).groupBy("split").agg(F.count("*").alias("rows"), F.count_if(F.col("rating") >= 4).alias("positives"))
 
 
-@query("s15_leaderboard_file")
+@query("s15_leaderboard_file", "select 0 as place, '| rating | n | mean |' as line union all select 1, '| --- | --- | --- |' union all select 1 + row_number() over (order by rating), printf('| %.4f | %d | %.4f |', rating, n, mean) from (select rating, count(*) as n, rating as mean from ratings group by rating)")
 def _(t):
-    from ..sources.files import markdown_table
+    from ..sources.files import markdown_lines
 
-    rows = t.ratings.groupBy("rating").agg(F.count("*").alias("n"))
-    return t.spark.createDataFrame([(line,) for line in markdown_table(rows.orderBy("rating"))], "line string")
+    rows = t.ratings.groupBy("rating").agg(F.count("*").alias("n"), F.avg("rating").alias("mean"))
+    return markdown_lines(rows, "rating")
+
+
+@query("s16_quality_report", "select section, name, value from (select 'ids' as section, 'users' as name, cast(count(distinct userId) as double) as value from ratings union all select 'ids', 'movies', count(distinct movieId) from movies union all select 'ids', 'rated_movies', count(distinct movieId) from ratings union all select 'shapes', 'ratings', count(*) from ratings union all select 'orphans', 'ratings_without_movie', count(distinct movieId) from ratings where movieId not in (select movieId from movies) union all select 'issues', 'no_genres', count(*) from movies where genres = '(no genres listed)' or trim(genres) = '' union all select 'coverage', 'overview', round_even(count(*) filter (where trim(overview) <> '') * 100.0 / count(*), 4) from enriched)")
+def _(t):
+    return quality.report(t.movies, t.ratings, t.enriched).select("section", "name", "value")
 
 
 @query("p11_timestamps", "select event_id, case when share >= 0.5 then coalesce(cast(floor(epoch(cast(d as timestamp))) as bigint), event_id) else event_id end as timestamp from (select *, avg(case when d is not null then 1.0 else 0.0 end) over () as share from (select event_id, case when event_id % 3 > 0 then cast(ts as date) end as d from events))")
@@ -74,6 +79,55 @@ def _(t):
     return grid.join(t.part.limit(1).select(F.lit(True).alias("any")), F.col("any")).select("a", "b", "c")
 
 
+_PAYLOAD = "select doc_id, source, lang, n_chars, p_name, p_type, p_brand, p_size, p_partkey from documents join part on p_partkey = doc_id"
+
+
+@query("p24_payload", f"with d as ({_PAYLOAD}) select doc_id, case when doc_id % 5 = 0 then '' else p_name end as overview, '' as tagline, case when doc_id % 3 = 0 then p_brand else p_brand || '|' || p_type end as director, p_name || '|' || p_type || '|a|b|c' as cast, case when doc_id % 4 = 0 then '' else 'https://images.example.com/w500/' || doc_id || '.jpg' end as poster_url, coalesce(n_chars, 0) as budget, 0 as revenue, p_type || '|' || p_brand as genres, '2001-02-03' as release_date, p_size as runtime, coalesce(lang, '') as original_language, p_brand as production_companies, 'US|FR' as production_countries, 'k' || doc_id as keywords, p_size / 2.0 as vote_average, p_partkey as vote_count, 0.0 as popularity, case when doc_id % 2 = 0 then doc_id else 0 end as collection_id, case when doc_id % 2 = 0 then p_name else '' end as collection_name, case when doc_id % 7 = 0 then '' else 'PG' end as certification, 'tt' || doc_id as imdb_id from d")
+def _(t):
+    from ..operators.metadata import payload_columns
+
+    c, k = F.col, F.col("doc_id")
+    named = lambda *names: F.array(*[F.struct(n.alias("name")) for n in names])
+    person = lambda n, job: F.struct(n.alias("name"), F.lit(job).alias("job"))
+    crew = F.when(k % 3 == 0, F.array(person(c("p_type"), "Writer"), person(c("p_brand"), "Director"))).otherwise(F.array(person(c("p_brand"), "Director"), person(c("p_type"), "Director")))
+    mark = lambda country, text: F.struct(F.lit(country).alias("iso_3166_1"), F.array(F.struct(F.lit("").alias("certification")), F.struct(text.alias("certification"))).alias("release_dates"))
+    payload = F.struct(
+        F.when(k % 5 > 0, c("p_name")).alias("overview"), F.when(k % 4 > 0, F.concat(F.lit("/"), k.cast("string"), F.lit(".jpg"))).alias("poster_path"), c("n_chars").alias("budget"),
+        named(c("p_type"), c("p_brand"), F.lit(" ")).alias("genres"), F.lit("2001-02-03").alias("release_date"), c("p_size").alias("runtime"), c("lang").alias("original_language"),
+        named(c("p_brand")).alias("production_companies"), F.array(*[F.struct(F.lit(x).alias("iso_3166_1")) for x in ("US", "FR")]).alias("production_countries"),
+        F.struct(named(F.concat(F.lit("k"), k.cast("string"))).alias("keywords")).alias("keywords"), (c("p_size") / 2).alias("vote_average"), c("p_partkey").alias("vote_count"),
+        F.when(k % 2 == 0, F.struct(k.alias("id"), c("p_name").alias("name"))).alias("belongs_to_collection"),
+        F.struct(named(c("p_name"), c("p_type"), F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")).alias("cast"), crew.alias("crew")).alias("credits"),
+        F.struct(F.array(mark("FR", F.lit("12")), mark("US", F.when(k % 7 > 0, "PG").otherwise(" "))).alias("results")).alias("release_dates"), F.concat(F.lit("tt"), k.cast("string")).alias("imdb_id"),
+    )
+    rows = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id"))
+    return rows.select("doc_id", F.to_json(payload).alias("payload")).select("doc_id", *payload_columns(F.col("payload")))
+
+
+@query("p36_user_rows", "select 'user_' || substr(md5(lower(c_name)), 1, 12) as user_id, lower(c_name) as username, c_name || ' of ' || c_mktsegment as display_name, '' as location, 'https://films.example.com/' || lower(c_name) || '/' as profile_url, cast(c_custkey as varchar) as films_count, '' as this_year_count, '' as lists_count, '' as following_count, '' as followers_count, '' as member_since, '' as bio, '2020-01-01' as created_at from customer")
+def _(t):
+    from ..operators.metadata import user_row
+
+    profile = {"display_name": F.concat(F.col("c_name"), F.lit("  of \n"), F.col("c_mktsegment"), F.lit(" ")), "films_count": F.col("c_custkey")}
+    return t.customer.select(*user_row(F.concat(F.lit("/"), F.col("c_name"), F.lit("/ ")), profile, F.lit("2020-01-01")))
+
+
+@query("p36_movie_rows", "select 'm' || p_partkey as movie_id, p_name as title, cast(1970 + p_size as varchar) as year, 'https://films.example.com/film/' || p_partkey || '/' as movie_url, '2020-01-01' as created_at from part")
+def _(t):
+    from ..operators.metadata import movie_row
+
+    key = F.col("p_partkey").cast("string")
+    return t.part.select(*movie_row(F.concat(F.lit("m"), key), F.concat(F.lit(" "), F.col("p_name")), F.col("p_size") + 1970, F.concat(F.lit("https://films.example.com/film/"), key, F.lit("/ ")), F.lit("2020-01-01")))
+
+
+@query("p36_interaction_rows", "select user_id, movie_id, interaction_type, coalesce(cast(rating as varchar), '') as rating, implicit_score, 'page ' || seq as source, '' as watched_date, '2020-01-01' as created_at from interactions")
+def _(t):
+    from ..operators.metadata import interaction_row
+
+    c = F.col
+    return t.interactions.select(*interaction_row(c("user_id"), c("movie_id"), c("interaction_type"), c("rating"), c("implicit_score"), F.concat(F.lit("page  "), c("seq").cast("string")), F.lit(None), F.lit("2020-01-01")))
+
+
 @query("j01_links", "select m.movieId, m.title, l.imdbId, l.tmdbId from movies m left join links l on m.movieId = l.movieId")
 def _(t):
     return t.movies.join(t.links, "movieId", "left").select("movieId", "title", "imdbId", "tmdbId")

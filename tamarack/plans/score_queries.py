@@ -264,15 +264,27 @@ def _(t):
     return own.crossJoin(F.broadcast(t.movies.agg(F.count("*").alias("all")))).select("userId", (F.col("all") - F.col("own")).alias("n"))
 
 
-@query("m12_sampled_negatives")
+def _checked(t, negatives):
+    """Of each user: pairs, and negatives that are wrong (positives of the user, or no items)."""
+    positives = t.ratings.where("rating >= 4").select("userId", "movieId").distinct()
+    known = positives.select("userId", F.col("movieId").alias("negative"), F.lit(True).alias("seen"))
+    items = t.movies.select(F.col("movieId").alias("negative"), F.lit(True).alias("item"))
+    rows = negatives.join(known, ["userId", "negative"], "left").join(items, "negative", "left")
+    return rows.groupBy("userId").agg(F.count("*").alias("pairs"), F.countDistinct("movieId").alias("movies"), F.count_if(F.col("seen").isNotNull() | F.col("item").isNull()).alias("wrong"))
+
+
+NEGATIVES = "with ps as (select distinct userId, movieId from ratings where rating >= 4) select userId, count(*) as pairs, count(*) as movies, 0 as wrong from ps group by userId having count(*) < (select count(*) from movies)"
+
+
+@query("m12_sampled_negatives", NEGATIVES)
 def _(t):
-    return scores.sampled_negatives(t.ratings.where("rating >= 4").select("userId", "movieId").distinct(), t.movies)
+    return _checked(t, scores.sampled_negatives(t.ratings.where("rating >= 4").select("userId", "movieId").distinct(), t.movies))
 
 
-@query("m13_warp_negatives")
+@query("m13_warp_negatives", NEGATIVES)
 def _(t):
     own = t.ratings.groupBy("userId", "movieId").agg(F.avg("rating").alias("score"))
-    return scores.warp_negatives(t.ratings.where("rating >= 4").select("userId", "movieId").distinct(), t.movies, own)
+    return _checked(t, scores.warp_negatives(t.ratings.where("rating >= 4").select("userId", "movieId").distinct(), t.movies, own))
 
 
 @query("m14_bpr_loss", "select round(avg(-ln(1 / (1 + exp(neg - pos)) + 1e-12)), 6) as bpr_loss from (select l_discount * 10 as pos, l_tax * 10 as neg from lineitem)")
@@ -426,6 +438,20 @@ def _(t):
     return rank.batch_top_k(users, items, scores.popularity(t.movies, t.ratings))
 
 
+#: Sessions of guests: what the users of the events looked at. Every guest has the mean user's collaborative scores.
+GUEST = f"{ALL}, {POP}, {BIAS}, ses as (select distinct userId, movieId from tags where movieId in (select movieId from movies)), prof as (select userId, term, sum(w) / any_value(n) as p from ses join tw using (movieId) join (select userId, count(*) as n from ses group by userId) using (userId) group by userId, term), {CONTENT}, rw as (select u.userId, m.movieId, mu + (select avg(bu) from bu) + coalesce(bi, 0) as cf, coalesce(cs.score, 0) as content, popularity as pop from (select distinct userId from ses) u cross join movies m join pop on pop.movieId = m.movieId left join bi on bi.movieId = m.movieId left join cs on cs.userId = u.userId and cs.movieId = m.movieId, mu), co as (select userId, movieId, {_scaled_sql('cf')} as cf, {_scaled_sql('content')} as content, {_scaled_sql('pop')} as pop from rw), hy as (select *, round(0.55 * cf + 0.35 * content + 0.10 * pop, 10) as score from co)"
+
+
+@query("h05_guests", f"with {GUEST} select userId, movieId, rank, round(score, 6) as score from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from hy where (userId, movieId) not in (select (userId, movieId) from ses)) where rank <= 5")
+def _(t):
+    session = t.tags.join(t.movies, "movieId", "left_semi").select("userId", "movieId").distinct()
+    w = _weights(t)
+    cs = content.profile_scores(content.profiles(session, w), w)
+    mean = scores.shrunk_bias(t.ratings, "userId").agg(F.avg("bias").alias("mb")).crossJoin(scores.global_mean(t.ratings))
+    cf = t.movies.join(scores.shrunk_bias(t.ratings, "movieId"), "movieId", "left").crossJoin(F.broadcast(mean)).select("movieId", (F.col("mu") + F.col("mb") + F.coalesce("bias", F.lit(0.0))).alias("cf"))
+    return rank.guests(session, cf, cs, scores.popularity(t.movies, t.ratings), 5).select("userId", "movieId", "rank", F.round("score", 6).alias("score"))
+
+
 # --- evaluation ------------------------------------------------------------------------------------
 
 #: The popularity ranking, scored on the test part.
@@ -562,7 +588,7 @@ def _(t):
 # --- pages and feeds -------------------------------------------------------------------------------
 
 
-@query("x01_cards")
+@query("x01_cards", r"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>')) as card, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>'), 1) as pos from pages), l as (select page_id, pos, nullif(trim(regexp_extract(card, '(?is)\shref\s*=\s*["'']([^"'']*)["'']', 1)), '') as link, trim(regexp_replace(regexp_replace(card, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as title from a), f as (select page_id, link, min(pos) as pos, arg_min(title, pos) as title from l where link is not null group by all) select page_id, link, title, regexp_extract(title, '\((\d{4})(?:[–-]\d{4})?\)', 1) as year, row_number() over (partition by page_id order by pos) - 1 as position from f""")
 def _(t):
     return extract.cards(t.pages)
 

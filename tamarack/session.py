@@ -18,10 +18,13 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder for written tables and checkpoints that all executors share: spark.checkpoint.dir, or one of its own where that is unset."""
+    """The folder for written tables and checkpoints that all executors share: spark.checkpoint.dir. Only a local session may do without."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

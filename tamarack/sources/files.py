@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.prepare import require_columns
@@ -100,8 +100,47 @@ def read_dat(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
-    """Benchmark reports or manifests (JSON files) as rows."""
-    return spark.read.option("multiLine", True).json(pattern)
+    """Benchmark reports or manifests (JSON files) as rows, with the path that each came from."""
+    return spark.read.option("multiLine", True).json(pattern).withColumn("path", F.input_file_name())
+
+
+def _metric_rows(reports: DataFrame, run: Column, values: Column) -> DataFrame:
+    """(run, metric, value) of a struct of numbers, whatever its fields are; what is no number is left out."""
+    pairs = F.from_json(F.to_json(values), "map<string, string>")
+    return reports.select(run.alias("run"), F.explode(pairs).alias("metric", "value")).select("run", "metric", F.col("value").try_cast("double").alias("value")).where("value is not null")
+
+
+def report_rows(spark: SparkSession, pattern: str, dataset: str, artifact_root: str = "") -> tuple[DataFrame, DataFrame]:
+    """(runs, metrics) for leaderboard rows, of external benchmark reports: lists of model, test_result, and perhaps artifact_dir and command.
+
+    A run without its own folder of artifacts has <artifact_root>/recbole-<model> if a manifest lies there.
+    """
+    rows = read_reports(spark, pattern)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    rows = rows.withColumn("run", F.xxhash64("path", F.to_json(F.struct(*rows.columns))))
+    guess = F.concat(F.lit(artifact_root.rstrip("/") + "/recbole-"), F.lower(text("model")))
+    runs = rows.select("run", F.lit(dataset).alias("dataset"), F.concat(F.lit("recbole-"), text("model")).alias("model"), F.lower(text("model")).alias("model_family"), F.lit("recbole").alias("source"), text("artifact_dir").alias("artifact_dir"), text("command").alias("command"), guess.alias("guess"))
+    if artifact_root:
+        there = [r[0] for r in runs.select("guess").distinct().collect() if exists(spark, f"{r[0]}/manifest.json")]  # a row for each model
+        runs = runs.withColumn("artifact_dir", F.when((F.col("artifact_dir") == "") & F.col("guess").isin(there), F.col("guess")).otherwise(F.col("artifact_dir")))
+    return runs.drop("guess"), _metric_rows(rows, F.col("run"), F.col("test_result"))
+
+
+def manifest_rows(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, metrics) for leaderboard rows, of model manifests: dataset, model_name, model_source, weights, tuning and metrics."""
+    from ..functions.text import model_family
+
+    rows = read_reports(spark, pattern)
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    source = F.when(has("tuning").isNotNull(), "tuned_hybrid").otherwise(F.coalesce(has("model_source"), F.lit("artifact")))
+    rows = rows.withColumns({"folder": folder, "model": F.coalesce(has("model_name"), F.regexp_extract(folder, "[^/]*$", 0)), "source": source})
+    weights = F.coalesce(F.to_json(F.col("weights")), F.lit("{}")) if "weights" in rows.columns else F.lit("{}")
+    runs = rows.select(F.xxhash64("path").alias("run"), F.coalesce(has("dataset"), F.lit("")).alias("dataset"), "model", model_family(F.col("model"), F.col("source")).alias("model_family"), "source", weights.alias("tuned_weights"), F.col("folder").alias("artifact_dir"))
+    inner = F.col("metrics")
+    if "test" in rows.select("metrics.*").columns:  # nested results count
+        inner = F.col("metrics.test")
+    return runs, _metric_rows(rows, F.xxhash64("path"), inner)
 
 
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
@@ -118,8 +157,38 @@ def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
             raise OSError(f"could not move {name} into {folder}")
 
 
+def crawl_bundle(movies: DataFrame, ratings: DataFrame) -> dict[str, DataFrame]:
+    """Tables of a bundle from crawled movies(movie_id, title, year, movie_url, seq) and ratings(user_id, movie_id, rating, liked, timestamp, seq).
+
+    Films of one canonical key become one movie; ids are dense from 1, in order of key and of user
+    name; of several ratings of a pair the last counts. movie_id_mapping and user_id_mapping lead
+    back to the crawled ids; tags are empty, links blank.
+    """
+    from ..functions.text import canonical_key, normal_rating, parsed_year, slug_of_url, with_year
+    from ..operators.prepare import dense_ids, keep_one
+
+    year = parsed_year(F.col("year"), F.col("title"))
+    keyed = movies.withColumn("year", year).withColumn("canonical_key", canonical_key(slug_of_url(F.col("movie_url")), F.col("title"), F.col("year")))
+    numbered = keyed.join(dense_ids(keyed, "canonical_key", out="movieId"), "canonical_key")
+    first = keep_one(numbered, ["movieId"], [F.col("seq"), F.col("movie_id")])
+    users = dense_ids(ratings, "user_id", out="userId")
+    known = numbered.select("movie_id", "movieId").distinct()
+    every = ratings.join(users, "user_id").join(known, "movie_id").withColumn("rating", normal_rating(F.col("rating"), F.col("liked")))
+    own = first.select("movieId", with_year(F.col("title"), F.col("year")).alias("title"), F.lit("(no genres listed)").alias("genres"), "year")
+    spark = movies.sparkSession
+    return {
+        "movies": own,
+        "ratings": keep_one(every, ["userId", "movieId"], [F.desc("timestamp"), F.desc("seq")]).select("userId", "movieId", "rating", "timestamp"),
+        "tags": spark.createDataFrame([], "userId long, movieId long, tag string, timestamp long"),
+        "links": own.select("movieId", F.lit("").alias("imdbId"), F.lit("").alias("tmdbId")),
+        "movie_id_mapping": numbered.select(F.col("movie_id").alias("raw_movie_id"), "canonical_key", "title", F.col("movie_url").alias("raw_movie_url"), "movieId"),
+        "user_id_mapping": users.select(F.col("user_id").alias("raw_user_id"), "userId"),
+    }
+
+
 def write_splits(split: DataFrame, folder: str) -> None:
-    split.repartition("split").sortWithinPartitions("userId", "timestamp", "movieId").write.mode("overwrite").partitionBy("split").parquet(folder)
+    """A folder for each split, whose files are ranges of users, each in order."""
+    split.repartitionByRange("userId").sortWithinPartitions("split", "userId", "timestamp", "movieId").write.mode("overwrite").partitionBy("split").parquet(folder)
 
 
 def interaction_export(split: DataFrame, threshold: float = 4.0) -> DataFrame:
@@ -141,20 +210,31 @@ def write_summary(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").json(path)
 
 
-def markdown_table(rows: DataFrame, most: int = 1000) -> Iterator[str]:
-    """Lines of a table of a report's few rows, at most `most`."""
-    yield "| " + " | ".join(rows.columns) + " |"
-    yield "|" + " --- |" * len(rows.columns)
-    for r in rows.limit(most).collect():
-        yield "| " + " | ".join("" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) + " |"
+def markdown_lines(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """(place, line): a Markdown table of all rows, in order; floats have four decimals."""
+    shown = [F.format_string("%.4f", F.col(f"`{f.name}`")) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`").cast("string") for f in rows.schema.fields]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in shown]), F.lit(" |"))
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(rows.columns) + " |"), (1, "|" + " --- |" * len(rows.columns))], "place int, line string")
+    placed = rows.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("place"), line.alias("line"))  # a report's rows: one file takes them all anyway
+    return head.unionByName(placed)
+
 
+def write_report(rows: DataFrame, prefix: str, *order: Column | str) -> None:
+    """A report's rows as JSON, CSV and a Markdown table, in order (by all columns if none is given)."""
+    order = order or tuple(f"`{c}`" for c in rows.columns)
+    one = rows.coalesce(1).sortWithinPartitions(*order)
+    one.write.mode("overwrite").json(f"{prefix}.json")
+    one.write.mode("overwrite").option("header", True).csv(f"{prefix}.csv")
+    markdown_lines(rows, *order).coalesce(1).sortWithinPartitions("place").select("line").write.mode("overwrite").text(f"{prefix}.md")
 
-def write_report(rows: DataFrame, prefix: str) -> None:
-    """A report's rows as JSON, CSV and a Markdown table (a text folder)."""
-    rows.coalesce(1).write.mode("overwrite").json(f"{prefix}.json")
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{prefix}.csv")
-    spark = rows.sparkSession
-    spark.createDataFrame([(x,) for x in markdown_table(rows)], "value string").coalesce(1).write.mode("overwrite").text(f"{prefix}.md")
+
+def write_quality_report(report: DataFrame, folder: str) -> None:
+    """A quality report (section, name, value, text) as JSON, coverage and issues as CSV, and a Markdown text."""
+    report.coalesce(1).sortWithinPartitions("section", "name").write.mode("overwrite").json(f"{folder}/data_quality.json")
+    for name, section in (("content_coverage", "coverage"), ("content_issues", "issues")):
+        report.where(F.col("section") == section).select("name", "value").coalesce(1).sortWithinPartitions("name").write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+    said = F.concat(F.lit("- "), F.when(F.col("text").isNotNull(), F.col("text")).otherwise(F.concat_ws(": ", F.concat_ws(" ", "section", "name"), F.col("value").cast("string"))))
+    report.coalesce(1).sortWithinPartitions("section", "name").select(said).write.mode("overwrite").text(f"{folder}/data_quality.md")
 
 
 def append_rating(spark: SparkSession, path: str, user: int, movie: int, rating: float, timestamp: int) -> None:
@@ -175,6 +255,11 @@ def load_artifact(spark: SparkSession, folder: str) -> tuple[dict, dict[str, Dat
     return manifest, {name: spark.read.parquet(f"{folder}/{name}") for name in manifest["files"]}
 
 
+def export_factors(folder: str, manifest: dict, users: DataFrame, items: DataFrame, user_id: str = "id", item_id: str = "id") -> None:
+    """An external model's factors, or those of an ALS fit, as an artifact: tables user_factors and item_factors without padding rows."""
+    save_artifact(folder, manifest, user_factors=external_factors(users, user_id, "userId"), item_factors=external_factors(items, item_id, "movieId"))
+
+
 def external_factors(factors: DataFrame, id_col: str, out: str) -> DataFrame:
     """(id, factors) of an external model, without its padding row."""
     return factors.where(F.col(id_col).cast("string") != "[PAD]").select(F.col(id_col).try_cast("long").alias(out), "factors")

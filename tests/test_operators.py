@@ -104,8 +104,8 @@ def test_best_interaction(spark):
 
 
 def test_metric_names(spark):
-    raw = spark.createDataFrame([(1, "ndcg_at_k", 0.1), (1, "all_ndcg@10", 0.2), (1, "test_rmse", 0.9), (1, "noise", 5.0)], "run int, metric string, value double")
-    assert values(leaderboard.normal_metrics(raw), "metric", "value") == [("ndcg@10", 0.2), ("rmse", 0.9), ("warm_ndcg@10", 0.1)]
+    raw = spark.createDataFrame([(1, "ndcg_at_k", 0.1), (1, "all_ndcg_at_k", 0.2), (1, "recall_at_k", 0.3), (1, "test_rmse", 0.9), (1, "noise", 5.0)], "run int, metric string, value double")
+    assert values(leaderboard.normal_metrics(raw), "metric", "value") == [("ndcg@10", 0.2), ("recall@10", 0.3), ("rmse", 0.9), ("warm_ndcg@10", 0.1)]  # the bare one is the warm one only beside one for all
 
 
 def test_warp_negatives_violate(spark):
