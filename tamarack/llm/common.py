@@ -32,10 +32,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder that the cluster names in spark.checkpoint.dir; set one only where none is named."""
+    """Keep the folder that the cluster names in spark.checkpoint.dir; only a local session may get one of its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:

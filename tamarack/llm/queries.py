@@ -91,4 +91,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+WORDS = "regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+FOLDED = WORDS.format(text="translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
+def _shingles(size: int) -> str:
+    """Distinct runs of `size` words of the list ws; the whole of a shorter one, none of an empty one."""
+    return f"case when len(ws) >= {size} then list_distinct(list_transform(range(1, len(ws) - {size - 2}), lambda i: array_to_string(ws[i : i + {size - 1}], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end"
+
+
+SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+with d as (select doc_id, {WORDS.format(text="coalesce(text, '')")} as ws from documents),
+w as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from d where len(ws) >= 35),
+h as (select doc_id, i, count(*) over (partition by md5(array_to_string(ws[i : i + 34], ' '))) as c from w),
+g as (select distinct doc_id, unnest(range(i, i + 35)) as k from h where c > 1),
+ws as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as k from d),
+kept as (select ws.doc_id, string_agg(word, ' ' order by ws.k) as t, count(*) as n from ws left join g on g.doc_id = ws.doc_id and g.k = ws.k where g.k is null group by ws.doc_id)
+select d.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept on kept.doc_id = d.doc_id""",
+    "op5_jaccard_join": f"""
+with recursive d as (select doc_id, {FOLDED.format(text="coalesce(text, '')")} as ws from documents),
+s as (select doc_id, {_shingles(4)} as sh from d),
+u as (select doc_id, len(sh) as n, unnest(sh) as t from s),
+p as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as k from u x join u y on x.t = y.t and x.doc_id <> y.doc_id group by all),
+l as (select a, b from p where 100 * k >= 85 * (n + m - k)),
+r(a, b) as (select doc_id, doc_id from s union select r.a, l.b from r join l on l.a = r.b)
+select s.doc_id, len(sh) as n_shingles, c as component_id from s join (select a, min(b) as c from r group by a) on a = s.doc_id""",
+    "op9_line_dedup": f"""
+with t as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from documents where text is not null),
+d as (select doc_id, no, {FOLDED.format(text="line")} as ws from t),
+u as (select doc_id, no, len(sh) as n, unnest(sh) as tok from (select doc_id, no, {_shingles(5)} as sh from d)),
+p as (select x.doc_id, x.no, any_value(x.n) as n, any_value(y.n) as m, count(*) as k from u x join u y on x.tok = y.tok and (y.doc_id < x.doc_id or (y.doc_id = x.doc_id and y.no < x.no)) group by x.doc_id, x.no, y.doc_id, y.no),
+g as (select distinct doc_id, no from p where 100 * k >= 80 * (n + m - k)),
+a as (select t.doc_id, count(g.no) as n, coalesce(string_agg(g.no, ',' order by g.no), '') as removed, coalesce(string_agg(line, chr(10) order by t.no) filter (where g.no is null), '') as kept from t left join g on g.doc_id = t.doc_id and g.no = t.no group by t.doc_id)
+select documents.doc_id, coalesce(n, 0) as n_removed_lines, coalesce(removed, '') as removed_lines, sha256(kept) as kept_sha256 from documents left join a on a.doc_id = documents.doc_id""",
+}
