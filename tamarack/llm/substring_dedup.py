@@ -227,10 +227,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(kept)] + new, [batch.schema.field(i).name for i in range(kept)] + schema.names)
 
     low = F.col(b).bitwiseAND(2**_B - 1)
-    names = [F.col(quoted(f.name)) for f in others]
-    rows = docs.select(*names, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(b, low)
+    names = [f"{p}{i}" for i in range(len(others))]
+    # Other columns go through Python under plain names, whatever they are called.
+    plain = [F.col(quoted(f.name)).alias(f"{p}{i}") for i, f in enumerate(others)]
+    rows = docs.select(*plain, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(b, low)
     rows = rows.withColumn(p + "may", F.pandas_udf(may_lose, "boolean")(a, b))
     untouched = rows.where(~F.col(p + "may")).select(*names, text, F.lit(None).cast(found.schema[spans].dataType).alias(spans))
     touched = rows.where(p + "may").join(found, [a, b], "left").select(*names, text, spans)
-    fields = "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in others)
-    return untouched.unionByName(touched).mapInArrow(cut, f"{fields}kept_text string, n_words long, n_removed long, repeats array<array<long>>")
+    fields = "".join(f"{p}{i} {f.dataType.simpleString()}, " for i, f in enumerate(others))
+    out = untouched.unionByName(touched).mapInArrow(cut, f"{fields}kept_text string, n_words long, n_removed long, repeats array<array<long>>")
+    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, others, strict=True)], *made)
