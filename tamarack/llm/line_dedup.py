@@ -1,23 +1,22 @@
 """Removal of lines that nearly repeat an earlier line: an exact set-similarity join of lines.
 
-A line's tokens are its words, each with its number among the equal words of the line, so "a a" and
-"a" differ. Lines of equal sets are found by a hash of the set; the earliest stands for all in the rest.
-
-Tokens are ordered by rarity, from a table of fixed size that counts the words of the whole corpus.
-Lines meet at prefixes of this order, at pairs of neighbours in it, which fewer lines share than single
-words. Write D for the tokens that only one of two sets has. Between the common tokens, after a first
-one that all lines are given, at most D others stand; so two common ones are neighbours in both sets
-before D + 2 common tokens have passed. For a Jaccard similarity of t > 1/2 such a pair ends among the
-first 2 (|x| - ceil(t |x|)) + 2 tokens of each set x: the prefix. Pairs of tokens that one line alone
-has, told by an exact count in slices, lead nowhere. Length, positional and bitmap filters (bits are
-parities of the tokens that hash to them, so differing bits are at most as many as D) drop most
+A line's tokens are its distinct runs of SHINGLE words; a shorter line has one, its whole sequence. (Single
+words were tried and measured: where a corpus uses most of its words often, a line's rarest words are
+shared by many unrelated lines, and what meets grows faster than the input.) Lines of equal words are
+found by a hash of their sequence; the earliest stands for all in the rest.
+
+Tokens are ordered by rarity, by an exact count in slices that ends in tables of fixed size; tokens of
+one line alone come first and lead nowhere, and a line with too many of them has no partner. Two sets of
+Jaccard similarity t or more share a token among the first |x| - ceil(t |x|) + 1 of each, the prefix.
+Lines meet at these tokens. Length, positional and bitmap filters (bits are parities of the tokens that
+hash to them, so differing bits are at most as many as tokens that only one of the sets has) drop most
 pairs of lines that share one, the others are verified on their whole sets.
 
-A line goes once one earlier line matches. So at each pair of tokens a line is paired with CLOSE
-candidates of few differing bits, or PARTNERS in all, and lines that share one are compared HELD at a
-time, as Spark's sort brings them. Lines that were not compared with all others of a token for these
-reasons, and matched nothing, are then joined with all of them by a Spark join, which adaptive execution
-splits where a token is hot. So no task holds all lines of a token, and none is left out.
+A line goes once one earlier line matches. So at each token a line is paired with CLOSE candidates of
+few differing bits, or PARTNERS in all, and lines that share one are compared HELD at a time, as Spark's
+sort brings them. Lines that were not compared with all others of a token for these reasons, and
+matched nothing, are then joined with all of them by a Spark join, which adaptive execution splits
+where a token is hot. So no task holds all lines of a token, and none is left out.
 """
 
 from __future__ import annotations
@@ -30,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, free_prefix, list_parts, lists, mix, quoted, row_key, shuffle_width, text_batches
-from .shared_tokens import shared_tokens
+from .common import Words, blocks, checkpointed, free_prefix, list_parts, lists, mix, quoted, range_hashes, row_key, shuffle_width, text_batches
+from .shared_tokens import Shared, shared_tokens
 from .sketch import counted, counter_of
 
+#: Words of a token.
+SHINGLE = 5
 #: Candidates of a line at each of its tokens before the rest are joined in full: those that are surely near, and all.
-CLOSE, PARTNERS = 4, 64
+CLOSE, PARTNERS = 2, 64
 #: Lines of one token that are compared with each other at a time, and rows that a task gathers first.
 HELD, GATHERED = 4096, 200_000
 #: Words of 64 parity bits of a set, at most; bits of a text's hash that tell rows of one id apart.
@@ -46,11 +47,6 @@ _U = np.uint64
 _ID = "a long, b long, line int"
 
 
-def word_levels(counts: np.ndarray) -> np.ndarray:
-    """For each counter: 0 if it was hit once at most, else a number that grows with the logarithm of its hits."""
-    return np.where(counts > 1, np.minimum(62, np.ceil(2 * np.log2(np.maximum(counts, 1)))) + 1, 0).astype(np.uint8)
-
-
 def lines_of(words: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each line that has words: its text, its number there, its first word in the block and the number of its words."""
     breaks = np.flatnonzero(data == 10)
@@ -67,44 +63,48 @@ class Lines:
     With `pick`, a function of (text, line number) arrays, only lines that it lets through are made.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, levels: np.ndarray | None = None, pick=None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, shared: Shared | None = None, pick=None):
         words = Words(data, offsets, fold=True)
-        of_text, of_number, _, n = lines_of(words, data, offsets)
+        of_text, of_number, new, n = lines_of(words, data, offsets)
         keep = n >= least
         if pick is not None:
             keep &= pick(of_text, of_number)
-        self.text, self.number, self.n = of_text[keep], of_number[keep], n[keep]
-        hashes = words.hashes if keep.all() else words.hashes[np.repeat(keep, n)]
-        self.of = np.repeat(np.arange(len(self.n)), self.n)
+        self.text, self.number, new, n = of_text[keep], of_number[keep], new[keep], n[keep]
+        # Each line's tokens: a run from each of its first n - SHINGLE + 1 words, or the whole if it has fewer.
+        many = np.maximum(1, n - SHINGLE + 1)
+        of = np.repeat(np.arange(len(n)), many)
+        start = np.repeat(new, many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        token = range_hashes(words.hashes, start, start + np.minimum(n, SHINGLE)[of], 1) if len(of) else np.zeros(0, _U)
+        level = np.minimum(shared(token), 63) if shared is not None else np.zeros(len(token), np.uint8)
+        order = self._sorted(of, mix(token), level)
+        of, token, level = of[order], token[order], level[order]
+        one = np.concatenate([[True], (of[1:] != of[:-1]) | (token[1:] != token[:-1])]) if len(of) else np.zeros(0, bool)
+        self.of, self.token, self.level = of[one], token[one], level[one]
+        self.n = np.bincount(self.of, minlength=len(n)) if len(n) else n
         self.ends = np.concatenate([[0], np.cumsum(self.n)])
-        level = levels[counter_of(hashes)] if levels is not None else np.zeros(len(hashes), np.uint8)
-        order = self._sorted(mix(hashes), level)
-        hashes, self.level = hashes[order], level[order]
-        again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (self.of[1:] == self.of[:-1])]) if len(hashes) else np.zeros(0, bool)
-        at = np.arange(len(hashes))
-        self.token = mix(hashes + (at - np.maximum.accumulate(np.where(again, 0, at))).astype(_U) * _U(0x9E3779B97F4A7C15))
-        self.place = at - self.ends[self.of]
-
-    def _sorted(self, spread: np.ndarray, level: np.ndarray) -> np.ndarray:
+        self.place = np.arange(len(self.of)) - self.ends[self.of]
+        self.common = self.reduced(np.add, (self.level > 0).astype(np.int64))  # tokens that other lines may have
+
+    def _sorted(self, of: np.ndarray, spread: np.ndarray, level: np.ndarray) -> np.ndarray:
         """Tokens by line, then by level and hash."""
-        if len(self.n) >= _LINES:  # one text of very many lines
-            return np.lexsort((spread, level, self.of))
-        key = (self.of.astype(_U) << _U(44)) | (level.astype(_U) << _U(38)) | (spread >> _U(26))
+        if len(self.text) >= _LINES:  # one text of very many lines
+            return np.lexsort((spread, level, of))
+        key = (of.astype(_U) << _U(44)) | (level.astype(_U) << _U(38)) | (spread >> _U(26))
         order = np.argsort(key)
         key = key[order]
         tie = np.flatnonzero(key[1:] == key[:-1])
-        if len(tie) and (spread[order[tie]] != spread[order[tie + 1]]).any():  # different words that share 38 bits
-            return np.lexsort((spread, level, self.of))
+        if len(tie) and (spread[order[tie]] != spread[order[tie + 1]]).any():  # different tokens that share 38 bits
+            return np.lexsort((spread, level, of))
         return order
 
     def reduced(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
         return how.reduceat(values, self.ends[:-1]) if len(self.n) else values[:0]
 
     def prefix(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the tokens that end the pairs of the prefixes, and hashes of these pairs."""
-        at = np.flatnonzero(self.place < (2 * (self.n + (-percent * self.n // 100)) + 2)[self.of])
-        before = np.where(self.place[at] > 0, self.token[at - 1], _U(0x1B873593CC9E2D51))
-        return at, mix(mix(before) + self.token[at])
+        """Where the tokens of the prefixes are, and the tokens; none of lines that lack tokens which others may have."""
+        some = (self.place < (self.n + (-percent * self.n // 100) + 1)[self.of]) & (100 * self.common >= percent * self.n)[self.of] & (self.level > 0)
+        at = np.flatnonzero(some)
+        return at, self.token[at]
 
     def parities(self, some: np.ndarray) -> pa.Array:
         """A list of words for each of some lines: bits that are parities of the tokens that hash to them, as many as the line has tokens or more."""
@@ -118,12 +118,11 @@ class Lines:
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, number and hash of the multiset of words of each line of `least` words or more."""
+    """Text, number and hash of the words of each line of `least` words or more."""
     words = Words(data, offsets, fold=True)
     text, number, new, n = lines_of(words, data, offsets)
-    total = np.add.reduceat(mix(words.hashes ^ _U(7)), new) if len(new) else words.hashes[:0]
     keep = n >= least
-    return text[keep], number[keep], mix(total + n.astype(_U))[keep]
+    return text[keep], number[keep], range_hashes(words.hashes, new[keep], (new + n)[keep], 0)
 
 
 def ids(batch_a: np.ndarray, batch_b: np.ndarray, lo: int, text: np.ndarray, number: np.ndarray) -> list[pa.Array]:
@@ -150,15 +149,6 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
     keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text")).withColumn("b", F.col("b").bitwiseAND(2**HASH_BITS - 1))
     share = spark.sparkContext.broadcast
 
-    def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in blocks(batch.column(0)):
-            yield Words(data, offsets, fold=True).hashes
-
-    counts = counted(keyed.select("text"), words)
-    # Prefixes hold at most so many pairs of all words: as many tasks as keep each one's share small.
-    width = max(shuffle_width(spark), int(counts.sum(dtype=np.uint64)) * 2 * (100 - percent) // 100 // 3_000_000 + 1)
-    levels = share(word_levels(counts))
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -166,10 +156,11 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
                 text, number, s1 = signatures(data, offsets, least)
                 yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), *ids(a, b, lo, text, number)], ["s1", "a", "b", "line"])
 
-    # Lines of equal sets: all but the earliest go. Of sets that a bitmap of the repeated ones lets through, only the earliest line is kept on.
+    # Lines of equal words: all but the earliest go. Of those that a bitmap of the repeated ones lets through, only the earliest line is kept on.
     lines = checkpointed(keyed.mapInArrow(sign, f"s1 long, {_ID}"))
     sets = checkpointed(lines.groupBy("s1").agg(F.min(F.struct("a", "b", "line")).alias("first"), F.count("*").alias("n")))
     repeated = sets.where("n > 1")
+    tokens = (keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5  # a word has about that many bytes
     equal = lines.join(repeated, "s1").where("struct(a, b, line) > first").select("a", "b", "line")
     twice = share(bitmap_of(repeated.select("s1"), lambda t: iter([t.column(0).to_numpy().view(_U)])))
 
@@ -180,35 +171,38 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
 
     leaders = share(bitmap_of(sets.select("s1", "first.*"), leading))
 
-    def kept(a: np.ndarray, b: np.ndarray, lo: int, data: np.ndarray, offsets: np.ndarray) -> Lines:
-        """The lines of a block that stand for their sets."""
+    def kept(a: np.ndarray, b: np.ndarray, lo: int, data: np.ndarray, offsets: np.ndarray, shared: Shared | None) -> Lines:
+        """The lines of a block that stand for all of equal words."""
         text, number, s1 = signatures(data, offsets, least)
         go = ~inside(twice.value, s1) | inside(leaders.value, line_hash(a[lo + text], b[lo + text], number))
         ours = (text[go] << 32) | number[go]
-        return Lines(data, offsets, least, levels.value, lambda t, k: np.isin((t << 32) | k, ours))
+        return Lines(data, offsets, least, shared, lambda t, k: np.isin((t << 32) | k, ours))
 
-    def pairs_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def tokens_of_all(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for lo, _, data, offsets in blocks(batch.column(2)):
-            yield kept(a, b, lo, data, offsets).prefix(percent)[1]
+            yield kept(a, b, lo, data, offsets, None).token
 
-    shared = share(shared_tokens(keyed, pairs_of))
+    # Prefixes hold about so many of all tokens at most: as many tasks as keep each one's share small.
+    width = max(shuffle_width(spark), tokens * (100 - percent) // 100 // 3_000_000 + 1)
+    shared = share(shared_tokens(keyed, tokens_of_all))
 
     def postings(tokens: np.ndarray | None) -> DataFrame:
-        """The pairs of tokens at which lines may meet: all, or those in a bitmap."""
+        """The tokens at which lines may meet: all, or those in a bitmap."""
         asked = share(tokens)
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 for lo, _, data, offsets in blocks(batch.column(2)):
-                    own = kept(a, b, lo, data, offsets)
+                    own = kept(a, b, lo, data, offsets, shared.value)
                     at, token = own.prefix(percent)
-                    some = shared.value(token) > 0 if asked.value is None else inside(asked.value, token)
-                    at, token = at[some], token[some]
+                    if asked.value is not None:
+                        some = inside(asked.value, token)
+                        at, token = at[some], token[some]
                     of = own.of[at]
                     some, row = np.unique(of, return_inverse=True)
-                    size = (own.n[of] << 32) | np.maximum(own.place[at] - 1, 0)
+                    size = (own.n[of] << 32) | own.place[at]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(token.view(np.int64)), *ids(a, b, lo, own.text[of], own.number[of]), pa.array(size), own.parities(some).take(pa.array(row))],
                         ["token", "a", "b", "line", "size", "bits"],
@@ -217,7 +211,7 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
         return keyed.mapInArrow(post, f"token long, {_ID}, size long, bits array<long>")
 
     schema = "xa long, xb long, xline int, ya long, yb long, yline int, kind int"
-    rows = postings(None).repartition(width, "token").sortWithinPartitions("token", "size")
+    rows = postings(None).repartition(width, "token").sortWithinPartitions("token", F.shiftright("size", 32), "a", "b", "line")
     # Kinds: 0 a pair, 1 a pair of a line that has more candidates, 3 a line not compared with all.
     met = rows.mapInArrow(lambda batches: meet(batches, percent), schema).groupBy("xa", "xb", "xline", "ya", "yb", "yline").agg(F.max("kind").alias("kind"))
     met = checkpointed(met)
@@ -230,7 +224,7 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
         def tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                yield Lines(data, offsets, least, levels.value, lambda t, k: inside(lost.value, line_hash(a[lo + t], b[lo + t], k))).prefix(percent)[1]
+                yield Lines(data, offsets, least, shared.value, lambda t, k: inside(lost.value, line_hash(a[lo + t], b[lo + t], k))).prefix(percent)[1]
 
         posted = postings(np.packbits(counted(keyed, tokens_of) > 0)).withColumns({"n": F.shiftright("size", 32), "place": F.col("size").bitwiseAND(0xFFFFFFFF)}).drop("size")
         seekers = posted.join(rest, ["a", "b", "line"], "left_semi").alias("x")
@@ -248,14 +242,14 @@ def candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
         (F.col("x.token") == F.col("y.token"))
         & (F.struct("y.a", "y.b", "y.line") < F.struct("x.a", "x.b", "x.line"))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need)
+        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need)
         & (differ <= F.col("x.n") + F.col("y.n") - 2 * need)
     )
     return x.join(y, on).select(*[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("a", "b", "line")]).distinct()
 
 
 def meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines at the tokens of this task, whose rows come sorted by token and size."""
+    """Pairs of lines at the tokens of this task, whose rows come sorted by token, size of the set, and id."""
     names = ["xa", "xb", "xline", "ya", "yb", "yline", "kind"]
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -298,7 +292,7 @@ def meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
             near = (stretch[i] == stretch[j]) & (100 * n[i] >= percent * n[j])  # sizes ascend: what fails now fails at larger lags
             i, j = i[near], j[near]
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            p = np.flatnonzero(np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
+            p = np.flatnonzero(np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
             p = p[(a[i[p]] != a[j[p]]) | (b[i[p]] != b[j[p]]) | (line[i[p]] != line[j[p]])]  # not the line of a repeated row
             u, v = i[p], j[p]
             most = n[u] + n[v] - 2 * need[p]
@@ -381,10 +375,11 @@ def verified(pairs: DataFrame, keyed: DataFrame, percent: int, least: int) -> Da
 def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept_text and removed_lines (numbers of the removed lines, from 0).
 
-    A line (between line feeds) goes if an earlier one, by (id, line number), has a multiset of words
-    of Jaccard similarity percent / 100 or more, whether or not that one goes itself. Words are runs
-    of anything but ASCII white space, A-Z folded. Lines of fewer words than `least_words` stay and
-    match nothing; by default those are the blank ones. A null text stays null and has no lines. A
+    A line (between line feeds) goes if an earlier one, by (id, line number), has a set of SHINGLE-word
+    runs of Jaccard similarity percent / 100 or more, whether or not that one goes itself. Words are
+    runs of anything but ASCII white space, A-Z folded. A line shorter than a run matches lines of the
+    same words only. Lines of fewer words than `least_words` stay and match nothing; by default those
+    are the blank ones. A null text stays null and has no lines. A
     null id sorts first; among rows of one id, order is by a hash of the text; rows that repeat an id
     and text count as one. `percent` is more than 50. An empty table gives an empty result. Columns of the two names are replaced,
     all others kept, whatever they are called.

@@ -57,12 +57,13 @@ def test_nothing(nothing):
 
 
 def lines_gone(rows, percent=80):
-    """Lines whose bag of words has that Jaccard similarity with an earlier line's, of rows with different ids."""
+    """Lines whose set of five-word runs has that Jaccard similarity with an earlier line's, of rows with different ids."""
     seen, out = [], {d: [] for d, _ in rows}
     for d, t in sorted(rows, key=lambda r: r[0]):
         for i, line in enumerate((t or "").split("\n")):
-            if own := Counter(words(line, True)):
-                if any(100 * (own & o).total() >= percent * (own | o).total() for o in seen):
+            w = words(line, True)
+            if own := {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set():
+                if any(100 * len(own & o) >= percent * len(own | o) for o in seen):
                     out[d].append(i)
                 seen.append(own)
     return out
