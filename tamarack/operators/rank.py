@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -81,41 +79,43 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
     return average / max(len(x) - 1, 1)
 
 
-#: Items that a catalog may have for the batch scorer, which gives each task all item vectors.
-MOST_ITEMS = 2_000_000
+#: Users of a block, and of those scored at once.
+BLOCK_USERS, AT_ONCE = 2048, 64
 
 
 def batch_top_k(users: DataFrame, items: DataFrame, pop: DataFrame, k: int = 10, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """(userId, movieId, score, rank) of users(userId, cf, content, seen) against items(movieId, cf, content).
 
     cf and content are vectors whose products are the raw scores, pop(movieId, popularity) is scaled
-    once, and seen is an array of ids to leave out. Each user is scored, scaled and cut to k in one
-    go, so that no user x item rows arise. The item side is broadcast; a catalog over MOST_ITEMS is refused.
+    once, and seen is an array of ids to leave out. A block of users meets the whole catalog in one
+    task, as ranks need a user's scores of all items; each user is scored, scaled and cut to k in one
+    go, so that no user x item rows arise. A task holds the catalog's vectors and AT_ONCE users' scores.
     """
-    n = items.count()
-    if n > MOST_ITEMS:
-        raise ValueError(f"{n} items are more than a task can hold ({MOST_ITEMS}); score by joins instead")
-    table = items.join(pop, "movieId", "left").orderBy("movieId").toPandas()  # checked: MOST_ITEMS rows at most
-    ids = table.movieId.to_numpy()
-    vectors = [np.array(table[c].tolist(), np.float32) for c in ("cf", "content")]
-    scaled = average_ranks(table.popularity.fillna(0).to_numpy())
-    shared = users.sparkSession.sparkContext.broadcast((ids, *vectors, scaled))
+    n = users.count()
+    blocks = max(1, -(-n // BLOCK_USERS))
+    table = items.join(pop, "movieId", "left").select("movieId", F.col("cf").cast("array<float>").alias("cf"), F.col("content").cast("array<float>").alias("content"), F.coalesce("popularity", F.lit(0.0)).alias("popularity"))
+    left = users.select("userId", F.col("cf").cast("array<float>").alias("cf"), F.col("content").cast("array<float>").alias("content"), "seen", F.pmod(F.xxhash64("userId"), F.lit(blocks)).cast("int").alias("b"))
+    right = table.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     a, b, c = weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, cf, content, popular = shared.value
-        for batch in batches:
-            out = []
-            for user, p, q, seen in zip(batch.userId, batch.cf, batch.content, batch.seen, strict=True):
-                score = np.round(a * average_ranks((cf @ np.asarray(p, np.float32)).astype(np.float64)) + b * average_ranks((content @ np.asarray(q, np.float32)).astype(np.float64)) + c * popular, 10)
-                score[np.isin(ids, np.asarray(seen, np.int64))] = -np.inf
-                best = np.lexsort((ids, -score))[:k]
-                best = best[np.isfinite(score[best])]
-                out.append(pd.DataFrame({"userId": user, "movieId": ids[best], "score": score[best], "rank": np.arange(1, len(best) + 1, dtype=np.int32)}))
-            if out:
-                yield pd.concat(out)
-
-    return users.select("userId", "cf", "content", "seen").mapInPandas(run, "userId long, movieId long, score double, rank int")
+    def run(own: pd.DataFrame, catalog: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"userId": [], "movieId": [], "score": [], "rank": []}).astype({"userId": "int64", "movieId": "int64", "score": "float64", "rank": "int32"})]
+        if len(own) and len(catalog):
+            catalog = catalog.sort_values("movieId")
+            ids, popular = catalog.movieId.to_numpy(), c * average_ranks(catalog.popularity.to_numpy())
+            cf, content = (np.array(catalog[x].tolist(), np.float32).T for x in ("cf", "content"))
+            for i in range(0, len(own), AT_ONCE):
+                some = own.iloc[i : i + AT_ONCE]
+                products = [(np.array(some[x].tolist(), np.float32) @ y).astype(np.float64) for x, y in (("cf", cf), ("content", content))]
+                for user, p, q, seen in zip(some.userId, *products, some.seen, strict=True):
+                    score = np.round(a * average_ranks(p) + b * average_ranks(q) + popular, 10)
+                    score[np.isin(ids, np.asarray(seen, np.int64))] = -np.inf
+                    best = np.lexsort((ids, -score))[:k]
+                    best = best[np.isfinite(score[best])]
+                    out.append(pd.DataFrame({"userId": user, "movieId": ids[best], "score": score[best], "rank": np.arange(1, len(best) + 1, dtype=np.int32)}))
+        return pd.concat(out)
+
+    return left.groupBy("b").cogroup(right.groupBy("b")).applyInPandas(run, "userId long, movieId long, score double, rank int")
 
 
 def weight_grid() -> list[tuple[float, float, float]]:

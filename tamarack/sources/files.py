@@ -36,9 +36,13 @@ def first_existing(spark: SparkSession, folder: str, names: Sequence[str]) -> st
     raise FileNotFoundError(f"none of {', '.join(names)} in {folder}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A file with a header, matched by name: columns of `schema` are cast (null where that fails), other columns go."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = True) -> DataFrame:
+    """A file with a header, matched by name: columns of `schema` are cast (null where that fails), other columns go.
+
+    Texts may hold line breaks; a file read with that in mind is one task's. Files of numbers are read
+    without it, and split.
+    """
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(path)
     if schema is None:
         return raw
     fields = [x.split() for x in schema.split(", ")]
@@ -52,10 +56,13 @@ def read_movies(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Ratings; without timestamps, the order of the rows stands in for them."""
-    raw = read_csv(spark, path)
+    raw = read_csv(spark, path, multiline=False)
     if "timestamp" in raw.columns:
-        return read_csv(spark, path, RATINGS)
-    return read_csv(spark, path, RATINGS).withColumn("timestamp", F.monotonically_increasing_id())
+        return read_csv(spark, path, RATINGS, multiline=False)
+    numbered = read_csv(spark, path, RATINGS, multiline=False).drop("timestamp").withColumn("at", F.monotonically_increasing_id())  # grows along the file
+    from ..operators.prepare import dense_ids
+
+    return numbered.join(dense_ids(numbered, "at", start=0, out="timestamp"), "at").drop("at")
 
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -88,7 +95,7 @@ def read_tag_genome(spark: SparkSession, path: str, top_n: int = 20, min_relevan
 
 
 def read_genome(spark: SparkSession, scores: str, tags: str) -> tuple[DataFrame, DataFrame]:
-    return read_csv(spark, scores, "movieId long, tagId long, relevance double"), read_csv(spark, tags, "tagId long, tag string")
+    return read_csv(spark, scores, "movieId long, tagId long, relevance double", multiline=False), read_csv(spark, tags, "tagId long, tag string")
 
 
 def read_dat(spark: SparkSession, path: str, kind: str) -> DataFrame:
