@@ -1,9 +1,9 @@
 """Licence scan by sparse TF-IDF cosine to templates, with inheritance from the nearest directory.
 
 The units of a file are its lines, its paragraphs, its header (the leading block of comment lines) and
-the whole file. Their words are weighted by term frequency and the inverse document frequency over all
-files; a word that no template has counts one, each time in a dimension of its own. The template of
-greatest cosine, from THRESHOLD on, is the unit's licence; the best unit gives the file its own.
+the whole file. Their words are weighted by term frequency (1 + its logarithm) and the inverse document
+frequency over all files; a word that no template has counts one, each time in a dimension of its own.
+The template of greatest cosine, from THRESHOLD on, is the unit's licence; the best unit gives the file its own.
 
 No unit is judged by key words of our choice, but most need no cosine: a cosine of c needs shared
 words that hold c squared of the template's squared length, so a unit must have one of the template's
@@ -141,7 +141,7 @@ def vectors(spark: SparkSession, rows: DataFrame) -> DataFrame:
     counts = checkpointed(counts)
     total = counts.where("term = ''").select(F.col("df").alias("n"))
     idf = F.log((1.0 + F.coalesce("n", F.lit(0))) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-    weighted = words.join(counts, "term", "left").crossJoin(F.broadcast(total.groupBy().agg(F.max("n").alias("n")))).withColumn("idf", idf).withColumn("tw", F.col("ttf") * F.col("idf"))
+    weighted = words.join(counts, "term", "left").crossJoin(F.broadcast(total.groupBy().agg(F.max("n").alias("n")))).withColumn("idf", idf).withColumn("tw", (1 + F.log("ttf")) * F.col("idf"))
     by_weight = F.sum(F.col("tw") * F.col("tw"))
     own = Window.partitionBy("template")
     lighter = own.orderBy("tw", "term")
@@ -192,7 +192,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     words = units.select("unit", "path", "line", "whole", F.explode("terms").alias("term")).join(vocabulary, "term", "left")
     # A row for each known word of a unit, and one for all its others, each of which counts one.
     counted = words.groupBy("unit", "path", "line", "whole", F.when(F.col("idf").isNotNull(), F.col("term")).alias("term")).agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
-    counted = checkpointed(counted.withColumn("w", F.col("tf") * F.col("idf")))
+    counted = checkpointed(counted.withColumn("w", (1 + F.log("tf")) * F.col("idf")))
     norms = counted.groupBy("unit").agg(F.sqrt(F.sum(F.when(F.col("term").isNull(), F.col("tf").cast("double")).otherwise(F.col("w") * F.col("w")))).alias("norm"))
     scores = (
         counted.join(F.broadcast(known.select("template", "licence", "term", "tw", "tnorm")), "term")

@@ -401,10 +401,12 @@ def licences_by_all_pairs(files):
             at += p.count("\n") + 2
         for line, whole, unit in units:
             tf = Counter(words(unit))
-            norm = math.sqrt(sum((n * idf[w]) ** 2 if w in idf else n for w, n in tf.items()))
+            own = {w: (1 + math.log(n)) * idf[w] for w, n in tf.items() if w in idf}
+            norm = math.sqrt(sum(x * x for x in own.values()) + sum(n for w, n in tf.items() if w not in idf))
             for name, c in known:
-                dot = sum(tf[w] * idf[w] * n * idf[w] for w, n in c.items())
-                size = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+                theirs = {w: (1 + math.log(n)) * idf[w] for w, n in c.items()}
+                dot = sum(own.get(w, 0) * x for w, x in theirs.items())
+                size = math.sqrt(sum(x * x for x in theirs.values()))
                 if dot and round(dot / norm / size, 9) >= licences.THRESHOLD:
                     best[path].append((-round(dot / norm / size, 9), name, line, not whole))
     return {p: (min(b)[1], -min(b)[0], min(b)[2]) for p, b in best.items()}
