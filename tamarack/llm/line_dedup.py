@@ -36,7 +36,7 @@ from .sketch import counted, counter_of
 #: Words of a token.
 SHINGLE = 5
 #: Candidates of a line at each of its tokens before the rest are joined in full: those that are surely near, and all.
-CLOSE, PARTNERS = 2, 64
+CLOSE, PARTNERS = 2, 16
 #: Lines of one token that are compared with each other at a time, and rows that a task gathers first.
 HELD, GATHERED = 4096, 200_000
 #: Words of 64 parity bits of a set, at most; bits of a text's hash that tell rows of one id apart.
