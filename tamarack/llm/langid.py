@@ -183,10 +183,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     text_batches(labelled.sparkSession)
     text, lang, row = (F.col(quoted(c)) for c in (text_col, lang_col, id_col))
     rows = labelled.select(lang.cast("string").alias("lang"), text.cast("string").alias("text"), row.cast("string").alias("id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language, of which the models have a column each
     langs = sorted(r[0] for r in sizes.select("lang").collect())
     draw = lambda salt: F.pmod(F.xxhash64("text", "id", F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.join(sizes, "lang").where(draw(0) <= F.lit(sample_docs) / F.col("size")).select("lang", "text", (draw(1) < 1 / CALIBRATION).alias("kept"))
+    sample = rows.join(F.broadcast(sizes), "lang").where(draw(0) <= F.lit(sample_docs) / F.col("size")).select("lang", "text", (draw(1) < 1 / CALIBRATION).alias("kept"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
