@@ -25,9 +25,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, grams, lists, mix, range_hashes, text_batches
+from .common import Words, blocks, checkpointed, grams, lists, mix, quoted, range_hashes, text_batches
 from .graph import components
 from .shared_tokens import Shared, shared_tokens
+from .sketch import bitmap_of, inside
 
 #: Rounds of stars, and partners of a document in each.
 ROUNDS, PARTNERS = 1, 4
@@ -55,6 +56,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, fold: bool) -
     return (np.concatenate(out) if out else np.zeros(0, _U)), np.array(ends)
 
 
+def row_hash(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(_U)) ^ marks.view(_U)
+
+
 def order_keys(tokens: np.ndarray, level: np.ndarray, which: int) -> np.ndarray:
     """Sort keys of a global order of tokens: rare ones first, ties by the order's own hash."""
     return (level.astype(_U) << _U(56)) | (mix(tokens ^ _SEEDS[which]) >> _U(8))
@@ -73,16 +78,18 @@ def find_shared(docs: DataFrame, text_col: str, size: int, fold: bool) -> Shared
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each id: (doc_id, n_shingles, component_id).
+    """One row for each id, and one for each row without an id: (doc_id, n_shingles, component_id).
 
     Texts are linked whose shingle sets (size words each; the whole sequence if shorter) have
     100 * |intersection| >= percent * |union|. component_id is the smallest id that links reach. Null
-    and empty texts have no shingles and no links. Rows with null id are left out; rows that repeat an
-    id count as one document with the largest of their sets' signatures.
+    and empty texts have no shingles and no links. Of rows that repeat an id one set is chosen, the
+    largest (ties: by signature), and the id stands for that set alone. Rows without an id are linked
+    with nothing, and their component_id is null.
     """
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    without, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
     shared = spark.sparkContext.broadcast(find_shared(docs, "text", size, fold))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +105,14 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, i
             ids = batch.column(0).to_numpy()
             for a, b, data, offsets in blocks(batch.column(1)):
                 flat, ends = shingle_sets(data, offsets, size, fold)
+                marks = range_hashes(flat, ends[:-1], ends[1:], 0).view(np.int64)
+                stands = inside(standing.value, row_hash(ids[a:b], marks))
                 level = shared.value(flat)
-                keys, marks = order_keys(flat, level, 0), range_hashes(flat, ends[:-1], ends[1:], 0).view(np.int64)
+                keys = order_keys(flat, level, 0)
                 common = np.concatenate([[0], np.cumsum(level > 0)])
                 n, may = np.diff(ends), common[ends[1:]] - common[ends[:-1]]
                 tokens, places, of = [], [], []
-                for i in np.flatnonzero((n > 0) & (100 * may >= percent * n)).tolist():  # a partner shares that many at least
+                for i in np.flatnonzero(stands & (n > 0) & (100 * may >= percent * n)).tolist():  # a partner shares that many at least
                     lo, hi = ends[i], ends[i + 1]
                     own = np.argsort(keys[lo:hi])[: prefix_size(int(hi - lo), percent)]
                     place = np.flatnonzero(level[lo:hi][own] > 0)
@@ -119,13 +128,29 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, i
 
     signed = checkpointed(docs.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("doc_id", "s.*"))
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    # Tokens of one set alone lead nowhere, whatever the number of its copies.
+    reps = checkpointed(classes.select(F.col("rep").alias("doc"), "s1"))
+    # Only one row for each set is posted: a table of fixed size keeps copies back, and the join those that it lets through.
+    standing = spark.sparkContext.broadcast(bitmap_of(reps, lambda t: iter([row_hash(t.column(0).to_numpy(), t.column(1).to_numpy())])))
+    postings = docs.mapInArrow(post, "token long, doc long, place int, n int, s1 long").join(reps, ["doc", "s1"], "left_semi").distinct()
     over = Window.partitionBy("token")
-    postings = docs.mapInArrow(post, "token long, doc long, place int, n int, s1 long").withColumns({"lo": F.min("s1").over(over), "hi": F.max("s1").over(over)})
-    kept = checkpointed(postings.where("lo <> hi").drop("lo", "hi", "s1").join(reps.withColumnRenamed("doc_id", "doc"), "doc", "left_semi"))
-    asked = kept.select(F.col("doc").alias("doc_id")).distinct()
-    texts = checkpointed(docs.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    postings = postings.withColumns({"lo": F.min("doc").over(over), "hi": F.max("doc").over(over)}).where("lo <> hi")
+    kept = checkpointed(postings.select("token", "doc", "place", "n", "s1"))
+    asked = checkpointed(kept.select("doc", "s1").distinct())
+    sought = spark.sparkContext.broadcast(bitmap_of(asked, lambda t: iter([row_hash(t.column(0).to_numpy(), t.column(1).to_numpy())])))
+
+    def sought_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of the sets in question, as far as a table of fixed size tells."""
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for a, b, data, offsets in blocks(batch.column(1)):
+                flat, ends = shingle_sets(data, offsets, size, fold)
+                marks = range_hashes(flat, ends[:-1], ends[1:], 0).view(np.int64)
+                some = pa.array(inside(sought.value, row_hash(ids[a:b], marks)) & (np.diff(ends) > 0))
+                yield pa.RecordBatch.from_arrays([c.filter(some) for c in (batch.column(0).slice(a, b - a), pa.array(marks), batch.column(1).slice(a, b - a))], ["doc_id", "s1", "text"])
+
+    asked = asked.withColumnRenamed("doc", "doc_id")
+    texts = checkpointed(docs.mapInArrow(sought_texts, "doc_id long, s1 long, text string").join(asked, ["doc_id", "s1"], "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    kept = kept.drop("s1")
     verified = classes_of = None
     for round_ in range(ROUNDS):
         found = verify(star_pairs(labelled(kept, classes_of), round_, percent), texts, size, percent, fold)
@@ -135,7 +160,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, i
     verified = checkpointed(verified.union(verify(rest, texts, size, percent, fold)))
     final = components(verified)
     smallest = classes.join(final, classes.rep == final.node, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    return signed.join(smallest, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    found = signed.join(smallest, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    alone = without.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long")
+    return found.union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def labelled(postings: DataFrame, classes_of: DataFrame | None) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, blocks, checkpointed, free_prefix, list_parts, lists, mix, quoted, range_hashes, row_key, shuffle_width, text_batches
 from .shared_tokens import Shared, shared_tokens
-from .sketch import counted, counter_of
+from .sketch import bitmap_of, counted, inside
 
 #: Words of a token.
 SHINGLE = 5
@@ -39,8 +39,8 @@ SHINGLE = 5
 CLOSE, PARTNERS = 2, 16
 #: Lines of one token that are compared with each other at a time, and rows that a task gathers first.
 HELD, GATHERED = 4096, 200_000
-#: Words of 64 parity bits of a set, at most; bits of a text's hash that tell rows of one id apart.
-SKETCH, HASH_BITS = 64, 24
+#: Words of 64 parity bits of a set, at most.
+SKETCH = 64
 #: Tokens of lines that a block's sort keys can tell apart.
 _LINES = 1 << 20
 _U = np.uint64
@@ -133,20 +133,11 @@ def line_hash(a: np.ndarray, b: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(mix(a.astype(np.int64).view(_U)) ^ b.astype(np.int64).view(_U)) + line.astype(_U)
 
 
-def bitmap_of(rows: DataFrame, values) -> np.ndarray:
-    return np.packbits(counted(rows, values) > 0)
-
-
-def inside(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    c = counter_of(values)
-    return (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, line): lines that an earlier line matches; b has HASH_BITS bits."""
+    """(a, b, line): lines that an earlier line matches."""
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
-    keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text")).withColumn("b", F.col("b").bitwiseAND(2**HASH_BITS - 1))
+    keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text"))
     share = spark.sparkContext.broadcast
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +393,7 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int =
         return pd.Series(inside(asked.value, mix(a.to_numpy().astype(np.int64).view(_U)) ^ b.to_numpy().astype(np.int64).view(_U)))
 
     may_lose.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    rows = docs.select(*others, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(b, F.col(b).bitwiseAND(2**HASH_BITS - 1)).withColumn(may, F.pandas_udf(may_lose, "boolean")(a, b))
+    rows = docs.select(*others, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(may, F.pandas_udf(may_lose, "boolean")(a, b))
     untouched = rows.where(~F.col(may)).select(*others, F.col(text).alias("kept_text"), F.array().cast("array<int>").alias("removed_lines"))
     touched = rows.where(may).join(gone, [a, b], "left")
     numbers = F.coalesce(lost, F.array().cast("array<int>"))

@@ -72,3 +72,13 @@ def counted(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator], la
     for k, raw in rows.mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect():
         total[k * width : (k + 1) * width] += read(raw)  # one row for each slice
     return total
+
+
+def bitmap_of(rows: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator]) -> np.ndarray:
+    """The counters that were hit, a bit for each."""
+    return np.packbits(counted(rows, values_of) > 0)
+
+
+def inside(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    c = counter_of(values)
+    return (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)

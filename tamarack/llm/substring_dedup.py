@@ -39,7 +39,6 @@ SUFFIXES = 4_000_000
 #: log2 of the windows that a task remembers.
 MEMORY = 17
 _U = np.uint64
-_B = 24  # bits of the text's hash that go with a place
 
 
 def windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +74,7 @@ class Seen:
 
 
 def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, spans): for each row key (b: its _B low bits), (block, mask) pairs; set bits are repeated windows that start at word 64 block + bit."""
+    """(a, b, spans): for each row key, (block, mask) pairs; set bits are repeated windows that start at word 64 block + bit."""
     spark = docs.sparkSession
     text_batches(spark)
     keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text"))
@@ -130,42 +129,41 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else known
                 mask = np.bitwise_or.reduceat(bits[known], first) if len(first) else bits[:0]
                 of = np.concatenate([np.flatnonzero(go), known[first]])
-                place = ((start[of] >> 6).astype(_U) << _U(_B)) | (b[lo + text[of]] & _U(2**_B - 1))
+                block, row = start[of] >> 6, lo + text[of]
                 paths = np.zeros(len(of), _U)
                 paths[: go.sum()] = path(words, at[go], label[go])
-                paths[go.sum() :] = mix(place[go.sum() :] ^ a[lo + text[of[go.sum() :]]].view(_U))
+                paths[go.sum() :] = mix((a[row].view(_U) ^ b[row] ^ block.astype(_U))[go.sum() :])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(paths.view(np.int64)), pa.array(a[lo + text[of]]), pa.array(place.view(np.int64)), pa.array(np.concatenate([bits[go], mask]).view(np.int64)), pa.array(np.arange(len(of)) >= go.sum())],
-                    ["path", "a", "place", "mask", "known"],
+                    [pa.array(paths.view(np.int64)), pa.array(a[row]), pa.array(b[row].view(np.int64)), pa.array(block.astype(np.int32)), pa.array(np.concatenate([bits[go], mask]).view(np.int64)), pa.array(np.arange(len(of)) >= go.sum())],
+                    ["path", "a", "b", "block", "mask", "known"],
                 )
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leaves of deep nodes among the groups that this task holds; a partition is sized to fit its memory."""
         leaves: list[tuple[np.ndarray, ...]] = []
-        names = ["a", "place", "mask"]
+        names = ["a", "b", "block", "mask"]
         for batch in batches:
-            known = batch.column(4).to_numpy(zero_copy_only=False)
-            own = tuple(batch.column(k).to_numpy() for k in range(4))
+            known = batch.column(5).to_numpy(zero_copy_only=False)
+            own = tuple(batch.column(k).to_numpy() for k in range(5))
             if known.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in own[1:]], names)
             if not known.all():
                 leaves.append(tuple(c[~known] for c in own))
         if not leaves:
             return
-        paths, a, place, mask = (np.concatenate(c) for c in zip(*leaves, strict=True))
+        paths, *places = (np.concatenate(c) for c in zip(*leaves, strict=True))
         leaves.clear()
         order = np.argsort(paths)
         same = paths[order][1:] == paths[order][:-1]  # neighbours with the whole window in common
         deep = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
         for i in range(0, len(deep), 100_000):
             some = deep[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(place[some]), pa.array(mask[some])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in places], names)
 
-    shipped = keyed.mapInArrow(ship, "path long, a long, place long, mask long, known boolean")
-    marked = shipped.repartition(width, F.shiftrightunsigned("path", 40)).mapInArrow(trees, "a long, place long, mask long")
-    masks = marked.groupBy("a", "place").agg(F.bit_or("mask").alias("mask"))
-    b = F.col("place").bitwiseAND(2**_B - 1)
-    return masks.groupBy("a", b.alias("b")).agg(F.sort_array(F.collect_list(F.struct(F.shiftright("place", _B).alias("block"), "mask"))).alias("spans"))
+    shipped = keyed.mapInArrow(ship, "path long, a long, b long, block int, mask long, known boolean")
+    marked = shipped.repartition(width, F.shiftrightunsigned("path", 40)).mapInArrow(trees, "a long, b long, block int, mask long")
+    masks = marked.groupBy("a", "b", "block").agg(F.bit_or("mask").alias("mask"))
+    return masks.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("block", "mask"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,11 +224,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 new = [pa.array(texts, pa.string()), pa.array(np.diff(words.first).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(ranges, schema.field("repeats").type)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(kept)] + new, [batch.schema.field(i).name for i in range(kept)] + schema.names)
 
-    low = F.col(b).bitwiseAND(2**_B - 1)
     names = [f"{p}{i}" for i in range(len(others))]
     # Other columns go through Python under plain names, whatever they are called.
     plain = [F.col(quoted(f.name)).alias(f"{p}{i}") for i, f in enumerate(others)]
-    rows = docs.select(*plain, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(b, low)
+    rows = docs.select(*plain, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text))
     rows = rows.withColumn(p + "may", F.pandas_udf(may_lose, "boolean")(a, b))
     untouched = rows.where(~F.col(p + "may")).select(*names, text, F.lit(None).cast(found.schema[spans].dataType).alias(spans))
     touched = rows.where(p + "may").join(found, [a, b], "left").select(*names, text, spans)

@@ -153,5 +153,28 @@ def test_components(spark):
 
 def test_classes_of_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (None, "x")], "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in jaccard.link(df).collect()} == {1: 1, 2: 1}
+    assert {r.doc_id: r.component_id for r in jaccard.link(df).collect()} == {1: 1, 2: 1, None: None}
     assert jaccard.link(df).where(F.col("doc_id").isNull()).count() == 0
+
+
+def test_rows_without_an_id_whose_texts_agree_in_the_low_bits_of_their_hash(spark):
+    """Two rows without an id, of different words, whose text hashes agree in 24 bits; one of them occurs elsewhere."""
+    size, found = 4800, None
+    while found is None:
+        texts = spark.range(size).select(F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(40)]).alias("text"))
+        same = texts.groupBy(F.xxhash64("text").bitwiseAND(2**24 - 1).alias("h")).agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y")
+        found, size = same.first(), 2 * size
+    df = spark.createDataFrame([(None, found.x), (None, found.y), (7, found.x)], "doc_id long, text string")
+    out = {(r.doc_id, r["text"]): r.n_removed for r in substring_dedup.remove_repeats(df, 35).collect()}
+    assert out == {(None, found.x): 40, (None, found.y): 0, (7, found.x): 40}
+    out = {(r.doc_id, r["text"]): r.kept_text for r in line_dedup.remove_repeated_lines(df).collect()}
+    assert out == {(None, found.x): found.x, (None, found.y): found.y, (7, found.x): ""}
+
+
+def test_repeated_and_missing_ids_in_the_jaccard_join(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(40))
+    near = a.replace("a59", "other")
+    rows = [(1, a), (1, b), (2, near), (3, b), (None, a), (None, None), (4, None), (2, near)]
+    out = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == [("1", 57, "1"), ("2", 57, "1"), ("3", 37, "3"), ("4", 0, "4"), ("None", 0, "None"), ("None", 57, "None")]
