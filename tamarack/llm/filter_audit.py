@@ -114,7 +114,9 @@ def audit(counts: DataFrame, letters: str = LETTERS) -> DataFrame:
             key = (part.indices.to_numpy() * len(outcomes) + mask).astype(np.int64)
             for which, some in enumerate((slice(None), good, toxic)):
                 own, back = np.unique(key[some], return_inverse=True)
-                for k, count in zip(own.tolist(), np.bincount(back, number[some]).astype(np.int64).tolist() if len(own) else [], strict=True):
+                rows = np.zeros(len(own), np.int64)
+                np.add.at(rows, back, number[some])
+                for k, count in zip(own.tolist(), rows.tolist(), strict=True):
                     sums = held.setdefault(names[k // len(outcomes)], [0, 0, 0])
                     sums[which] += count * outcomes[k % len(outcomes)]
             if len(held) >= PARTS:

@@ -204,7 +204,7 @@ def numbered(leaves: DataFrame) -> DataFrame:
             tree, n = batch.column(0)[-1].as_py(), int(i[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(i)], [*batch.schema.names, "i"])
 
-    return rows.mapInArrow(number, StructType(rows.schema.fields).add("i", "long"))
+    return rows.mapInArrow(number, StructType([*rows.schema.fields]).add("i", "long"))
 
 
 # --- trees ---------------------------------------------------------------------------------------
@@ -282,7 +282,7 @@ def descend(forest: Forest, above: DataFrame, last: Callable[[dict, list[str]],
 
     names = f"tree string, block long, left array<string>, right array<string>{''.join(f', {c} {types[c]}' for c in extra)}"
     for r in range(len(forest.rounds) - 1, -1, -1):
-        ends = forest.roots.where(F.col("round") == r).join(above, "tree").select("tree", F.lit(0).cast("long").alias("block"), "left", "right", *extra)
+        ends = forest.roots.where(F.col("round") == r).select("tree").join(above, "tree").select("tree", F.lit(0).cast("long").alias("block"), "left", "right", *extra)
         asked = ends if asked is None else asked.union(ends)
         met = forest.rounds[r].drop("root").join(asked, ["tree", "block"])
         asked = met.mapInArrow(emit, names) if r else met

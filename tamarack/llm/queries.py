@@ -180,7 +180,7 @@ select part, p as filter_order, s::int as step, (total - sum(removed) over (part
 with recursive d as (select doc_id, source, coalesce('=' || source, '') as tree, {_leaf("text")} as leaf, case when {_CRC} then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} else {_leaf("text")} end as shown from documents),
 i as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i from d),
 a(tree, level, i, h) as (select tree, 0, i, leaf from i union all select tree, level + 1, i // 16, sha256(string_agg(h, '' order by i)) from (select *, count(*) over (partition by tree) as c from a) where c > 1 group by tree, level + 1, i // 16),
-t as (select tree, h, level, row_number() over (order by tree) - 1 as i from a qualify level = max(level) over (partition by tree)),
+t as (select *, row_number() over (order by tree) - 1 as i from (select tree, max(level) as level, arg_max(h, level) as h from a group by tree)),
 b(level, i, h) as (select 0, i, h from t union all select level + 1, i // 16, sha256(string_agg(h, '' order by i)) from (select *, count(*) over () as c from b) where c > 1 group by level + 1, i // 16),
 n as (select tree, level, i, h from a union all select '*', level, i, h from b),
 top as (select max(level) as level, arg_max(h, level) as h from b),
