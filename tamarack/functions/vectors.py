@@ -16,7 +16,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v over its length, which counts as 1e-12 at least."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    over = F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / F.greatest(n, F.lit(1e-12))))  # the length is taken once
+    return over[0]
 
 
 def rank_scaled(score: Column, *by: str) -> Column:

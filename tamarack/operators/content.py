@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
+from .best import best_products, numbered_terms, sparse
 
 #: English words without weight.
 STOP_WORDS = (
@@ -119,6 +120,15 @@ def profile_scores(profile: DataFrame, weights: DataFrame) -> DataFrame:
     return raw.join(length, "userId").join(items, "movieId").select("userId", "movieId", F.round(F.col("d") / F.nullif(F.col("pl") * F.col("wl"), F.lit(0.0)), 10).alias("score"))
 
 
+def best_by_profile(profile: DataFrame, weights: DataFrame, k: int = 10, seen: DataFrame | None = None) -> DataFrame:
+    """userId, movieId, score, rank: of each profile(userId, term, p), the k items of weights(movieId, term, w) with the largest cosine above 0, without those in seen(userId, movieId)."""
+    terms = numbered_terms(weights)
+    side = lambda rows, key, value, name: sparse(rows, key, value, terms).select(F.col(key).cast("long").alias(name), "t", unit(F.col("x")).alias("x"))
+    hide = seen.select(F.col("userId").alias("query"), F.col("movieId").alias("item")) if seen is not None else None
+    best = best_products(side(profile, "userId", "p", "query"), side(weights, "movieId", "w", "item"), k, hide, positive=True)
+    return best.withColumnsRenamed({"query": "userId", "item": "movieId"})
+
+
 def user_vectors(ratings: DataFrame, vectors: DataFrame, threshold: float = 4.0) -> DataFrame:
     """userId, vector: mean of the vectors of a user's positives, or of all rated items without any; length 1."""
     has = F.max((F.col("rating") >= threshold).cast("int")).over(Window.partitionBy("userId"))

@@ -1,13 +1,13 @@
-"""Hybrid ranking: rank-scaled components, top-k, reasons, and a batch scorer for whole catalogs."""
+"""Hybrid ranking: rank-scaled components, the best items of every user, and reasons."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import rank_scaled, top_rank
+from ..functions.vectors import rank_scaled, top_rank, unit
+from ..session import checkpointed
+from .best import Part, best_hybrids, best_products, catalog_scaled, numbered_terms, sparse
 
 WEIGHTS = (0.55, 0.35, 0.10)
 
@@ -30,16 +30,43 @@ def top_k(scored: DataFrame, k: int = 10, seen: DataFrame | None = None) -> Data
     return rows.withColumn("rank", top_rank(F.col("score"), "userId", "movieId")).where(F.col("rank") <= k)
 
 
-def guests(session: DataFrame, cf: DataFrame, content: DataFrame, pop: DataFrame, k: int = 10, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """userId, movieId, components, score, rank: the k best items for guests, known by session(userId, movieId) only.
+def recommend(users: DataFrame, catalog: DataFrame, profile: DataFrame, vectors: DataFrame, k: int = 10, weights: tuple[float, float, float] = WEIGHTS, seen: DataFrame | None = None) -> DataFrame:
+    """userId, movieId, score, rank, cf, content, pop, raw_content: the k best items of every user, by rank-scaled components.
 
-    cf(movieId, cf) are the scores of an average user, the same for all; content(userId, movieId,
-    score) those of the session's profile, 0 where missing; pop(movieId, popularity). Each component is
-    rank-scaled over the whole catalog, and items of the session are left out.
+    catalog(movieId, cf, pop): cf must rank items alike for all users, as the item's bias does (what is
+    added for a user changes no ranks). profile(userId, term, p) and vectors(movieId, term, w) give the
+    content component, their cosine, 0 without a common term. seen(userId, movieId) are left out after
+    scaling. No rows of users by items arise, and no task holds the catalog.
     """
-    items = cf.join(pop, "movieId").select("movieId", "cf", F.col("popularity").alias("pop"))
-    raw = session.select("userId").distinct().crossJoin(items).join(content.select("userId", "movieId", F.col("score").alias("content")), ["userId", "movieId"], "left")
-    return top_k(hybrid(scaled_components(raw.withColumn("content", F.coalesce("content", F.lit(0.0)))), weights), k, session)
+    a, b, c = weights
+    scaled = catalog_scaled(catalog, "movieId", "cf", "cf").join(catalog_scaled(catalog, "movieId", "pop", "pop"), "movieId")
+    scaled = checkpointed(scaled)
+    terms = numbered_terms(vectors)
+    side = lambda rows, key, value, name: sparse(rows, key, value, terms).select(F.col(key).cast("long").alias(name), "t", unit(F.col("x")).alias("x"))
+    items = scaled.select(F.col("movieId").cast("long").alias("item"), (a * F.col("cf") + c * F.col("pop")).alias("static")).join(side(vectors, "movieId", "w", "item"), "item", "left")
+    queries = users.select(F.col("userId").cast("long").alias("query")).distinct().join(side(profile, "userId", "p", "query"), "query", "left")
+    hide = seen.select(F.col("userId").alias("query"), F.col("movieId").alias("item")) if seen is not None else None
+    best = best_hybrids(queries, items, (Part(b),), k, hide)
+    best = best.select(F.col("query").alias("userId"), F.col("item").alias("movieId"), "score", "rank", F.col("scaled")[0].alias("content"), F.col("raw")[0].alias("raw_content"))
+    return best.join(scaled, "movieId")
+
+
+def guests(session: DataFrame, cf: DataFrame, profile: DataFrame, vectors: DataFrame, pop: DataFrame, k: int = 10, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """recommend() for guests, known by session(userId, movieId) only, whose items are left out.
+
+    cf(movieId, cf) are the scores of an average user, the same for all; profile(userId, term, p) is
+    the session's; pop(movieId, popularity). Each component is rank-scaled over the whole catalog.
+    """
+    catalog = cf.join(pop, "movieId").select("movieId", "cf", F.col("popularity").alias("pop"))
+    return recommend(session, catalog, profile, vectors, k, weights, session)
+
+
+def best_by_factors(users: DataFrame, items: DataFrame, k: int = 10, seen: DataFrame | None = None) -> DataFrame:
+    """userId, movieId, score, rank: the k items with the largest products of users(userId, factors) and items(movieId, factors), without those in seen(userId, movieId)."""
+    named = lambda df, key, name: df.select(F.col(key).cast("long").alias(name), F.col("factors").alias("x"))
+    hide = seen.select(F.col("userId").alias("query"), F.col("movieId").alias("item")) if seen is not None else None
+    best = best_products(named(users, "userId", "query"), named(items, "movieId", "item"), k, hide)
+    return best.withColumnsRenamed({"query": "userId", "item": "movieId"})
 
 
 def profile_items(session: DataFrame, ratings: DataFrame, threshold: float = 4.0) -> DataFrame:
@@ -69,53 +96,20 @@ def reasons(content: Column, raw_cf: Column, mu: Column, shared: Column, directo
     return F.when(F.size(given) == 0, F.array(F.lit("High rating popularity"))).otherwise(F.slice(given, 1, 3))
 
 
-def average_ranks(x: np.ndarray) -> np.ndarray:
-    """Average ranks of a row's values, scaled to 0 to 1; 0 if all are equal."""
-    x = np.where(np.isfinite(x), np.round(x, 10), -1.7e308)
-    if x.size == 0 or x.min() == x.max():
-        return np.zeros(len(x))
-    order = np.sort(x)
-    average = (np.searchsorted(order, x, "left") + np.searchsorted(order, x, "right") - 1) / 2
-    return average / max(len(x) - 1, 1)
-
-
-#: Users of a block, and of those scored at once.
-BLOCK_USERS, AT_ONCE = 2048, 64
-
-
 def batch_top_k(users: DataFrame, items: DataFrame, pop: DataFrame, k: int = 10, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """(userId, movieId, score, rank) of users(userId, cf, content, seen) against items(movieId, cf, content).
 
-    cf and content are vectors whose products are the raw scores, pop(movieId, popularity) is scaled
-    once, and seen is an array of ids to leave out. A block of users meets the whole catalog in one
-    task, as ranks need a user's scores of all items; each user is scored, scaled and cut to k in one
-    go, so that no user x item rows arise. A task holds the catalog's vectors and AT_ONCE users' scores.
+    cf and content are vectors whose products are the raw scores, both scaled by their ranks among all
+    of a user's products; pop(movieId, popularity) is scaled once, and seen is an array of ids to leave
+    out.
     """
-    n = users.count()
-    blocks = max(1, -(-n // BLOCK_USERS))
-    table = items.join(pop, "movieId", "left").select("movieId", F.col("cf").cast("array<float>").alias("cf"), F.col("content").cast("array<float>").alias("content"), F.coalesce("popularity", F.lit(0.0)).alias("popularity"))
-    left = users.select("userId", F.col("cf").cast("array<float>").alias("cf"), F.col("content").cast("array<float>").alias("content"), "seen", F.pmod(F.xxhash64("userId"), F.lit(blocks)).cast("int").alias("b"))
-    right = table.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     a, b, c = weights
-
-    def run(own: pd.DataFrame, catalog: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"userId": [], "movieId": [], "score": [], "rank": []}).astype({"userId": "int64", "movieId": "int64", "score": "float64", "rank": "int32"})]
-        if len(own) and len(catalog):
-            catalog = catalog.sort_values("movieId")
-            ids, popular = catalog.movieId.to_numpy(), c * average_ranks(catalog.popularity.to_numpy())
-            cf, content = (np.array(catalog[x].tolist(), np.float32).T for x in ("cf", "content"))
-            for i in range(0, len(own), AT_ONCE):
-                some = own.iloc[i : i + AT_ONCE]
-                products = [(np.array(some[x].tolist(), np.float32) @ y).astype(np.float64) for x, y in (("cf", cf), ("content", content))]
-                for user, p, q, seen in zip(some.userId, *products, some.seen, strict=True):
-                    score = np.round(a * average_ranks(p) + b * average_ranks(q) + popular, 10)
-                    score[np.isin(ids, np.asarray(seen, np.int64))] = -np.inf
-                    best = np.lexsort((ids, -score))[:k]
-                    best = best[np.isfinite(score[best])]
-                    out.append(pd.DataFrame({"userId": user, "movieId": ids[best], "score": score[best], "rank": np.arange(1, len(best) + 1, dtype=np.int32)}))
-        return pd.concat(out)
-
-    return left.groupBy("b").cogroup(right.groupBy("b")).applyInPandas(run, "userId long, movieId long, score double, rank int")
+    table = items.join(pop, "movieId", "left").withColumn("popularity", F.coalesce("popularity", F.lit(0.0)))
+    static = catalog_scaled(table, "movieId", "popularity", "__pop").select("movieId", (c * F.col("__pop")).alias("static"))
+    vectors = lambda df, key, name, *more: df.select(F.col(key).cast("long").alias(name), *more, F.col("cf").alias("x1"), F.col("content").alias("x2"))
+    hide = users.select(F.col("userId").cast("long").alias("query"), F.explode("seen").alias("item"))
+    best = best_hybrids(vectors(users, "userId", "query"), vectors(table.join(static, "movieId"), "movieId", "item", "static"), (Part(a, "1"), Part(b, "2")), k, hide)
+    return best.select(F.col("query").alias("userId"), F.col("item").alias("movieId"), "score", "rank")
 
 
 def weight_grid() -> list[tuple[float, float, float]]:

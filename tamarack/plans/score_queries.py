@@ -139,7 +139,7 @@ def _(t):
 @query("c10_content_top_k", f"with {ALL}, {PROFILE.replace(' where rating >= 4', '')}, {CONTENT} select userId, movieId, rank from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from cs where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10")
 def _(t):
     w = _weights(t)
-    return rank.top_k(content.profile_scores(content.profiles(t.ratings, w), w), 10, t.ratings).select("userId", "movieId", "rank")
+    return content.best_by_profile(content.profiles(t.ratings, w), w, 10, t.ratings).select("userId", "movieId", "rank")
 
 
 @query("c11_user_vectors", "with h as (select *, max(case when rating >= 4 then 1 else 0 end) over (partition by userId) as has from ratings), r as (select userId, i, avg(cast(embedding[i] as double)) as x from h join embeddings on vec_id = movieId, range(1, 65) g(i) where has = 0 or rating >= 4 group by userId, i) select userId, cast(i - 1 as bigint) as pos, round(x / greatest(sqrt(sum(x * x) over (partition by userId)), 1e-12), 6) as x from r")
@@ -328,10 +328,8 @@ def _(t):
 
 @query("m19_factor_top_k", f"with d as (select a.vec_id as userId, b.vec_id as movieId, round({DOT.format(a='a.embedding', b='b.embedding')}, 10) as score from embeddings a, embeddings b, movies m where m.movieId = b.vec_id) select userId, movieId, rank from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from d where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10")
 def _(t):
-    users = t.embeddings.select(F.col("vec_id").alias("userId"), F.col("embedding").alias("p"))
-    items = t.vectors().join(t.movies, "movieId", "left_semi")
-    rows = users.crossJoin(items).select("userId", "movieId", V.dot(F.col("p"), F.col("embedding")).alias("score"))
-    return rank.top_k(rows, 10, t.ratings).select("userId", "movieId", "rank")
+    users, items = _factors(t)
+    return rank.best_by_factors(users, items.join(t.movies, "movieId", "left_semi"), 10, t.ratings).select("userId", "movieId", "rank")
 
 
 # --- hybrids ---------------------------------------------------------------------------------------
@@ -371,17 +369,26 @@ def _(t):
     return _per_user(rank.hybrid(_components(t)))
 
 
+def _recommended(t, k=10, weights=rank.WEIGHTS):
+    w = _weights(t)
+    bi = scores.shrunk_bias(t.ratings, "movieId")
+    catalog = scores.popularity(t.movies, t.ratings).join(bi, "movieId", "left").select("movieId", F.coalesce("bias", F.lit(0.0)).alias("cf"), F.col("popularity").alias("pop"))
+    return rank.recommend(t.ratings.select("userId").distinct(), catalog, content.profiles(t.ratings.where("rating >= 4"), w), w, k, weights, t.ratings)
+
+
 @query("h02_recommendations", f"with {HYBRID}, {TOP} select userId, rank, tk.movieId, title, round(score, 6) as score from tk join movies using (movieId)")
 def _(t):
-    return rank.top_k(rank.hybrid(_components(t)), 10, t.ratings).join(t.movies, "movieId").select("userId", "rank", "movieId", "title", F.round("score", 6).alias("score"))
+    return _recommended(t).join(t.movies, "movieId").select("userId", "rank", "movieId", "title", F.round("score", 6).alias("score"))
 
 
 @query("h03_reasons", f"with {HYBRID}, {TOP}, gen as (select userId, unnest(string_split(genres, '|')) as g from lk join movies using (movieId)), mine as (select userId, list(distinct g) as mine from gen where g <> '(no genres listed)' group by userId), sh as (select tk.*, list_sort(list_intersect(list_filter(string_split(genres, '|'), lambda g: g <> '(no genres listed)'), coalesce(mine, []))) as shared from tk join movies using (movieId) left join mine using (userId)), rs as (select sh.userId, sh.movieId, list_filter([case when raw_content > 0.15 and len(shared) > 0 then 'Shared genres: ' || array_to_string(shared[1:3], ', ') when raw_content > 0.15 then 'Similar metadata profile' end, case when raw_cf >= greatest(mu, 3.5) then 'Liked by users with similar ratings' end, case when coalesce(trim(director), '') <> '' then 'Directed by ' || string_split(director, '|')[1] end], lambda x: x is not null) as rs from sh left join enriched e on e.movieId = sh.movieId, mu) select userId, movieId, case when len(rs) = 0 then 'High rating popularity' else array_to_string(rs[1:3], '; ') end as reasons from rs")
 def _(t):
-    top = rank.top_k(rank.hybrid(_components(t)), 10, t.ratings)
+    bu, bi = (scores.shrunk_bias(t.ratings, key).withColumnRenamed("bias", name) for key, name in (("userId", "bu"), ("movieId", "bi")))
+    top = _recommended(t).join(bu, "userId").join(bi, "movieId", "left")
     liked = t.ratings.where("rating >= 4").select("userId", "movieId").distinct()
     rows = rank.shared_genres(top, liked, t.movies).join(t.enriched.select("movieId", "director"), "movieId", "left").crossJoin(F.broadcast(scores.global_mean(t.ratings)))
-    return rows.select("userId", "movieId", F.array_join(rank.reasons(F.col("raw_content"), F.col("raw_cf"), F.col("mu"), F.col("shared"), F.col("director")), "; ").alias("reasons"))
+    raw_cf = F.col("mu") + F.col("bu") + F.coalesce("bi", F.lit(0.0))
+    return rows.select("userId", "movieId", F.array_join(rank.reasons(F.col("raw_content"), raw_cf, F.col("mu"), F.col("shared"), F.col("director")), "; ").alias("reasons"))
 
 
 @query("h04_profile_items", "with ses as (select userId, movieId, min(seq) as pos from tags group by all), lk as (select userId, movieId, min(timestamp) as pos from ratings where rating >= 4 group by all), f as (select userId, movieId, min((part, pos)) as o from (select *, 0 as part from ses union all select *, 1 from lk) group by all) select userId, movieId, row_number() over (partition by userId order by o, movieId) as place from f")
@@ -416,7 +423,7 @@ def _(t):
 
 @query("h10_fixed_weights", f"with {HYBRID} select userId, movieId, rank from (select *, row_number() over (partition by userId order by round(content, 10) desc, movieId) as rank from hy where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 5")
 def _(t):
-    return rank.top_k(rank.hybrid(_components(t), (0.0, 1.0, 0.0)), 5, t.ratings).select("userId", "movieId", "rank")
+    return _recommended(t, 5, (0.0, 1.0, 0.0)).select("userId", "movieId", "rank")
 
 
 @query("h11_model_information", "select (select count(*) from movies) as movies, (select count(distinct userId) from ratings) as users, 0.55 as alpha, 0.35 as beta, 0.10 as gamma from (select count(*) from ratings)")
@@ -446,10 +453,9 @@ GUEST = f"{ALL}, {POP}, {BIAS}, ses as (select distinct userId, movieId from tag
 def _(t):
     session = t.tags.join(t.movies, "movieId", "left_semi").select("userId", "movieId").distinct()
     w = _weights(t)
-    cs = content.profile_scores(content.profiles(session, w), w)
     mean = scores.shrunk_bias(t.ratings, "userId").agg(F.avg("bias").alias("mb")).crossJoin(scores.global_mean(t.ratings))
     cf = t.movies.join(scores.shrunk_bias(t.ratings, "movieId"), "movieId", "left").crossJoin(F.broadcast(mean)).select("movieId", (F.col("mu") + F.col("mb") + F.coalesce("bias", F.lit(0.0))).alias("cf"))
-    return rank.guests(session, cf, cs, scores.popularity(t.movies, t.ratings), 5).select("userId", "movieId", "rank", F.round("score", 6).alias("score"))
+    return rank.guests(session, cf, content.profiles(session, w), w, scores.popularity(t.movies, t.ratings), 5).select("userId", "movieId", "rank", F.round("score", 6).alias("score"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------
