@@ -108,6 +108,11 @@ def dealt(df: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), blocks
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """df with columns of its own, so that it can be cogrouped with what it was made from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def seen_in_blocks(seen: DataFrame, items: DataFrame) -> DataFrame:
     """(query, c, seen): ids of the items of block c that the query leaves out; a list is no longer than a block."""
     return seen.select("query", "item").distinct().join(items.select("item", "c"), "item").groupBy("query", "c").agg(F.collect_list("item").alias("seen"))
@@ -145,7 +150,7 @@ def best_products(queries: DataFrame, items: DataFrame, k: int = 10, seen: DataF
     place = dense_ids(sized, "item", start=0, order=F.struct((-F.col("__norm")).alias("l"), F.col("item").alias("i")), out="__place")
     items = checkpointed(sized.join(place, "item").withColumn("c", F.floor(F.col("__place") / ITEMS).cast("int")).drop("__place"))
     longest = np.array([r[1] for r in sorted(items.groupBy("c").agg(F.max("__norm")).collect())])  # one number for each block
-    asked, _ = dealt(queries.withColumn("__own", norm(F.col("x"))), "query", QUERIES, "b")
+    asked, _ = dealt(renewed(queries).withColumn("__own", norm(F.col("x"))), "query", QUERIES, "b")
     hide = seen_in_blocks(seen, items) if seen is not None else None
     sparse_ = "t" in items.columns
 
@@ -258,7 +263,7 @@ def best_hybrids(queries: DataFrame, items: DataFrame, parts: Sequence[Part] = (
     items, item_blocks = dealt(items.select("item", F.coalesce("static", F.lit(0.0)).cast("double").alias("static"), *columns), "item", ITEMS, "c")
     items = checkpointed(items)
     n = items.count()
-    asked, query_blocks = dealt(queries.select("query", *columns), "query", QUERIES, "b")
+    asked, query_blocks = dealt(renewed(queries.select("query", *columns)), "query", QUERIES, "b")
     asked = checkpointed(asked)
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     right = items.withColumn("b", every(query_blocks))

@@ -64,13 +64,6 @@ def tf_idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return raw.withColumn("w", F.col("w") / length).select("movieId", "term", "w")
 
 
-def similar_by_terms(weights: DataFrame, top_k: int = 10) -> DataFrame:
-    """movieId, otherId, score, place: the most similar items by cosine over shared terms."""
-    a, b = weights, weights.select(F.col("movieId").alias("otherId"), "term", F.col("w").alias("v"))
-    scores = a.join(b, "term").where("movieId <> otherId").groupBy("movieId", "otherId").agg(F.round(F.sum(F.col("w") * F.col("v")), 10).alias("score"))
-    return ranked(scores, top_k)
-
-
 def ranked(scores: DataFrame, top_k: int, by: str = "movieId", tie: str = "otherId") -> DataFrame:
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), tie))
     return scores.withColumn("place", place).where(F.col("place") <= top_k)

@@ -74,16 +74,6 @@ def propagate(edges: DataFrame, vectors: DataFrame, width: int, layers: int = 2)
     return summed(total, "node", F.lit(1.0 / (layers + 1)))
 
 
-def item_knn(positives: DataFrame, neighbours: int = 20) -> DataFrame:
-    """(movieId, otherId, similarity, place): cosine of co-occurrence over users, the nearest of each item."""
-    n = positives.groupBy("movieId").agg(F.count("*").alias("n"))
-    a, b = positives.select("userId", "movieId"), positives.select("userId", F.col("movieId").alias("otherId"))
-    both = a.join(b, "userId").where("movieId <> otherId").groupBy("movieId", "otherId").agg(F.count("*").alias("k"))
-    sim = both.join(n, "movieId").join(n.withColumnsRenamed({"movieId": "otherId", "n": "m"}), "otherId").withColumn("similarity", F.round(F.col("k") / F.sqrt(F.col("n") * F.col("m")), 10))
-    place = F.row_number().over(Window.partitionBy("movieId").orderBy(F.desc("similarity"), "otherId"))
-    return sim.withColumn("place", place).where(F.col("place") <= neighbours).select("movieId", "otherId", "similarity", "place")
-
-
 def bpr_loss(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg(-F.log(1 / (1 + F.exp(F.col("neg") - F.col("pos"))) + 1e-12)).alias("bpr_loss"))
 

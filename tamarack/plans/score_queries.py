@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import catalog, content, evaluate, extract, leaderboard, prepare, rank, scores, split
+from ..operators import catalog, content, evaluate, extract, leaderboard, neighbours, prepare, rank, scores, split
 from .prep_queries import SCORED, SPLIT
 from .registry import query
 from .text_queries import VALID
@@ -101,7 +101,7 @@ def _(t):
 
 @query("c07_similar_items", f"with {ALL} select movieId, otherId, round(score, 6) as score, place from (select *, row_number() over (partition by movieId order by score desc, otherId) as place from (select a.movieId, b.movieId as otherId, round(sum(a.w * b.w), 10) as score from tw a join tw b on a.term = b.term and a.movieId <> b.movieId group by all)) where place <= 10")
 def _(t):
-    return content.similar_by_terms(_weights(t)).withColumn("score", F.round("score", 6))
+    return neighbours.similar_by_terms(_weights(t)).withColumn("score", F.round("score", 6))
 
 
 @query("c07_similar_vectors", f"with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double) / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * cast(y as double))))) as v from embeddings) select movieId, otherId, round(score, 6) as score, place from (select *, row_number() over (partition by movieId order by score desc, otherId) as place from (select a.vec_id as movieId, b.vec_id as otherId, round({DOT.format(a='a.v', b='b.v')}, 10) as score from e a join e b on a.vec_id <> b.vec_id)) where place <= 5")
@@ -317,7 +317,7 @@ KNN = "ps as (select distinct userId, movieId from ratings where rating >= 4), n
 
 @query("m17_item_knn", f"with {KNN} select movieId, otherId, round(similarity, 6) as similarity, place from kn where place <= 20")
 def _(t):
-    return scores.item_knn(t.ratings.where("rating >= 4").select("userId", "movieId").distinct()).withColumn("similarity", F.round("similarity", 6))
+    return neighbours.item_knn(t.ratings.where("rating >= 4").select("userId", "movieId").distinct()).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("m18_implicit_factors")

@@ -29,13 +29,12 @@ def _(t):
 @query("r02_latest", "select userId, movieId, max_by(rating, (timestamp, rating)) as rating from ratings group by userId, movieId")
 def _(t):
     folder = _arrive(t)
-    stream.keep_latest(stream.incoming(t.spark, f"{folder}/in"), f"{folder}/table", f"{folder}/state").awaitTermination()
-    versions = t.spark.read.parquet(f"{folder}/table")
-    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).select("userId", "movieId", "rating")
+    stream.keep_latest(stream.incoming(t.spark, f"{folder}/in", 2), f"{folder}/table", f"{folder}/state").awaitTermination()
+    return stream.latest_table(t.spark, f"{folder}/table").read().select("userId", "movieId", "rating")
 
 
 @query("r03_live_scores", "select movieId, round(avg(rating), 6) as mean, count(*) as n from ratings group by movieId")
 def _(t):
-    folder, name = _arrive(t), f"live_{uuid.uuid4().hex}"
-    stream.live_scores(stream.incoming(t.spark, f"{folder}/in"), name, f"{folder}/state").awaitTermination()
-    return t.spark.table(name).select("movieId", F.round("mean", 6).alias("mean"), "n")
+    folder = _arrive(t)
+    stream.live_scores(stream.incoming(t.spark, f"{folder}/in", 2), f"{folder}/table", f"{folder}/state").awaitTermination()
+    return stream.live_table(t.spark, f"{folder}/table").select("movieId", F.round("mean", 6).alias("mean"), "n")

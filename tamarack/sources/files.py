@@ -151,17 +151,30 @@ def manifest_rows(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
 
 
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table beside the old one, then put in its place, so that readers never see half a table."""
+    """Each table as a plain folder: all are written aside, then moved into place one by one, old ones first aside.
+
+    A reader never sees half a table, but for a moment it may find a table missing, or old beside new;
+    a set that must change at once is versions.TableSet's. If a move fails, the old tables are put back.
+    """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/.staged/{name}")
     spark = next(iter(tables.values())).sparkSession
-    jvm = spark.sparkContext._jvm
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(f"{folder}/.old"), True)
+    fs.mkdirs(path(f"{folder}/.old"))
+    moved = []
     for name in tables:
-        source, target = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}") for x in (f".staged/{name}", name))
-        fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(target, True)
-        if not fs.rename(source, target):
+        target, aside = path(f"{folder}/{name}"), path(f"{folder}/.old/{name}")
+        had = fs.exists(target)
+        if (had and not fs.rename(target, aside)) or not fs.rename(path(f"{folder}/.staged/{name}"), target):
+            for done, was in [*moved, (name, had)]:
+                if was and fs.exists(path(f"{folder}/.old/{done}")):
+                    fs.delete(path(f"{folder}/{done}"), True)
+                    fs.rename(path(f"{folder}/.old/{done}"), path(f"{folder}/{done}"))
             raise OSError(f"could not move {name} into {folder}")
+        moved.append((name, had))
+    fs.delete(path(f"{folder}/.old"), True)
 
 
 def crawl_bundle(movies: DataFrame, ratings: DataFrame) -> dict[str, DataFrame]:

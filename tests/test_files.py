@@ -66,7 +66,7 @@ def test_streams_equal_batches(spark, ratings, tmp_path):
         files.append_rating(spark, str(tmp_path / "in"), 1, 5, 7.0, 99)
     ratings.write.mode("append").parquet(str(tmp_path / "in"))
     stream.keep_latest(stream.incoming(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    got = {r.movieId: r.rating for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    got = {r.movieId: r.rating for r in stream.latest_table(spark, str(tmp_path / "t")).read().collect()}
     assert got[5] == 2.0 and len(got) == 10
 
 
