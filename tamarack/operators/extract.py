@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import number_in, stars, user_name, valid_user_name, year_in_title
+from ..functions.text import hashed_id, number_in, stars, user_name, valid_user_name, year_in, year_in_title
 from .prepare import SOURCE_SCORES
 
 
@@ -54,15 +58,68 @@ def typed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"interaction_type": F.when(F.col("rating").isNotNull(), "rating").otherwise(F.col("source")), "implicit_score": F.coalesce("rating", scores[F.col("source")])})
 
 
+#: Child elements of a feed's item, whatever their namespaces, by the columns they fill.
+ITEM_FIELDS = {"title": "title", "link": "link", "description": "description", "pubDate": "date", "filmTitle": "film", "filmYear": "film_year", "memberRating": "member_rating"}
+
+
+def item_records(feeds: DataFrame) -> DataFrame:
+    """feed_id, position, and a text column for each of ITEM_FIELDS ('' where an item lacks it), a row for each item of feeds(feed_id, xml).
+
+    Each item is parsed on its own, so a field that one lacks shifts nothing. A feed that is not well
+    formed gives no rows, and harms no other.
+    """
+    names = list(ITEM_FIELDS.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, place, values = [], [], {n: [] for n in names}
+            for k, xml in enumerate(batch.column(1).to_pylist()):
+                try:
+                    items = ElementTree.fromstring(xml or "").findall(".//item")
+                except ElementTree.ParseError:
+                    continue
+                for i, item in enumerate(items):
+                    found: dict[str, str] = {}
+                    for child in item:
+                        name = ITEM_FIELDS.get(child.tag.rpartition("}")[2])
+                        if name:
+                            found.setdefault(name, " ".join((child.text or "").split()))
+                    of.append(k)
+                    place.append(i)
+                    for n in names:
+                        values[n].append(found.get(n, ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(place, pa.int32()), *[pa.array(v, pa.string()) for v in values.values()]], ["feed_id", "position", *names])
+
+    kind = feeds.schema["feed_id"].dataType.simpleString()
+    return feeds.select("feed_id", "xml").mapInArrow(run, f"feed_id {kind}, position int, " + ", ".join(f"{n} string" for n in names))
+
+
+def film_of_title(title: Column) -> Column:
+    """The film in an item's title: without stars and what follows, who did what, and the year."""
+    out = F.trim(F.regexp_replace(title, r"(?s)\s*[★½]+.*$", ""))
+    for verb in ("watched", "reviewed", "liked"):
+        out = F.trim(F.regexp_replace(out, rf"(?s)^.* {verb} ", ""))
+    return F.trim(F.regexp_replace(out, r"(?s),\s*(19\d{2}|20\d{2}).*$", ""))
+
+
 def feed_items(feeds: DataFrame) -> DataFrame:
-    """feed_id, title, link, rating, interaction_type, implicit_score of the items of feeds(feed_id, xml)."""
-    get = lambda tag: F.xpath("xml", F.lit(f"//item/*[local-name()='{tag}']/text()"))
-    items = feeds.select("feed_id", F.explode(F.arrays_zip(F.xpath("xml", F.lit("//item/title/text()")).alias("title"), F.xpath("xml", F.lit("//item/link/text()")).alias("link"))).alias("i"), get("memberRating").alias("ratings"))
-    rows = items.select("feed_id", "i.title", "i.link").withColumn("rating", stars(F.col("title")))
-    title = F.lower("title")
-    kind = F.when(F.col("rating").isNotNull(), "rating").when(F.contains(title, F.lit("liked")), "liked").when(F.contains(title, F.lit("reviewed")), "review").otherwise("watched")
+    """feed_id, position, movie_id, title, year, link, rating, interaction_type, implicit_score, date of the items of feeds(feed_id, xml).
+
+    An item's own rating counts, else the stars of its description, else of its title; without any, the
+    title's verb tells the type (liked, reviewed, else watched) and its score. Film and year are the
+    item's own, else those in its title; items without a film are left out.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    rows = item_records(feeds).withColumns({
+        "film": F.coalesce(blank("film"), film_of_title(F.col("title"))),
+        "year": F.coalesce(blank("film_year"), year_in(F.col("title")).cast("string"), F.lit("")),
+        "rating": F.coalesce(F.nullif(F.col("member_rating").try_cast("double"), F.lit(0.0)), stars(F.col("description")), stars(F.col("title"))),
+    })
+    said = F.lower("title")
+    kind = F.when(F.col("rating").isNotNull(), "rating").when(F.contains(said, F.lit("liked")), "liked").when(F.contains(said, F.lit("reviewed")), "review").otherwise("watched")
     score = F.coalesce("rating", F.when(kind == "liked", 4.0).when(kind == "review", 3.5).otherwise(2.5))
-    return rows.withColumns({"interaction_type": kind, "implicit_score": score})
+    movie = hashed_id(F.coalesce(blank("link"), F.concat_ws("_", "film", "year")), "movie")
+    return rows.where("film <> ''").select("feed_id", "position", movie.alias("movie_id"), F.col("film").alias("title"), "year", "link", "rating", kind.alias("interaction_type"), score.alias("implicit_score"), "date")
 
 
 def profile_count(html: Column, label: str) -> Column:

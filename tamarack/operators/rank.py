@@ -110,15 +110,3 @@ def batch_top_k(users: DataFrame, items: DataFrame, pop: DataFrame, k: int = 10,
     hide = users.select(F.col("userId").cast("long").alias("query"), F.explode("seen").alias("item"))
     best = best_hybrids(vectors(users, "userId", "query"), vectors(table.join(static, "movieId"), "movieId", "item", "static"), (Part(a, "1"), Part(b, "2")), k, hide)
     return best.select(F.col("query").alias("userId"), F.col("item").alias("movieId"), "score", "rank")
-
-
-def weight_grid() -> list[tuple[float, float, float]]:
-    """Distinct normalized triples of five steps each."""
-    steps = [0.0, 0.25, 0.5, 0.75, 1.0]
-    out = []
-    for a in steps:
-        for b in steps:
-            for c in steps:
-                if a + b + c and (w := tuple(round(x / (a + b + c), 6) for x in (a, b, c))) not in out:
-                    out.append(w)
-    return out

@@ -43,6 +43,14 @@ def predict(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame,
     return rows.withColumn("prediction", clipped(raw)).drop("bu", "bi", "p", "q")
 
 
+def predict_by_bias(pairs: DataFrame, train: DataFrame) -> DataFrame:
+    """pairs(userId, movieId, ...) with `prediction`: 3.0 for an item without ratings in train, else mean and biases, a user's if there is one, clipped."""
+    bu, bi = (shrunk_bias(train, key).withColumnRenamed("bias", name) for key, name in (("userId", "bu"), ("movieId", "bi")))
+    rows = pairs.join(bu, "userId", "left").join(bi, "movieId", "left").crossJoin(F.broadcast(global_mean(train)))
+    known = clipped(F.col("mu") + F.coalesce("bu", F.lit(0.0)) + F.col("bi"))
+    return rows.withColumn("prediction", F.when(F.col("bi").isNull(), 3.0).otherwise(known)).drop("bu", "bi", "mu")
+
+
 def mean_profile(user_factors: DataFrame) -> DataFrame:
     """One row, `factors`: the mean vector of all users, as a guest's."""
     by = user_factors.select(F.posexplode("factors").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normal_rating, title_similarity, year_score
 from ..operators import catalog, prepare, quality, split
 from ..operators.scores import movie_scores
+from ..operators.tuning import candidate_weights
 from .registry import query
 
 #: SQL of the temporal split.
@@ -71,12 +72,16 @@ def _(t):
     return t.movies.where(contains_text(F.col("genres"), "Economy")).select("movieId")
 
 
-@query("p42_weight_grid", "with s as (select unnest([0, 0.25, 0.5, 0.75, 1.0]) as x) select distinct round(a.x / (a.x + b.x + c.x), 6) as a, round(b.x / (a.x + b.x + c.x), 6) as b, round(c.x / (a.x + b.x + c.x), 6) as c from s a, s b, s c where a.x + b.x + c.x > 0 and (select count(*) from part) > 0")
-def _(t):
-    from ..operators.rank import weight_grid
+_WEIGHTED = ", ".join(f"({a}, {b}, {c})" for a, b, c in candidate_weights())
+
 
-    grid = t.spark.createDataFrame(weight_grid(), "a double, b double, c double")
-    return grid.join(t.part.limit(1).select(F.lit(True).alias("any")), F.col("any")).select("a", "b", "c")
+@query("p42_weight_grid", f"select round(a, 6) as a, round(b, 6) as b, round(c, 6) as c, count(*) as n, round(avg(a * l_discount * 10 + b * l_tax * 10 + c * l_quantity / 50), 5) as mean, round(max(a * l_discount * 10 + b * l_tax * 10 + c * l_quantity / 50), 5) as best from lineitem, (values {_WEIGHTED}) w(a, b, c) group by a, b, c")
+def _(t):
+    rows = t.lineitem.select((F.col("l_discount") * 10).alias("cf"), (F.col("l_tax") * 10).alias("content"), (F.col("l_quantity") / 50).alias("pop"))
+    grid = F.broadcast(t.spark.createDataFrame(candidate_weights(), "a double, b double, c double"))
+    score = F.col("a") * F.col("cf") + F.col("b") * F.col("content") + F.col("c") * F.col("pop")
+    out = rows.crossJoin(grid).groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.max(score).alias("best"))
+    return out.select(*[F.round(x, 6).alias(x) for x in "abc"], "n", F.round("mean", 5).alias("mean"), F.round("best", 5).alias("best"))
 
 
 _PAYLOAD = "select doc_id, source, lang, n_chars, p_name, p_type, p_brand, p_size, p_partkey from documents join part on p_partkey = doc_id"

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import catalog, content, evaluate, extract, leaderboard, neighbours, prepare, rank, scores, split
+from ..operators import catalog, content, evaluate, extract, leaderboard, neighbours, prepare, rank, scores, split, tuning
+from ..session import checkpointed
 from .prep_queries import SCORED, SPLIT
 from .registry import query
 from .text_queries import VALID
@@ -351,14 +352,15 @@ def _few(t, n=20):
     return t.ratings.select("userId").distinct().orderBy(F.md5(F.concat(F.col("userId").cast("string"), F.lit(":42")))).limit(n)
 
 
-def _components(t, few=None):
-    few = t.ratings.select("userId").distinct() if few is None else few
-    liked = t.ratings.where("rating >= 4").join(few, "userId", "left_semi")
+def _components(t, few=None, ratings=None):
+    ratings = t.ratings if ratings is None else ratings
+    few = ratings.select("userId").distinct() if few is None else few
+    liked = ratings.where("rating >= 4").join(few, "userId", "left_semi")
     w = _weights(t)
     cs = content.profile_scores(content.profiles(liked, w), w).withColumnRenamed("score", "content")
-    mu = scores.global_mean(t.ratings)
-    items = scores.popularity(t.movies, t.ratings).join(scores.shrunk_bias(t.ratings, "movieId").withColumnRenamed("bias", "bi"), "movieId", "left").crossJoin(F.broadcast(mu))
-    users = few.join(scores.shrunk_bias(t.ratings, "userId").withColumnRenamed("bias", "bu"), "userId")
+    mu = scores.global_mean(ratings)
+    items = scores.popularity(t.movies, ratings).join(scores.shrunk_bias(ratings, "movieId").withColumnRenamed("bias", "bi"), "movieId", "left").crossJoin(F.broadcast(mu))
+    users = few.join(scores.shrunk_bias(ratings, "userId").withColumnRenamed("bias", "bu"), "userId")
     raw = users.crossJoin(items).join(cs, ["userId", "movieId"], "left")  # every user's whole catalog is the result
     raw = raw.select("userId", "movieId", (F.col("mu") + F.col("bu") + F.coalesce("bi", F.lit(0.0))).alias("cf"), F.coalesce("content", F.lit(0.0)).alias("content"), F.col("popularity").alias("pop"))
     return rank.scaled_components(raw)
@@ -407,18 +409,40 @@ def _(t):
     return found.unionByName(fallback.crossJoin(any_).where("n = 0").select("movieId", "place")).join(t.movies, "movieId").select("movieId", "title", "place")
 
 
-@query("h09_tuned_weights")
+#: What tuning measures, on the sampled users: all weights on validation, the winner on test.
+_TRAINED = RAW.replace("ratings", "tr").replace("few as (select distinct userId from tr)", f"few as ({SAMPLED})")
+_GRID = ", ".join(f"({a}, {b}, {c})" for a, b, c in tuning.candidate_weights())
+
+
+def _metrics_sql(name, by, ranked, truth):
+    """Means by columns of user metrics, of ranked(by, userId, movieId, rank) against truth(userId, movieId and the truth's columns)."""
+    mean = lambda x: f"round(avg(coalesce({x}, 0)), 6)"
+    return f"""{name} as (select {by}, {mean("h.hits / r.returned")} as precision, {mean("h.hits / wanted")} as recall, {mean("h.gain / (select sum(1 / log2(i + 1)) from range(1, 11) x(i) where i <= least(wanted, 10))")} as ndcg, {mean("1 / h.first")} as mrr
+from (select {by}, userId, count(*) as wanted from {truth} group by all) w left join (select {by}, userId, count(*) as hits, sum(1 / log2(rank + 1)) as gain, min(rank) as first from {truth} join {ranked} using (userId, movieId) group by all) h using ({by}, userId)
+left join (select userId, count(*) as returned from {ranked} group by userId) r using (userId) group by {by})"""
+
+
+TUNED = f"""{SPLIT}, tr as (select userId, movieId, rating, timestamp from sp where split = 'train'), {_TRAINED}, seen as (select distinct userId, movieId from tr),
+co as (select userId, movieId, {_scaled_sql('cf')} as cf, {_scaled_sql('content')} as content, {_scaled_sql('pop')} as pop from rw), un as (select * from co where (userId, movieId) not in (select (userId, movieId) from seen)),
+g as (select * from (values {_GRID}) v(a, b, c)), gr as (select a, b, c, userId, movieId, row_number() over (partition by a, b, c, userId order by round(a * cf + b * content + c * pop, 10) desc, movieId) as rank from un, g qualify rank <= 10),
+va as (select distinct userId, movieId from sp where split = 'validation' and rating >= 4 and userId in (select userId from few)), vt as (select va.*, a, b, c from va, g),
+vw as (select a, b, c, userId, count(*) as wanted from vt group by all), vh as (select a, b, c, userId, count(*) as hits, sum(1 / log2(rank + 1)) as gain, min(rank) as first from vt join gr using (a, b, c, userId, movieId) group by all),
+vr as (select a, b, c, userId, count(*) as returned from gr group by all),
+vm as (select a, b, c, avg(coalesce(hits / returned, 0)) as precision, avg(coalesce(hits / wanted, 0)) as recall, avg(coalesce(gain / (select sum(1 / log2(i + 1)) from range(1, 11) x(i) where i <= least(wanted, 10)), 0)) as ndcg, avg(coalesce(1 / first, 0)) as mrr from vw left join vh using (a, b, c, userId) left join vr using (a, b, c, userId) group by a, b, c),
+win as (select * from vm order by round(ndcg, 9) desc, round(mrr, 9) desc, round(recall, 9) desc, round(precision, 9) desc, a, b, c limit 1),
+br as (select userId, movieId, row_number() over (partition by userId order by round(a * cf + b * content + c * pop, 10) desc, movieId) as rank from un, (select a, b, c from win) qualify rank <= 10),
+te as (select distinct userId, movieId from sp where split = 'test' and rating >= 4 and userId in (select userId from few)), ts as (select userId, movieId, unnest(['all', case when movieId in (select movieId from tr) then 'warm' else 'cold' end]) as segment from te),
+{_metrics_sql("tm", "segment", "br", "ts")},
+er as (select round(sqrt(avg(power(case when bi is null then 3.0 else least(5.0, greatest(0.5, mu + coalesce(bu, 0) + bi)) end - rating, 2))), 6) as test_rmse from sp left join bu on bu.userId = sp.userId left join bi on bi.movieId = sp.movieId, mu where split = 'test')"""
+_SEGMENT_COLUMNS = ", ".join(f"coalesce(max(case when segment = '{s}' then {m} end), 0) as {n}_{m}" for s, n in (("all", "test"), ("warm", "warm"), ("cold", "cold")) for m in evaluate.METRICS)
+
+
+@query("h09_tuned_weights", f"with {TUNED} select win.a, win.b, win.c, {', '.join(f'round(win.{m}, 6) as validation_{m}' for m in evaluate.METRICS)}, x.*, test_rmse from win, (select {_SEGMENT_COLUMNS} from tm) x, er")
 def _(t):
-    s = split.temporal_split(t.ratings)
-    truth = evaluate.relevant(s.where("split = 'validation'")).join(_few(t), "userId", "left_semi")
-    parts = _components(t, _few(t))
-    grid = t.spark.createDataFrame(rank.weight_grid(), "a double, b double, c double").withColumn("w", F.monotonically_increasing_id())
-    seen = s.where("split = 'train'").select("userId", "movieId").distinct()
-    rows = parts.join(seen, ["userId", "movieId"], "left_anti").crossJoin(F.broadcast(grid)).withColumn("score", F.round(F.col("a") * F.col("cf") + F.col("b") * F.col("content") + F.col("c") * F.col("pop"), 10))
-    place = F.row_number().over(Window.partitionBy("w", "userId").orderBy(F.desc("score"), "movieId"))
-    top = rows.withColumn("rank", place).where("rank <= 10").select("w", "a", "b", "c", "userId", "movieId", "rank")
-    hits = top.join(truth, ["userId", "movieId"]).groupBy("a", "b", "c").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"), F.count("*").alias("hits"))
-    return hits.orderBy(F.round("gain", 9).desc(), F.desc("hits"), "a", "b", "c").limit(1).select("a", "b", "c", F.round("gain", 6).alias("gain"), "hits")
+    s = checkpointed(split.temporal_split(t.ratings))
+    train = s.where("split = 'train'").drop("split")
+    out = tuning.tune(_components(t, _few(t), train), train, s.where("split = 'validation'"), s.where("split = 'test'"))
+    return _rounded(out, *out.columns[3:])
 
 
 @query("h10_fixed_weights", f"with {HYBRID} select userId, movieId, rank from (select *, row_number() over (partition by userId order by round(content, 10) desc, movieId) as rank from hy where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 5")
@@ -615,11 +639,15 @@ def _(t):
     return extract.typed(t.interactions.select("seq", F.col("interaction_type").alias("source"), "rating")).select("seq", "interaction_type", "implicit_score")
 
 
-@query("x05_feed_items", "select p_partkey as feed_id, case p_partkey % 3 when 0 then 'rating' when 1 then 'liked' else 'watched' end as interaction_type, case p_partkey % 3 when 0 then 1.5 when 1 then 4.0 else 2.5 end as implicit_score from part")
+#: Feeds of three items: with stars and without a link, with a verb, and with a rating of its own; every seventh feed is cut off.
+FEED = "<rss xmlns:f='urn:f'><channel><item><title>Ring {0}, 1999 - ★★½</title></item><item><title>Ann liked Ran &amp; {0}, 1985</title><link>https://x.org/film/ran-{0}/</link><pubDate>day {0}</pubDate></item><item><title>Ann watched it</title><link>https://x.org/film/heat/</link><f:filmTitle>Heat</f:filmTitle><f:filmYear>1995</f:filmYear><f:memberRating>{1}</f:memberRating></item></channel>"
+
+
+@query("x05_feed_items", "with p as (select p_partkey as feed_id, (p_partkey % 10 + 1) / 2.0 as own from part where p_partkey % 7 <> 0), i as (select feed_id, 0 as position, 'Ring ' || feed_id as title, '1999' as year, '' as link, 2.5 as rating, 'rating' as interaction_type, 2.5 as implicit_score, '' as date from p union all select feed_id, 1, 'Ran & ' || feed_id, '1985', 'https://x.org/film/ran-' || feed_id || '/', null, 'liked', 4.0, 'day ' || feed_id from p union all select feed_id, 2, 'Heat', '1995', 'https://x.org/film/heat/', own, 'rating', own, '' from p) select *, 'movie_' || md5(lower(case when link = '' then title || '_' || year else link end))[:12] as movie_id from i")
 def _(t):
-    title = F.when(F.col("p_partkey") % 3 == 0, "Ring, 1999 - ★½").when(F.col("p_partkey") % 3 == 1, "Ann liked Ring").otherwise("Ann saw Ring")
-    xml = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>https://x.org/film/ring/</link></item></channel></rss>"))
-    return extract.feed_items(t.part.select(F.col("p_partkey").alias("feed_id"), xml.alias("xml"))).select("feed_id", "interaction_type", "implicit_score")
+    key = F.col("p_partkey").cast("string")
+    xml = F.replace(F.replace(F.lit(FEED), F.lit("{0}"), key), F.lit("{1}"), ((F.col("p_partkey") % 10 + 1) / 2).cast("string"))
+    return extract.feed_items(t.part.select(F.col("p_partkey").alias("feed_id"), F.concat(xml, F.when(F.col("p_partkey") % 7 == 0, "").otherwise("</rss>")).alias("xml")))
 
 
 @query("x06_profile_counts", "select o_orderkey, cast(floor(o_totalprice) as bigint) as films from orders")
