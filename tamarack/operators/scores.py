@@ -139,30 +139,3 @@ def warp_negatives(positives: DataFrame, items: DataFrame, score: DataFrame, mar
     rank = F.log(1 + F.greatest(F.lit(1.0), F.floor((F.col("n") - F.col("own") - 1) / F.col("draw"))))
     best = rows.groupBy("userId", "movieId").agg(F.min_by(F.struct("negative", rank.alias("weight")), F.when(F.col("hit"), F.col("draw"))).alias("h"), F.max_by("negative", "draw").alias("last"))
     return best.select("userId", "movieId", F.coalesce("h.negative", "last").alias("negative"), F.coalesce("h.weight", F.lit(0.0)).alias("weight"))
-
-
-def fit_biased_factors(ratings: DataFrame, rank: int = 24, reg: float = 0.1, iterations: int = 8, seed: int = 42):
-    """(user factors, item factors, user biases, item biases, mean): ALS on what shrunk biases leave.
-
-    Rows that repeat a pair are averaged first.
-    """
-    from pyspark.ml.recommendation import ALS
-
-    bu, bi = shrunk_bias(ratings, "userId"), shrunk_bias(ratings, "movieId")
-    mu = global_mean(ratings)
-    rows = ratings.groupBy("userId", "movieId").agg(F.avg("rating").alias("rating"))
-    left = rows.join(bu.withColumnRenamed("bias", "bu"), "userId").join(bi.withColumnRenamed("bias", "bi"), "movieId").crossJoin(F.broadcast(mu))
-    left = left.select(F.col("userId").cast("int"), F.col("movieId").cast("int"), (F.col("rating") - F.col("mu") - F.col("bu") - F.col("bi")).alias("left"))
-    model = ALS(rank=rank, regParam=reg, maxIter=iterations, userCol="userId", itemCol="movieId", ratingCol="left", seed=seed, coldStartStrategy="nan").fit(left)
-    named = lambda df, key: df.select(F.col("id").cast("long").alias(key), F.col("features").alias("factors"))
-    return named(model.userFactors, "userId"), named(model.itemFactors, "movieId"), bu, bi, mu
-
-
-def fit_implicit_factors(positives: DataFrame, rank: int = 24, reg: float = 0.1, iterations: int = 8, seed: int = 42):
-    """(user factors, item factors) of implicit-feedback ALS on positive pairs."""
-    from pyspark.ml.recommendation import ALS
-
-    rows = positives.groupBy(F.col("userId").cast("int"), F.col("movieId").cast("int")).agg(F.lit(1.0).alias("one"))
-    model = ALS(rank=rank, regParam=reg, maxIter=iterations, implicitPrefs=True, userCol="userId", itemCol="movieId", ratingCol="one", seed=seed, coldStartStrategy="nan").fit(rows)
-    named = lambda df, key: df.select(F.col("id").cast("long").alias(key), F.col("features").alias("factors"))
-    return named(model.userFactors, "userId"), named(model.itemFactors, "movieId")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import catalog, content, evaluate, extract, leaderboard, neighbours, prepare, rank, scores, split, tuning
+from ..operators import catalog, content, evaluate, extract, leaderboard, neighbours, prepare, rank, scores, split, training, tuning
 from ..session import checkpointed
 from .prep_queries import SCORED, SPLIT
 from .registry import query
@@ -183,13 +183,46 @@ def _(t):
     return evaluate.rating_errors(_predicted(t)).select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"))
 
 
+def _parts(t):
+    s = checkpointed(split.temporal_split(t.ratings))
+    return [s.where(F.col("split") == p).drop("split") for p in ("train", "validation", "test")]
+
+
 @query("m02_fit_factors")
 def _(t):
-    u, i, bu, bi, mu = scores.fit_biased_factors(t.ratings, rank=8, iterations=4)
-    rows = t.ratings.crossJoin(F.broadcast(mu))
-    fitted = evaluate.rating_errors(scores.predict(rows, u, i, bu, bi, F.col("mu"))).select(F.lit("biases and factors").alias("model"), "rmse", "mae")
-    base = evaluate.rating_errors(t.ratings.join(bu.withColumnRenamed("bias", "bu"), "userId").join(bi.withColumnRenamed("bias", "bi"), "movieId").crossJoin(F.broadcast(mu)).withColumn("prediction", F.col("mu") + F.col("bu") + F.col("bi")))
-    return fitted.union(base.select(F.lit("biases"), "rmse", "mae"))
+    """Rounds of a fit with its losses, beside the biases alone (round 0)."""
+    train, validation, _ = _parts(t)
+    fit = training.fit_ratings(train, validation, rank=8, rounds=4, patience=1)
+    base = evaluate.rating_errors(scores.predict_by_bias(validation, train)).select(F.lit(0).alias("round"), F.lit(None).cast("double").alias("loss"), (-F.col("rmse")).alias("score"), F.lit(False).alias("best"))
+    return base.unionByName(training.history_rows(t.spark, fit))
+
+
+#: One factor in rounds, in SQL: a scalar for each user and item.
+def _rounds_sql(rounds, reg):
+    start = "(cast('0x' || substr(md5(movieId || ':0:42'), 1, 8) as double) / 4294967296.0 + 0.5)"
+    out = [f"""tr as (select userId, movieId, rating, timestamp from sp where split = 'train'), va as (select userId, movieId, rating from sp where split = 'validation'), {BIAS.replace("ratings", "tr")},
+rs as (select userId, movieId, avg(rating) - any_value(mu) - any_value(bu) - any_value(bi) as v from tr join bu using (userId) join bi using (movieId), mu group by userId, movieId),
+q0 as (select distinct movieId, {start.replace("cast('0x' ||", "cast(('0x' ||").replace("1, 8) as double)", "1, 8))::bigint as double)")} as q from rs)"""]
+    for k in range(1, rounds + 1):
+        out.append(f"p{k} as (select userId, sum(v * q) / (sum(q * q) + {reg} * count(*)) as p from rs join q{k - 1} using (movieId) group by userId)")
+        out.append(f"q{k} as (select movieId, sum(v * p) / (sum(p * p) + {reg} * count(*)) as q from rs join p{k} using (userId) group by movieId)")
+        error = "select sqrt(avg(power(least(5.0, greatest(0.5, mu + coalesce(bu, 0) + coalesce(bi, 0) + coalesce(p * q, 0))) - rating, 2))) from {0} x left join bu on bu.userId = x.userId left join bi on bi.movieId = x.movieId left join p{1} p on p.userId = x.userId left join q{1} q on q.movieId = x.movieId, mu"
+        out.append(f"hr{k} as (select {k} as round, ({error.format('tr', k)}) as loss, -({error.format('va', k)}) as score)")
+    out.append("hs as (" + " union all ".join(f"select * from hr{k}" for k in range(1, rounds + 1)) + ")")
+    return ", ".join(out)
+
+
+ROUNDS = f"{SPLIT}, {_rounds_sql(3, 0.1)}"
+
+
+def _one_factor(t):
+    train, validation, _ = _parts(t)
+    return training.history_rows(t.spark, training.fit_ratings(train, validation, rank=1, reg=0.1, rounds=3, patience=3))
+
+
+@query("m02_rounds_of_one_factor", f"with {ROUNDS} select round, round(loss, 6) as loss, round(score, 6) as score, round = (select arg_max(round, (score, -round)) from hs) as best from hs")
+def _(t):
+    return _rounded(_one_factor(t), "loss", "score")
 
 
 @query("m04_guest_scores", f"with {BIAS}, g as (select i, avg(cast(embedding[i] as double)) as x from embeddings, range(1, 65) r(i) group by i), d as (select vec_id as movieId, sum(cast(embedding[i] as double) * x) as d from embeddings, g group by vec_id) select d.movieId, round(mu + (select avg(bu) from bu) + coalesce(bi, 0) + d, 6) as score from d left join bi on bi.movieId = d.movieId, mu")
@@ -323,8 +356,9 @@ def _(t):
 
 @query("m18_implicit_factors")
 def _(t):
-    u, i = scores.fit_implicit_factors(t.ratings.where("rating >= 4"), rank=8, iterations=4)
-    return u.select(F.lit("user").alias("kind"), F.col("userId").alias("id"), F.size("factors").alias("rank")).union(i.select(F.lit("item"), "movieId", F.size("factors")))
+    """Rounds of an implicit fit: misses on train, ndcg on validation."""
+    train, validation, _ = _parts(t)
+    return training.history_rows(t.spark, training.fit_positives(train, validation, rank=8, rounds=3, patience=1))
 
 
 @query("m19_factor_top_k", f"with d as (select a.vec_id as userId, b.vec_id as movieId, round({DOT.format(a='a.embedding', b='b.embedding')}, 10) as score from embeddings a, embeddings b, movies m where m.movieId = b.vec_id) select userId, movieId, rank from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from d where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10")
@@ -547,11 +581,13 @@ def _(t):
     return _rounded(evaluate.rating_errors(rows.withColumn("prediction", F.coalesce(F.col("mu") + F.col("bias"), F.lit(3.0)))), "rmse", "mae")
 
 
-@query("e10_training_summary", f"with {SEGMENTS}, m as (select segment, round(avg(coalesce(hits / wanted, 0)), 6) as recall from w2 left join h2 using (segment, userId) group by segment) select max(case when segment = 'all' then recall end) as all_recall, max(case when segment = 'warm' then recall end) as warm_recall, max(case when segment = 'cold' then recall end) as cold_recall, (select count(*) from tr) as interactions from m")
+@query("e10_training_summary", f"with {SEGMENTS}, m as (select segment, round(avg(coalesce(hits / wanted, 0)), 6) as recall from w2 left join h2 using (segment, userId) group by segment), {ROUNDS.partition("split = 'train'), ")[2]} select max(case when segment = 'all' then recall end) as all_recall, max(case when segment = 'warm' then recall end) as warm_recall, max(case when segment = 'cold' then recall end) as cold_recall, (select count(*) from tr) as interactions, (select count(distinct movieId) from tr) as items, (select count(distinct userId) from tr) as users, (select arg_max(round, (score, -round)) from hs) as best_round, (select round(arg_max(loss, (score, -round)), 6) from hs) as train_loss, (select round(max(score), 6) from hs) as validation_score from m")
 def _(t):
     wide = segment_means(t).groupBy().pivot("segment", ["all", "warm", "cold"]).agg(F.first("recall"))
-    train = split.temporal_split(t.ratings).where("split = 'train'").agg(F.count("*").alias("interactions"))
-    return wide.select(*[F.col(c).alias(f"{c}_recall") for c in ("all", "warm", "cold")]).crossJoin(train)
+    train, _, _ = _parts(t)
+    sizes = train.agg(F.count("*").alias("interactions"), F.countDistinct("movieId").alias("items"), F.countDistinct("userId").alias("users"))
+    best = _one_factor(t).where("best").select(F.col("round").alias("best_round"), F.round("loss", 6).alias("train_loss"), F.round("score", 6).alias("validation_score"))
+    return wide.select(*[F.col(c).alias(f"{c}_recall") for c in ("all", "warm", "cold")]).crossJoin(sizes).crossJoin(best)
 
 
 # --- leaderboards ----------------------------------------------------------------------------------
