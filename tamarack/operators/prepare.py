@@ -144,19 +144,63 @@ def ratings_of(interactions: DataFrame) -> DataFrame:
 
 
 def k_core(interactions: DataFrame, min_user: int = 10, min_movie: int = 5, rounds: int | None = None) -> DataFrame:
-    """Rows left when users and movies with too few rows go, again and again; both counts precede each drop."""
+    """Rows left when users and movies with too few rows go, again and again (`rounds` times at most); both counts precede each drop.
+
+    Rows are counted once. A round looks only at the rows of those that go in it, and lowers the counts
+    of their neighbours; the rows themselves stay where they are until the end.
+    """
     from ..session import checkpointed
 
-    rows, before, done = interactions, None, 0
+    rows = checkpointed(interactions.withColumn("__row", F.monotonically_increasing_id()))
+    edges = rows.select("__row", "user_id", "movie_id")
+    keys = {"user_id": min_user, "movie_id": min_movie}
+    counts = {k: checkpointed(edges.groupBy(k).agg(F.count("*").alias("n"))) for k in keys}
+    gone, done = {k: None for k in keys}, 0
     while rounds is None or done < rounds:
-        users, movies = Window.partitionBy("user_id"), Window.partitionBy("movie_id")
-        counted = rows.withColumns({"__u": F.count(F.lit(1)).over(users), "__m": F.count(F.lit(1)).over(movies)})
-        rows = checkpointed(counted.where((F.col("__u") >= min_user) & (F.col("__m") >= min_movie)).drop("__u", "__m"))
-        now, done = rows.count(), done + 1
-        if now == before or not now:
+        going = {k: checkpointed(counts[k].where(F.col("n") < least).select(k)) for k, least in keys.items()}
+        if all(g.isEmpty() for g in going.values()):
             break
-        before = now
-    return rows
+        lost = edges.join(going["user_id"], "user_id", "left_semi").unionByName(edges.join(going["movie_id"], "movie_id", "left_semi")).distinct()
+        for k in keys:
+            if gone[k] is not None:
+                lost = lost.join(gone[k], k, "left_anti")
+        lost = checkpointed(lost)
+        for k in keys:
+            less = lost.groupBy(k).agg(F.count("*").alias("less"))
+            left = counts[k].join(going[k], k, "left_anti").join(less, k, "left")
+            counts[k] = checkpointed(left.select(k, (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")))
+            gone[k] = going[k] if gone[k] is None else checkpointed(gone[k].union(going[k]))
+        done += 1
+    for k in keys:
+        if gone[k] is not None:
+            rows = rows.join(gone[k], k, "left_anti")
+    return rows.select(*interactions.columns)
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42, few: int = 10_000) -> DataFrame:
+    """Exactly n rows of df (all, if it has fewer), the first by the MD5 of key and seed; keys are not repeated.
+
+    The n-th hash is found by counting: each round counts the hashes between some probes and goes on
+    between the two that the n-th lies between, until `few` are left, which alone are put in order.
+    """
+    from ..session import checkpointed
+
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    rows = df.withColumn("__digest", digest)
+    at = checkpointed(rows.select("__digest", F.conv(F.substring("__digest", 1, 12), 16, 10).cast("long").alias("h")))
+    lo, hi, before, inside = 0, 1 << 48, 0, at.count()
+    if inside <= n:
+        return df
+    while inside > max(few, 1) and hi - lo > 1:
+        step = max(1, -(-(hi - lo) // 256))
+        found = at.where((F.col("h") >= lo) & (F.col("h") < hi)).groupBy(F.floor((F.col("h") - lo) / step).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()  # 256 counts at most
+        for k, count in sorted(found):
+            if before + count >= n:
+                lo, hi, inside = lo + k * step, min(hi, lo + (k + 1) * step), count
+                break
+            before += count
+    limit = at.where((F.col("h") >= lo) & (F.col("h") < hi)).orderBy("__digest").limit(n - before).agg(F.max("__digest").alias("limit"))
+    return rows.join(F.broadcast(limit), rows["__digest"] <= limit["limit"]).select(*df.columns)
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -9,6 +9,10 @@ from ..functions.text import percent, year_in_title
 from .prepare import blank
 
 
+def missing_year(title: Column) -> Column:
+    return year_in_title(title) == ""
+
+
 def non_empty(c: Column) -> Column:
     return F.count_if(~blank(c))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_rating, title_similarity, year_score
-from ..operators import catalog, prepare, quality, split
+from ..functions.text import normal_rating
+from ..operators import catalog, matching, prepare, quality, split
 from ..operators.scores import movie_scores
 from ..operators.tuning import candidate_weights
 from .registry import query
@@ -226,14 +226,12 @@ def _(t):
     return rows.select("movieId", F.size("v").cast("long").alias("d"), F.round(F.col("v")[0].cast("double"), 6).alias("first"))
 
 
-@query("j17_fuzzy_titles", r"with w as (select *, trim(regexp_replace(title, '\s*\(\d{4}\)\s*$', '')) as bare, cast(regexp_extract(title, '\((\d{4})', 1) as int) as y from movies), c as (select a.movieId, b.movieId as candidate, case when a.y = b.y then 20 when abs(a.y - b.y) = 1 then 10 else 0 end + case when a.bare = b.bare then 100 when contains(a.bare, b.bare) or contains(b.bare, a.bare) then 85 else cast(floor(80.0 * len(list_intersect(list_distinct(string_split(a.bare, ' ')), list_distinct(string_split(b.bare, ' ')))) / len(list_distinct(string_split(a.bare || ' ' || b.bare, ' ')))) as bigint) end as score from w a join w b on split_part(a.bare, ' ', 1) = split_part(b.bare, ' ', 1) and a.movieId <> b.movieId) select movieId, candidate, score from (select *, row_number() over (partition by movieId order by score desc, candidate) as r from c where score >= 70) where r = 1")
+@query("j17_fuzzy_titles", r"with w as (select *, trim(regexp_replace(title, '\s*\(\d{4}\)\s*$', '')) as bare, cast(regexp_extract(title, '\((\d{4})', 1) as int) as y from movies), u as (select movieId, bare, y, unnest(list_distinct(string_split(bare, ' '))) as word from w), p as (select distinct a.movieId, b.movieId as candidate, a.bare as x, b.bare as z, a.y as ay, b.y as zy from u a join u b using (word) where a.movieId <> b.movieId), c as (select movieId, candidate, case when ay = zy then 20 when abs(ay - zy) = 1 then 10 else 0 end + case when x = z then 100 when contains(x, z) or contains(z, x) then 85 else cast(floor(80.0 * len(list_intersect(list_distinct(string_split(x, ' ')), list_distinct(string_split(z, ' ')))) / len(list_distinct(string_split(x || ' ' || z, ' ')))) as bigint) end as score from p) select * from (select *, row_number() over (partition by movieId order by score desc, candidate) as place from c where score >= 70) where place <= 5")
 def _(t):
     from ..functions.text import without_year, year_in_title
 
-    w = t.movies.select("movieId", without_year(F.col("title")).alias("bare"), year_in_title(F.col("title")).cast("int").alias("y")).withColumn("block", F.split("bare", " ")[0])
-    b = w.select(F.col("movieId").alias("candidate"), F.col("bare").alias("other"), F.col("y").alias("z"), "block")
-    c = w.join(b, "block").where("movieId <> candidate").withColumn("score", title_similarity(F.col("bare"), F.col("other")) + year_score(F.col("y"), F.col("z"))).where("score >= 70")
-    return prepare.keep_one(c, ["movieId"], [F.desc("score"), F.col("candidate")]).select("movieId", "candidate", "score")
+    w = t.movies.select(F.col("movieId").alias("id"), without_year(F.col("title")).alias("title"), year_in_title(F.col("title")).cast("int").alias("year"))
+    return matching.match_titles(w, w).withColumnRenamed("id", "movieId")
 
 
 @query("j18_resolved_ids", r"with k as (select regexp_replace(title, '\s*\(\d{4}\)\s*$', '') as bare, regexp_extract(title, '\((\d{4})', 1) as y, min(tmdbId) as id from movies join links using (movieId) where tmdbId <> '' group by all), k2 as (select bare, min(id) as id from k group by bare), m as (select movieId, regexp_replace(title, '\s*\(\d{4}\)\s*$', '') as bare, regexp_extract(title, '\((\d{4})', 1) as y from movies where movieId not in (select movieId from links where tmdbId <> '')) select movieId, coalesce(k.id, k2.id) as tmdbId from m left join k on m.bare = k.bare and m.y = k.y left join k2 on m.bare = k2.bare")
@@ -436,21 +434,25 @@ def _(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_CORE = "select i.* from {p} i where (select count(*) from {p} j where j.user_id = i.user_id) >= 60 and (select count(*) from {p} j where j.movie_id = i.movie_id) >= 80"
+def _core(p, users=60, movies=80):
+    return f"(select user_id, movie_id, seq from (select *, count(*) over (partition by user_id) as u, count(*) over (partition by movie_id) as m from {p}) where u >= {users} and m >= {movies})"
 
 
-def _core(p):
-    return f"(select user_id, movie_id, seq from (select *, count(*) over (partition by user_id) as u, count(*) over (partition by movie_id) as m from {p}) where u >= 60 and m >= 80)"
+def _peeled(rounds):
+    out = "interactions"
+    for _ in range(rounds):
+        out = _core(out, 54, 6)
+    return out
 
 
-@query("u08_k_core", f"select user_id, movie_id, seq from {_core(_core(_core('interactions')))}")
+@query("u08_k_core", f"select user_id, movie_id, seq from {_peeled(3)}")
 def _(t):
-    return prepare.k_core(t.interactions.select("user_id", "movie_id", "seq"), 60, 80, rounds=3)
+    return prepare.k_core(t.interactions.select("user_id", "movie_id", "seq"), 54, 6, rounds=3)
 
 
-@query("u08_k_core_fixpoint")
+@query("u08_k_core_fixpoint", f"select user_id, movie_id, seq from {_peeled(8)}")
 def _(t):
-    return prepare.k_core(t.interactions.select("user_id", "movie_id", "seq"))
+    return prepare.k_core(t.interactions.select("user_id", "movie_id", "seq"), 54, 6)
 
 
 @query("u09_profile_upsert", "select coalesce(o.c_custkey, n.k) as c_custkey, coalesce(case when n.name <> '' then n.name end, o.c_name) as c_name, coalesce(o.c_mktsegment, n.seg) as c_mktsegment from (select * from customer where c_custkey % 5 > 0) o full join (select c_custkey as k, case when c_custkey % 2 = 0 then '' else 'new' end as name, 'NEW' as seg from customer where c_custkey % 3 = 0) n on o.c_custkey = n.k")
@@ -500,9 +502,9 @@ def _(t):
     return count("userId", "users").crossJoin(count("movieId", "movies"))
 
 
-@query("u16_seeded_sample")
+@query("u16_seeded_sample", "select userId from (select distinct userId from ratings) order by md5(userId || ':42'), userId limit 100")
 def _(t):
-    return t.ratings.select("userId").distinct().orderBy(F.xxhash64("userId", F.lit(42)), "userId").limit(100)
+    return prepare.seeded_sample(t.ratings.select("userId").distinct(), "userId", 100)
 
 
 @query("d01_shapes", "select 'ratings' as tbl, count(*) as rows, 4 as cols from ratings union all select 'movies', count(*), 3 from movies union all select 'links', count(*), 3 from links")
@@ -525,8 +527,9 @@ def _(t):
     return quality.advice(report).select("no_genre", "sparsity_pct", F.array_join("advice", "; ").alias("advice"))
 
 
-@query("d04_missing_year", r"select movieId from movies where regexp_extract(title, '\((\d{4})(?:[–-]\d{4})?\)', 1) = ''")
+@query("d04_missing_year", r"select movieId from (select movieId, case when movieId % 9 = 0 then regexp_replace(title, '\s*\(\d{4}\)$', '') else title end as title from movies) where regexp_extract(title, '\((\d{4})(?:[–-]\d{4})?\)', 1) = ''")
 def _(t):
-    from ..functions.text import year_in_title
+    from ..functions.text import without_year
 
-    return t.movies.where(year_in_title(F.col("title")) == "").select("movieId")
+    title = F.when(F.col("movieId") % 9 == 0, without_year(F.col("title"))).otherwise(F.col("title"))
+    return t.movies.withColumn("title", title).where(quality.missing_year(F.col("title"))).select("movieId")
