@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import percent, year_in_title
+from ..session import checkpointed
 from .prepare import blank
 
 
@@ -107,3 +110,111 @@ def report(movies: DataFrame, ratings: DataFrame, enriched: DataFrame) -> DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("text", F.lit(None).cast("string"))
+
+
+#: Metadata columns whose coverage is told, those that count if over 0, and the core ones.
+CONTENT = ("overview", "tagline", "director", "cast", "poster_url", "budget", "revenue", "tmdbId", "imdbId", "genres", "year", "release_date", "runtime", "original_language", "production_companies", "production_countries", "keywords", "tag_genome_tags", "vote_average", "vote_count", "popularity", "collection_name", "certification")
+NUMERIC = ("budget", "revenue", "runtime", "vote_average", "vote_count", "popularity")
+CORE = ("overview", "director")
+NO_GENRES = "(no genres listed)"
+SPLITS = ("train", "validation", "test")
+SOURCES = ("movies", "ratings", "tags", "links", "enriched")
+ADVICE = (
+    ("missing_enriched_movies", "add placeholder rows for movies without enrichment, then enrich them"),
+    ("movies_without_ratings", "keep unrated movies for content and cold start, leave them out of collaborative training"),
+    ("test_movies_not_in_train", "report warm items first, cold items apart"),
+    ("items_with_lt_5_ratings", "compare by segments of item popularity, or with a minimum of interactions"),
+    ("no_budget_no_revenue", "take a budget and revenue of 0 for missing"),
+)
+
+
+def _rows(df: DataFrame, section: str, **values: Column) -> DataFrame:
+    """(section, name, value) of aggregates of df, in one pass."""
+    one = df.agg(*[v.cast("double").alias(k) for k, v in values.items()])
+    return one.unpivot([], list(values), "name", "value").select(F.lit(section).alias("section"), "name", "value")
+
+
+def interaction_figures(split: DataFrame, movies: DataFrame, threshold: float = 4.0) -> DataFrame:
+    """(section, name, value) of split(userId, movieId, rating, split): ids, duplicates, ratings, their distribution, and the split.
+
+    Users, movies, pairs and rating values are counted in one pass over the rows, by grouping sets;
+    all figures come from those counts.
+    """
+    mine = lambda s: F.count_if(F.col("split") == s).alias(f"n_{s}")
+    sets = [[F.col("userId")], [F.col("movieId")], [F.col("userId"), F.col("movieId")], [F.col("rating")]]
+    # Key columns under other names: in a set that leaves a column out, it would be null in the aggregates too.
+    keys = [F.col(c) for c in ("userId", "movieId", "rating")]
+    rows = split.select("userId", "movieId", F.col("rating"), "split", F.col("rating").alias("r"))
+    good = F.count_if((F.col("split") == "test") & (F.col("r") >= threshold)).alias("good_test")
+    by = checkpointed(rows.groupingSets(sets, *keys).agg(F.grouping_id().alias("set"), F.count("*").alias("n"), *[mine(s) for s in SPLITS], good))
+    of = {"userId": 3, "movieId": 5, "pair": 1, "rating": 6}  # bits of the columns left out
+    users, items, pairs, values = (by.where(F.col("set") == of[k]) for k in of)
+    n, lacks = F.col("n"), lambda s: F.count_if((F.col(f"n_{s}") > 0) & (F.col("n_train") == 0))
+    catalog = movies.agg(F.countDistinct("movieId").alias("catalog"))
+    size = lambda s: F.sum(f"n_{s}")
+    parts = [
+        _rows(users.crossJoin(F.broadcast(catalog)), "ids", users=F.count("*"), movies=F.max("catalog"), sparsity_pct=F.bround(100 * (1 - F.sum("n") / F.greatest(F.count("*") * F.max("catalog"), F.lit(1))), 4)),
+        _rows(items, "ids", rated_movies=F.count("*")),
+        _rows(pairs, "duplicates", ratings_userId_movieId=F.sum(n - 1)),
+        _rows(values, "ratings", min=F.min("rating"), max=F.max("rating"), mean=F.bround(F.sum(F.col("rating") * n) / F.sum("n"), 4), median=F.percentile("rating", F.lit(0.5), n), positive_threshold=F.lit(threshold), positive_count=F.sum(F.when(F.col("rating") >= threshold, n).otherwise(0)), positive_pct=percent(F.sum(F.when(F.col("rating") >= threshold, n).otherwise(0)), F.sum("n"))),
+        values.select(F.lit("distribution").alias("section"), F.col("rating").cast("string").alias("name"), n.cast("double").alias("value")),
+        *[_rows(df, "ratings", **{f"{k}_interactions_min": F.min("n"), f"{k}_interactions_median": F.median("n"), f"{k}_interactions_mean": F.bround(F.avg("n"), 4), f"{k}_interactions_max": F.max("n")}) for df, k in ((users, "user"), (items, "item"))],
+        _rows(items, "ratings", items_with_lt_5_ratings=F.count_if(n < 5), items_with_lt_10_ratings=F.count_if(n < 10)),
+        _rows(users, "split", **{f"{s}_size": size(s) for s in SPLITS}, **{f"{s}_pct": percent(size(s), F.sum("n")) for s in SPLITS}, **{f"{s}_users": F.count_if(F.col(f"n_{s}") > 0) for s in SPLITS}, test_users_not_in_train=lacks("test")),
+        _rows(items, "split", **{f"{s}_movies_not_in_train": lacks(s) for s in SPLITS[1:]}, **{f"{s}_{kind}_interactions": F.sum(F.when((F.col("n_train") > 0) == (kind == "warm"), F.col(f"n_{s}")).otherwise(0)) for s in SPLITS[1:] for kind in ("warm", "cold")}, test_cold_positive_interactions=F.sum(F.when(F.col("n_train") == 0, F.col("good_test")).otherwise(0))),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def table_figures(tables: dict[str, DataFrame]) -> DataFrame:
+    """(section, name, value): shapes of the tables of SOURCES, repeated ids, ids in one and not in another, and tagged movies; every table is read once, and ids meet in one grouping by movieId."""
+    rows = reduce(DataFrame.union, [tables[s].select(F.col("movieId").cast("long").alias("movieId"), F.lit(s).alias("source")) for s in SOURCES])
+    ids = checkpointed(rows.groupBy("movieId").agg(*[F.count_if(F.col("source") == s).alias(s) for s in SOURCES]))
+    has = lambda s: F.col(s) > 0
+    beyond = lambda s: F.sum(F.greatest(F.col(s) - 1, F.lit(0)))
+    shapes = _rows(ids, "shapes", **{f"{s}_rows": F.sum(s) for s in SOURCES}, **{f"{s}_columns": F.lit(len(tables[s].columns)) for s in SOURCES})
+    repeated = _rows(ids, "duplicates", **{f"{s}_movieId": beyond(s) for s in ("movies", "links", "enriched")})
+    names = {"ratings": "rating", "tags": "tag", "links": "link", "enriched": "enriched"}
+    orphan = {f"{names[s]}_movieIds_not_in_movies": F.count_if(has(s) & ~has("movies") & F.col("movieId").isNotNull()) for s in SOURCES[1:]} | {f"movies_without_{s}": F.count_if(has("movies") & ~has(s)) for s in ("ratings", "links", "enriched")}
+    tagged = {"tagged_movies": F.count_if(has("tags") & F.col("movieId").isNotNull()), "tagged_movies_pct": percent(F.count_if(has("tags") & F.col("movieId").isNotNull()), F.sum("movies"))}
+    tags = tables["tags"]
+    full = _rows(tags.groupBy(*tags.columns).agg(F.count("*").alias("n")), "duplicates", tags_full_rows=F.coalesce(F.sum(F.col("n") - 1), F.lit(0)))
+    return reduce(DataFrame.union, [shapes, repeated, full, _rows(ids, "orphans", **orphan), _rows(ids, "issues", **tagged)])
+
+
+def content_figures(loaded: DataFrame) -> DataFrame:
+    """(section, name, value): coverage of CONTENT's columns that loaded movies have, in numbers and per cent, and issues; one pass."""
+    there = [c for c in CONTENT if c in loaded.columns]
+    core = [blank(F.col(c)) for c in CORE if c in loaded.columns] or [F.lit(True)]
+    any_, all_ = reduce(lambda a, b: a | b, core), reduce(lambda a, b: a & b, core)
+    values: dict[str, Column] = {}
+    for c in there:
+        covered = positive_number(F.col(c)) if c in NUMERIC else non_empty(F.col(c))
+        values |= {f"coverage.{c}": covered, f"coverage.{c}_pct": percent(covered, F.count("*"))}
+    values |= {"issues.any_core_metadata_missing": F.count_if(any_), "issues.all_core_metadata_missing": F.count_if(all_), "issues.no_genres_listed": F.count_if(F.col("genres") == NO_GENRES), "issues.missing_year": F.count_if(missing_year(F.col("title")))}
+    zero = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)) == 0 if c in loaded.columns else F.lit(True)
+    if {"budget", "revenue"} & set(loaded.columns):
+        values["issues.no_budget_no_revenue"] = F.count_if(zero("budget") & zero("revenue"))
+    rows = _rows(loaded, "", **{k.replace(".", ":"): v for k, v in values.items()})
+    part = F.split("name", ":")
+    return rows.select(part[0].alias("section"), part[1].alias("name"), "value")
+
+
+def examples(tables: dict[str, DataFrame], limit: int = 10) -> DataFrame:
+    """(section, name, value, text): the first movies, by id, without enrichment, ratings, year or genres."""
+    movies = tables["movies"].select("movieId", "title", "genres")
+    lacking = lambda s: movies.join(tables[s], "movieId", "left_anti")
+    found = {"missing_enriched_movies": lacking("enriched"), "movies_without_ratings": lacking("ratings"), "missing_year": movies.where(missing_year(F.col("title"))), "no_genres_listed": movies.where(F.col("genres") == NO_GENRES)}
+    return reduce(DataFrame.union, [df.orderBy("movieId").limit(limit).select(F.lit("examples").alias("section"), F.lit(name).alias("name"), F.col("movieId").cast("double").alias("value"), F.concat_ws(" | ", "title", "genres").alias("text")) for name, df in found.items()])
+
+
+def audit(tables: dict[str, DataFrame], loaded: DataFrame, split: DataFrame, example_limit: int = 10) -> DataFrame:
+    """(section, name, value, text): the whole quality report of tables (SOURCES), loaded movies, and ratings with their split.
+
+    Sections: shapes, ids, duplicates, orphans, ratings, distribution, split, coverage, issues, examples
+    (value: movieId, text: title and genres), and advice (text), a row for each figure that calls for one.
+    """
+    figures = checkpointed(reduce(DataFrame.union, [interaction_figures(split, tables["movies"]), table_figures(tables), content_figures(loaded)]))
+    of = {"missing_enriched_movies": "movies_without_enriched"}
+    said = reduce(DataFrame.union, [figures.where((F.col("name") == of.get(name, name)) & (F.col("value") > 0)).select(F.lit("advice").alias("section"), F.lit(name).alias("name"), "value", F.lit(text).alias("text")) for name, text in ADVICE])
+    return figures.withColumn("text", F.lit(None).cast("string")).unionByName(said).unionByName(examples(tables, example_limit))

@@ -48,9 +48,57 @@ def _(t):
     return markdown_lines(rows, "rating")
 
 
-@query("s16_quality_report", "select section, name, value from (select 'ids' as section, 'users' as name, cast(count(distinct userId) as double) as value from ratings union all select 'ids', 'movies', count(distinct movieId) from movies union all select 'ids', 'rated_movies', count(distinct movieId) from ratings union all select 'shapes', 'ratings', count(*) from ratings union all select 'orphans', 'ratings_without_movie', count(distinct movieId) from ratings where movieId not in (select movieId from movies) union all select 'issues', 'no_genres', count(*) from movies where genres = '(no genres listed)' or trim(genres) = '' union all select 'coverage', 'overview', round_even(count(*) filter (where trim(overview) <> '') * 100.0 / count(*), 4) from enriched)")
-def _(t):
-    return quality.report(t.movies, t.ratings, t.enriched).select("section", "name", "value")
+def _figures(section, source, **values):
+    """SQL of (section, name, value) of aggregates of a source."""
+    return " union all ".join(f"select '{section}' as section, '{k}' as name, cast(({v}) as double) as value from {source}" for k, v in values.items())
+
+
+def _pct(n, d):
+    return f"case when {d} = 0 then 0 else round_even({n} * 100.0 / {d}, 4) end"
+
+
+def _audit_sql():
+    splits = ("train", "validation", "test")
+    lacks = lambda s: f"count(*) filter (where n_{s} > 0 and n_train = 0)"
+    counts = ", ".join(f"count(*) filter (where split = '{s}') as n_{s}" for s in splits) + ", count(*) filter (where split = 'test' and rating >= 4) as good, count(*) as n"
+    text, number = ("overview", "director", "genres", "original_language"), ("runtime",)
+    covered = {c: f"count(*) filter (where trim(coalesce({c}, '')) <> '')" for c in text} | {c: f"count(*) filter (where try_cast({c} as double) > 0)" for c in number}
+    missing = {s: f"select count(distinct movieId) from {s} where movieId not in (select movieId from movies)" for s in ("ratings", "tags", "links", "enriched")}
+    single = {"ratings": "rating", "tags": "tag", "links": "link", "enriched": "enriched"}
+    columns = {"movies": 3, "ratings": 4, "tags": 5, "links": 3, "enriched": 6}
+    year = r"regexp_extract(title, '\((\d{4})', 1)"
+    parts = [
+        _figures("ids", "us", users="count(*)", movies="max((select count(distinct movieId) from movies))", sparsity_pct="round_even(100 * (1 - sum(n) / greatest(count(*) * (select count(distinct movieId) from movies), 1)), 4)"),
+        _figures("ids", "it", rated_movies="count(*)"),
+        _figures("duplicates", "pr", ratings_userId_movieId="sum(n - 1)"),
+        _figures("ratings", "ratings", min="min(rating)", max="max(rating)", mean="round_even(sum(rating) * 10000 / count(*), 0) / 10000", median="quantile_cont(rating, 0.5)", positive_threshold="max(4.0)", positive_count="count(*) filter (where rating >= 4)", positive_pct=_pct("count(*) filter (where rating >= 4)", "count(*)")),
+        "select 'distribution' as section, cast(rating as varchar) as name, cast(count(*) as double) as value from ratings group by rating",
+        *[_figures("ratings", t, **{f"{k}_interactions_min": "min(n)", f"{k}_interactions_median": "quantile_cont(n, 0.5)", f"{k}_interactions_mean": "round_even(sum(n) * 10000 / count(*), 0) / 10000", f"{k}_interactions_max": "max(n)"}) for t, k in (("us", "user"), ("it", "item"))],
+        _figures("ratings", "it", items_with_lt_5_ratings="count(*) filter (where n < 5)", items_with_lt_10_ratings="count(*) filter (where n < 10)"),
+        _figures("split", "us", **{f"{s}_size": f"sum(n_{s})" for s in splits}, **{f"{s}_pct": _pct(f"sum(n_{s})", "sum(n)") for s in splits}, **{f"{s}_users": f"count(*) filter (where n_{s} > 0)" for s in splits}, test_users_not_in_train=lacks("test")),
+        _figures("split", "it", **{f"{s}_movies_not_in_train": lacks(s) for s in splits[1:]}, **{f"{s}_{k}_interactions": f"coalesce(sum(n_{s}) filter (where n_train {o} 0), 0)" for s in splits[1:] for k, o in (("warm", ">"), ("cold", "="))}, test_cold_positive_interactions="coalesce(sum(good) filter (where n_train = 0), 0)"),
+        *[_figures("shapes", t, **{f"{t}_rows": "count(*)", f"{t}_columns": f"max({c})"}) for t, c in columns.items()],
+        *[_figures("duplicates", t, **{f"{t}_movieId": "count(*) - count(distinct movieId)"}) for t in ("movies", "links", "enriched")],
+        _figures("duplicates", "(select distinct * from tags)", tags_full_rows="(select count(*) from tags) - count(*)"),
+        *[_figures("orphans", "(select 1)", **{f"{single[t]}_movieIds_not_in_movies": q}) for t, q in missing.items()],
+        *[_figures("orphans", "(select 1)", **{f"movies_without_{t}": f"select count(*) from movies where movieId not in (select movieId from {t})"}) for t in ("ratings", "links", "enriched")],
+        _figures("issues", "tags", tagged_movies="count(distinct movieId)", tagged_movies_pct=_pct("count(distinct movieId)", "(select count(*) from movies)")),
+        *[_figures("coverage", "ld", **{c: q, f"{c}_pct": _pct(q, "count(*)")}) for c, q in covered.items()],
+        _figures("issues", "ld", any_core_metadata_missing="count(*) filter (where trim(coalesce(overview, '')) = '' or trim(coalesce(director, '')) = '')", all_core_metadata_missing="count(*) filter (where trim(coalesce(overview, '')) = '' and trim(coalesce(director, '')) = '')", no_genres_listed="count(*) filter (where genres = '(no genres listed)')", missing_year=f"count(*) filter (where {year} = '')"),
+    ]
+    shown = [("missing_enriched_movies", "movieId not in (select movieId from enriched)"), ("movies_without_ratings", "movieId not in (select movieId from ratings)"), ("missing_year", f"{year} = ''"), ("no_genres_listed", "genres = '(no genres listed)'")]
+    tops = " union all ".join(f"select 'examples', '{name}', cast(movieId as double), title || ' | ' || genres from (select * from movies where {where} order by movieId limit 10)" for name, where in shown)
+    said = " union all ".join(f"select 'advice', '{name}', value, '{text}' from fg where name = '{'movies_without_enriched' if name == 'missing_enriched_movies' else name}' and value > 0" for name, text in quality.ADVICE)
+    return f"""with {SPLIT}, us as (select userId, {counts} from sp group by userId), it as (select movieId, {counts} from sp group by movieId), pr as (select count(*) as n from ratings group by userId, movieId),
+ld as (select m.*, overview, director, original_language, runtime from movies m left join enriched e on e.movieId = m.movieId), fg as ({" union all ".join(parts)})
+select section, name, value, null as text from fg union all {said} union all {tops}"""
+
+
+@query("s16_quality_report", _audit_sql())
+def _(t):
+    tables = {s: getattr(t, s) for s in quality.SOURCES}
+    loaded = t.movies.join(t.enriched.select("movieId", "overview", "director", "original_language", "runtime"), "movieId", "left")
+    return quality.audit(tables, loaded, split.temporal_split(t.ratings))
 
 
 @query("p11_timestamps", "select event_id, case when share >= 0.5 then coalesce(cast(floor(epoch(cast(d as timestamp))) as bigint), event_id) else event_id end as timestamp from (select *, avg(case when d is not null then 1.0 else 0.0 end) over () as share from (select event_id, case when event_id % 3 > 0 then cast(ts as date) end as d from events))")
