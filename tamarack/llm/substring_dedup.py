@@ -114,7 +114,7 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
         return (mix(prefix) & ~_U(2**40 - 1)) | (mix(label ^ prefix) & _U(2**40 - 1))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaves, and the bits of windows known to be repeats, whose path is null."""
+        """Leaves, and the bits of windows known to be repeats; place is twice the block of 64 words, and odd where they are known."""
         seen = Seen()
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(_U)
@@ -134,16 +134,16 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
                 paths[: go.sum()] = path(words, at[go], label[go])
                 paths[go.sum() :] = mix((a[row].view(_U) ^ b[row] ^ block.astype(_U))[go.sum() :])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(paths.view(np.int64)), pa.array(a[row]), pa.array(b[row].view(np.int64)), pa.array(block.astype(np.int32)), pa.array(np.concatenate([bits[go], mask]).view(np.int64)), pa.array(np.arange(len(of)) >= go.sum())],
-                    ["path", "a", "b", "block", "mask", "known"],
+                    [pa.array(paths.view(np.int64)), pa.array(a[row]), pa.array(b[row].view(np.int64)), pa.array(block << 1 | (np.arange(len(of)) >= go.sum())), pa.array(np.concatenate([bits[go], mask]).view(np.int64))],
+                    ["path", "a", "b", "place", "mask"],
                 )
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leaves of deep nodes among the groups that this task holds; a partition is sized to fit its memory."""
         leaves: list[tuple[np.ndarray, ...]] = []
-        names = ["a", "b", "block", "mask"]
+        names = ["a", "b", "place", "mask"]
         for batch in batches:
-            known = batch.column(5).to_numpy(zero_copy_only=False)
+            known = batch.column(3).to_numpy() & 1 == 1
             own = tuple(batch.column(k).to_numpy() for k in range(5))
             if known.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in own[1:]], names)
@@ -160,9 +160,9 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
             some = deep[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in places], names)
 
-    shipped = keyed.mapInArrow(ship, "path long, a long, b long, block int, mask long, known boolean")
-    marked = shipped.repartition(width, F.shiftrightunsigned("path", 40)).mapInArrow(trees, "a long, b long, block int, mask long")
-    masks = marked.groupBy("a", "b", "block").agg(F.bit_or("mask").alias("mask"))
+    shipped = keyed.mapInArrow(ship, "path long, a long, b long, place long, mask long")
+    marked = shipped.repartition(width, F.shiftrightunsigned("path", 40)).mapInArrow(trees, "a long, b long, place long, mask long")
+    masks = marked.groupBy("a", "b", F.shiftright("place", 1).alias("block")).agg(F.bit_or("mask").alias("mask"))
     return masks.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("block", "mask"))).alias("spans"))
 
 
