@@ -29,8 +29,8 @@ from .common import free_prefix, quoted, text_batches
 SAMPLE_DOCS = 1500
 CALIBRATION = 5  # one in so many
 ORDER = 4
-#: Characters of text that a task scores at a time.
-BLOCK_CHARS = 1 << 19
+#: Characters of text that a task scores at a time, and texts that are Python strings at a time.
+BLOCK_CHARS, ROWS = 1 << 17, 256
 #: Lengths, in characters, between which thresholds are calibrated apart.
 LENGTHS = (20, 100, 500)
 #: A text is rejected if its excess is MARGIN times that of the QUANTILE of the calibration texts of its length or longer,
@@ -270,20 +270,22 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     names = [x.split()[0] for x in made.split(", ")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    import pandas as pd
+    kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
 
-    def run(series):
+    def run(arrays):
         own = shared.value
-        for s in series:
-            texts = ["" if t is None else t for t in s.tolist()]
+        for array in arrays:
             rows = []
-            for a, b in text_parts(texts):
-                rows += own.predict(texts[a:b]) if own else [(UNKNOWN_LANG, 0.0, None, True)] * (b - a)
-            yield pd.DataFrame(rows, columns=names).astype({"cross_entropy": "float64"})
-
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+            for start in range(0, len(array), ROWS):  # few texts are Python strings at a time
+                texts = ["" if t is None else t for t in array.slice(start, ROWS).to_pylist()]
+                for a, b in text_parts(texts):
+                    rows += own.predict(texts[a:b]) if own else [(UNKNOWN_LANG, 0.0, None, True)] * (b - a)
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.StructArray.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
     own = free_prefix(docs) + "lang"
-    out = docs.withColumn(own, F.pandas_udf(run, made)(F.col(quoted(text_col)).cast("string")))
+    out = docs.withColumn(own, F.arrow_udf(run, made)(F.col(quoted(text_col)).cast("string")))
     return out.select(*[F.col(quoted(c)) for c in docs.columns if c not in names], *[F.col(own)[c].alias(c) for c in names])
 
 

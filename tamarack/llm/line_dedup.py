@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -389,11 +388,11 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, least_words: int =
 
     asked = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone.select(a, b), values))
 
-    def may_lose(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(inside(asked.value, mix(a.to_numpy().astype(np.int64).view(_U)) ^ b.to_numpy().astype(np.int64).view(_U)))
+    def may_lose(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(inside(asked.value, mix(a.to_numpy().view(_U)) ^ b.to_numpy().view(_U)))
 
-    may_lose.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    rows = docs.select(*others, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(may, F.pandas_udf(may_lose, "boolean")(a, b))
+    may_lose.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    rows = docs.select(*others, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text)).withColumn(may, F.arrow_udf(may_lose, "boolean")(a, b))
     untouched = rows.where(~F.col(may)).select(*others, F.col(text).alias("kept_text"), F.array().cast("array<int>").alias("removed_lines"))
     touched = rows.where(may).join(gone, [a, b], "left")
     numbers = F.coalesce(lost, F.array().cast("array<int>"))

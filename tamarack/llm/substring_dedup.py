@@ -22,14 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, checkpointed, free_prefix, grams, mix, quoted, row_key, shuffle_width, text_batches
 from .shared_tokens import shared_tokens
-from .sketch import counted, counter_of
+from .sketch import counted, counter_of, inside
 
 #: Words of prefixes, one after the other, and log2 of the suffixes of a group before its prefix grows.
 LADDER = (8, 16, 24, 32)
@@ -189,11 +188,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     asked = docs.sparkSession.sparkContext.broadcast(np.packbits(counted(found.select(a, b), lambda batch: iter([key(batch.column(0).to_numpy(), batch.column(1).to_numpy())])) > 0))
 
-    def may_lose(a: pd.Series, b: pd.Series) -> pd.Series:
-        c = counter_of(key(a.to_numpy(), b.to_numpy()))
-        return pd.Series((asked.value[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool))
+    def may_lose(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(inside(asked.value, key(a.to_numpy(), b.to_numpy())))
 
-    may_lose.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    may_lose.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kept_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("repeats", pa.list_(pa.list_(pa.int64())))])
@@ -228,7 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     # Other columns go through Python under plain names, whatever they are called.
     plain = [F.col(quoted(f.name)).alias(f"{p}{i}") for i, f in enumerate(others)]
     rows = docs.select(*plain, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text))
-    rows = rows.withColumn(p + "may", F.pandas_udf(may_lose, "boolean")(a, b))
+    rows = rows.withColumn(p + "may", F.arrow_udf(may_lose, "boolean")(a, b))
     untouched = rows.where(~F.col(p + "may")).select(*names, text, F.lit(None).cast(found.schema[spans].dataType).alias(spans))
     touched = rows.where(p + "may").join(found, [a, b], "left").select(*names, text, spans)
     fields = "".join(f"{p}{i} {f.dataType.simpleString()}, " for i, f in enumerate(others))
