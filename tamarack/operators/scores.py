@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import summed_vectors
 from ..functions.text import clipped
 from ..functions.vectors import dot
 
@@ -72,14 +73,12 @@ def propagate(edges: DataFrame, vectors: DataFrame, width: int, layers: int = 2)
     """(node, x): mean of x0 and of `layers` rounds of x <- A x, from vectors(node, x) of `width` components; a missing vector counts as zero."""
     from ..session import checkpointed
 
-    def summed(rows: DataFrame, by: str, scale: Column) -> DataFrame:
-        return rows.groupBy(F.col(by).alias("node")).agg(F.array(*[F.sum(scale * F.col("x")[i]) for i in range(width)]).alias("x"))
-
-    now, total = vectors, vectors
+    now = total = vectors.select("node", "x")
     for _ in range(layers):
-        now = checkpointed(summed(edges.join(now, edges.dst == now.node), "src", F.col("w")))
+        met = edges.join(now, edges.dst == now.node).select(F.col("src").alias("node"), "w", "x")
+        now = checkpointed(summed_vectors(met, "node", F.col("w"), "x", width))
         total = total.union(now)
-    return summed(total, "node", F.lit(1.0 / (layers + 1)))
+    return summed_vectors(total, "node", F.lit(1.0 / (layers + 1)), "x", width)
 
 
 def bpr_loss(scores: DataFrame) -> DataFrame:
