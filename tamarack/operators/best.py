@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import flat, listed, whole_groups
-from ..functions.vectors import norm
+from ..functions.vectors import dot, norm
 from ..session import checkpointed
 
 #: Queries and items of a block; queries multiplied at once.
@@ -250,6 +250,84 @@ def rank_bounds(scores: np.ndarray, grid: np.ndarray, n: int) -> tuple[np.ndarra
     return np.maximum(lo, 0) / (2 * max(n - 1, 1)), np.minimum(hi, 2 * (n - 1)) / (2 * max(n - 1, 1))
 
 
+def every(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
+def multiplied(rows: DataFrame, right: DataFrame, item_blocks: int, run, schema: str) -> DataFrame:
+    """What run(queries, items) makes of each block of queries rows(b, ...) with each block of items right(b, c, ...)."""
+    return rows.withColumn("c", every(item_blocks)).groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, schema)
+
+
+def by_query(rows: DataFrame) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query").sortWithinPartitions("query")
+
+
+def each(left: pa.Table, right: pa.Table, suffixes: Sequence[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each query's place and its products, an array for each part."""
+    if left.num_rows and right.num_rows:
+        made = [Products(right, left, s) for s in suffixes]
+        for lo in range(0, left.num_rows, AT_ONCE):
+            scores = [m.of(lo, min(lo + AT_ONCE, left.num_rows)) for m in made]
+            for i in range(len(scores[0])):
+                yield lo + i, [s[i] for s in scores]
+
+
+def rank_counts(rows: DataFrame, right: DataFrame, item_blocks: int, suffixes: Sequence[str]) -> DataFrame:
+    """(query, below, upto): for each of a query's candidates, and each part, how many of its products are less, and not more.
+
+    rows(b, query, vectors, raws): raws has the candidates' products, a candidate's parts one after the other.
+    """
+    count = len(suffixes)
+
+    def counts(left: pa.Table, right: pa.Table) -> pa.Table:
+        (raw, ends), query = flat(left["raws"]), left["query"].to_numpy()
+        below, upto, who, size = [], [], [], []
+        for i, scores in each(left, right, suffixes):
+            own = raw[ends[i] : ends[i + 1]].reshape(-1, count).T
+            for want, have in zip(own, scores, strict=True):
+                order = np.sort(have)
+                below.append(np.searchsorted(order, want, "left"))
+                upto.append(np.searchsorted(order, want, "right"))
+            who.append(query[i])
+            size.append(own.size)
+        cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return pa.table([pa.array(who, pa.int64()), *[listed(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64), cuts) for x in (below, upto)]], ["query", "below", "upto"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of all blocks, by candidate and part."""
+        for group in whole_groups(batches):
+            sums = [flat(group.column(c))[0].reshape(group.num_rows, -1).sum(axis=0).reshape(count, -1).T for c in (1, 2)]
+            lists = [pa.array([s.tolist()], pa.list_(pa.list_(pa.int64()))) for s in sums]
+            yield pa.RecordBatch.from_arrays([group.column(0).slice(0, 1), *lists], ["query", "below", "upto"])
+
+    found = multiplied(rows, right, item_blocks, counts, "query long, below array<long>, upto array<long>")
+    return by_query(found).mapInArrow(added, "query long, below array<array<long>>, upto array<array<long>>")
+
+
+def scaled_rank(below: Column, upto: Column, n: int) -> Column:
+    """The average rank from 0, over n - 1; 0 if all n scores are equal."""
+    return F.when(upto - below == n, F.lit(0.0)).otherwise((below + upto - 1) / (2.0 * max(n - 1, 1)))
+
+
+def pair_ranks(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """(query, item, product, scaled) of pairs(query, item), each once: scaled is the product's average rank among the query's products with all items, 0 to 1.
+
+    queries(query, x) and items(item, x) are dense; pairs without a vector on either side are left out.
+    """
+    items, item_blocks = dealt(items.select("item", "x"), "item", ITEMS, "c")
+    items = checkpointed(items)
+    n = items.count()
+    asked, query_blocks = dealt(renewed(queries.select("query", "x")), "query", QUERIES, "b")
+    asked = checkpointed(asked)
+    product = F.round(dot(F.col("p"), F.col("q")), DIGITS)
+    rows = pairs.join(asked.select("query", F.col("x").alias("p")), "query").join(items.select("item", F.col("x").alias("q")), "item").select("query", "item", product.alias("raw"))
+    chosen = checkpointed(rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("item", "raw"))).alias("chosen")))
+    sums = rank_counts(asked.join(chosen.select("query", F.col("chosen.raw").alias("raws")), "query"), items.withColumn("b", every(query_blocks)), item_blocks, ("",))
+    zipped = chosen.join(sums, "query").select("query", F.explode(F.arrays_zip("chosen", "below", "upto")).alias("z"))
+    return zipped.select("query", "z.chosen.item", F.col("z.chosen.raw").alias("product"), scaled_rank(F.col("z.below")[0], F.col("z.upto")[0], n).alias("scaled"))
+
+
 def best_hybrids(queries: DataFrame, items: DataFrame, parts: Sequence[Part] = (Part(1.0),), k: int = 10, seen: DataFrame | None = None) -> DataFrame:
     """(query, item, score, rank, raw, scaled): the k items with the largest sums, ties to the smaller item.
 
@@ -265,27 +343,13 @@ def best_hybrids(queries: DataFrame, items: DataFrame, parts: Sequence[Part] = (
     n = items.count()
     asked, query_blocks = dealt(renewed(queries.select("query", *columns)), "query", QUERIES, "b")
     asked = checkpointed(asked)
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     right = items.withColumn("b", every(query_blocks))
-    width = queries.sparkSession.conf.get("spark.sql.shuffle.partitions")
     suffixes, weights, count = [p.suffix for p in parts], [p.weight for p in parts], len(parts)
 
-    def multiplied(rows: DataFrame, run, schema: str) -> DataFrame:
-        return rows.withColumn("c", every(item_blocks)).groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, schema)
-
-    def each(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """Each query's place and its products, an array for each part."""
-        if left.num_rows and right.num_rows:
-            made = [Products(right, left, s) for s in suffixes]
-            for lo in range(0, left.num_rows, AT_ONCE):
-                scores = [m.of(lo, min(lo + AT_ONCE, left.num_rows)) for m in made]
-                for i in range(len(scores[0])):
-                    yield lo + i, [s[i] for s in scores]
-
     def summary(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"query": [], "part": [], "value": [], "below": [], "upto": [], "n": []}
         query = left["query"].to_numpy()
-        for i, scores in each(left, right):
+        for i, scores in each(left, right, suffixes):
             for part, own in enumerate(scores):
                 for name, v in zip(rows, (query[i], part, *points(own), len(own)), strict=True):
                     rows[name].append(v)
@@ -304,15 +368,15 @@ def best_hybrids(queries: DataFrame, items: DataFrame, parts: Sequence[Part] = (
                 grids.append(np.concatenate([[grid.shape[1]], grid.ravel()]))
             yield pa.RecordBatch.from_arrays([group.column(0).slice(0, 1), pa.array([np.concatenate(grids)])], ["query", "grid"])
 
-    made = multiplied(asked, summary, "query long, part int, value array<double>, below array<long>, upto array<long>, n long")
-    grids = checkpointed(made.repartition(int(width), "query").sortWithinPartitions("query").mapInArrow(together, "query long, grid array<double>"))
+    made = multiplied(asked, right, item_blocks, summary, "query long, part int, value array<double>, below array<long>, upto array<long>, n long")
+    grids = checkpointed(by_query(made).mapInArrow(together, "query long, grid array<double>"))
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("item")
         ids, static = right["item"].to_numpy(), right["static"].to_numpy()
         query, (hide, ends), (grid, starts) = left["query"].to_numpy(), flat(left["seen"]), flat(left["grid"])
         out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for i, scores in each(left, right):
+        for i, scores in each(left, right, suffixes):
             lo, hi, at = static.copy(), static.copy(), starts[i]
             for own, weight in zip(scores, weights, strict=True):
                 size = int(grid[at])
@@ -336,35 +400,10 @@ def best_hybrids(queries: DataFrame, items: DataFrame, parts: Sequence[Part] = (
     kept = found.join(limit, "query", "left").where(F.col("limit").isNull() | (F.col("hi") >= F.col("limit") - SLACK))
     chosen = checkpointed(kept.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("item", "static", "raw"))).alias("chosen")))
 
-    def counts(left: pa.Table, right: pa.Table) -> pa.Table:
-        (raw, ends), query = flat(left["raws"]), left["query"].to_numpy()
-        below, upto, who, size = [], [], [], []
-        for i, scores in each(left, right):
-            own = raw[ends[i] : ends[i + 1]].reshape(-1, count).T
-            for want, have in zip(own, scores, strict=True):
-                order = np.sort(have)
-                below.append(np.searchsorted(order, want, "left"))
-                upto.append(np.searchsorted(order, want, "right"))
-            who.append(query[i])
-            size.append(own.size)
-        cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        return pa.table([pa.array(who, pa.int64()), *[listed(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64), cuts) for x in (below, upto)]], ["query", "below", "upto"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of all blocks, by candidate and part."""
-        for group in whole_groups(batches):
-            sums = [flat(group.column(c))[0].reshape(group.num_rows, -1).sum(axis=0).reshape(count, -1).T for c in (1, 2)]
-            lists = [pa.array([s.tolist()], pa.list_(pa.list_(pa.int64()))) for s in sums]
-            yield pa.RecordBatch.from_arrays([group.column(0).slice(0, 1), *lists], ["query", "below", "upto"])
-
-    rows = asked.join(chosen.select("query", F.flatten("chosen.raw").alias("raws")), "query")
-    sums = multiplied(rows, counts, "query long, below array<long>, upto array<long>").repartition(int(width), "query").sortWithinPartitions("query")
-    sums = sums.mapInArrow(added, "query long, below array<array<long>>, upto array<array<long>>")
+    sums = rank_counts(asked.join(chosen.select("query", F.flatten("chosen.raw").alias("raws")), "query"), right, item_blocks, suffixes)
     zipped = F.explode(F.arrays_zip("chosen", "below", "upto")).alias("z")
     rows = chosen.join(sums, "query").select("query", zipped).select("query", "z.chosen.*", "z.below", "z.upto")
-    # The average rank from 0, over n - 1; equal scores throughout count as 0.
-    scaled = F.zip_with("below", "upto", lambda a, b: F.when(b - a == n, F.lit(0.0)).otherwise((a + b - 1) / (2.0 * max(n - 1, 1))))
-    rows = rows.withColumn("scaled", scaled)
+    rows = rows.withColumn("scaled", F.zip_with("below", "upto", lambda a, b: scaled_rank(a, b, n)))
     total = F.col("static")
     for i, w in enumerate(weights):
         total = total + w * F.col("scaled")[i]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import rank_scaled, top_rank, unit
+from ..functions.vectors import rank_scaled, to_rating, top_rank, unit
 from ..session import checkpointed
-from .best import Part, best_hybrids, best_products, catalog_scaled, numbered_terms, sparse
+from .best import Part, best_hybrids, best_products, catalog_scaled, numbered_terms, pair_ranks, sparse
+from .scores import mean_profile
 
 WEIGHTS = (0.55, 0.35, 0.10)
 
@@ -96,6 +99,30 @@ def reasons(content: Column, raw_cf: Column, mu: Column, shared: Column, directo
     return F.when(F.size(given) == 0, F.array(F.lit("High rating popularity"))).otherwise(F.slice(given, 1, 3))
 
 
+def embedding_ratings(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs(userId, movieId) with `prediction`, by models that only rank: 0.5 to 5, by the place of the pair's product among the user's products with all items.
+
+    An item without factors is rated 3.0; a user without factors as one with the mean of all users' factors.
+    """
+    asked = pairs.select("userId", "movieId").distinct()
+    guest = mean_profile(users).withColumnRenamed("factors", "g")
+    known = asked.select("userId").distinct().join(users, "userId", "left").crossJoin(F.broadcast(guest)).select(F.col("userId").cast("long").alias("query"), F.coalesce(F.col("factors").cast("array<double>"), "g").alias("x"))
+    ranks = pair_ranks(asked.select(F.col("userId").cast("long").alias("query"), F.col("movieId").cast("long").alias("item")), known, items.select(F.col("movieId").cast("long").alias("item"), F.col("factors").cast("array<double>").alias("x")))
+    rated = ranks.select(F.col("query").alias("userId"), F.col("item").alias("movieId"), to_rating(F.col("scaled")).alias("prediction"))
+    return pairs.join(rated, ["userId", "movieId"], "left").withColumn("prediction", F.coalesce("prediction", F.lit(3.0)))
+
+
+def model_information(manifest: Mapping[str, object], users: DataFrame, movies: DataFrame) -> DataFrame:
+    """One row of what a model is: the manifest's names, weights, threshold, modes, backends and metrics (a map), and the numbers of its users and movies."""
+    weights, metrics = manifest.get("weights") or {}, manifest.get("metrics") or {}
+    text = {k: str(manifest.get(k) or "") for k in ("model_source", "model_name", "dataset", "artifact_path", "collaborative_mode", "collaborative_engine", "content_backend")}
+    text["content_model_name"] = str(manifest.get("content_model_name") or "") if text["content_backend"] == "sbert" else ""
+    numbers = {k: float(weights.get(k, w)) for k, w in zip(("collaborative", "content", "popularity"), WEIGHTS, strict=True)} | {"positive_threshold": float(manifest.get("positive_threshold", 4.0))}
+    pairs = [F.lit(x) for k, v in sorted(metrics.items()) if isinstance(v, (int, float)) for x in (k, float(v))]
+    counts = users.agg(F.countDistinct("userId").alias("user_count")).crossJoin(movies.agg(F.countDistinct("movieId").alias("movie_count")))
+    return counts.select(*[F.lit(v).alias(k) for k, v in (text | numbers).items()], F.lit(bool(manifest.get("content_from_artifact"))).alias("content_from_artifact"), F.create_map(*pairs).cast("map<string,double>").alias("metrics"), "user_count", "movie_count")
+
+
 def batch_top_k(users: DataFrame, items: DataFrame, pop: DataFrame, k: int = 10, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """(userId, movieId, score, rank) of users(userId, cf, content, seen) against items(movieId, cf, content).
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_rating
-from ..operators import catalog, matching, prepare, quality, split
+from ..operators import catalog, linking, matching, prepare, quality, split
 from ..operators.scores import movie_scores
 from ..operators.tuning import candidate_weights
 from .registry import query
@@ -183,7 +183,7 @@ def _(t):
 
 @query("j01_links", "select m.movieId, m.title, l.imdbId, l.tmdbId from movies m left join links l on m.movieId = l.movieId")
 def _(t):
-    return t.movies.join(t.links, "movieId", "left").select("movieId", "title", "imdbId", "tmdbId")
+    return linking.with_links(t.movies, t.links).select("movieId", "title", "imdbId", "tmdbId")
 
 
 @query("j02_enriched", "select m.movieId, m.title, case when m.genres <> '(no genres listed)' and trim(m.genres) <> '' then m.genres when coalesce(trim(e.genres), '') <> '' then e.genres else m.genres end as genres, coalesce(e.overview, '') as overview, coalesce(e.director, '') as director, coalesce(e.lang_, '') as original_language, coalesce(e.runtime, '') as runtime from movies m left join (select *, original_language as lang_ from enriched) e on m.movieId = e.movieId")
@@ -230,27 +230,22 @@ def _(t):
 @query("j08_unseen", f"with {SPLIT} select distinct userId, movieId from sp where split <> 'train' and (userId, movieId) not in (select (userId, movieId) from sp where split = 'train')")
 def _(t):
     s = split.temporal_split(t.ratings)
-    pair = ["userId", "movieId"]
-    return s.where("split <> 'train'").select(*pair).distinct().join(s.where("split = 'train'").select(*pair).distinct(), pair, "left_anti")
+    return linking.unseen(s.where("split <> 'train'").select("userId", "movieId").distinct(), s.where("split = 'train'"))
 
 
 @query("j09_remapped", "with u as (select user_id, row_number() over (order by user_id) as u from (select distinct user_id from interactions)), m as (select movie_id, row_number() over (order by movie_id) as m from (select distinct movie_id from interactions)) select seq, u as \"userId\", m as \"movieId\" from interactions join u using (user_id) join m using (movie_id)")
 def _(t):
-    users = prepare.dense_ids(t.interactions, "user_id", out="userId")
-    movies = prepare.dense_ids(t.interactions, "movie_id", out="movieId")
-    return t.interactions.join(users, "user_id").join(movies, "movie_id").select("seq", "userId", "movieId")
+    return linking.remapped(t.interactions, {"user_id": "userId", "movie_id": "movieId"}).select("seq", "userId", "movieId")
 
 
 @query("j10_referential", "select userId, movieId, seq from tags where movieId in (select movieId from links)")
 def _(t):
-    return t.tags.join(t.links, "movieId", "left_semi").select("userId", "movieId", "seq")
+    return linking.referential(t.tags, t.links).select("userId", "movieId", "seq")
 
 
 @query("j11_dense_ratings", "with u as (select userId, row_number() over (order by userId) - 1 as u from (select distinct userId from ratings where rating >= 3)), m as (select movieId, row_number() over (order by movieId) - 1 as m from (select distinct movieId from ratings where rating >= 3)) select u, m, count(*) as n from ratings join u using (userId) join m using (movieId) group by u, m")
 def _(t):
-    good = t.ratings.where("rating >= 3")
-    users, movies = prepare.dense_ids(good, "userId", 0, out="u"), prepare.dense_ids(good, "movieId", 0, out="m")
-    return t.ratings.join(users, "userId").join(movies, "movieId").groupBy("u", "m").agg(F.count("*").alias("n"))
+    return linking.remapped(t.ratings, {"userId": "u", "movieId": "m"}, 0, t.ratings.where("rating >= 3")).groupBy("u", "m").agg(F.count("*").alias("n"))
 
 
 @query("j12_catalog_scores", f"with {SCORED} select movieId, title, round(vote_average, 6) as vote_average, vote_count, year from sc")
@@ -270,8 +265,8 @@ def _(t):
 
 @query("j15_aligned_vectors", "select movieId, coalesce(len(embedding), 64) as d, round(coalesce(cast(embedding[1] as double), 0), 6) as first from movies left join embeddings on vec_id = movieId")
 def _(t):
-    rows = t.movies.join(t.vectors(), "movieId", "left").withColumn("v", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64)))
-    return rows.select("movieId", F.size("v").cast("long").alias("d"), F.round(F.col("v")[0].cast("double"), 6).alias("first"))
+    rows = linking.aligned_vectors(t.movies, t.vectors(), 64)
+    return rows.select("movieId", F.size("vector").cast("long").alias("d"), F.round(F.col("vector")[0], 6).alias("first"))
 
 
 @query("j17_fuzzy_titles", r"with w as (select *, trim(regexp_replace(title, '\s*\(\d{4}\)\s*$', '')) as bare, cast(regexp_extract(title, '\((\d{4})', 1) as int) as y from movies), u as (select movieId, bare, y, unnest(list_distinct(string_split(bare, ' '))) as word from w), p as (select distinct a.movieId, b.movieId as candidate, a.bare as x, b.bare as z, a.y as ay, b.y as zy from u a join u b using (word) where a.movieId <> b.movieId), c as (select movieId, candidate, case when ay = zy then 20 when abs(ay - zy) = 1 then 10 else 0 end + case when x = z then 100 when contains(x, z) or contains(z, x) then 85 else cast(floor(80.0 * len(list_intersect(list_distinct(string_split(x, ' ')), list_distinct(string_split(z, ' ')))) / len(list_distinct(string_split(x || ' ' || z, ' ')))) as bigint) end as score from p) select * from (select *, row_number() over (partition by movieId order by score desc, candidate) as place from c where score >= 70) where place <= 5")
@@ -284,13 +279,7 @@ def _(t):
 
 @query("j18_resolved_ids", r"with k as (select regexp_replace(title, '\s*\(\d{4}\)\s*$', '') as bare, regexp_extract(title, '\((\d{4})', 1) as y, min(tmdbId) as id from movies join links using (movieId) where tmdbId <> '' group by all), k2 as (select bare, min(id) as id from k group by bare), m as (select movieId, regexp_replace(title, '\s*\(\d{4}\)\s*$', '') as bare, regexp_extract(title, '\((\d{4})', 1) as y from movies where movieId not in (select movieId from links where tmdbId <> '')) select movieId, coalesce(k.id, k2.id) as tmdbId from m left join k on m.bare = k.bare and m.y = k.y left join k2 on m.bare = k2.bare")
 def _(t):
-    from ..functions.text import without_year, year_in_title
-
-    named = t.movies.select("movieId", without_year(F.col("title")).alias("bare"), year_in_title(F.col("title")).alias("y"))
-    have = t.links.where("tmdbId <> ''")
-    exact = named.join(have, "movieId").groupBy("bare", "y").agg(F.min("tmdbId").alias("a"))
-    loose = exact.groupBy("bare").agg(F.min("a").alias("b"))
-    return named.join(have, "movieId", "left_anti").join(exact, ["bare", "y"], "left").join(loose, "bare", "left").select("movieId", F.coalesce("a", "b").alias("tmdbId"))
+    return linking.resolved_ids(t.movies, t.links)
 
 
 @query("a01_movie_scores", "select movieId, round(avg(rating), 6) as mean, count(*) as n from ratings group by movieId")
@@ -360,7 +349,7 @@ def _(t):
 @query("a16_overlap_users", "select user_id, count(distinct movie_id) as n from interactions where movie_id in (select movie_id from interactions group by movie_id order by count(*) desc, movie_id limit 10) group by user_id")
 def _(t):
     top = t.interactions.groupBy("movie_id").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "movie_id").limit(10)
-    return t.interactions.join(top, "movie_id", "left_semi").groupBy("user_id").agg(F.countDistinct("movie_id").alias("n"))
+    return linking.overlaps(t.interactions, top)
 
 
 @query("w01_temporal_split", f"with {SPLIT} select userId, movieId, rating, timestamp, split from sp")
@@ -545,9 +534,8 @@ def _(t):
 @query("u15_set_difference", f"with {SPLIT} select (select count(distinct userId) from sp where split = 'test' and userId not in (select userId from sp where split = 'train')) as users, (select count(distinct movieId) from sp where split = 'test' and movieId not in (select movieId from sp where split = 'train')) as movies")
 def _(t):
     s = split.temporal_split(t.ratings)
-    part = lambda x, c: s.where(F.col("split") == x).select(c)
-    count = lambda c, name: part("test", c).subtract(part("train", c)).agg(F.count("*").alias(name))
-    return count("userId", "users").crossJoin(count("movieId", "movies"))
+    part = lambda x: s.where(F.col("split") == x)
+    return linking.missing_counts(part("test"), part("train"), {"userId": "users", "movieId": "movies"})
 
 
 @query("u16_seeded_sample", "select userId from (select distinct userId from ratings) order by md5(userId || ':42'), userId limit 100")

@@ -12,6 +12,10 @@ from .prep_queries import SCORED, SPLIT
 from .registry import query
 from .text_queries import VALID
 
+def _scaled_sql(c):
+    return f"case when min(round({c}, 10)) over (partition by userId) = max(round({c}, 10)) over (partition by userId) then 0 else (rank() over (partition by userId order by round({c}, 10)) + (count(*) over (partition by userId, round({c}, 10)) - 1) / 2.0 - 1) / greatest(count(*) over (partition by userId) - 1, 1) end"
+
+
 POP = "pop as (select m.movieId, coalesce(avg / 5 * ln(1 + n) / ln(1 + top), 0) as popularity from movies m left join (select movieId, avg(rating) as avg, count(*) as n from ratings group by movieId) s on m.movieId = s.movieId, (select max(n) as top from (select count(*) as n from ratings group by movieId)))"
 DOT = "list_sum(list_transform(range(1, 65), lambda i: cast({a}[i] as double) * cast({b}[i] as double)))"
 BIAS = "mu as (select avg(rating) as mu from ratings), bu as (select userId, (avg(rating) - any_value(mu)) * count(*) / (count(*) + 5.0) as bu from ratings, mu group by userId), bi as (select movieId, (avg(rating) - any_value(mu)) * count(*) / (count(*) + 5.0) as bi from ratings, mu group by movieId)"
@@ -251,6 +255,13 @@ def _(t):
     return rows.select("o_orderkey", F.round(p, 6).alias("prediction"))
 
 
+@query("m06_embedding_ratings", f"with q as (select o_orderkey, o_custkey % 700 as userId, o_orderkey % 600 as movieId from orders), g as (select i, avg(cast(embedding[i] as double)) as x from embeddings, range(1, 65) r(i) group by i), gv as (select list(x order by i) as v from g), us as (select distinct userId from q), uv as (select us.userId, coalesce(list_transform(embedding, lambda x: cast(x as double)), v) as v from us left join embeddings on vec_id = userId, gv), d as (select userId, vec_id as movieId, round({DOT.format(a='uv.v', b='e.embedding')}, 10) as s from uv, embeddings e), k as (select userId, movieId, {_scaled_sql('s')} as scaled from d) select o_orderkey, round(coalesce(0.5 + 4.5 * scaled, 3.0), 6) as prediction from q left join k using (userId, movieId)")
+def _(t):
+    u, i = _factors(t)
+    q = t.orders.select("o_orderkey", (F.col("o_custkey") % 700).alias("userId"), (F.col("o_orderkey") % 600).alias("movieId"))
+    return rank.embedding_ratings(q, u, i).select("o_orderkey", F.round("prediction", 6).alias("prediction"))
+
+
 EDGES = "pos as (select distinct userId, movieId from ratings where rating >= 4), e1 as (select 'u' || userId as src, 'i' || movieId as dst from pos), e2 as (select * from e1 union all select dst, src from e1), dg as (select src, count(*) as d from e2 group by src), ed as (select e2.src, e2.dst, 1 / sqrt(a.d * b.d) as w from e2 join dg a on a.src = e2.src join dg b on b.src = e2.dst)"
 
 
@@ -374,10 +385,6 @@ SAMPLED = "select userId from (select distinct userId from ratings) order by md5
 RAW = f"{ALL}, {POP}, {BIAS}, few as ({USERS}), lk as (select distinct userId, movieId from ratings where rating >= 4 and userId in (select userId from few)), prof as (select userId, term, sum(w) / any_value(n) as p from lk join tw using (movieId) join (select userId, count(*) as n from lk group by userId) using (userId) group by userId, term), pl as (select userId, sqrt(sum(p * p)) as pl from prof group by userId), cs as (select prof.userId, tw.movieId, round(sum(p * w) / any_value(pl), 10) as score from prof join tw using (term) join pl on pl.userId = prof.userId group by all), rw as (select f.userId, m.movieId, mu + bu + coalesce(bi, 0) as cf, coalesce(cs.score, 0) as content, popularity as pop from few f cross join movies m join pop on pop.movieId = m.movieId join bu on bu.userId = f.userId left join bi on bi.movieId = m.movieId left join cs on cs.userId = f.userId and cs.movieId = m.movieId, mu)"
 
 
-def _scaled_sql(c):
-    return f"case when min(round({c}, 10)) over (partition by userId) = max(round({c}, 10)) over (partition by userId) then 0 else (rank() over (partition by userId order by round({c}, 10)) + (count(*) over (partition by userId, round({c}, 10)) - 1) / 2.0 - 1) / greatest(count(*) over (partition by userId) - 1, 1) end"
-
-
 HYBRID = f"{RAW}, co as (select userId, movieId, cf as raw_cf, content as raw_content, {_scaled_sql('cf')} as cf, {_scaled_sql('content')} as content, {_scaled_sql('pop')} as pop from rw), hy as (select *, round(0.55 * cf + 0.35 * content + 0.10 * pop, 10) as score from co)"
 TOP = "tk as (select * from (select *, row_number() over (partition by userId order by score desc, movieId) as rank from hy where (userId, movieId) not in (select (userId, movieId) from ratings)) where rank <= 10)"
 
@@ -484,10 +491,10 @@ def _(t):
     return _recommended(t, 5, (0.0, 1.0, 0.0)).select("userId", "movieId", "rank")
 
 
-@query("h11_model_information", "select (select count(*) from movies) as movies, (select count(distinct userId) from ratings) as users, 0.55 as alpha, 0.35 as beta, 0.10 as gamma from (select count(*) from ratings)")
+@query("h11_model_information", "select 'artifact' as model_source, 'hybrid-bpr-tfidf' as model_name, 'ml' as dataset, '' as artifact_path, 'embedding' as collaborative_mode, 'bpr' as collaborative_engine, 'tfidf' as content_backend, '' as content_model_name, 0.5 as collaborative, 0.35 as content, 0.15 as popularity, 4.0 as positive_threshold, true as content_from_artifact, 0.25 as ndcg, (select count(distinct userId) from ratings) as user_count, (select count(distinct movieId) from movies) as movie_count from (select count(*) from ratings)")
 def _(t):
-    a, b, c = rank.WEIGHTS
-    return t.movies.agg(F.count("*").alias("movies")).crossJoin(t.ratings.agg(F.countDistinct("userId").alias("users"))).select("*", F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(c).alias("gamma"))
+    manifest = {"model_source": "artifact", "model_name": "hybrid-bpr-tfidf", "dataset": "ml", "collaborative_mode": "embedding", "collaborative_engine": "bpr", "content_backend": "tfidf", "content_model_name": "x", "weights": {"collaborative": 0.5, "popularity": 0.15}, "content_from_artifact": True, "metrics": {"ndcg@10": 0.25, "note": "text"}}
+    return rank.model_information(manifest, t.ratings, t.movies).withColumn("ndcg", F.col("metrics")["ndcg@10"]).drop("metrics")
 
 
 @query("h12_users", "select distinct userId from ratings")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import linking
 from .registry import query
 
 TRY = "try_cast"
@@ -195,8 +196,7 @@ def _(t):
 
 @query("p34_picker", "select movieId, coalesce(title, '') as title, coalesce(genres, '') as genres from movies")
 def _(t):
-    have = [c for c in ("movieId", "title", "genres", "year", "poster_url") if c in t.movies.columns]
-    return t.movies.select(*[F.coalesce(c, F.lit("")).alias(c) if c != "movieId" else F.col(c) for c in have])
+    return linking.picker(t.movies)
 
 
 @query("p37_model_family", "select p_partkey, case p_partkey % 10 when 0 then 'hybrid' when 1 then 'lightgcn' when 2 then 'bpr' when 3 then 'popularity' when 4 then 'two_tower' when 5 then 'svd' when 6 then 'itemknn' when 7 then 'content' when 8 then 'hybrid' else 'bpr' end as family from part")
@@ -227,8 +227,7 @@ def _(t):
 @query("p41_aliased_columns", "select userId, count(*) as n from ratings group by userId")
 def _(t):
     other = t.ratings.withColumnsRenamed({"userId": "user_id", "movieId": "movie_id"})
-    renamed = other.withColumnsRenamed({k: v for k, v in {"user_id": "userId", "movie_id": "movieId"}.items() if k in other.columns})
-    return renamed.groupBy("userId").agg(F.count("*").alias("n"))
+    return linking.aliased(other).groupBy("userId").agg(F.count("*").alias("n"))
 
 
 @query("x08_title_similarity", f"with t as (select movieId, case when movieId % 11 = 0 then '(!)' else title end as title from movies), w as (select a.movieId as a, b.movieId as b, {WORDS.format(t='a.title')} as x, {WORDS.format(t='b.title')} as y from t a join t b on a.movieId = b.movieId + 7), s as (select *, list_distinct(string_split(x, ' ')) as u, list_distinct(string_split(y, ' ')) as v from w) select a, b, cast(case when x = y then 100 when contains(x, y) or contains(y, x) then 85 else floor(len(list_intersect(u, v)) / (len(u) + len(v) - len(list_intersect(u, v))) * 80) end as bigint) as score from s")

@@ -36,6 +36,17 @@ def first_existing(spark: SparkSession, folder: str, names: Sequence[str]) -> st
     raise FileNotFoundError(f"none of {', '.join(names)} in {folder}")
 
 
+#: The crawl's files of movies and of ratings, by source.
+CRAWL_FILES = {"full": ("movies_seed.csv", "ratings.csv"), "cf": ("movies_cf.csv", "ratings_cf.csv")}
+
+
+def crawl_files(spark: SparkSession, folder: str, source: str = "full") -> tuple[str, str]:
+    """Paths of the crawl's movies and ratings for a source: full, or cf (the k-core); both must be there and not empty."""
+    if source not in CRAWL_FILES:
+        raise ValueError(f"unknown source {source}: one of {', '.join(CRAWL_FILES)}")
+    return tuple(first_existing(spark, folder, [name]) for name in CRAWL_FILES[source])
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = True) -> DataFrame:
     """A file with a header, matched by name: columns of `schema` are cast (null where that fails), other columns go.
 

@@ -132,3 +132,39 @@ def test_splits_in_order(spark, tmp_path):
     files.write_splits(split, str(tmp_path))
     assert spark.read.parquet(str(tmp_path)).count() == len(rows)
     assert {r.split for r in spark.read.parquet(str(tmp_path)).select("split").distinct().collect()} == {"train", "test"}
+
+
+def test_crawl_files_by_source(spark, tmp_path):
+    for name in ("movies_seed.csv", "ratings.csv", "movies_cf.csv"):
+        (tmp_path / name).write_text("x\n1\n")
+    (tmp_path / "ratings_cf.csv").write_text("")
+    assert files.crawl_files(spark, str(tmp_path)) == (f"{tmp_path}/movies_seed.csv", f"{tmp_path}/ratings.csv")
+    with pytest.raises(FileNotFoundError):  # empty
+        files.crawl_files(spark, str(tmp_path), "cf")
+    with pytest.raises(ValueError):
+        files.crawl_files(spark, str(tmp_path), "other")
+
+
+def test_a_bundle_whose_move_fails_is_put_back(spark, tmp_path):
+    table = lambda v: spark.createDataFrame([(v,)], "v int")
+    files.write_bundle({"a": table(1), "b": table(1)}, str(tmp_path))
+    (tmp_path / ".staged").mkdir(exist_ok=True)
+
+    class Broken:
+        """Stands for a table whose staged folder is lost before it can be moved."""
+
+        sparkSession = spark
+
+        @property
+        def write(self):
+            return self
+
+        def mode(self, _):
+            return self
+
+        def parquet(self, _):
+            pass
+
+    with pytest.raises(OSError):
+        files.write_bundle({"a": table(2), "b": Broken()}, str(tmp_path))
+    assert [spark.read.parquet(f"{tmp_path}/{n}").first().v for n in "ab"] == [1, 1]
