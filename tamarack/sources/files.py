@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -172,17 +173,24 @@ def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
     spark = next(iter(tables.values())).sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def move(source: object, target: object) -> bool:
+        try:
+            return fs.rename(source, target)
+        except Py4JJavaError:  # some file systems raise where others say no
+            return False
+
     fs.delete(path(f"{folder}/.old"), True)
     fs.mkdirs(path(f"{folder}/.old"))
     moved = []
     for name in tables:
         target, aside = path(f"{folder}/{name}"), path(f"{folder}/.old/{name}")
         had = fs.exists(target)
-        if (had and not fs.rename(target, aside)) or not fs.rename(path(f"{folder}/.staged/{name}"), target):
+        if (had and not move(target, aside)) or not move(path(f"{folder}/.staged/{name}"), target):
             for done, was in [*moved, (name, had)]:
                 if was and fs.exists(path(f"{folder}/.old/{done}")):
                     fs.delete(path(f"{folder}/{done}"), True)
-                    fs.rename(path(f"{folder}/.old/{done}"), path(f"{folder}/{done}"))
+                    move(path(f"{folder}/.old/{done}"), path(f"{folder}/{done}"))
             raise OSError(f"could not move {name} into {folder}")
         moved.append((name, had))
     fs.delete(path(f"{folder}/.old"), True)
