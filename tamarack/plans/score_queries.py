@@ -683,10 +683,10 @@ def _(t):
 
 
 #: Feeds of three items: with stars and without a link, with a verb, and with a rating of its own; every seventh feed is cut off.
-FEED = "<rss xmlns:f='urn:f'><channel><item><title>Ring {0}, 1999 - ★★½</title></item><item><title>Ann liked Ran &amp; {0}, 1985</title><link>https://x.org/film/ran-{0}/</link><pubDate>day {0}</pubDate></item><item><title>Ann watched it</title><link>https://x.org/film/heat/</link><f:filmTitle>Heat</f:filmTitle><f:filmYear>1995</f:filmYear><f:memberRating>{1}</f:memberRating></item></channel>"
+FEED = "<rss xmlns:f='urn:f'><channel><item><title>Ring no{0}, 1999 - ★★½</title></item><item><title>Ann liked Ran &amp; no{0}, 1985</title><link>https://x.org/film/ran-{0}/</link><pubDate>day {0}</pubDate></item><item><title>Ann watched it</title><link>https://x.org/film/heat/</link><f:filmTitle>Heat</f:filmTitle><f:filmYear>1995</f:filmYear><f:memberRating>{1}</f:memberRating></item></channel>"
 
 
-@query("x05_feed_items", "with p as (select p_partkey as feed_id, (p_partkey % 10 + 1) / 2.0 as own from part where p_partkey % 7 <> 0), i as (select feed_id, 0 as position, 'Ring ' || feed_id as title, '1999' as year, '' as link, 2.5 as rating, 'rating' as interaction_type, 2.5 as implicit_score, '' as date from p union all select feed_id, 1, 'Ran & ' || feed_id, '1985', 'https://x.org/film/ran-' || feed_id || '/', null, 'liked', 4.0, 'day ' || feed_id from p union all select feed_id, 2, 'Heat', '1995', 'https://x.org/film/heat/', own, 'rating', own, '' from p) select *, 'movie_' || md5(lower(case when link = '' then title || '_' || year else link end))[:12] as movie_id from i")
+@query("x05_feed_items", "with p as (select p_partkey as feed_id, (p_partkey % 10 + 1) / 2.0 as own from part where p_partkey % 7 <> 0), i as (select feed_id, 0 as position, 'Ring no' || feed_id as title, '1999' as year, '' as link, 2.5 as rating, 'rating' as interaction_type, 2.5 as implicit_score, '' as date from p union all select feed_id, 1, 'Ran & no' || feed_id, '1985', 'https://x.org/film/ran-' || feed_id || '/', null, 'liked', 4.0, 'day ' || feed_id from p union all select feed_id, 2, 'Heat', '1995', 'https://x.org/film/heat/', own, 'rating', own, '' from p) select *, 'movie_' || md5(lower(case when link = '' then title || '_' || year else link end))[:12] as movie_id from i")
 def _(t):
     key = F.col("p_partkey").cast("string")
     xml = F.replace(F.replace(F.lit(FEED), F.lit("{0}"), key), F.lit("{1}"), ((F.col("p_partkey") % 10 + 1) / 2).cast("string"))
