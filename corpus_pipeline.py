@@ -7,6 +7,7 @@ changes texts, n_chars is counted anew. Every stage takes an empty table and giv
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import jaccard, langid, line_dedup, packing, substring_dedup
-from tamarack.llm.common import ensure_checkpoint_dir
+from tamarack.llm.common import ensure_checkpoint_dir, text_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -70,12 +71,31 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length"))
 
 
+#: Rows of texts that Spark's reader holds as columns at a time, and that a batch for Python holds: both bound an executor's memory.
+READ_ROWS, BATCH_ROWS = 256, 500
+
+
+def in_small_batches(stage):
+    """The stage, in a session that reads and sends few whole texts at a time; a stage may follow any other on the same executors."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+        text_batches(spark, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", lines),
-    ("near_duplicates", near_duplicates),
-    ("substring_dedup", substrings),
-    ("packing", packed),
+    (name, in_small_batches(stage))
+    for name, stage in (
+        ("language_id", language_id),
+        ("line_dedup", lines),
+        ("near_duplicates", near_duplicates),
+        ("substring_dedup", substrings),
+        ("packing", packed),
+    )
 ]
 
 #: Learned models and similarity joins are beyond SQL; tests hold the stages against brute force.
