@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpointed, free_prefix, grams, mix, quoted, row_key, shuffle_width, text_batches
+from .common import Words, blocks, checkpointed, free_prefix, grams, mix, quoted, shuffle_width, text_batches
 from .shared_tokens import shared_tokens
-from .sketch import counted, counter_of, inside
+from .sketch import bitmap_of, counted, counter_of, inside
 
 #: Words of prefixes, one after the other, and log2 of the suffixes of a group before its prefix grows.
 LADDER = (8, 16, 24, 32)
@@ -52,6 +52,11 @@ def prefix_hashes(words: Words, at: np.ndarray, length: int) -> np.ndarray:
     return grams(words.hashes, length)[at] ^ _U(length) if len(at) else np.zeros(0, _U)
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """64 bits of a row's id and text together: rows that agree have, but for a collision of hashes, the same of both and the same result."""
+    return F.xxhash64(F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(-(2**63))), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")))
+
+
 class Seen:
     """How often a task met the windows that it met of late, in a table of fixed size."""
 
@@ -73,10 +78,10 @@ class Seen:
 
 
 def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, spans): for each row key, (block, mask) pairs; set bits are repeated windows that start at word 64 block + bit."""
+    """(row, spans): for each row, by its row_hash, (block, mask) pairs; set bits are repeated windows that start at word 64 block + bit."""
     spark = docs.sparkSession
     text_batches(spark)
-    keyed = docs.select(*row_key(id_col, text_col), F.col(quoted(text_col)).cast("string").alias("text"))
+    keyed = docs.select(row_hash(id_col, text_col).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
     ladder = [n for n in LADDER if n < window]
 
     def labels(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -116,8 +121,8 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
         """Leaves, and the bits of windows known to be repeats; place is twice the block of 64 words, and odd where they are known."""
         seen = Seen()
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(_U)
-            for lo, _, data, offsets in blocks(batch.column(2)):
+            row = batch.column(0).to_numpy()
+            for lo, _, data, offsets in blocks(batch.column(1)):
                 words = Words(data, offsets)
                 text, at, label = repeating(words)
                 start, go = at - words.first[text], seen.shipped(label)
@@ -128,22 +133,22 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else known
                 mask = np.bitwise_or.reduceat(bits[known], first) if len(first) else bits[:0]
                 of = np.concatenate([np.flatnonzero(go), known[first]])
-                block, row = start[of] >> 6, lo + text[of]
+                block, own = start[of] >> 6, row[lo + text[of]]
                 paths = np.zeros(len(of), _U)
                 paths[: go.sum()] = path(words, at[go], label[go])
-                paths[go.sum() :] = mix((a[row].view(_U) ^ b[row] ^ block.astype(_U))[go.sum() :])
+                paths[go.sum() :] = mix((own.view(_U) ^ block.astype(_U))[go.sum() :])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(paths.view(np.int64)), pa.array(a[row]), pa.array(b[row].view(np.int64)), pa.array(block << 1 | (np.arange(len(of)) >= go.sum())), pa.array(np.concatenate([bits[go], mask]).view(np.int64))],
-                    ["path", "a", "b", "place", "mask"],
+                    [pa.array(paths.view(np.int64)), pa.array(own), pa.array(block << 1 | (np.arange(len(of)) >= go.sum())), pa.array(np.concatenate([bits[go], mask]).view(np.int64))],
+                    ["path", "row", "place", "mask"],
                 )
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leaves of deep nodes among the groups that this task holds; a partition is sized to fit its memory."""
         leaves: list[tuple[np.ndarray, ...]] = []
-        names = ["a", "b", "place", "mask"]
+        names = ["row", "place", "mask"]
         for batch in batches:
-            known = batch.column(3).to_numpy() & 1 == 1
-            own = tuple(batch.column(k).to_numpy() for k in range(5))
+            known = batch.column(2).to_numpy() & 1 == 1
+            own = tuple(batch.column(k).to_numpy() for k in range(4))
             if known.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in own[1:]], names)
             if not known.all():
@@ -159,10 +164,10 @@ def find_repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
             some = deep[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in places], names)
 
-    shipped = keyed.mapInArrow(ship, "path long, a long, b long, place long, mask long")
-    marked = shipped.repartition(width, F.shiftrightunsigned("path", 40)).mapInArrow(trees, "a long, b long, place long, mask long")
-    masks = marked.groupBy("a", "b", F.shiftright("place", 1).alias("block")).agg(F.bit_or("mask").alias("mask"))
-    return masks.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("block", "mask"))).alias("spans"))
+    shipped = keyed.mapInArrow(ship, "path long, row long, place long, mask long")
+    marked = shipped.repartition(width, F.shiftrightunsigned("path", 40)).mapInArrow(trees, "row long, place long, mask long")
+    masks = marked.groupBy("row", F.shiftright("place", 1).alias("block")).agg(F.bit_or("mask").alias("mask"))
+    return masks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "mask"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,20 +183,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         raise ValueError(f"window must be more than {LADDER[0]} words")
     made = ("kept_text", "n_words", "n_removed", "repeats")
     p = free_prefix(docs)
-    a, b, text, spans = (p + x for x in ("a", "b", "text", "spans"))
-    found = checkpointed(find_repeats(docs, window, id_col, text_col)).withColumnsRenamed({"a": a, "b": b, "spans": spans})
+    row, text, spans = (p + x for x in ("row", "text", "spans"))
+    found = checkpointed(find_repeats(docs, window, id_col, text_col)).withColumnsRenamed({"row": row, "spans": spans})
     others = [f for f in docs.schema.fields if f.name not in made]
 
     # Only rows that a bitmap of fixed size lets through move for the join; the others lose nothing.
-    def key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix(a.astype(np.int64).view(_U)) ^ b.astype(np.int64).view(_U)
-
-    asked = docs.sparkSession.sparkContext.broadcast(np.packbits(counted(found.select(a, b), lambda batch: iter([key(batch.column(0).to_numpy(), batch.column(1).to_numpy())])) > 0))
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap_of(found.select(row), lambda batch: iter([batch.column(0).to_numpy().view(_U)])))
 
-    def may_lose(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(inside(asked.value, key(a.to_numpy(), b.to_numpy())))
+    def may_lose(rows: pa.Array) -> pa.Array:
+        return pa.array(inside(asked.value, rows.to_numpy().view(_U)))
 
-    may_lose.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    may_lose.__annotations__ = {"rows": pa.Array, "return": pa.Array}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kept_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("repeats", pa.list_(pa.list_(pa.int64())))])
@@ -225,10 +227,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     names = [f"{p}{i}" for i in range(len(others))]
     # Other columns go through Python under plain names, whatever they are called.
     plain = [F.col(quoted(f.name)).alias(f"{p}{i}") for i, f in enumerate(others)]
-    rows = docs.select(*plain, *row_key(id_col, text_col, a, b), F.col(quoted(text_col)).cast("string").alias(text))
-    rows = rows.withColumn(p + "may", F.arrow_udf(may_lose, "boolean")(a, b))
+    rows = docs.select(*plain, row_hash(id_col, text_col).alias(row), F.col(quoted(text_col)).cast("string").alias(text))
+    rows = rows.withColumn(p + "may", F.arrow_udf(may_lose, "boolean")(row))
     untouched = rows.where(~F.col(p + "may")).select(*names, text, F.lit(None).cast(found.schema[spans].dataType).alias(spans))
-    touched = rows.where(p + "may").join(found, [a, b], "left").select(*names, text, spans)
+    touched = rows.where(p + "may").join(found, row, "left").select(*names, text, spans)
     fields = "".join(f"{p}{i} {f.dataType.simpleString()}, " for i, f in enumerate(others))
     out = untouched.unionByName(touched).mapInArrow(cut, f"{fields}kept_text string, n_words long, n_removed long, repeats array<array<long>>")
     return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, others, strict=True)], *made)
