@@ -60,3 +60,20 @@ def test_equal_documents_have_equal_weights(spark):
     counts = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "movieId long, term string, tf long").withColumn("df", F.length("term") + 3)
     w = content.tf_idf(counts, spark.createDataFrame([(100,)], "n long"))
     assert w.groupBy("term").agg(F.countDistinct("w").alias("k")).where("k > 1").count() == 0
+
+
+def test_neighbours_of_copies(spark, monkeypatch):
+    """Each of 8 texts stands 7 times; lists by classes, by items and by plain products agree."""
+    from tamarack.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((8, 10)) < 0.5, rng.random((8, 10)) + 0.1, 0)
+    x[:, 0] = 0.5
+    x = np.vstack([x / np.linalg.norm(x, axis=1, keepdims=True)] * 7)
+    weights = spark.createDataFrame([(int(i) * 3, f"t{t}", float(x[i, t])) for i, t in zip(*np.nonzero(x), strict=True)], "movieId long, term string, w double")
+    s = np.round(x @ x.T, 10)
+    np.fill_diagonal(s, -np.inf)
+    want = sorted(top(s, set(), 5))
+    for shared in (4, 10**9):
+        monkeypatch.setattr(neighbours, "SHARED", shared)
+        assert sorted((r.movieId, r.otherId, r.place, round(r.score, 9)) for r in neighbours.similar_by_terms(weights, 5).collect()) == want
