@@ -75,3 +75,20 @@ def test_weights_without_a_hit_count_as_zero(spark):
     best = tuning.best_weights(tuning.tried(components, truth, grid, 1)).first()
     assert (best.a, best.b, best.c) == grid[2]  # the first of equals, in order
     assert len(tuning.candidate_weights()) == len(set(tuning.candidate_weights())) and all(abs(sum(w) - 1) < 1e-9 for w in tuning.candidate_weights())
+
+
+def test_few_ratings_move_as_vectors(spark):
+    rng = np.random.default_rng(3)
+    ids, values, vectors = np.concatenate([np.arange(500), np.full(800, 7)]), rng.normal(size=1300), rng.normal(size=(1300, 8))
+    sent = list(training.sent(ids, values, vectors, None))
+    numbers = sum(len(b.column(2).flatten()) for b in sent)
+    assert numbers == 499 * 9 + 44  # not 44 for each of 500 keys
+    own, n, sums = training.added(*(np.concatenate(x) for x in zip(*(training.unpacked(b, 8, None) for b in sent), strict=True)))
+    want = training.added(ids, np.ones(1300, np.int64), training.expanded(vectors, values, None))
+    assert own.tolist() == want[0].tolist() and n.tolist() == want[1].tolist() and np.allclose(sums, want[2])
+
+
+def test_a_key_with_many_ratings_has_several_lists(spark):
+    rows = spark.range(60_000).select(F.lit(1).cast("long").alias("movieId"), F.col("id").alias("userId"), (F.col("id") % 7).cast("double").alias("value"))
+    packed = training.lists(rows, "movieId", "userId").select(F.size("ids").alias("n"), F.spark_partition_id().alias("part")).collect()
+    assert sum(r.n for r in packed) == 60_000 and len({r.part for r in packed}) > 1
