@@ -31,3 +31,12 @@ def test_pair_scores_keep_vectors_whole(spark):
     out = scores.pair_scores(pairs, vectors)
     assert sorted(map(tuple, out.collect())) == [(1, 1, 11.0), (1, 22, 0.5)]
     assert "posexplode" not in out._jdf.queryExecution().toString().lower()
+
+
+def test_predictions_move_pairs_once_for_each_side(spark):
+    pairs = spark.createDataFrame([(1, 1, 4.0), (2, 1, 3.0), (3, 9, 1.0)], "userId long, movieId long, rating double")
+    factors = lambda key: spark.createDataFrame([(1, [1.0, 2.0]), (3, [0.5, 0.5])], f"{key} long, factors array<double>")
+    bias = lambda key: spark.createDataFrame([(1, 0.5), (2, 0.25)], f"{key} long, bias double")
+    out = scores.predict(pairs, factors("userId"), factors("movieId").withColumn("factors", F.array(F.lit(0.25), F.lit(0.5))), bias("userId"), bias("movieId"), F.lit(2.0))
+    assert sorted((r.userId, r.movieId, r.prediction) for r in out.collect()) == [(1, 1, 4.25), (2, 1, 2.75), (3, 9, 2.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
