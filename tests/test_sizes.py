@@ -40,3 +40,29 @@ def test_predictions_move_pairs_once_for_each_side(spark):
     out = scores.predict(pairs, factors("userId"), factors("movieId").withColumn("factors", F.array(F.lit(0.25), F.lit(0.5))), bias("userId"), bias("movieId"), F.lit(2.0))
     assert sorted((r.userId, r.movieId, r.prediction) for r in out.collect()) == [(1, 1, 4.25), (2, 1, 2.75), (3, 9, 2.0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+
+
+def test_products_of_a_frequent_label_are_many_tasks(spark):
+    rows = [(i, "x" if i % 5 else "y", [float(i), 0.5]) for i in range(50)] + [(50, "x", None), (51, "x", [1.0, None]), (52, "x", [2.0]), (53, None, [1.0, 1.0])]
+    side = lambda key: spark.createDataFrame(rows, f"{key} long, label string, x array<float>")
+    out = scores.products_within(side("userId"), side("movieId"), "label", block=16).collect()
+    vectors = {i: (k, v) for i, k, v in rows}
+    want = {}
+    for i, (k, a) in vectors.items():
+        for j, (m, b) in vectors.items():
+            if k is not None and k == m:
+                whole = a is not None and b is not None and len(a) == len(b) and None not in a + b
+                want[i, j] = round(sum(x * y for x, y in zip(a, b)), 6) if whole else None
+    assert len(out) == len(want) and {(r.userId, r.movieId): r.score for r in out} == want
+    plan = scores.products_within(side("userId"), side("movieId"), "label", block=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan  # not a join by label
+
+
+def test_propagation_makes_edges_once(spark, monkeypatch):
+    made = []
+    kept = session.checkpointed
+    monkeypatch.setattr(session, "checkpointed", lambda df: (made.append(df.columns), kept(df))[1])
+    edges = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.5)], "src string, dst string, w double")
+    x = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "node string, x array<double>")
+    assert sorted((r.node, r.x) for r in scores.propagate(edges, x, 1, 2).collect()) == [("a", [(1 + 1 + 0.25) / 3]), ("b", [(2 + 0.5 + 0.5) / 3])]
+    assert made[0] == ["src", "dst", "w"]
