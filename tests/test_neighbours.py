@@ -59,3 +59,32 @@ def test_similar_by_terms(spark, monkeypatch, rare):
     out = neighbours.similar_by_terms(df, 5)
     assert sorted((r.movieId, r.otherId, r.place, round(r.score, 10)) for r in out.collect()) == sorted(want)
     assert neighbours.similar_by_terms(df.where("false")).count() == 0
+
+
+def test_vectors_with_many_equal_products(spark):
+    from tamarack.operators import content
+
+    rng = np.random.default_rng(5)
+    own = [rng.normal(size=4).round(1).tolist() for _ in range(9)]
+    rows = [(3 * i, own[int(rng.integers(9))]) for i in range(200)] + [(1000, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "movieId long, embedding array<float>")
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(float)
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    s = np.round(v @ v.T, 10)
+    want = []
+    for i, row in enumerate(s):
+        found = sorted((-x, int(j)) for x, j in zip(row, ids) if j != ids[i])[:4]
+        want += [(int(ids[i]), j, p + 1, round(-x, 6)) for p, (x, j) in enumerate(found)]
+    for block in (16, 2048):
+        out = content.similar_by_vectors(df, 4, block).collect()
+        assert sorted((r.movieId, r.otherId, r.place, round(r.score, 6) + 0.0) for r in out) == sorted((a, b, c, d + 0.0) for a, b, c, d in want)
+
+
+def test_blocks_of_vectors_grow(spark):
+    from pyspark.sql import functions as F
+
+    from tamarack.operators import content
+
+    rows = spark.range(60_000).select(F.col("id").alias("movieId"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    plan = content.similar_by_vectors(rows, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 42), 4)" in plan and ", 42), 30)" not in plan  # blocks
