@@ -145,3 +145,14 @@ def test_empty_tables(spark):
     assert best.best_products(q, x.where("false")).count() == 0 and best.best_products(q.where("false"), x).count() == 0
     static = x.withColumn("static", F.lit(0.0))
     assert best.best_hybrids(q.where("false"), static).count() == 0 and best.best_hybrids(q, static.where("false")).count() == 0
+
+
+def test_only_pairs_that_take_part_are_left_out(spark):
+    from tamarack.operators import best
+
+    seen = spark.range(1000).select((F.col("id") % 10).alias("query"), F.col("id").alias("item"))
+    queries, items = spark.createDataFrame([(1,), (2,)], "query long"), spark.createDataFrame([(11,), (12,), (13,)], "item long")
+    assert sorted(map(tuple, best.taking_part(seen, queries, items).select("query", "item").collect())) == [(1, 11), (2, 12)]
+    dense = lambda rows, key: spark.createDataFrame([(k, [float(k), 1.0]) for k in rows], f"{key} long, x array<double>")
+    out = best.best_products(dense((1, 2), "query"), dense((11, 12, 13), "item"), 2, seen)
+    assert sorted((r.query, r.item) for r in out.collect()) == [(1, 12), (1, 13), (2, 11), (2, 13)]
