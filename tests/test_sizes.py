@@ -1,5 +1,7 @@
 """What keeps tasks and rows small when tables grow."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tamarack import session
@@ -66,3 +68,28 @@ def test_propagation_makes_edges_once(spark, monkeypatch):
     x = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "node string, x array<double>")
     assert sorted((r.node, r.x) for r in scores.propagate(edges, x, 1, 2).collect()) == [("a", [(1 + 1 + 0.25) / 3]), ("b", [(2 + 0.5 + 0.5) / 3])]
     assert made[0] == ["src", "dst", "w"]
+
+
+def test_draws_of_negatives_stay_in_their_task(spark):
+    """The same negatives as by a row for each draw, from a plan that makes no such rows."""
+    positives = [(u, m) for u in (1, 2, 3) for m in range(12) if (u * 7 + m * 5) % 4 < u] + [(1, 99), (4, 2)] + [(5, m) for m in range(12)]
+    rated = {(u, m): (0.25 * ((u + m) % 9)) for u in range(1, 6) for m in range(0, 12, 2)} | {(3, 0): 9.0}
+    pos = spark.createDataFrame(positives, "userId long, movieId long")
+    items = spark.createDataFrame([(m,) for m in range(12)], "movieId long")
+    score = spark.createDataFrame([(u, m, s) for (u, m), s in rated.items()], "userId long, movieId long, score double")
+    hashes = pos.crossJoin(spark.range(1, 21).select(F.col("id").cast("int").alias("d"))).select("userId", "movieId", "d", F.xxhash64("userId", "movieId", "d", F.lit(42)).alias("h"), F.xxhash64("userId", "movieId", F.lit(42)).alias("one"))
+    want, one = {}, {}
+    for r in sorted(hashes.collect()):
+        free = [m for m in range(12) if (r.userId, m) not in positives]
+        if free and want.get((r.userId, r.movieId), (0, 0.0))[1] == 0.0:
+            negative = free[r.h % len(free)]
+            hit = 1.0 - rated.get((r.userId, r.movieId), 0.0) + rated.get((r.userId, negative), 0.0) > 0
+            want[r.userId, r.movieId] = (negative, math.log(1 + max(1, (len(free) - 1) // r.d)) if hit else 0.0)
+        if free:
+            one[r.userId, r.movieId] = free[r.one % len(free)]
+    out = scores.warp_negatives(pos, items, score)
+    got = {(r.userId, r.movieId): (r.negative, r.weight) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    assert any(w == 0 for _, w in want.values()) and any(w > 0 for _, w in want.values())
+    assert {(r.userId, r.movieId): r.negative for r in scores.sampled_negatives(pos, items).collect()} == one
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row for each draw
