@@ -5,7 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 from tamarack import session
-from tamarack.operators import scores
+from tamarack.functions.vectors import rank_scaled
+from tamarack.operators import rank, scores
 from tamarack.operators.split import temporal_split
 from tamarack.sources.adapters import Tables
 
@@ -93,3 +94,18 @@ def test_draws_of_negatives_stay_in_their_task(spark):
     assert any(w == 0 for _, w in want.values()) and any(w > 0 for _, w in want.values())
     assert {(r.userId, r.movieId): r.negative for r in scores.sampled_negatives(pos, items).collect()} == one
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row for each draw
+
+
+def test_ranks_of_a_user_are_many_tasks(spark):
+    """The same ranks as by a window over all rows of a user, from plans without one, for rare and for frequent values."""
+    odd = {3: None, 5: float("nan"), 7: float("inf"), 8: -float("inf")}
+    rows = [(u, m, odd.get(m, 0.0 if m % 3 else float((m * u) % 11)), float(m), 0.5) for u in (1, 2, 3) for m in range(60)] + [(4, 1, 2.0, 1.0, 0.0)]
+    raw = spark.createDataFrame(rows, "userId long, movieId long, cf double, content double, pop double")
+    want = raw.select("userId", "movieId", *[rank_scaled(F.col(c), "userId").alias(c) for c in ("cf", "content", "pop")])
+    ordered = lambda df: sorted(map(tuple, df.select("userId", "movieId", "cf", "content", "pop").collect()))
+    got = rank.scaled_components(raw)
+    assert ordered(got) == ordered(want)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for often in (0, 10):
+        some = rank.with_scaled(raw, "userId", "movieId", "cf", "scaled", often=often).select("userId", "movieId", "scaled")
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, want.select("userId", "movieId", "cf").collect()))
