@@ -1,12 +1,13 @@
 """What keeps tasks and rows small when tables grow."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from tamarack import session
 from tamarack.functions.vectors import rank_scaled
-from tamarack.operators import rank, scores
+from tamarack.operators import content, rank, scores
 from tamarack.operators.split import temporal_split
 from tamarack.sources.adapters import Tables
 
@@ -109,3 +110,16 @@ def test_ranks_of_a_user_are_many_tasks(spark):
     for often in (0, 10):
         some = rank.with_scaled(raw, "userId", "movieId", "cf", "scaled", often=often).select("userId", "movieId", "scaled")
         assert sorted(map(tuple, some.collect())) == sorted(map(tuple, want.select("userId", "movieId", "cf").collect()))
+
+
+def test_terms_do_not_move_for_each_pair(spark, monkeypatch):
+    """Profiles are the same from few vectors, which come to the users, and from many; the first plan moves no terms."""
+    history = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (1, 3), (2, 3), (2, 9), (3, 9)], "userId long, movieId long")
+    weights = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (2, "b", 0.25), (2, "a", 0.5), (3, "c", 1.0), (4, "d", 1.0)], "movieId long, term string, w double")
+    want = sorted([(1, "a", 1 / 3), (1, "b", 0.5 / 3), (1, "c", 1 / 3), (2, "c", 0.5)])
+    few = content.profiles(history, weights)
+    rounded = lambda df: sorted((r.userId, r.term, round(r.p, 12)) for r in df.collect())
+    assert rounded(few) == [(u, t, round(p, 12)) for u, t, p in want]
+    assert not [line for line in few._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"Exchange hashpartitioning\([^)]*\bterm#", line)]
+    monkeypatch.setattr(content, "VALUES", 3)
+    assert rounded(content.profiles(history, weights)) == [(u, t, round(p, 12)) for u, t, p in want]
