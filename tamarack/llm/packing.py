@@ -22,15 +22,15 @@ then get their places by joins: a piece's rank among those of its length picks i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_prefix, quoted, shuffle_width, text_batches
+from .common import blocks, checkpointed, free_prefix, quoted, shuffle_width, text_batches
 
 #: Classes of lengths in the program, and the tokens that its knapsack counts as one.
 CLASSES, UNIT = 40, 8
@@ -44,91 +44,73 @@ PART = 0.97
 WORSE = 1 / 1000
 #: Steps between two knapsacks, and steps at most.
 PRICED, STEPS = 60, 30_000
-#: Entries of the dictionary of tokenized words in each Python worker; emptied when full.
-CACHE_ENTRIES = 700_000
-#: Bytes of these words and their ids, about, from which it is emptied too.
-CACHE_BYTES = 64 << 20
+#: Words that each of the two dictionaries of a Python worker holds, and their bytes with those of their ids, about.
+CACHE_ENTRIES, CACHE_BYTES = 150_000, 16 << 20
+#: Bytes of texts that are tokenized together, unless one text alone is longer.
+BLOCK_BYTES = 4 << 20
 
 
 #: Words of letters that the tokenizer takes as one pre-token each, perhaps with a run of marks after them.
-_PLAIN = re.compile("([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([.,!?;:#$%&*]*)").fullmatch
+_PLAIN = "^(?P<word>[a-z\u00df-\u00f6\u00f8-\u00ff]+)(?P<marks>[.,!?;:#$%&*]*)$"
+#: How byte-level tokenizers write those bytes of such letters that Latin-1 has no visible character for.
+_BYTES = {b: 0xA2 + b for b in range(0x80, 0xA1)} | {0xAD: 0x143}
 
 
 class WordIds:
     """Ids of texts by a `tokenizers` file whose pieces never cross white space.
 
-    Parts between ASCII white space are tokenized once and kept in a bounded dictionary. Most new
-    parts are plain words: those are tokenized many to a call, and cut where a word ends.
+    The different parts between ASCII white space of a block of texts are taken once each. Most are plain words, with
+    marks perhaps: for those the model is asked alone, and ids are kept in two dictionaries. When one is full it becomes the
+    older one and a new one is begun, to which words that come again move: so what is frequent stays.
     """
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES, word_end: str = "</w>"):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            self.tokenizer = Tokenizer.from_str(f.read())
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(word_end)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_entries, self.held = cache_entries, 0
 
-    def one_by_one(self, parts: list[str]) -> dict[str, bytes]:
-        made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(parts, made, strict=True)}
-
-    def together(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of plain words, from one call for many of them."""
-        out: dict[str, bytes] = {}
-        for i in range(0, len(words), 5000):
-            own = words[i : i + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) != len(own):
-                out |= self.one_by_one(own)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(own, ends.tolist(), strict=True):
-                out[w] = raw[at:to]
-                at = to
-        return out
-
-    def learn(self, parts: set[bytes]) -> None:
-        if len(self.known) + len(parts) > self.cache_entries or self.held > CACHE_BYTES:
-            self.known, self.words, self.held = {}, {}, 0
-        self.held += 4 * sum(map(len, parts))
-        words = self.words
-        split: list[tuple[bytes, str, str]] = []
-        other: list[str] = []
-        for p in parts:
-            if m := _PLAIN(p.lower().decode()):
-                split.append((p, *m.groups()))
-            else:
-                other.append(p.decode())
-        words.update(self.together(list({w for _, w, _ in split if w not in words})))
-        words.update(self.one_by_one(list({marks for _, _, marks in split if marks and marks not in words})))
-        for p, w, marks in split:
-            self.known[p] = words[w] + words[marks] if marks else words[w]
-        if other:
-            for p, ids in self.one_by_one(other).items():
-                self.known[p.encode()] = ids
-
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers; null counts as empty."""
-        cut = [t.encode().split() if t else [] for t in texts]
-        parts = set().union(*cut)
-        if new := parts.difference(self.known):
-            known = self.known
-            self.learn(new)
-            if self.known is not known:  # emptied: what this block needs must all be there
-                size, held = self.cache_entries, self.held
-                self.cache_entries, self.held = 1 << 62, 0
-                self.learn(parts.difference(self.known))
-                self.cache_entries, self.held = size, self.held + held
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+    def plain(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)]) if word else b""
+
+    def learned(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, or of runs of marks, as little-endian unsigned 32-bit numbers."""
+        if len(self.recent) > self.cache_entries or self.held > CACHE_BYTES:
+            self.recent, self.older, self.held = {}, self.recent, 0
+        recent, older = self.recent, self.older
+        for w in words:
+            if w not in recent:
+                ids = older.get(w)
+                recent[w] = ids = self.plain(w) if ids is None else ids
+                self.held += len(w) + len(ids)
+        return [recent[w] for w in words]
+
+    def ids_of(self, parts: pa.Array) -> pa.Array:
+        """Ids of different parts without white space."""
+        cut = pc.extract_regex(pc.ascii_lower(parts), _PLAIN)
+        sides = [cut.field(k).dictionary_encode() for k in (0, 1)]
+        made = [pa.array(self.learned([x or "" for x in s.dictionary.to_numpy(zero_copy_only=False).tolist()]), pa.binary()).take(s.indices) for s in sides]
+        other = cut.is_null()
+        rest = self.tokenizer.encode_batch_fast(parts.filter(other).to_numpy(zero_copy_only=False).tolist(), add_special_tokens=False)
+        ids = pc.binary_join_element_wise(*made, b"")
+        return pc.replace_with_mask(ids, other, pa.array([np.array(e.ids, "<u4").tobytes() for e in rest], pa.binary()))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, and offsets into them; null counts as empty."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        parts = words.flatten().dictionary_encode()
+        ids = self.ids_of(parts.dictionary).take(parts.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] // 4
+        data = ids.buffers()[2]
+        flat = np.frombuffer(data, "<u4", ends[-1]) if ends[-1] else np.zeros(0, "<u4")
+        return flat, ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])].astype(np.int64)
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -149,18 +131,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+        own = word_ids(tokenizer_path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), own.encode_many(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
-                        rows.append((doc, k, at // 4, len(cut) // 4, cut))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            for lo, hi, *_ in blocks(batch.column(1), BLOCK_BYTES):
+                flat, ends = own.encode(batch.column(1).slice(lo, hi - lo))
+                flat = np.insert(flat, ends[1:], end_id).astype("<u4", copy=False)
+                ends += np.arange(len(ends))
+                many = -(-np.diff(ends) // capacity)
+                of = np.repeat(np.arange(hi - lo), many)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(capacity, np.diff(ends)[of] - start)
+                cuts = np.append((ends[of] + start) * 4, len(flat) * 4).astype(np.int32)
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(lo + of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), ids],
+                    ["doc_id", "piece", "start", "length", "ids"],
+                )
 
     text_batches(docs.sparkSession)
     return docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")

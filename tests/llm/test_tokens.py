@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import tiktoken
 from hypothesis import given, settings
@@ -42,6 +43,18 @@ def test_bpe_frames(docs, rows, nothing):
     assert byte_bpe.encode_digests(nothing, RANKS, P.PATTERN).count() == 0
 
 
+def test_word_ids_with_a_tiny_dictionary():
+    path = P.path("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), packing.WordIds(path, cache_entries=3)
+    asked = []
+    own.plain = lambda word, plain=own.plain: asked.append(word) or plain(word)
+    odd = ["".join(chr(c) + " " for c in range(0xC0, 0x250)), "Stra\u00dfe, \u00e0\u00ed \u00c9t\u00e9! K\u212a e\u0301 \u0130", "don't 's dogs' <|endoftext|>x", "a\x1cb\x0bc\u2003d  ", None, ""]
+    for texts in (["The the, the... THE! cat."] * 3, odd, ["a1b2 \u4e2d\u6587 ...x", "the cat"] * 2):
+        flat, ends = own.encode(pa.array(texts, pa.string()))
+        assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert asked[:6] == ["the", "cat", "", ",", "...", "!"]  # a word of a block is asked for once, whatever its case and marks
+
+
 def test_pieces_and_packing(docs, rows, nothing):
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
