@@ -171,6 +171,7 @@ def labelled(postings: DataFrame, classes_of: DataFrame | None) -> DataFrame:
         out = postings.withColumn("class", F.col("doc"))
     else:
         out = postings.join(classes_of.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component")
+    out = out.repartition("token")  # once, for all that goes by token
     open_ = out.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
     return out.join(open_, "token", "left_semi")
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tamarack.llm import jaccard, line_dedup, substring_dedup
+from tamarack.llm import graph, jaccard, line_dedup, substring_dedup
 from tamarack.llm.graph import components
 
 
@@ -144,6 +144,20 @@ def test_classes_without_stars(docs, rows, monkeypatch):
     assert got == classes(rows, 4, 85)
 
 
+def shuffles(df):
+    """Exchanges of a plan that shuffle, those that are read again left out."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line and "ReusedExchange" not in line for line in plan.split("== Initial Plan ==")[0].splitlines())
+
+
+def test_components_deal_rows_once_by_node(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr("tamarack.llm.graph.checkpointed", lambda df, keep=graph.checkpointed: made.append(shuffles(df)) or keep(df))
+    got = dict(graph.components(spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 40), (60, 50)], "a long, b long")).collect())
+    assert got == {k: 0 for k in range(31)} | {40: 40, 50: 40, 60: 40}
+    assert max(made[1:]) <= 7  # a round: three shuffles of rows, each as often as the tree names it
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 10), (10, 11), (5, 5), (12, 11)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
