@@ -59,7 +59,7 @@ def lines_of(words: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
 class Lines:
     """Lines of a block of texts that have `least` words or more, with their tokens in order of rarity.
 
-    With `pick`, a function of (text, line number) arrays, only lines that it lets through are made.
+    With `pick`, a function of arrays (text, line number, hash of the line's words), only lines that it lets through are made.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, shared: Shared | None = None, pick=None):
@@ -67,7 +67,7 @@ class Lines:
         of_text, of_number, new, n = lines_of(words, data, offsets)
         keep = n >= least
         if pick is not None:
-            keep &= pick(of_text, of_number)
+            keep[keep] = pick(of_text[keep], of_number[keep], range_hashes(words.hashes, new[keep], (new + n)[keep], 0))
         self.text, self.number, new, n = of_text[keep], of_number[keep], new[keep], n[keep]
         # Each line's tokens: a run from each of its first n - SHINGLE + 1 words, or the whole if it has fewer.
         many = np.maximum(1, n - SHINGLE + 1)
@@ -128,6 +128,26 @@ def ids(batch_a: np.ndarray, batch_b: np.ndarray, lo: int, text: np.ndarray, num
     return [pa.array(batch_a[lo + text]), pa.array(batch_b[lo + text]), pa.array(number.astype(np.int32))]
 
 
+def row_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.astype(np.int64).view(_U)) ^ b.astype(np.int64).view(_U) ^ _U(0x452821E638D01377))
+
+
+def lines_bitmap(lines: DataFrame) -> np.ndarray:
+    """A bitmap of lines (a, b, line), and of the rows that they are lines of."""
+
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        a, b, line = (batch.column(k).to_numpy() for k in range(3))
+        yield line_hash(a, b, line)
+        yield row_hash(a, b)
+
+    return bitmap_of(lines, values)
+
+
+def sought(bitmap: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (a, b, text) of the batch that may have lines in the bitmap: the texts of all others need no look."""
+    return batch.filter(pa.array(inside(bitmap, row_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))))
+
+
 def line_hash(a: np.ndarray, b: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(mix(a.astype(np.int64).view(_U)) ^ b.astype(np.int64).view(_U)) + line.astype(_U)
 
@@ -163,10 +183,7 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
 
     def kept(a: np.ndarray, b: np.ndarray, lo: int, data: np.ndarray, offsets: np.ndarray, shared: Shared | None) -> Lines:
         """The lines of a block that stand for all of equal words."""
-        text, number, s1 = signatures(data, offsets, least)
-        go = ~inside(twice.value, s1) | inside(leaders.value, line_hash(a[lo + text], b[lo + text], number))
-        ours = (text[go] << 32) | number[go]
-        return Lines(data, offsets, least, shared, lambda t, k: np.isin((t << 32) | k, ours))
+        return Lines(data, offsets, least, shared, lambda t, k, s1: ~inside(twice.value, s1) | inside(leaders.value, line_hash(a[lo + t], b[lo + t], k)))
 
     def tokens_of_all(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -209,14 +226,15 @@ def find_matches(docs: DataFrame, percent: int, least: int, id_col: str, text_co
     found = checkpointed(verified(met.where("kind < 2"), keyed, percent, least))
     rest = checkpointed(met.where("kind in (1, 3)").select(*x).distinct().join(found, ["a", "b", "line"], "left_anti"))
     if not rest.isEmpty():
-        lost = share(bitmap_of(rest, lambda t: iter([line_hash(*(t.column(k).to_numpy() for k in range(3)))])))
+        lost = share(lines_bitmap(rest.select("a", "b", "line")))
 
         def tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            batch = sought(lost.value, batch)
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                yield Lines(data, offsets, least, shared.value, lambda t, k: inside(lost.value, line_hash(a[lo + t], b[lo + t], k))).prefix(percent)[1]
+                yield Lines(data, offsets, least, shared.value, lambda t, k, _: inside(lost.value, line_hash(a[lo + t], b[lo + t], k))).prefix(percent)[1]
 
-        posted = postings(np.packbits(counted(keyed, tokens_of) > 0)).withColumns({"n": F.shiftright("size", 32), "place": F.col("size").bitwiseAND(0xFFFFFFFF)}).drop("size")
+        posted = checkpointed(postings(np.packbits(counted(keyed, tokens_of) > 0))).withColumns({"n": F.shiftright("size", 32), "place": F.col("size").bitwiseAND(0xFFFFFFFF)}).drop("size")
         seekers = posted.join(rest, ["a", "b", "line"], "left_semi").alias("x")
         found = found.union(verified(checkpointed(candidates(seekers, posted.alias("y"), percent)), keyed, percent, least))
     return found.union(equal).distinct()
@@ -342,20 +360,18 @@ def verified(pairs: DataFrame, keyed: DataFrame, percent: int, least: int) -> Da
     and the joins below drop what it lets through.
     """
     either = [F.array(*[F.struct(F.col(f"{s}a").alias("a"), F.col(f"{s}b").alias("b"), F.col(f"{s}line").alias("line")) for s in "xy"])]
-
-    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield line_hash(*(batch.column(k).to_numpy() for k in range(3)))
-
-    shared = keyed.sparkSession.sparkContext.broadcast(bitmap_of(pairs.select(F.explode(*either).alias("l")).select("l.*").distinct(), values))
+    shared = keyed.sparkSession.sparkContext.broadcast(lines_bitmap(pairs.select(F.explode(*either).alias("l")).select("l.*").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = sought(shared.value, batch)
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
-                own = Lines(data, offsets, least, None, lambda text, number: inside(shared.value, line_hash(a[lo + text], b[lo + text], number)))  # noqa: B023
+                own = Lines(data, offsets, least, None, lambda text, number, _: inside(shared.value, line_hash(a[lo + text], b[lo + text], number)))  # noqa: B023
                 yield pa.RecordBatch.from_arrays([*ids(a, b, lo, own.text, own.number), lists(own.token, own.ends)], ["a", "b", "line", "tokens"])
 
-    found = keyed.mapInArrow(sets, f"{_ID}, tokens array<long>").groupBy("a", "b", "line").agg(F.first("tokens").alias("tokens"))  # equal rows have equal lines
+    # Equal rows have equal lines. Both sides of the join below read what is made here once.
+    found = checkpointed(keyed.mapInArrow(sets, f"{_ID}, tokens array<long>").groupBy("a", "b", "line").agg(F.first("tokens").alias("tokens")))
     side = lambda s: found.select(*[F.col(c).alias(f"{s}{c}") for c in ("a", "b", "line", "tokens")])
     joined = pairs.join(side("x"), ["xa", "xb", "xline"]).join(side("y"), ["ya", "yb", "yline"])
     both = F.size(F.array_intersect("xtokens", "ytokens"))

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tamarack.llm import graph, jaccard, line_dedup, substring_dedup
@@ -158,6 +159,12 @@ def test_components_deal_rows_once_by_node(spark, monkeypatch):
     assert max(made[1:]) <= 7  # a round: three shuffles of rows, each as often as the tree names it
 
 
+def test_lines_are_looked_for_in_their_rows_only(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([7, 7, 8, 9]), pa.array(["a", "b", None, "d"])], ["a", "b", "text"])
+    bitmap = line_dedup.lines_bitmap(spark.createDataFrame([(2, 7, 0), (4, 9, 5)], "a long, b long, line int"))
+    assert line_dedup.sought(bitmap, batch).column(0).to_pylist() == [2, 4]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 10), (10, 11), (5, 5), (12, 11)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
