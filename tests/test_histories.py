@@ -73,3 +73,26 @@ def test_bounded_ranks(spark):
         lead = np.round(rng.random(500), 2)
         near, (scaled,) = classes.reaching(lead, [own], n, int(n.sum()), (0.7,), 9)
         assert np.array_equal(scaled, want[near]) and set(np.argsort(-(lead + 0.7 * want), kind="stable")[:9]) <= set(near)
+
+
+def test_weights_are_tried_on_all_users(monkeypatch, spark, tables):
+    """The same means as from rows of every user's whole catalog; no user is left out of the search."""
+    from tamarack.operators import tuning
+    from tamarack.plans import score_queries
+
+    monkeypatch.setattr(tuning, "TOGETHER", 2)
+    ratings, catalog, weights = tables
+    ratings = ratings.where("userId is not null")
+    scaled = rank.scaled_catalog(catalog)
+    found = classes.classes_of(scaled.withColumnRenamed("movieId", "item").join(content.item_vectors(weights), "item", "left"), ("t", "x"))
+    queries = classes.listed_queries(content.histories(ratings, F.col("rating") >= 4), found[1])
+    truth = spark.createDataFrame([(u, 2 * m) for u in range(USERS) for m in range(ITEMS + 2) if (u + m) % 9 == 0], "userId long, movieId long")
+    asked = queries.join(truth.groupBy(F.col("userId").alias("query")).agg(F.count("*").alias("wanted"), F.collect_list("movieId").alias("truth")), "query")
+    content_ = content.profile_scores(content.profiles(ratings.where("rating >= 4"), weights), weights).withColumnRenamed("score", "content")
+    raw = ratings.select("userId").distinct().crossJoin(scaled).join(content_, ["userId", "movieId"], "left").fillna(0.0, ["content"])
+    unseen = rank.with_scaled(raw, "userId", "movieId", "content", "s").select("userId", "movieId", "cf", F.col("s").alias("content"), "pop").join(ratings, ["userId", "movieId"], "left_anti")
+    grid = [(0.5, 0.3, 0.2), (0.2, 0.7, 0.1), (0.0, 1.0, 0.0), (0.9, 0.05, 0.05), (0.6, 0.1, 0.9)]
+    rows = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.select("a", "b", "c", "users", "precision", "recall", "ndcg", "mrr").collect())
+    got = rows(tuning.tried_by_history(asked, found, grid, 5))
+    assert got == rows(tuning.tried(unseen, truth, grid, 5)) and got[0][3] == USERS
+    assert "limit 20" not in score_queries.TUNED
